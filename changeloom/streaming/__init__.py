@@ -1,0 +1 @@
+"""No streaming operators: the computations are defined on whole change sets only."""
