@@ -131,28 +131,36 @@ def long_line(text: Column, threshold: int) -> Column:
     return (F.octet_length(text) > threshold) & (F.length(text) > threshold)
 
 
-def one_decimal(value: Column) -> Column:
-    """A non-negative double with one decimal, rounded by its exact binary value, ties to even.
+def one_decimal(size: Column, unit: int) -> Column:
+    """``size / unit`` with one decimal, rounded by the quotient's exact binary value.
 
-    ``format_string`` rounds the shortest decimal form instead, which turns 1.95 into 2.0.
+    Only a quotient written as x.x5 is in doubt: it lies a little above or below that
+    decimal, or exactly on it, and then goes to the even digit. ``format_string`` would
+    round the written form instead and turn 1.95 into 2.0.
     """
-    large = value >= 1024
-    scale = F.when(large, F.lit(2**42)).otherwise(F.lit(2**52))
-    tenfold = (value * scale.cast("double")).cast("bigint").cast("decimal(20,0)") * 10
-    unit = scale.cast("decimal(20,0)")
-    rest = tenfold % unit
-    floor = ((tenfold - rest) / unit).cast("bigint")
-    up = (rest * 2 > unit) | ((rest * 2 == unit) & (floor % 2 == 1))
-    tenths = floor + up.cast("bigint")
-    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    step = unit // 10
+    half = step // 2
+
+    def tenths(s: Column) -> Column:
+        quotient = s / F.lit(float(unit))
+        down = F.floor(s / step)
+        bits = ((quotient - F.floor(quotient)) * F.lit(2.0**52)).cast("bigint") * 20
+        decimal = F.floor(s / half) % 20 * F.lit(2**52)
+        up = (bits > decimal) | ((bits == decimal) & (down % 2 == 1))
+        return F.when(s % step == half, down + up.cast("int")).otherwise(F.floor((s + half) / step))
+
+    value = F.transform(F.array(size), tenths)[0]
+    return F.transform(
+        F.array(value), lambda v: F.concat_ws(".", F.floor(v / 10).cast("string"), (v % 10).cast("string"))
+    )[0]
 
 
 def size_label(size: Column) -> Column:
-    """Decimal size with unit, for sizes below one terabyte."""
+    """Decimal size with unit."""
     return (
         F.when(size < 1000, F.format_string("%d B", size))
-        .when(size < 1_000_000, F.concat(one_decimal(size / F.lit(1000.0)), F.lit(" KB")))
-        .otherwise(F.concat(one_decimal(size / F.lit(1000000.0)), F.lit(" MB")))
+        .when(size < 1_000_000, F.concat(one_decimal(size, 1000), F.lit(" KB")))
+        .otherwise(F.concat(one_decimal(size, 1_000_000), F.lit(" MB")))
     )
 
 

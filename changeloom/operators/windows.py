@@ -13,7 +13,7 @@ from changeloom.settings import DEFAULTS, LAYERS, Settings
 HUNK = ["change_id", "file_idx", "hunk_idx"]
 
 
-def added_runs(lines: DataFrame) -> DataFrame:
+def added_runs(lines: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Added lines with ``run_idx``: a run ends at any other line, a gap or the hunk's end."""
     order = Window.partitionBy(*HUNK).orderBy("line_idx")
     before_t, before_new = F.lag("t").over(order), F.lag("new").over(order)
@@ -23,7 +23,7 @@ def added_runs(lines: DataFrame) -> DataFrame:
     run = F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
     return (
         marked.withColumn("run_idx", run.cast("int")).where("t = 'a'")
-        .select(*HUNK, "run_idx", "line_idx", "text")
+        .select(*HUNK, *(keep or []), "run_idx", "line_idx", "text")
     )
 
 
