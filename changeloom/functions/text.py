@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.settings import CUT_NOTE, DESCRIPTION_CUT_NOTE, NEUTRAL, STATIC_MARKERS
@@ -168,73 +168,77 @@ def delta_label(delta: Column) -> Column:
     return F.concat(F.when(delta < 0, "-").otherwise("+"), size_label(F.abs(delta)))
 
 
-def common_prefix(left: Column, right: Column, limit: int) -> Column:
+def common_prefix(left: Column, right: Column) -> Column:
     """Length of the common prefix in code points, by bisection over substrings.
 
-    Each step compares two substrings, so a line of n characters costs O(n) in all
-    instead of one array element per character. Exact for lines of up to ``limit``.
+    Each step compares two substrings, so a line of n characters costs a few scans of it
+    instead of one array element per character.
     """
     bound = F.least(F.length(left), F.length(right))
-    steps = F.sequence(F.lit(0), F.lit(limit.bit_length()))
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(bound + 1)).cast("int"))
 
     def narrow(state: Column, _: Column) -> Column:
         low, high = state["low"], state["high"]
-        middle = F.ceil((low + high) / 2).cast("int")
+        middle = F.shiftright(low + high + 1, 1)
         span = middle - low
         same = F.substring(left, low + 1, span) == F.substring(right, low + 1, span)
         return F.when(
             same, F.struct(middle.alias("low"), high.alias("high"))
-        ).otherwise(
-            F.struct(low.alias("low"), F.greatest(middle - 1, low).alias("high"))
-        )
+        ).otherwise(F.struct(low.alias("low"), F.greatest(middle - 1, low).alias("high")))
 
     start = F.struct(F.lit(0).alias("low"), bound.alias("high"))
     return F.aggregate(steps, start, narrow)["low"]
 
 
-def changed_spans(old: Column, new: Column, threshold: int, similarity: float) -> Column:
-    """struct(start, old_end, new_end) of the changed part of two lines, or null.
+def changed_spans(pairs: DataFrame, old: str, new: str, threshold: int, similarity: float) -> DataFrame:
+    """Pairs with a meaningful changed part: adds start, old_end and new_end of it.
 
-    Lines above ``threshold`` characters are skipped, which bounds the bisection.
+    The lengths of the common prefix and suffix become columns first, so that each is
+    computed once. Lines above ``threshold`` characters are skipped.
     """
-    old_len, new_len = F.length(old), F.length(new)
-    prefix = common_prefix(old, new, threshold)
-    old_rest = F.reverse(F.substring(old, prefix + 1, old_len - prefix))
-    new_rest = F.reverse(F.substring(new, prefix + 1, new_len - prefix))
-    suffix = common_prefix(old_rest, new_rest, threshold)
+    left, right = F.col(old), F.col(new)
+    old_len, new_len = F.length(left), F.length(right)
+    eligible = (left != right) & ~long_line(left, threshold) & ~long_line(right, threshold)
+    rows = pairs.withColumn("_prefix", F.when(eligible, common_prefix(left, right)))
+    prefix = F.col("_prefix")
+
+    def rest(text: Column) -> Column:
+        return F.reverse(F.substring(text, prefix + 1, F.length(text) - prefix))
+
+    rows = rows.withColumn("_old_rest", rest(left)).withColumn("_new_rest", rest(right))
+    rows = rows.withColumn("_suffix", common_prefix(F.col("_old_rest"), F.col("_new_rest")))
+    suffix = F.col("_suffix")
+    head = F.substring(left, F.lit(1), prefix)
+    tail = F.substring(left, old_len - suffix + 1, suffix)
 
     def solid(text: Column) -> Column:
         return F.length(strip_space(text))
 
-    head = F.substring(old, F.lit(1), prefix)
-    tail = F.substring(old, old_len - suffix + 1, suffix)
-    common = solid(head) + solid(tail)
-    shorter = F.least(solid(old), solid(new))
-    similar = (shorter == 0) | (common / F.greatest(shorter, F.lit(1)) >= similarity)
+    rows = rows.withColumn("_common", solid(head) + solid(tail)).withColumn(
+        "_shorter", F.least(solid(left), solid(right))
+    )
+    similar = (F.col("_shorter") == 0) | (F.col("_common") / F.col("_shorter") >= similarity)
 
     # Widen to whole words: step back over the word that ends the common prefix when a
     # word goes on behind it, and forward over the word that starts the common suffix.
-    def at(text: Column, position: Column) -> Column:
-        return F.substring(text, position, F.lit(1))
+    def word_at(text: Column, position: Column) -> Column:
+        return F.substring(text, position, F.lit(1)).rlike(f"^{WORD_CHAR}")
 
-    goes_on = at(old, prefix + 1).rlike(f"^{WORD_CHAR}") | at(new, prefix + 1).rlike(f"^{WORD_CHAR}")
+    goes_on = word_at(left, prefix + 1) | word_at(right, prefix + 1)
     head_word = F.length(F.regexp_extract(head, f"({WORD_CHAR}*+)$", 1))
-    start = prefix - F.when(goes_on, head_word).otherwise(0)
-
-    old_last = old_len - suffix
-    new_last = new_len - suffix
-    ends_in_word = (
-        ((old_last > start) & at(old, old_last).rlike(f"^{WORD_CHAR}"))
-        | ((new_last > start) & at(new, new_last).rlike(f"^{WORD_CHAR}"))
+    rows = rows.withColumn("_start", prefix - F.when(goes_on, head_word).otherwise(0))
+    old_last, new_last = old_len - suffix, new_len - suffix
+    ends_in_word = ((old_last > F.col("_start")) & word_at(left, old_last)) | (
+        (new_last > F.col("_start")) & word_at(right, new_last)
     )
     tail_word = F.length(F.regexp_extract(tail, f"^({WORD_CHAR}*+)", 1))
-    shrink = F.when(ends_in_word, tail_word).otherwise(0)
+    rows = rows.withColumn("_shrink", F.when(ends_in_word, tail_word).otherwise(0))
     span = F.struct(
-        start.cast("int").alias("start"),
-        (old_len - suffix + shrink).cast("int").alias("old_end"),
-        (new_len - suffix + shrink).cast("int").alias("new_end"),
-    )
-    keep = (
-        (old != new) & similar & ~long_line(old, threshold) & ~long_line(new, threshold)
+        F.col("_start").cast("int").alias("start"),
+        (old_last + F.col("_shrink")).cast("int").alias("old_end"),
+        (new_last + F.col("_shrink")).cast("int").alias("new_end"),
     )
-    return F.when(keep, span)
+    # The generator keeps the final null filter above the staged columns; pushed below them
+    # it would repeat their expressions.
+    found = F.array(F.when(F.col("_prefix").isNotNull() & similar, span))
+    return rows.select(*pairs.columns, F.inline_outer(found)).where("start IS NOT NULL")

@@ -296,3 +296,26 @@ def diff_text(lines: DataFrame, hunks: DataFrame, files: DataFrame) -> DataFrame
     return files.join(texts, FILE, "left").select(
         *FILE, F.when(F.col("binary"), BINARY_TEXT).otherwise(F.coalesce("text", F.lit(""))).alias("diff")
     )
+
+
+def hunk_label(hunks: DataFrame, lines: DataFrame) -> DataFrame:
+    """Display label per hunk: its header, or the range of its line numbers."""
+    number = F.nullif(F.when(F.col("new") == 0, F.col("old")).otherwise(F.col("new")), F.lit(0))
+    numbered = lines.withColumn("number", number).where("number IS NOT NULL")
+    ends = numbered.groupBy(*FILE, "hunk_idx").agg(
+        F.min_by("number", "line_idx").alias("first"), F.max_by("number", "line_idx").alias("last")
+    )
+    label = (
+        F.when(F.col("header") != "", F.col("header")).when(F.col("first").isNull(), "")
+        .when(F.col("first") == F.col("last"), F.format_string("line %d", "first"))
+        .otherwise(F.format_string("lines %d–%d", "first", "last"))
+    )
+    return hunks.join(ends, [*FILE, "hunk_idx"], "left").select(*FILE, "hunk_idx", label.alias("label"))
+
+
+def collapse_flag(threshold: int = DEFAULTS.collapse_threshold) -> Column:
+    return F.col("additions") + F.col("deletions") > threshold
+
+
+def key_symbol_cap(symbols: Column, cap: int = DEFAULTS.key_symbol_cap) -> Column:
+    return F.slice(symbols, 1, cap)

@@ -67,33 +67,67 @@ def code_lines(files: DataFrame, lines: DataFrame) -> DataFrame:
     return rows.withColumn("before", F.col("after") - F.col("change")).drop("change")
 
 
-def inside_block(rows: DataFrame, opening: str) -> DataFrame:
-    """Lines directly inside a block, with ``content``: their text at the block's own depth.
+def block_content(rows: DataFrame, opening: str, name: str) -> DataFrame:
+    """Add ``name``: a line's text directly inside a block of that kind, else null.
 
-    A block ends with the first line after which the depth is below its inner depth.
+    A block ends with the first line after which the depth is below its inner depth. All
+    windows share the run's partitioning.
     """
     opens = F.col("line").rlike(opening)
     order = Window.partitionBy(*RUN).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    marked = rows.withColumn("opens", opens).withColumn("block", F.sum(opens.cast("int")).over(order))
-    block = Window.partitionBy(*RUN, "block").orderBy("at")
-    inner = F.first(F.col("before") + 1).over(block)
-    lowest = F.min("after").over(block.rowsBetween(Window.unboundedPreceding, -1))
-    content = F.when(F.col("opens"), F.regexp_replace("line", opening, "")).otherwise(
-        F.when(F.col("before") == F.col("inner"), F.col("line"))
+    rows = rows.withColumn("_opens", opens).withColumn("_block", F.sum(opens.cast("int")).over(order))
+    block = Window.partitionBy(*RUN, "_block").orderBy("at")
+    rows = rows.withColumn("_inner", F.first(F.col("before") + 1).over(block)).withColumn(
+        "_lowest", F.min("after").over(block.rowsBetween(Window.unboundedPreceding, -1))
+    )
+    inside = (F.col("_block") > 0) & (F.col("_lowest").isNull() | (F.col("_lowest") >= F.col("_inner")))
+    content = F.when(F.col("_opens"), F.regexp_replace("line", opening, "")).when(
+        F.col("before") == F.col("_inner"), F.col("line")
     )
     flat = F.regexp_replace(F.regexp_replace(content, NESTED, "$1"), NESTED, "$1")
-    return (
-        marked.where("block > 0").withColumn("inner", inner).withColumn("lowest", lowest)
-        .where("lowest IS NULL OR lowest >= inner")
-        .withColumn("content", flat).where("content IS NOT NULL")
+    return rows.withColumn(name, F.when(inside, flat)).drop("_opens", "_block", "_inner", "_lowest")
+
+
+def fact(role: str, kind: Column, type_name: Column, name: Column) -> Column:
+    return F.struct(
+        F.lit(role).alias("role"), kind.alias("kind"), type_name.alias("type_name"), name.alias("name")
     )
 
 
-def facts(rows: DataFrame, role: str, kind: Column, type_name: Column, name: Column) -> DataFrame:
-    return rows.select(
-        "change_id", "file_idx", "dir", F.lit(role).alias("role"), kind.alias("kind"),
-        type_name.alias("type_name"), name.alias("name"),
-    ).where("name <> ''")
+def every(column: str, pattern: str, group: int = 1) -> Column:
+    return F.coalesce(
+        F.regexp_extract_all(column, F.lit(pattern), F.lit(group)), F.array().cast("array<string>")
+    )
+
+
+def line_facts() -> Column:
+    """All facts of one prepared line, as one array."""
+    none = F.lit("")
+
+    def one(role: str, kind: Column, pattern: str, group: int, type_group: int = 0) -> Column:
+        type_name = F.regexp_extract("line", pattern, type_group) if type_group else none
+        return F.array(fact(role, kind, type_name, F.regexp_extract("line", pattern, group)))
+
+    def names(role: str, kind: str, found: Column) -> Column:
+        return F.transform(found, lambda name: fact(role, F.lit(kind), none, name))
+
+    def pairs(kind: str, pattern: str) -> Column:
+        return F.zip_with(
+            every("text", pattern, 1), every("text", pattern, 2),
+            lambda type_name, name: fact("refer", F.lit(kind), type_name, name),
+        )
+
+    resources = F.filter(pairs("resource", TYPED_REFERENCE), lambda f: ~f["type_name"].isin(*KEYWORDS))
+    return F.concat(
+        one("define", F.lit("variable"), VARIABLE, 1),
+        one("define", F.lit("module"), MODULE, 1),
+        one("define", F.regexp_extract("line", RESOURCE, 1), RESOURCE, 3, 2),
+        names("define", "local", every("locals", ASSIGNMENT)),
+        names("source", "module", every("module", SOURCE)),
+        *[names("refer", kind, every("text", pattern)) for kind, pattern in PLAIN_REFERENCES],
+        pairs("data", DATA_REFERENCE),
+        resources,
+    )
 
 
 def tf_facts(files: DataFrame, lines: DataFrame) -> DataFrame:
@@ -101,47 +135,17 @@ def tf_facts(files: DataFrame, lines: DataFrame) -> DataFrame:
 
     Roles are ``define``, ``refer`` and ``source``; type_name is '' where there is none.
     """
-    rows = code_lines(files, lines)
-    none = F.lit("")
-
-    def part(pattern: str, group: int) -> Column:
-        return F.regexp_extract("line", pattern, group)
-
-    def every(pattern: str, group: int = 1, column: str = "text") -> Column:
-        return F.regexp_extract_all(column, F.lit(pattern), F.lit(group))
-
-    found = [
-        facts(rows, "define", F.lit("variable"), none, part(VARIABLE, 1)),
-        facts(rows, "define", F.lit("module"), none, part(MODULE, 1)),
-        facts(rows, "define", part(RESOURCE, 1), part(RESOURCE, 2), part(RESOURCE, 3)),
-    ]
-    local_lines = inside_block(rows, LOCALS).withColumn("content", F.regexp_replace("content", STRING, " "))
-    local_names = local_lines.select(
-        "change_id", "file_idx", "dir", F.explode(every(ASSIGNMENT, 1, "content")).alias("local_name")
-    )
-    found.append(facts(local_names, "define", F.lit("local"), none, F.col("local_name")))
-    sources = inside_block(rows, MODULE)
-    found.append(
-        facts(sources, "source", F.lit("module"), none, F.regexp_extract("content", SOURCE, 1))
-    )
-    # Outside strings, and inside their templates with nested strings masked.
+    rows = block_content(code_lines(files, lines), LOCALS, "locals")
+    rows = block_content(rows, MODULE, "module")
+    # References count outside strings, and inside their templates with nested strings masked.
     plain = F.regexp_replace("line", STRING_WITH_TEMPLATES, " ")
-    templates = F.regexp_replace(F.array_join(every(TEMPLATE, 1, "line"), " ; "), STRING, " ")
-    texts = rows.withColumn("text", F.concat_ws(" ; ", plain, templates))
-    for kind, pattern in PLAIN_REFERENCES:
-        names = texts.select("change_id", "file_idx", "dir", F.explode(every(pattern)).alias("ref"))
-        found.append(facts(names, "refer", F.lit(kind), none, F.col("ref")))
-    for kind, pattern in (("data", DATA_REFERENCE), ("resource", TYPED_REFERENCE)):
-        pairs = texts.select(
-            "change_id", "file_idx", "dir", F.explode(F.arrays_zip(every(pattern, 1), every(pattern, 2))).alias("p")
-        ).select("change_id", "file_idx", "dir", F.col("p")["0"].alias("ref_type"), F.col("p")["1"].alias("ref"))
-        if kind == "resource":
-            pairs = pairs.where(~F.col("ref_type").isin(*KEYWORDS))
-        found.append(facts(pairs, "refer", F.lit(kind), F.col("ref_type"), F.col("ref")))
-    result = found[0]
-    for more in found[1:]:
-        result = result.unionByName(more)
-    return result.distinct()
+    templates = F.regexp_replace(F.array_join(every("line", TEMPLATE), " ; "), STRING, " ")
+    return (
+        rows.withColumn("text", F.concat_ws(" ; ", plain, templates))
+        .withColumn("locals", F.regexp_replace("locals", STRING, " "))
+        .select("change_id", "file_idx", "dir", F.inline(line_facts()))
+        .where("name <> ''").distinct()
+    )
 
 
 def tf_edges(files: DataFrame, all_facts: DataFrame) -> DataFrame:

@@ -58,15 +58,10 @@ def pair_changed_lines(lines: DataFrame, settings: Settings = DEFAULTS) -> DataF
         side("d", "line_idx").alias("old_line"), side("a", "line_idx").alias("new_line"),
         side("d", "text").alias("old_text"), side("a", "text").alias("new_text"),
     ).where("old_line is not null and new_line is not null")
-    span = changed_spans(
-        F.col("old_text"), F.col("new_text"), settings.long_line_threshold,
-        settings.word_diff_min_similarity,
-    )
-    return pairs.withColumn("span", span).where("span is not null").select(
-        *HUNK, "old_line", "new_line",
-        F.col("span.start").alias("start"), F.col("span.old_end").alias("old_end"),
-        F.col("span.new_end").alias("new_end"),
+    marked = changed_spans(
+        pairs, "old_text", "new_text", settings.long_line_threshold, settings.word_diff_min_similarity
     )
+    return marked.select(*HUNK, "old_line", "new_line", "start", "old_end", "new_end")
 
 
 def fold_context(lines: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
