@@ -16,6 +16,7 @@ from changeloom.functions.paths import (
 from changeloom.functions.imports import exported_defs, identifier_tokens, import_specifiers
 from changeloom.operators.aggregate import unique_definitions
 from changeloom.operators.terraform import tf_edges, tf_facts
+from changeloom.sources.shared import materialize
 
 # Order in which the lookups of one target are tried.
 EXACT, MODULE, PLATFORM, MODULE_STEM, SUFFIX, SUFFIX_STEM, ALIAS = range(1, 8)
@@ -115,12 +116,13 @@ def import_queries(files: DataFrame, specifiers: DataFrame) -> DataFrame:
     rows = rows.withColumn("query", normalize_path(target)).withColumn("relative", relative)
     alias = (F.col("language") == "javascript") & F.col("alias_file")
     nameless = alias & ~F.col("relative") & ~F.col("query").contains("/")
-    return (
+    targets = (
         rows.withColumn("alias", alias)
         .where(F.col("query").isNotNull() & (F.col("query") != "") & ~F.col("query").rlike(r"^\.\.(/|$)") & ~nameless)
         .select("change_id", F.col("file_idx").alias("importer"), "language", "family", "specifier",
                 "query", "relative", "alias")
     )
+    return targets
 
 
 def resolve_modules(files: DataFrame, queries: DataFrame) -> DataFrame:
@@ -234,7 +236,9 @@ def symbol_edges(definitions: DataFrame, tokens: DataFrame) -> DataFrame:
 
 def build_edges(files: DataFrame, lines: DataFrame) -> DataFrame:
     """Distinct (change_id, importer, imported) from imports, Terraform facts and symbols."""
-    queries = import_queries(files, import_specifiers(files, lines))
+    # The targets feed several joins, so they are written once: the scan of the texts behind
+    # them is not repeated, and the plan stays small.
+    queries = materialize(import_queries(files, import_specifiers(files, lines)), "import-targets")
     edge = ["change_id", "importer", "imported"]
     imports = resolve_modules(files, queries).select(edge).unionByName(
         resolve_directory(files, queries).select(edge)

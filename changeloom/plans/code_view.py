@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from changeloom.functions.paths import classify_language
 from changeloom.plans import oracle_views as O
 from changeloom.plans import views as V
+from changeloom.sources.shared import materialize_once
 
 # Columns: l language, i and j file numbers, m style, tt target module, ts its last two
 # parts, tp target path, td target directory, up way to the root, dj target document.
@@ -77,13 +78,20 @@ def targets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     links = V.edges(spark, sf_dir).select("change_id", F.col("importer").alias("i"), F.col("imported").alias("j"))
     joined = links.join(source, ["change_id", "i"]).join(target, ["change_id", "j"]).withColumn(
-        "m", (F.col("i") + F.col("j")) % 4
+        "m", F.expr("(i div 3 + j div 4) % 4").cast("int")
     )
     return files, joined
 
 
 def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lines`` rows: definitions, imports, a context line, uses and a deleted line."""
+    """``lines`` rows: definitions, imports, a context line, uses and a deleted line.
+
+    Written once per application, as several queries read them.
+    """
+    return materialize_once(spark, f"source-lines {sf_dir}", lambda: build_lines(spark, sf_dir))
+
+
+def build_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, links = targets(spark, sf_dir)
     i = F.col("i").alias("file_idx")
 
@@ -120,7 +128,7 @@ cf AS (
          regexp_replace(path, '(\\.ios)?\\.[^./]*$', '') AS tt, regexp_extract(path, '^(.*)/', 1) AS dir
   FROM docs),
 links AS (
-  SELECT e.change_id, e.importer AS i, e.imported AS j, (e.importer + e.imported) % 4 AS m, s.l, s.doc_id AS di,
+  SELECT e.change_id, e.importer AS i, e.imported AS j, (e.importer // 3 + e.imported // 4) % 4 AS m, s.l, s.doc_id AS di,
          s.path AS sp, s.dir AS sd, repeat('../', length(s.path) - length(replace(s.path, '/', ''))) AS up,
          t.tt, t.path AS tp, t.dir AS td, t.doc_id AS dj, t.l AS tl,
          coalesce(nullif(regexp_extract(t.tt, '([^/]+/[^/]+)$', 1), ''), t.tt) AS ts

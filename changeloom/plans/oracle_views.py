@@ -70,7 +70,11 @@ edge0 AS (SELECT change_id, file_idx AS i, CAST(count(*) OVER (PARTITION BY chan
 edges AS (
   SELECT change_id, i AS importer, (i * 7 + 3) % n AS imported FROM edge0 WHERE i % 3 = 0 AND i <> (i * 7 + 3) % n
   UNION
-  SELECT change_id, i, (i * 5 + 1) % n FROM edge0 WHERE i % 4 = 0 AND i <> (i * 5 + 1) % n)"""
+  SELECT change_id, i, (i * 5 + 1) % n FROM edge0 WHERE i % 4 = 0 AND i <> (i * 5 + 1) % n
+  UNION
+  SELECT change_id, i, (i + 16) % n FROM edge0 WHERE i <> (i + 16) % n
+  UNION
+  SELECT change_id, i, (i + 9) % n FROM edge0 WHERE i % 16 = 4 AND i <> (i + 9) % n)"""
 
 ATTRS = """,
 attrs AS (

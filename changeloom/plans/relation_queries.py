@@ -21,6 +21,7 @@ from changeloom.plans.registry import query
 from changeloom.plans.scalar_queries import DIFF_SQL, PAIR_SQL, SPAN_SQL, TRIAGED, code, flagged, triaged
 from changeloom.settings import SCHEMA_VERSION, Settings
 from changeloom.sources import responses as RS
+from changeloom.sources.shared import materialize, materialize_once
 
 KEY = ["change_id", "file_idx"]
 SMALL = Settings(fold_threshold=4, fold_context=1, staging_max_files=8)
@@ -58,7 +59,8 @@ homes AS (SELECT b.change_id, b.file_idx, b.path, b.layer, coalesce(fit, array_t
 chunks AS (SELECT *, (row_number() OVER (PARTITION BY change_id, layer, directory, over ORDER BY path, file_idx) - 1) // MAXFILES AS chunk,
   (row_number() OVER (PARTITION BY change_id, layer, directory, over ORDER BY path, file_idx) - 1) % MAXFILES AS pos,
   ceil(count(*) OVER (PARTITION BY change_id, layer, directory, over) / MAXFILES) AS total FROM homes),
-firsts AS (SELECT change_id, layer, directory, over, chunk, row_number() OVER (PARTITION BY change_id ORDER BY min(path), layer, directory, chunk) - 1 AS cohort_idx FROM chunks GROUP BY ALL),
+leads AS (SELECT change_id, layer, directory, over, chunk, min(path) AS lead FROM chunks GROUP BY ALL),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY lead, layer, directory, chunk) - 1 AS cohort_idx FROM leads),
 cohorts AS (SELECT change_id, CAST(cohort_idx AS INTEGER) AS cohort_idx, CAST(pos AS INTEGER) AS pos, file_idx,
   CASE WHEN directory = '.' THEN 'Root' ELSE directory END || ' ' || layer || ' changes' || CASE WHEN total > 1 THEN ' (' || chunk + 1 || '/' || CAST(total AS INTEGER) || ')' ELSE '' END AS title, layer, directory
   FROM chunks JOIN firsts USING (change_id, layer, directory, over, chunk))"""
@@ -67,13 +69,18 @@ COHORTS3 = COHORTS_SQL.replace("MAXFILES", "3")
 AFTER_FILES = COHORTS3.removeprefix(O.DOCS)
 
 
-def planned(spark, sf_dir):
+def plan_of(spark, sf_dir):
     return W.plan_cohorts(V.documents(spark, sf_dir).select(*KEY, "path"), 3)
 
 
+def planned(spark, sf_dir):
+    """The cohort plan as a table: it is fixed once and read by all later steps."""
+    return materialize_once(spark, f"cohorts {sf_dir}", lambda: plan_of(spark, sf_dir))
+
+
 @query("plan_cohorts", f"WITH {COHORTS3} SELECT * FROM cohorts")
 def plan_cohorts(spark, sf_dir):
-    return planned(spark, sf_dir)
+    return plan_of(spark, sf_dir)
 
 
 @query("change_totals", f"""WITH {TRIAGED}{AFTER_FILES},
@@ -113,7 +120,10 @@ def unique_definitions(spark, sf_dir):
 
 def queries_of(spark, sf_dir):
     files, lines = code(spark, sf_dir)
-    return files, R.import_queries(files, I.import_specifiers(files, lines))
+    targets = materialize_once(
+        spark, f"import-targets {sf_dir}", lambda: R.import_queries(files, I.import_specifiers(files, lines))
+    )
+    return files, targets
 
 
 def resolved(spark, sf_dir, via):
@@ -278,8 +288,8 @@ def pair_changed_lines(spark, sf_dir):
 
 
 @query("fold_context", f"""WITH {PAIR_SQL}
-SELECT change_id, file_idx, hunk_idx, line_idx, CAST(CASE WHEN at = 2 THEN size - 2 ELSE 0 END AS INTEGER) AS fold_count
-FROM placed WHERE t = 'c' AND size > 2 AND at > 1 AND at <= size - 1""")
+SELECT change_id, file_idx, hunk_idx, line_idx, CAST(CASE WHEN "at" = 2 THEN size - 2 ELSE 0 END AS INTEGER) AS fold_count
+FROM placed WHERE t = 'c' AND size > 2 AND "at" > 1 AND "at" <= size - 1""")
 def fold_context(spark, sf_dir):
     return W.fold_context(V.lines(spark, sf_dir), Settings(fold_threshold=2, fold_context=1))
 
@@ -366,7 +376,7 @@ def sort_files(spark, sf_dir):
 
 
 @query("dedupe_notes", """
-SELECT doc_id, array_to_string(list_filter(w, (x, i) -> list_position(w, x) = i), '|') AS notes
+SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), '|') AS notes
 FROM (SELECT doc_id, string_split(text, chr(10)) || string_split(replace(text, ' ', chr(10)), chr(10)) AS w FROM documents)""")
 def dedupe_notes(spark, sf_dir):
     """Lines of each text, then its words."""
@@ -463,7 +473,7 @@ def returned_answers(spark, sf_dir):
 
 @query("validate_summaries", f"WITH {ANSWER_SQL} SELECT * FROM problems")
 def validate_summaries(spark, sf_dir):
-    returned = returned_answers(spark, sf_dir)
+    returned = materialize(returned_answers(spark, sf_dir), "answers")
     requested = returned.select("conv_id").distinct().select(
         "conv_id", F.explode(F.array(F.lit(1), F.lit(3), F.lit(4))).alias("index")
     )

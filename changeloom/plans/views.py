@@ -219,12 +219,18 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two links per third and fourth file of a change, without self links."""
+    """Up to four links per file of a change, without self links.
+
+    The step of 16 links files of one kind; the others mix kinds and directories.
+    """
     docs = documents(spark, sf_dir).select("change_id", "file_idx")
     sized = docs.withColumn("n", F.count("*").over(Window.partitionBy("change_id")).cast("int"))
     i, n = F.col("file_idx"), F.col("n")
     targets = F.array_compact(
-        F.array(F.when(i % 3 == 0, (i * 7 + 3) % n), F.when(i % 4 == 0, (i * 5 + 1) % n))
+        F.array(
+            F.when(i % 3 == 0, (i * 7 + 3) % n), F.when(i % 4 == 0, (i * 5 + 1) % n), (i + 16) % n,
+            F.when(i % 16 == 4, (i + 9) % n),
+        )
     )
     return (
         sized.select("change_id", i.alias("importer"), F.explode(F.array_distinct(targets)).alias("imported"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,18 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+_written: dict[tuple[str, str], tuple[str, object]] = {}
+
+
+def materialize_once(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Like ``materialize``, but a second request in the same application reads the first table."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _written:
+        frame = build()
+        path = new_path(spark, "derived")
+        frame.write.parquet(path)
+        _written[key] = (path, frame.schema)
+    path, schema = _written[key]
+    return spark.read.schema(schema).parquet(path)
