@@ -44,13 +44,17 @@ def repair(texts: pd.Series) -> pd.Series:
     return texts.map(repair_text, na_action="ignore")
 
 
-def json_candidate(raw: Column) -> Column:
-    """The first fenced block, then its outermost object or array; null when there is none."""
+def fenced_text(raw: Column) -> Column:
+    """Text of the first complete fenced block, else the whole text."""
     after = F.substring(raw, F.instr(raw, FENCE) + 3, F.length(raw))
     newline = F.instr(after, "\n")
     rest = F.when(newline > 0, F.substring(after, newline + 1, F.length(after))).otherwise(after)
     fenced = (F.instr(raw, FENCE) > 0) & (F.instr(rest, FENCE) > 0)
-    text = F.when(fenced, F.substring_index(rest, FENCE, 1)).otherwise(raw)
+    return F.when(fenced, F.substring_index(rest, FENCE, 1)).otherwise(raw)
+
+
+def outermost_json(text: Column) -> Column:
+    """From the first opening brace or bracket to the last matching one; null without any."""
     brace, bracket = F.instr(text, "{"), F.instr(text, "[")
     is_array = (bracket > 0) & ((brace == 0) | (bracket < brace))
     start = F.when(is_array, bracket).otherwise(brace)
@@ -70,7 +74,11 @@ def strict_json(text: Column, schema: str) -> Column:
 
 
 def read_responses(responses: DataFrame) -> DataFrame:
-    return responses.withColumn("candidate", json_candidate(F.col("raw")))
+    """Add ``candidate``: the JSON text of each raw answer."""
+    return (
+        responses.withColumn("_text", fenced_text(F.col("raw")))
+        .withColumn("candidate", outermost_json(F.col("_text"))).drop("_text")
+    )
 
 
 def repair_responses(candidates: DataFrame, schema: str) -> DataFrame:
@@ -86,14 +94,11 @@ def repair_responses(candidates: DataFrame, schema: str) -> DataFrame:
     )
     tried = tried.withColumn("_second", strict_json(F.col("_fixed"), schema))
     fixed = F.col("_fixed").isNotNull() & F.col("_second")[CORRUPT].isNull()
-    return (
-        tried.withColumn(
-            "status", F.when(F.col("_ok"), "ok").when(fixed, "repaired").otherwise("failed")
-        )
-        .withColumn(
-            "answer",
-            F.when(F.col("_ok"), F.col("_first").dropFields(CORRUPT))
-            .when(fixed, F.col("_second").dropFields(CORRUPT)),
-        )
-        .drop("_first", "_second", "_fixed", "_ok")
+    status = F.when(F.col("_ok"), "ok").when(fixed, "repaired").otherwise("failed")
+    answer = F.when(F.col("_ok"), F.col("_first").dropFields(CORRUPT)).when(
+        fixed, F.col("_second").dropFields(CORRUPT)
     )
+    # The generator keeps later filters on status or answer above the parses; pushed below
+    # them they would repeat every parse.
+    outcome = F.array(F.struct(status.alias("status"), answer.alias("answer")))
+    return tried.select(*candidates.columns, F.inline_outer(outcome))
