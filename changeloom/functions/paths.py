@@ -72,31 +72,26 @@ def language_family(language: Column) -> Column:
 
 
 def clean_path(path: Column) -> Column:
-    """Resolve '.', '..' and empty parts of a relative path; '' for the root."""
+    """Resolve '.', '..' and empty parts; a rooted path cannot climb above its root."""
+    rooted = path.startswith("/")
 
     def step(stack: Column, part: Column) -> Column:
         climbs = (F.size(stack) > 0) & (F.element_at(stack, -1) != "..")
         return (
-            F.when(part.isin("", "."), stack)
+            F.when(part.isin("", ".") | ((part == "..") & rooted & (F.size(stack) == 0)), stack)
             .when((part == "..") & climbs, F.slice(stack, 1, F.size(stack) - 1))
             .otherwise(F.concat(stack, F.array(part)))
         )
 
     plain = ~path.rlike(r"(^|/)(\.{0,2})(/|$)")
-    walked = F.array_join(
-        F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/"
-    )
+    parts = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    walked = F.concat(F.when(rooted, "/").otherwise(""), F.array_join(parts, "/"))
     return F.when(plain, path).otherwise(walked)
 
 
 def normalize_path(path: Column) -> Column:
-    """Forward slashes, no leading './' or '/', cleaned; '' stands for the root."""
-    text = F.regexp_replace(to_slashes(path), r"^\./", "")
-    rooted = F.regexp_replace(text, r"^/", "")
-    # A path that still starts with '/' is absolute: '..' cannot climb above it.
-    still = rooted.startswith("/")
-    absolute = F.concat(F.lit("/"), F.regexp_replace(clean_path(rooted), r"^(\.\./?)+", ""))
-    return F.when(still, absolute).otherwise(clean_path(rooted))
+    """Forward slashes, no leading './' and then '/', cleaned; '' stands for the root."""
+    return clean_path(F.regexp_replace(F.regexp_replace(to_slashes(path), r"^\./", ""), "^/", ""))
 
 
 def directory(path: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.functions.paths import (
-    ALIAS_EXTENSIONS, base_name, classify_language, directory, extension, join_path,
+    ALIAS_EXTENSIONS, base_name, classify_language, directory, extension,
     language_family, normalize_path, path_suffixes, platform_module, without_extension,
 )
 from changeloom.functions.imports import exported_defs, identifier_tokens, import_specifiers
@@ -106,9 +106,9 @@ def import_queries(files: DataFrame, specifiers: DataFrame) -> DataFrame:
     bare = F.regexp_replace(spec, r"[?#].*$", "")
     markup = F.col("language").isin("html", "css")
     relative = F.when(F.col("language") == "javascript", bare.startswith(".")).otherwise(spec.startswith("."))
+    near = markup | (F.col("language") == "javascript") & bare.startswith(".")
     target = (
-        F.when(markup, join_path(F.col("folder"), bare))
-        .when((F.col("language") == "javascript") & bare.startswith("."), join_path(F.col("folder"), bare))
+        F.when(near, F.concat_ws("/", F.nullif("folder", F.lit("")), bare))
         .when(F.col("language") == "javascript", bare)
         .when(F.col("language") == "python", python_target(F.col("folder"), spec))
         .otherwise(spec)
@@ -244,4 +244,5 @@ def build_edges(files: DataFrame, lines: DataFrame) -> DataFrame:
         resolve_directory(files, queries).select(edge)
     )
     symbols = symbol_edges(exported_defs(files, lines), identifier_tokens(lines))
-    return imports.unionByName(symbols).unionByName(tf_edges(files, tf_facts(files, lines))).distinct()
+    facts = materialize(tf_facts(files, lines), "terraform-facts")
+    return imports.unionByName(symbols).unionByName(tf_edges(files, facts)).distinct()

@@ -45,7 +45,7 @@ FROM sections""")
 def read_patches(spark, sf_dir):
     """Write the rendered patches to shared storage, read them back section by section."""
     target = new_path(spark, "patches")
-    V.sections(spark, sf_dir).select("section").write.text(target)
+    V.patch_text(spark, sf_dir).select("section").write.text(target)
     # The written files end with a line break which belongs to the file, not the section.
     section = F.regexp_replace("section", r"\n\z", "")
     rows = P.read_patches(spark, target).withColumn("section", section)
@@ -60,19 +60,19 @@ def read_patches(spark, sf_dir):
 @query("parse_files", "WITH " + O.FILES + """
 SELECT change_id, file_idx, path, old_path, new_path, status, "binary", similarity, mode_changed FROM files""")
 def parse_files(spark, sf_dir):
-    return P.parse_files(V.sections(spark, sf_dir)).drop("doc_id", "header_ok")
+    return P.parse_files(V.patch_text(spark, sf_dir)).drop("doc_id", "header_ok")
 
 
 @query("parse_hunks", "WITH " + O.LINES + O.HUNKS + """
 SELECT change_id, file_idx, hunk_idx, header, old_start, old_count, new_start, new_count FROM hunks""")
 def parse_hunks(spark, sf_dir):
-    return P.parse_hunks(V.sections(spark, sf_dir))
+    return P.parse_hunks(V.patch_text(spark, sf_dir))
 
 
 @query("parse_lines", "WITH " + O.LINES + """
 SELECT change_id, file_idx, hunk_idx, line_idx, t, old, new, text FROM lines""")
 def parse_lines(spark, sf_dir):
-    return P.parse_lines(V.sections(spark, sf_dir))
+    return P.parse_lines(V.patch_text(spark, sf_dir))
 
 
 @query("parse_errors", "WITH " + O.DOCS + """
@@ -82,7 +82,7 @@ FROM docs WHERE doc_id % 19 = 3""")
 def parse_errors(spark, sf_dir):
     """Every nineteenth header is damaged: the separator is lost and a third field added."""
     damaged = F.regexp_replace("section", r"^(diff --git [^\n]*?) b/([^\n]*)", "$1 $2 extra")
-    broken = V.sections(spark, sf_dir).withColumn(
+    broken = V.patch_text(spark, sf_dir).withColumn(
         "section", F.when(F.col("doc_id") % 19 == 3, damaged).otherwise(F.col("section"))
     )
     return P.parse_errors(broken)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from changeloom.functions import imports as I
@@ -34,7 +33,7 @@ def churn_by_layer(spark, sf_dir):
     from changeloom.functions.paths import classify_layer
     from changeloom.sources import patches as P
 
-    sections = V.sections(spark, sf_dir)
+    sections = V.patch_text(spark, sf_dir)
     churn = A.file_churn(P.parse_lines(sections))
     files = P.parse_files(sections).select(*KEY, classify_layer(F.col("path")).alias("layer"))
     return files.join(churn, KEY, "left").groupBy("change_id", "layer").agg(
@@ -151,7 +150,7 @@ def symbol_edges(spark, sf_dir):
 @query("tf_edges", f"WITH {C.RESOLVED} SELECT DISTINCT change_id, importer, imported FROM terraformed")
 def tf_edges(spark, sf_dir):
     files, lines = code(spark, sf_dir)
-    return TR.tf_edges(files, TR.tf_facts(files, lines))
+    return TR.tf_edges(files, materialize(TR.tf_facts(files, lines), "terraform-facts"))
 
 
 @query("build_edges", f"WITH {C.RESOLVED} SELECT change_id, importer, imported FROM built")
@@ -450,7 +449,7 @@ def validate_content(spark, sf_dir):
 
 
 ANSWER_SQL = O.RESPONSES + """,
-returned AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS position, CAST(good ->> '$.index' AS INTEGER) AS i, good ->> '$.summary' AS summary, good ->> '$.layerHint' AS hint
+returned AS (SELECT conv_id, CAST(turn AS INTEGER) AS position, CAST(good ->> '$.index' AS INTEGER) AS i, good ->> '$.summary' AS summary, good ->> '$.layerHint' AS hint
   FROM parsed WHERE status <> 'failed'),
 requested AS (SELECT conv_id, unnest([1, 3, 4]) AS i FROM (SELECT DISTINCT conv_id FROM returned)),
 problems AS (
@@ -463,11 +462,13 @@ problems AS (
 
 
 def returned_answers(spark, sf_dir):
-    """Usable answers; a conversation is a batch, and its assistant turns are the items."""
+    """Usable answers; a conversation is a batch, its assistant turns are the items.
+
+    The turn number serves as position, so no window gathers a long conversation.
+    """
     parsed = RS.repair_responses(RS.read_responses(V.responses(spark, sf_dir)), RS.SUMMARY_SCHEMA)
-    order = Window.partitionBy("conv_id").orderBy("turn")
     return parsed.where("status <> 'failed'").select(
-        "conv_id", (F.row_number().over(order) - 1).alias("position"), "answer.*"
+        "conv_id", F.col("turn").cast("int").alias("position"), "answer.*"
     )
 
 

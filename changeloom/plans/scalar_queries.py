@@ -17,6 +17,7 @@ from changeloom.plans import oracle_views as O
 from changeloom.plans import views as V
 from changeloom.plans.registry import query
 from changeloom.settings import DEFAULTS
+from changeloom.sources.shared import materialize_once
 
 KEY = ["change_id", "file_idx"]
 
@@ -174,7 +175,11 @@ def css_refs(spark, sf_dir):
 
 
 def code(spark, sf_dir):
-    return V.documents(spark, sf_dir).select(*KEY, "path"), C.source_lines(spark, sf_dir)
+    """Files and source lines as tables."""
+    files = materialize_once(
+        spark, f"code-files {sf_dir}", lambda: V.documents(spark, sf_dir).select(*KEY, "path")
+    )
+    return files, C.source_lines(spark, sf_dir)
 
 
 @query("import_refs_line", f"""WITH {C.LINKS}, spec AS (

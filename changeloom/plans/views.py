@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from changeloom.sources.shared import materialize_once
+
 CHANGE_BLOCK = 1000
 HUNK_LINES = 40
 
@@ -218,6 +220,11 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def patch_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rendered sections as a table, written once per application."""
+    return materialize_once(spark, f"patch-text {sf_dir}", lambda: sections(spark, sf_dir))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to four links per file of a change, without self links.
 
