@@ -26,11 +26,11 @@ def dedupe_notes(first: Column, second: Column) -> Column:
     return F.array_distinct(F.concat(first, second))
 
 
-def leftover_files(files: DataFrame, assigned: DataFrame) -> DataFrame:
+def leftover_files(files: DataFrame, assigned: DataFrame, bounded: bool = True) -> DataFrame:
     """Files in no cohort, as one more cohort behind the others."""
     rest = files.select(*FILE).join(assigned.select(*FILE), FILE, "left_anti")
     last = assigned.groupBy("change_id").agg((F.max("cohort_idx") + 1).alias("cohort_idx"))
-    placed = rank_rows(rest, ["change_id"], ["file_idx"], "pos").join(last, "change_id", "left")
+    placed = rank_rows(rest, ["change_id"], ["file_idx"], "pos", bounded=bounded).join(last, "change_id", "left")
     return placed.select(
         "change_id", F.coalesce("cohort_idx", F.lit(0)).alias("cohort_idx"), "pos", "file_idx",
         F.lit(LEFTOVER["title"]).alias("title"), F.lit(LEFTOVER["layer"]).alias("layer"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from changeloom.operators.aggregate import cohort_weights
 from changeloom.operators.ranking import rank_rows
 from changeloom.settings import DEFAULTS, Settings
-from changeloom.sources.shared import shared_folder
+from changeloom.sources.shared import materialize, shared_folder
 
 
 def components(nodes: list[int], targets: dict[int, list[int]]) -> dict[int, int]:
@@ -111,7 +111,7 @@ def order_group(edges: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def stable_order(items: DataFrame, edges: DataFrame) -> DataFrame:
+def stable_order(items: DataFrame, edges: DataFrame, bounded: bool = True) -> DataFrame:
     """(change_id, part, file_idx, pos, new_pos): dependencies first inside each part.
 
     ``items`` is (change_id, part, file_idx, pos); a part is a cohort, or one constant for a
@@ -142,7 +142,7 @@ def stable_order(items: DataFrame, edges: DataFrame) -> DataFrame:
         "change_id", "part", "file_idx", "pos",
         F.coalesce("held", "pos").alias("held"), F.coalesce("turn", F.lit(0)).alias("turn"),
     )
-    return rank_rows(joined, ["change_id", "part"], ["held", "turn"], "new_pos").drop("held", "turn")
+    return rank_rows(joined, ["change_id", "part"], ["held", "turn"], "new_pos", bounded=bounded).drop("held", "turn")
 
 
 def component_group(edges: pd.DataFrame) -> pd.DataFrame:
@@ -284,21 +284,23 @@ def stable_cohort_order(
     nothing and are no dependencies.
     """
     cross = cohort_edge_join(edges, cohort_files).where("dependent <> dependency")
-    weights = cohort_weights(cross)
+    # Small tables of numbers which the steps below read several times.
+    weights = materialize(cohort_weights(cross), "cohort-weights")
     cohorts = cohort_files.select("change_id", "cohort_idx").distinct()
     items = cohorts.select(
         "change_id", F.lit(0).alias("part"), F.col("cohort_idx").alias("file_idx"), F.col("cohort_idx").alias("pos")
     )
     links = weights.select("change_id", F.col("dependent").alias("importer"), F.col("dependency").alias("imported"))
-    order = stable_order(items, links).select(
+    placed = stable_order(items, links).select(
         "change_id", F.col("file_idx").alias("cohort_idx"), F.col("new_pos").alias("new_idx")
     )
-    label = scc(cohorts.withColumnRenamed("cohort_idx", "node"), links).select("change_id", "node", "component")
+    label = scc(cohorts.withColumnRenamed("cohort_idx", "node"), links).select(
+        "change_id", F.col("node").alias("cohort_idx"), "component"
+    )
+    placed = materialize(placed.join(label, ["change_id", "cohort_idx"]), "cohort-order")
 
     def side(name: str) -> DataFrame:
-        return order.join(
-            label.withColumnRenamed("node", "cohort_idx"), ["change_id", "cohort_idx"]
-        ).select(
+        return placed.select(
             "change_id", F.col("cohort_idx").alias(name), F.col("new_idx").alias(f"new_{name}"),
             F.col("component").alias(f"{name}_component"),
         )
@@ -308,7 +310,7 @@ def stable_cohort_order(
         .where("dependent_component <> dependency_component")
         .select("change_id", F.col("new_dependent").alias("dependent"), F.col("new_dependency").alias("dependency"), "weight")
     )
-    return order, top3_deps(renamed, settings)
+    return placed.drop("component"), top3_deps(renamed, settings)
 
 
 def depth_group(deps: pd.DataFrame) -> pd.DataFrame:

@@ -92,7 +92,7 @@ def known_layer(layer: Column) -> Column:
     return F.when(layer.isin(*LAYERS), layer).otherwise("other")
 
 
-def first_assignment(claims: DataFrame, sizes: DataFrame) -> DataFrame:
+def first_assignment(claims: DataFrame, sizes: DataFrame, bounded: bool = True) -> DataFrame:
     """Each file stays in the first cohort that names it; cohorts are renumbered densely.
 
     ``claims`` is (change_id, cohort_idx, pos, file_idx), ``sizes`` (change_id, n) the number
@@ -104,9 +104,10 @@ def first_assignment(claims: DataFrame, sizes: DataFrame) -> DataFrame:
         F.min(F.struct("cohort_idx", "pos")).alias("claim")
     ).select("change_id", "file_idx", F.col("claim.cohort_idx").alias("old_idx"), F.col("claim.pos").alias("claim_pos"))
     kept = first.select("change_id", "old_idx").distinct()
-    renumbered = rank_rows(kept, ["change_id"], ["old_idx"], "cohort_idx")
+    renumbered = rank_rows(kept, ["change_id"], ["old_idx"], "cohort_idx", bounded=bounded)
     placed = first.join(renumbered, ["change_id", "old_idx"])
-    return rank_rows(placed, ["change_id", "cohort_idx"], ["claim_pos", "file_idx"], "pos").drop("claim_pos")
+    key = ["change_id", "cohort_idx"]
+    return rank_rows(placed, key, ["claim_pos", "file_idx"], "pos", bounded=bounded).drop("claim_pos")
 
 
 def prefix_budget(
@@ -123,16 +124,24 @@ def flat_chunks(
     items: DataFrame, group: list[str], order: list[str], max_files: int, bounded: bool = True
 ) -> DataFrame:
     """Split groups into chunks of ``max_files``; adds chunk, total (from 1) and pos."""
-    totals = items.groupBy(*group).agg(F.ceil(F.count("*") / max_files).cast("int").alias("total"))
+    chunks = F.ceil(F.count("*") / max_files).cast("int")
     ranked = rank_rows(items, group, order, "rank", bounded=bounded)
-    return ranked.join(totals, group).select(
+    if bounded:
+        sized = ranked.withColumn(
+            "total", F.ceil(F.count("*").over(Window.partitionBy(*group)) / max_files).cast("int")
+        )
+    else:
+        sized = ranked.join(items.groupBy(*group).agg(chunks.alias("total")), group)
+    return sized.select(
         *items.columns,
         (F.floor(F.col("rank") / max_files) + 1).cast("int").alias("chunk"), "total",
         (F.col("rank") % max_files).alias("pos"),
     )
 
 
-def plan_cohorts(files: DataFrame, max_files: int = DEFAULTS.staging_max_files) -> DataFrame:
+def plan_cohorts(
+    files: DataFrame, max_files: int = DEFAULTS.staging_max_files, bounded: bool = True
+) -> DataFrame:
     """Group files by layer and directory into cohorts of at most ``max_files``.
 
     Every directory of a path is counted once per layer; a file goes to its shallowest
@@ -151,8 +160,12 @@ def plan_cohorts(files: DataFrame, max_files: int = DEFAULTS.staging_max_files)
         F.explode(F.sequence(F.lit(1), F.size("folders"))).alias("level"), "folders",
     ).withColumn("directory", F.array_join(F.slice("folders", F.lit(1), F.col("level")), "/")).drop("folders")
     key = ["change_id", "layer", "directory"]
-    small = levels.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") <= max_files)
-    fitting = levels.join(small, key).groupBy("change_id", "file_idx").agg(
+    if bounded:
+        # All windows of this plan keep the partitioning by change: one shuffle in all.
+        counted = levels.withColumn("n", F.count("*").over(Window.partitionBy(*key)))
+    else:
+        counted = levels.join(levels.groupBy(*key).agg(F.count("*").alias("n")), key)
+    fitting = counted.where(F.col("n") <= max_files).groupBy("change_id", "file_idx").agg(
         F.min(F.struct("level", "directory"))["directory"].alias("fit")
     )
     placed = base.join(fitting, ["change_id", "file_idx"], "left")
@@ -163,14 +176,22 @@ def plan_cohorts(files: DataFrame, max_files: int = DEFAULTS.staging_max_files)
     )
     # Groups that fit have one chunk by construction, so one chunking step serves both.
     group = ["change_id", "layer", "directory", "oversized"]
-    chunked = flat_chunks(placed, group, ["path", "file_idx"], max_files)
+    chunked = flat_chunks(placed, group, ["path", "file_idx"], max_files, bounded)
     label = F.when(F.col("directory") == ".", "Root").otherwise(F.col("directory"))
     title = F.concat(
         label, F.lit(" "), "layer", F.lit(" changes"),
         F.when(F.col("total") > 1, F.format_string(" (%d/%d)", "chunk", "total")).otherwise(""),
     )
-    firsts = chunked.groupBy(*group, "chunk").agg(F.min("path").alias("first_path"))
-    numbered = rank_rows(firsts, ["change_id"], ["first_path", "layer", "directory", "chunk"], "cohort_idx")
-    return chunked.join(numbered.drop("first_path"), [*group, "chunk"]).select(
+    chunk_key = [*group, "chunk"]
+    order = ["first_path", "layer", "directory", "chunk"]
+    if bounded:
+        led = chunked.withColumn("first_path", F.min("path").over(Window.partitionBy(*chunk_key)))
+        number = F.dense_rank().over(Window.partitionBy("change_id").orderBy(*order)) - 1
+        numbered = led.withColumn("cohort_idx", number)
+    else:
+        firsts = chunked.groupBy(*chunk_key).agg(F.min("path").alias("first_path"))
+        ranked = rank_rows(firsts, ["change_id"], order, "cohort_idx", bounded=False)
+        numbered = chunked.join(ranked.drop("first_path"), chunk_key)
+    return numbered.select(
         "change_id", "cohort_idx", "pos", "file_idx", title.alias("title"), "layer", "directory"
     )

@@ -207,7 +207,8 @@ SELECT change_id, cohort_idx, any_value(head) || coalesce(string_agg(row, '' ORD
 FROM counts LEFT JOIN summed USING (change_id, cohort_idx) GROUP BY change_id, cohort_idx""")
 def cohort_digest(spark, sf_dir):
     limits = Settings(digest_max_files=2, digest_max_chars=900)
-    return A.cohort_digest(planned(spark, sf_dir), flagged(spark, sf_dir), summaries(spark, sf_dir), 5000, limits)
+    marked = materialize_once(spark, f"flagged {sf_dir}", lambda: flagged(spark, sf_dir))
+    return A.cohort_digest(planned(spark, sf_dir), marked, summaries(spark, sf_dir), 5000, limits)
 
 
 @query("cohort_stub", f"""WITH {O.FILES}{AFTER_FILES}
@@ -308,7 +309,9 @@ assigned AS (SELECT change_id, file_idx, cohort_idx AS old_idx, CAST(dense_rank(
 
 
 def sizes(spark, sf_dir):
-    return V.documents(spark, sf_dir).groupBy("change_id").agg(F.count("*").cast("int").alias("n"))
+    change = V.change_of(F.col("source"), F.col("doc_id")).alias("change_id")
+    docs = V.table(spark, sf_dir, "documents").select(change)
+    return docs.groupBy("change_id").agg(F.count("*").cast("int").alias("n"))
 
 
 def assigned(spark, sf_dir):

@@ -168,6 +168,8 @@ def test_flow_depth(spark):
 def test_plan_cohorts_splits_large_directories(spark):
     paths = [f"src/a/f{i}.go" for i in range(5)] + ["src/b/x.go", "src/top.go"] + ["readme.md", "one.md"]
     files = spark.createDataFrame([("c", i, p) for i, p in enumerate(paths)], "change_id string, file_idx int, path string")
+    whole = [sorted(map(tuple, W.plan_cohorts(files, 3, bounded).collect())) for bounded in (True, False)]
+    assert whole[0] == whole[1]
     rows = W.plan_cohorts(files, 3).groupBy("cohort_idx", "title").agg(F.count("*").alias("n")).orderBy("cohort_idx").collect()
     assert [(r.title, r.n) for r in rows] == [
         ("Root docs changes", 2), ("src/a backend changes (1/2)", 3), ("src/a backend changes (2/2)", 2),
