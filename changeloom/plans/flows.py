@@ -83,9 +83,8 @@ def single_prompts(t: ChangeTables, decision: DataFrame, settings: Settings = DE
     one = decision.where("NOT staged").select("change_id")
     keep = lambda frame: frame.join(one, "change_id", "left_semi")
     source = keep(t.changes)
-    for column in ("description",):
-        if column not in source.columns:
-            source = source.withColumn(column, F.lit(""))
+    if "description" not in source.columns:
+        source = source.withColumn("description", F.lit(""))
     return P.prompt_single(source, keep(t.files), keep(t.lines), keep(t.hunks), settings.stage_budget, settings)
 
 

@@ -65,7 +65,7 @@ def read_patches(spark: SparkSession, path: str) -> DataFrame:
 
 def unquote(path: Column) -> Column:
     """Undo C-style quoting of a path; unquoted paths stay as they are."""
-    body = F.expr("''") if path is None else F.regexp_replace(path, r'^"|"$', "")
+    body = F.regexp_replace(path, r'^"|"$', "")
     tokens = F.regexp_extract_all(body, F.lit(r"(\\[0-7]{3}|\\[^0-7]|[^\\])"), F.lit(1))
 
     def to_hex(token: Column) -> Column:
