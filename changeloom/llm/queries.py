@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import automata, bpe_chunks, fertility, lexicon, shards, token_store, winnow
+from changeloom.llm import automata, bpe_chunks, fertility, lexicon, odd_minhash, shards, token_store, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -31,6 +31,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(manifest)
 
 
+def op4_odd_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_minhash.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85, bands=32, rows=6)
+
+
 def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.score(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
@@ -64,6 +68,7 @@ def op10_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_bpe_chunks": op1_bpe_chunks,
     "op2_token_store": op2_token_store,
+    "op4_odd_minhash": op4_odd_minhash,
     "op5_fertility": op5_fertility,
     "op7_two_pass_shuffle": op7_two_pass_shuffle,
     "op8_winnowing": op8_winnowing,
