@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import automata, bpe_chunks, fertility, lexicon, odd_minhash, shards, token_store, winnow
+from changeloom.llm import automata, bpe_chunks, fertility, lexicon, line_join, odd_minhash, shards, token_store, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -39,6 +39,10 @@ def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.score(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+def op6_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_join.line_report(table(spark, sf_dir, "documents"))
+
+
 def op7_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = shards.shard_documents(table(spark, sf_dir, "documents"), 8)
     return written.select(
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op2_token_store": op2_token_store,
     "op4_odd_minhash": op4_odd_minhash,
     "op5_fertility": op5_fertility,
+    "op6_line_join": op6_line_join,
     "op7_two_pass_shuffle": op7_two_pass_shuffle,
     "op8_winnowing": op8_winnowing,
     "op9_toxic_lexicon": op9_toxic_lexicon,
