@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import automata, bpe_chunks, fertility, lexicon, line_join, odd_minhash, shards, token_store, winnow
+from changeloom.llm import automata, bpe_chunks, fertility, lexicon, line_join, odd_minhash, shards, suffix_dedup, token_store, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -31,6 +31,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_store(manifest)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_strings(table(spark, sf_dir, "documents"))
+
+
 def op4_odd_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return odd_minhash.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85, bands=32, rows=6)
 
@@ -72,6 +76,7 @@ def op10_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_bpe_chunks": op1_bpe_chunks,
     "op2_token_store": op2_token_store,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_odd_minhash": op4_odd_minhash,
     "op5_fertility": op5_fertility,
     "op6_line_join": op6_line_join,
