@@ -29,6 +29,7 @@ from changeloom.sources.shared import materialize
 LENGTH, HEAD = 50, 24
 STRETCH = LENGTH - HEAD + 1
 PLACE = np.uint64((1 << 20) - 1)
+NAME_BITS = np.uint64((1 << 40) - 1)  # within a bucket; a chance agreement only adds candidates
 AROUND = STRETCH - 1 + LENGTH
 FLUSH = 400_000
 BUCKET_BYTES = 4_000_000
@@ -95,7 +96,7 @@ def press(part: np.ndarray) -> bytes:
 
     columns = [np.ascontiguousarray(part[n]).view(np.uint8).reshape(len(part), -1) for n in part.dtype.names]
     raw = b"".join((c if n == "bytes" else c.T).tobytes() for n, c in zip(part.dtype.names, columns))
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=5).compress(raw)
 
 
 def expand(raw: bytes, kind: np.dtype) -> np.ndarray:
@@ -114,6 +115,28 @@ def expand(raw: bytes, kind: np.dtype) -> np.ndarray:
     return out
 
 
+def shrink(documents: DataFrame) -> DataFrame:
+    """(id, text) with each text compressed, for the two joins that move whole texts."""
+    import zstandard
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        compressor = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            data, offsets = text_views(batch.column("text"))
+            small = [compressor.compress(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(small, pa.binary())], names=["id", "small"])
+
+    return documents.mapInArrow(run, "id long, small binary")
+
+
+def grown(column: pa.Array) -> pa.Array:
+    """The texts of a column made by ``shrink``."""
+    import zstandard
+
+    expander = zstandard.ZstdDecompressor()
+    return pa.array([expander.decompress(x.as_buffer()) for x in column], pa.binary()).cast(pa.large_binary()).cast(pa.large_string(), safe=False)
+
+
 def packed(rows: list[tuple[int, int | None, bytes]]) -> pa.RecordBatch:
     buckets, docs, data = zip(*rows) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(docs, pa.int64()), pa.array(data, pa.binary())], names=["bucket", "doc", "data"])
@@ -123,7 +146,9 @@ def by_bucket(entries: np.ndarray, buckets: int) -> list[tuple[int, None, bytes]
     spot = (entries["name"] % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(spot, kind="stable")
     ends = np.searchsorted(spot[order], np.arange(buckets + 1))
-    return [(k, None, press(entries[order[ends[k]:ends[k + 1]]])) for k in np.flatnonzero(np.diff(ends)).tolist()]
+    entries = entries[order]
+    entries["name"] &= NAME_BITS
+    return [(k, None, press(entries[ends[k]:ends[k + 1]])) for k in np.flatnonzero(np.diff(ends)).tolist()]
 
 
 def by_doc(docs: np.ndarray, values: np.ndarray) -> list[tuple[int, int, bytes]]:
@@ -164,11 +189,12 @@ def name_suffixes(documents: DataFrame, buckets: int) -> DataFrame:
             marks = entries[start][shared[start]]
             marks["pos"] = -1
             alone = entries[~shared]
-            keep_one = np.r_[True, (alone["name"][1:] != alone["name"][:-1])] if len(alone) else np.empty(0, bool)
             first, group = groups(alone["name"])
             least = np.minimum.reduceat(alone["doc"], first) if len(first) else alone["doc"]
-            alone = alone[alone["doc"] == least[group]] if len(first) else alone[keep_one]
-            return packed(by_doc(known["doc"], known["pos"]) + by_bucket(np.concatenate((alone, marks)), buckets))
+            alone = alone[alone["doc"] == least[group]]
+            sent = np.concatenate((alone, marks))
+            sent = sent[np.lexsort((sent["pos"], sent["doc"]))]  # packs best in the order of the texts
+            return packed(by_doc(known["doc"], known["pos"]) + by_bucket(sent, buckets))
 
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
@@ -242,7 +268,8 @@ def merged(tuples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     tuples, key = tuples[order], key[order]
     start, owner = groups(key)
     mine = tuples["doc"] == tuples["doc"][start][owner]
-    return tuples[mine], tuples[~mine]
+    kept = tuples[mine]
+    return kept[np.argsort(kept["name"], kind="stable")], tuples[~mine]
 
 
 def induce(tuples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -299,7 +326,7 @@ def surround(documents: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             flags = [np.unique(np.frombuffer(b"".join(x), "<i4")) for x in batch.column("flags").to_pylist()]
-            for part, bounds, rows, base in pieces(batch.column("text")):
+            for part, bounds, rows, base in pieces(grown(batch.column("small"))):
                 row, place, names, low, high = samples(part, bounds)
                 if not len(row):
                     continue
@@ -327,7 +354,7 @@ def surround(documents: DataFrame, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return documents.select("id", "text", "flags").mapInArrow(run, PACKED)
+    return documents.select("id", "small", "flags").mapInArrow(run, PACKED)
 
 
 def hit_spans(tuples: DataFrame) -> DataFrame:
@@ -358,7 +385,7 @@ def repeated_strings(documents: DataFrame, id_column: str = "doc_id", with_text:
     copies = materialize(digests.join(first, "digest").where("id > first").select("id").distinct(), "copies")
     flags = merge_names(name_suffixes(named, buckets)).groupBy(F.col("doc").alias("id")).agg(F.collect_list("data").alias("flags"))
     flagged = flags.join(copies, "id", "left_anti")
-    spans = hit_spans(surround(named.join(flagged, "id"), buckets)).groupBy(F.col("doc").alias("id")).agg(F.collect_list("data").alias("spans"))
+    spans = hit_spans(surround(shrink(named).join(flagged, "id"), buckets)).groupBy(F.col("doc").alias("id")).agg(F.collect_list("data").alias("spans"))
     found = spans.withColumn("copy", F.lit(False)).unionByName(
         copies.select("id", F.array().cast("array<binary>").alias("spans"), F.lit(True).alias("copy"))
     )
@@ -366,7 +393,7 @@ def repeated_strings(documents: DataFrame, id_column: str = "doc_id", with_text:
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            data, offsets = text_views(batch.column("text"))
+            data, offsets = text_views(grown(batch.column("small")))
             rows, kept = [], []
             for k, (spans_, copy) in enumerate(zip(batch.column("spans").to_pylist(), batch.column("copy").to_pylist())):
                 text = data[offsets[k]:offsets[k + 1]]
@@ -390,4 +417,4 @@ def repeated_strings(documents: DataFrame, id_column: str = "doc_id", with_text:
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=names)
 
     schema = f"`{id_column}` long, {REMOVED}" + ", kept binary" * with_text
-    return source.join(found, "id", "left").select("id", "text", "spans", "copy").mapInArrow(run, schema)
+    return shrink(source).join(found, "id", "left").select("id", "small", "spans", "copy").mapInArrow(run, schema)
