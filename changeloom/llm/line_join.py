@@ -25,12 +25,12 @@ from changeloom.llm.components import components
 from changeloom.llm.worker import lower_table, mix, slices, space_words, span_hashes, stream, text_views, word_spans
 from changeloom.sources.shared import materialize
 
-TABLE_BITS, HASH_BITS, CLASS_BITS = 22, 36, 4
+TABLE_BITS, HASH_BITS, CLASS_BITS = 23, 36, 4
 TOP = (1 << CLASS_BITS) - 1
 FLUSH_ENTRIES = 1 << 20
 BUCKET_WORDS = 4_000_000
 BLOCK_WORDS, BLOCK_LINES = 24_000, 300
-ENTRY = np.dtype([("token", "<u8"), ("bits", "<u8"), ("set", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4")])
+ENTRY = np.dtype([("token", "<u8"), ("bits", "<u8"), ("more", "<u8"), ("set", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4"), ("lead", "?")])
 PACKED = "bucket int, data binary"
 
 
@@ -87,14 +87,18 @@ def prefixes(hashes: np.ndarray, lines: np.ndarray, classes: np.ndarray, percent
     begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
     size = np.diff(np.r_[begin, len(owner)])
     if len(begin) == 0:
-        return (np.empty(0, np.uint64),) + tuple(np.empty(0, np.int64) for _ in range(6))
+        return (np.empty(0, np.uint64),) + tuple(np.empty(0, np.int64) for _ in range(7))
     spread = mix(token)
     sets = mix(np.add.reduceat(spread, begin) + size.astype(np.uint64))
-    bits = np.bitwise_xor.reduceat(np.uint64(1) << (spread >> np.uint64(58)), begin)
+    # A bitmap of 128 parities in two halves.
+    bit, half = np.uint64(1) << (spread >> np.uint64(58)), (spread >> np.uint64(57)) & np.uint64(1)
+    bits = np.bitwise_xor.reduceat(bit * half, begin)
+    more = np.bitwise_xor.reduceat(bit * (np.uint64(1) - half), begin)
     ok = size >= least
     prefix = size - -(-percent * size // 100) + 1
     pos = np.arange(len(owner)) - np.repeat(begin, size)
-    taken = (pos < np.repeat(prefix, size)) & np.repeat(ok, size)
+    # A word which the whole corpus holds once is in no other line.
+    taken = (pos < np.repeat(prefix, size)) & np.repeat(ok, size) & (token >> np.uint64(HASH_BITS) > 1)
     at = np.flatnonzero(taken)
     row = np.repeat(np.arange(len(begin)), size)[at]
     hot = token[at] >> np.uint64(HASH_BITS) == TOP
@@ -105,7 +109,7 @@ def prefixes(hashes: np.ndarray, lines: np.ndarray, classes: np.ndarray, percent
         tokens.append(mix(token[i] * np.uint64(3) + partners * np.uint64(0x9E3779B97F4A7C15)))
         rows.append(np.full(len(partners), r))
         places.append(np.full(len(partners), pos[i]))
-    return np.concatenate(tokens), np.concatenate(rows), np.concatenate(places), owner[begin], size, bits, sets
+    return np.concatenate(tokens), np.concatenate(rows), np.concatenate(places), owner[begin], size, bits, more, sets
 
 
 def firsts(sets: np.ndarray, docs: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,14 +161,15 @@ def index_lines(documents: DataFrame, classes, percent: int, least: int, buckets
                 hashes, rows, lines = line_words(data, offsets)
                 numbers = np.cumsum(np.r_[0, (rows[1:] != rows[:-1]) | (lines[1:] != lines[:-1])]) if len(rows) else np.empty(0, np.int64)
                 start = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]]) if len(rows) else np.empty(0, np.int64)
-                tokens, row, pos, owner, size, bits, sets = prefixes(hashes, numbers, classes.value, percent, least)
+                tokens, row, pos, owner, size, bits, more, sets = prefixes(hashes, numbers, classes.value, percent, least)
                 if not len(tokens):
                     continue
                 table = np.zeros(len(owner), ENTRY)
                 table["doc"], table["line"] = ids[low:high][rows[start[owner]]], lines[start[owner]]
-                table["size"], table["bits"], table["set"] = size, bits, sets
+                table["size"], table["bits"], table["more"], table["set"] = size, bits, more, sets
                 entries = table[row]
                 entries["token"], entries["pos"] = tokens, pos
+                entries["lead"][np.unique(row, return_index=True)[1]] = True
                 long_enough = size >= least
                 number = np.cumsum(long_enough) - 1
                 held.append((entries, table[long_enough]))
@@ -206,7 +211,8 @@ def similar_runs(entries: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndar
         # Words from the shared one on, and those before it, which can match as well.
         reach = np.minimum(size[at] - entries["pos"][at], size[other] - entries["pos"][other])
         reach = reach + np.minimum(entries["pos"][at], entries["pos"][other])
-        apart = np.bitwise_count(entries["bits"][at] ^ entries["bits"][other])
+        apart = np.bitwise_count(entries["bits"][at] ^ entries["bits"][other]).astype(np.int64)
+        apart += np.bitwise_count(entries["more"][at] ^ entries["more"][other])
         good = (reach >= need) & (apart <= both - 2 * need) & (entries["set"][at] != entries["set"][other])
         left.append(at[good])
         right.append(other[good])
@@ -230,7 +236,7 @@ def match_entries(pieces: DataFrame, percent: int) -> DataFrame:
         entries = entries[np.lexsort((entries["line"], entries["doc"], entries["set"], entries["size"], entries["token"]))]
         same = np.r_[False, (entries["token"][1:] == entries["token"][:-1]) & (entries["set"][1:] == entries["set"][:-1])]
         head = np.flatnonzero(~same)[np.cumsum(~same) - 1]
-        gone = same & ((entries["doc"] != entries["doc"][head]) | (entries["line"] != entries["line"][head]))
+        gone = same & entries["lead"] & ((entries["doc"] != entries["doc"][head]) | (entries["line"] != entries["line"][head]))
         if gone.any():
             yield edge_batch(True, entries[gone], entries[head[gone]])
         entries = entries[~same]
@@ -356,7 +362,7 @@ def similar_lines(documents: DataFrame, percent: int = 80, least_words: int = 5,
     """
     spark = documents.sparkSession
     source = documents.selectExpr(f"cast(`{id_column}` as long) id", "cast(text as string) text").where("id is not null")
-    classes = spark.sparkContext.broadcast(count_words(source))  # 4 MB whatever the input
+    classes = spark.sparkContext.broadcast(count_words(source))  # 8 MB whatever the input
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, size // BUCKET_WORDS)
     pieces = index_lines(source, classes, percent, least_words, int(buckets))
