@@ -33,11 +33,12 @@ def raw_element(name: str) -> str:
 def html_tags(text: Column, names: list[str]) -> Column:
     """The named start tags, outside comments and outside raw script or style text.
 
-    One scan consumes comments, raw elements with their text and all other tags whole, so
-    nothing inside them is taken for a tag.
+    One scan consumes comments, raw elements with their text and the named tags whole, so
+    nothing inside them is taken for a tag. Other text is stepped over, also unfinished tags.
     """
-    scan = rf"(?is)({COMMENT}|{raw_element('script')}|{raw_element('style')}|</?[a-z]{BODY})"
-    wanted = rf"(?is)^<(?:{'|'.join(names)})\b"
+    named = rf"<(?:{'|'.join(names)})\b"
+    scan = rf"(?is)({COMMENT}|{raw_element('script')}|{raw_element('style')}|{named}{BODY})"
+    wanted = rf"(?is)^{named}"
     found = F.filter(F.regexp_extract_all(text, F.lit(scan), F.lit(1)), lambda p: p.rlike(wanted))
     return F.transform(found, lambda piece: F.regexp_extract(piece, f"(?is)^(<{BODY})", 1))
 

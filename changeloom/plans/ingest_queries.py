@@ -64,13 +64,14 @@ def parse_files(spark, sf_dir):
 
 
 @query("parse_hunks", "WITH " + O.LINES + O.HUNKS + """
-SELECT change_id, file_idx, hunk_idx, header, old_start, old_count, new_start, new_count FROM hunks""")
+SELECT change_id, file_idx, hunk_idx, header, CAST(old_start AS BIGINT) AS old_start, CAST(old_count AS BIGINT) AS old_count,
+       CAST(new_start AS BIGINT) AS new_start, CAST(new_count AS BIGINT) AS new_count FROM hunks""")
 def parse_hunks(spark, sf_dir):
     return P.parse_hunks(V.patch_text(spark, sf_dir))
 
 
 @query("parse_lines", "WITH " + O.LINES + """
-SELECT change_id, file_idx, hunk_idx, line_idx, t, old, new, text FROM lines""")
+SELECT change_id, file_idx, hunk_idx, line_idx, t, CAST(old AS BIGINT) AS old, CAST(new AS BIGINT) AS new, text FROM lines""")
 def parse_lines(spark, sf_dir):
     return P.parse_lines(V.patch_text(spark, sf_dir))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 # The forms of a unified diff.
 SECTION_MARK = "diff --git "
-NUMBER = r"([+-]?\d{1,9})"
+NUMBER = r"([+-]?\d+)"
 HUNK_HEADER = (
     rf"@@ -{NUMBER}(?:,{NUMBER})?[ \t]+\+?{NUMBER}(?:,{NUMBER})?(?:[ \t][^\n]*?)?? @@([^\n]*)"
 )
@@ -131,7 +131,7 @@ def parse_files(sections: DataFrame) -> DataFrame:
         F.when(mode == "new file mode", "added").when(mode == "deleted file mode", "deleted")
         .when(mode == "rename from", "renamed").otherwise("modified").alias("status"),
         section.rlike(r"(?md)^(?:Binary files |GIT binary patch$)").alias("binary"),
-        F.coalesce(last_match(section, r"^similarity index ([+-]?\d{1,9})%?$").cast("int"), F.lit(0))
+        F.coalesce(last_match(section, r"^similarity index ([+-]?\d+)%?$").try_cast("int"), F.lit(0))
         .alias("similarity"),
         section.rlike(r"(?md)^(?:old|new) mode ").alias("mode_changed"),
         (old_header.isNotNull() & new_header.isNotNull()).alias("header_ok"),
@@ -147,15 +147,15 @@ def hunk_pieces(sections: DataFrame) -> DataFrame:
         return F.regexp_extract("text", "^" + HUNK_HEADER, group)
 
     def count(group: int) -> Column:
-        return F.coalesce(F.nullif(part(group), F.lit("")).cast("int"), F.lit(1))
+        return F.coalesce(F.nullif(part(group), F.lit("")).try_cast("bigint"), F.lit(1))
 
     return pieces.where(F.col("text").rlike("^" + HUNK_HEADER)).select(
         "change_id", "file_idx",
         # Text before the first hunk is piece 0, unless the section starts with a hunk.
         (F.col("piece") - 1).alias("hunk_idx"),
         F.trim(part(5)).alias("header"),
-        part(1).cast("int").alias("old_start"), count(2).alias("old_count"),
-        part(3).cast("int").alias("new_start"), count(4).alias("new_count"),
+        part(1).try_cast("bigint").alias("old_start"), count(2).alias("old_count"),
+        part(3).try_cast("bigint").alias("new_start"), count(4).alias("new_count"),
         F.regexp_extract("text", r"(?s)^[^\n]*\n(.*)$", 1).alias("body"),
     )
 
@@ -190,8 +190,8 @@ def parse_lines(sections: DataFrame) -> DataFrame:
         .where("not closed")
         .select(
             "change_id", "file_idx", "hunk_idx", "line_idx", "t",
-            F.when(F.col("t") == "a", 0).otherwise(F.col("old_start") + F.col("n_old")).cast("int").alias("old"),
-            F.when(F.col("t") == "d", 0).otherwise(F.col("new_start") + F.col("n_new")).cast("int").alias("new"),
+            F.when(F.col("t") == "a", 0).otherwise(F.col("old_start") + F.col("n_old")).cast("bigint").alias("old"),
+            F.when(F.col("t") == "d", 0).otherwise(F.col("new_start") + F.col("n_new")).cast("bigint").alias("new"),
             F.substring(F.col("raw"), F.lit(2), F.length("raw")).alias("text"),
         )
     )

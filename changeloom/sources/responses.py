@@ -20,23 +20,48 @@ ANALYSIS_SCHEMA = f"title STRING, overview STRING, cohorts ARRAY<STRUCT<{COHORT_
 CORRUPT = "_corrupt"
 FENCE = "```"
 
-# A string literal whose closing quote is followed by JSON punctuation or the end; inner
-# quotes that are not followed by it belong to the text.
-END_OF_LITERAL = r"(?=\s*(?:[,}\]:]|\Z))"
-LITERAL = re.compile(rf'"((?:\\.|[^"\\]|"(?!\s*(?:[,}}\]:]|\Z)))*)"{END_OF_LITERAL}', re.S)
+# A quote closes a string literal if JSON punctuation or the end follows; other quotes inside
+# belong to the text.
+PART = re.compile(r'\\.|[^"\\]+|"', re.S)
+CLOSING = re.compile(r'"\s*(?:[,}\]:]|\Z)')
 INSIDE = re.compile(r'\\.|[\n\r\t"]', re.S)
 # What raw characters inside a string literal become.
 REPLACEMENTS = {"\n": "\\n", "\r": "", "\t": "\\t", '"': '\\"'}
 
 
-def repair_text(text: str) -> str:
-    """Escape raw control characters and inner quotes of string literals."""
+def literal_end(text: str, start: int, open_ended: set[int]) -> int | None:
+    """Place of the quote that closes the literal opened at ``start``.
+
+    ``open_ended`` holds inner quotes from which the rest of the text is known to have none, so
+    a text is walked through once however many quotes it has.
+    """
+    inner, at = [], start + 1
+    while part := PART.match(text, at):
+        if part.group() == '"':
+            if CLOSING.match(text, at):
+                return at
+            if at in open_ended:
+                break
+            inner.append(at)
+        at = part.end()
+    open_ended.update(inner)
+    return None
 
-    def literal(match: re.Match) -> str:
-        body = INSIDE.sub(lambda m: REPLACEMENTS.get(m.group(), m.group()), match.group(1))
-        return f'"{body}"'
 
-    return LITERAL.sub(literal, text)
+def repair_text(text: str) -> str:
+    """Escape raw control characters and inner quotes of string literals."""
+    pieces, at, open_ended = [], 0, set()
+    while (start := text.find('"', at)) >= 0:
+        pieces.append(text[at:start])
+        end = None if start in open_ended else literal_end(text, start, open_ended)
+        if end is None:
+            pieces.append('"')
+            at = start + 1
+            continue
+        body = INSIDE.sub(lambda m: REPLACEMENTS.get(m.group(), m.group()), text[start + 1:end])
+        pieces.append(f'"{body}"')
+        at = end + 1
+    return "".join(pieces) + text[at:]
 
 
 @F.pandas_udf(StringType())

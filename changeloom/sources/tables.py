@@ -144,13 +144,25 @@ def catalog_scan(
     """Union of open pull requests, branches ahead of their base and the newest commits.
 
     Inputs: (number, title, updated_at), (name, base, ahead, committed_at, subject) and
-    (hash, short_hash, committed_at, subject). ``sort_key`` orders a kind, newest first.
+    (hash, short_hash, committed_at, subject). ``sort_key`` orders a kind, newest first. The
+    limit counts per repository where the inputs have such a column, and it is kept.
     """
     limit = settings.list_limit
+
+    def first(frame: DataFrame, *order: Column) -> DataFrame:
+        if "repository" not in frame.columns:
+            return frame.orderBy(*order).limit(limit)
+        place = F.row_number().over(Window.partitionBy("repository").orderBy(*order))
+        return frame.withColumn("_place", place).where(F.col("_place") <= limit).drop("_place")
+
+    def keys(frame: DataFrame) -> list[str]:
+        return [c for c in frame.columns if c == "repository"]
+
     number = F.col("number").cast("string")
     prs = (
-        pull_requests.orderBy(F.desc("updated_at"), F.desc("number")).limit(limit)
+        first(pull_requests, F.desc("updated_at"), F.desc("number"))
         .select(
+            *keys(pull_requests),
             F.lit("pr").alias("kind"),
             F.concat(F.lit("#"), number, F.lit("  "), "title").alias("label"),
             F.concat_ws(" ", number, "title").alias("search"),
@@ -159,14 +171,16 @@ def catalog_scan(
     )
     short_base = F.regexp_replace("base", "^origin/", "")
     ahead = branches.where((F.col("ahead") > 0) & (F.col("name") != short_base)).select(
+        *keys(branches),
         F.lit("branch").alias("kind"),
         F.format_string("%s  (%d ahead)  %s", "name", "ahead", "subject").alias("label"),
         F.concat_ws(" ", "name", "subject").alias("search"),
         F.col("name").alias("ref"), F.col("committed_at").cast("long").alias("sort_key"),
     )
     newest = (
-        commits.orderBy(F.desc("committed_at"), F.desc("hash")).limit(limit)
+        first(commits, F.desc("committed_at"), F.desc("hash"))
         .select(
+            *keys(commits),
             F.lit("commit").alias("kind"),
             F.concat_ws("  ", "short_hash", "subject").alias("label"),
             F.concat_ws(" ", "hash", "short_hash", "subject").alias("search"),
