@@ -29,8 +29,9 @@ TABLE_BITS, HASH_BITS, CLASS_BITS = 23, 36, 4
 TOP = (1 << CLASS_BITS) - 1
 FLUSH_ENTRIES = 1 << 20
 BUCKET_WORDS = 4_000_000
-BLOCK_WORDS, BLOCK_LINES = 24_000, 300
-ENTRY = np.dtype([("token", "<u8"), ("bits", "<u8"), ("more", "<u8"), ("set", "<u8"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4"), ("lead", "?")])
+BLOCK_WORDS, BLOCK_LINES = 300_000, 3_000
+SHORT = 64  # words up to which a line's bitmap is folded to 64 parities
+ENTRY = np.dtype([("token", "<u8"), ("bits", "<u8"), ("more", "<u8"), ("set", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4"), ("lead", "?")])
 PACKED = "bucket int, data binary"
 
 
@@ -81,7 +82,9 @@ def prefixes(hashes: np.ndarray, lines: np.ndarray, classes: np.ndarray, percent
     key = (lines.astype(np.uint64) << np.uint64(HASH_BITS + CLASS_BITS)) | (
         classes[hashes >> np.uint64(64 - TABLE_BITS)].astype(np.uint64) << np.uint64(HASH_BITS)
     ) | (hashes & np.uint64((1 << HASH_BITS) - 1))
-    key = np.unique(key)
+    key = np.sort(key)
+    if len(key):
+        key = key[np.r_[True, key[1:] != key[:-1]]]
     owner = (key >> np.uint64(HASH_BITS + CLASS_BITS)).astype(np.int64)
     token = key & np.uint64((1 << HASH_BITS + CLASS_BITS) - 1)
     begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
@@ -89,11 +92,12 @@ def prefixes(hashes: np.ndarray, lines: np.ndarray, classes: np.ndarray, percent
     if len(begin) == 0:
         return (np.empty(0, np.uint64),) + tuple(np.empty(0, np.int64) for _ in range(7))
     spread = mix(token)
-    sets = mix(np.add.reduceat(spread, begin) + size.astype(np.uint64))
+    sets = (mix(np.add.reduceat(spread, begin) + size.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
     # A bitmap of 128 parities in two halves.
     bit, half = np.uint64(1) << (spread >> np.uint64(58)), (spread >> np.uint64(57)) & np.uint64(1)
     bits = np.bitwise_xor.reduceat(bit * half, begin)
     more = np.bitwise_xor.reduceat(bit * (np.uint64(1) - half), begin)
+    bits, more = np.where(size <= SHORT, bits ^ more, bits), np.where(size <= SHORT, np.uint64(0), more)
     ok = size >= least
     prefix = size - -(-percent * size // 100) + 1
     pos = np.arange(len(owner)) - np.repeat(begin, size)
@@ -112,6 +116,12 @@ def prefixes(hashes: np.ndarray, lines: np.ndarray, classes: np.ndarray, percent
     return np.concatenate(tokens), np.concatenate(rows), np.concatenate(places), owner[begin], size, bits, more, sets
 
 
+def identity(table: np.ndarray) -> np.ndarray:
+    """One value per word set, of its hash, its parities and its size."""
+    wide = mix(table["bits"] + table["more"] * np.uint64(0x9E3779B97F4A7C15))
+    return mix(wide + (table["set"].astype(np.uint64) << np.uint64(24)) + table["size"].astype(np.uint64))
+
+
 def firsts(sets: np.ndarray, docs: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which lines are the earliest of their set, and which follow an earlier one."""
     order = np.lexsort((lines, docs, sets))
@@ -133,7 +143,7 @@ def index_lines(documents: DataFrame, classes, percent: int, least: int, buckets
 
         def flush():
             entries, sets = np.concatenate([e for e, _ in held]), np.concatenate([s for _, s in held])
-            first, later = firsts(sets["set"], sets["doc"], sets["line"])
+            first, later = firsts(identity(sets), sets["doc"], sets["line"])
             entries = entries[first[entries_line(held)]]
             pieces = []
             spot = (mix(entries["token"]) % np.uint64(buckets)).astype(np.int64)
@@ -211,9 +221,11 @@ def similar_runs(entries: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndar
         # Words from the shared one on, and those before it, which can match as well.
         reach = np.minimum(size[at] - entries["pos"][at], size[other] - entries["pos"][other])
         reach = reach + np.minimum(entries["pos"][at], entries["pos"][other])
-        apart = np.bitwise_count(entries["bits"][at] ^ entries["bits"][other]).astype(np.int64)
-        apart += np.bitwise_count(entries["more"][at] ^ entries["more"][other])
-        good = (reach >= need) & (apart <= both - 2 * need) & (entries["set"][at] != entries["set"][other])
+        bits, more = entries["bits"], entries["more"]
+        fold = (size[at] <= SHORT) & (size[other] > SHORT)
+        apart = np.bitwise_count(bits[at] ^ bits[other] ^ np.where(fold, more[other], np.uint64(0))).astype(np.int64)
+        apart += np.where(fold, 0, np.bitwise_count(more[at] ^ more[other]))
+        good = (reach >= need) & (apart <= both - 2 * need)
         left.append(at[good])
         right.append(other[good])
         step += 1
@@ -233,8 +245,15 @@ def match_entries(pieces: DataFrame, percent: int) -> DataFrame:
     import zstandard
 
     def match(entries: np.ndarray):
-        entries = entries[np.lexsort((entries["line"], entries["doc"], entries["set"], entries["size"], entries["token"]))]
-        same = np.r_[False, (entries["token"][1:] == entries["token"][:-1]) & (entries["set"][1:] == entries["set"][:-1])]
+        entries = entries[np.argsort(entries["token"])]
+        same = entries["token"][1:] == entries["token"][:-1]
+        entries = entries[np.r_[False, same] | np.r_[same, False]]  # words that occur once more at least
+        if not len(entries):
+            return
+        sets = identity(entries)
+        order = np.lexsort((entries["line"], entries["doc"], sets, entries["size"], entries["token"]))
+        entries, sets = entries[order], sets[order]
+        same = np.r_[False, (entries["token"][1:] == entries["token"][:-1]) & (sets[1:] == sets[:-1])]
         head = np.flatnonzero(~same)[np.cumsum(~same) - 1]
         gone = same & entries["lead"] & ((entries["doc"] != entries["doc"][head]) | (entries["line"] != entries["line"][head]))
         if gone.any():
@@ -302,39 +321,42 @@ def wanted_lines(documents: DataFrame, places: DataFrame) -> DataFrame:
     return documents.join(listed, "id").select("id", "text", "wanted").mapInArrow(run, "group string, side int, doc long, line int, text binary")
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all sets of the two lists, by sums of products of 0 and 1."""
-    known, codes = np.unique(np.concatenate(left + right), return_inverse=True)
-    owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in left + right])
-    total = np.zeros((len(left), len(right)), np.float32)
-    for low in range(0, len(known), 4096):
-        pick = (codes >= low) & (codes < low + 4096)
-        table = np.zeros((len(left) + len(right), min(4096, len(known) - low)), np.float32)
-        table[owner[pick], codes[pick] - low] = 1
-        total += table[:len(left)] @ table[len(left):].T
-    return total.astype(np.int64)
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps of 512 parities; differing bits never exceed the differing words."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    spot = (mix(np.concatenate(sets)) & np.uint64(511)).astype(np.int64)
+    table = np.bincount(owner * 512 + spot, minlength=512 * len(sets)) & 1
+    return np.packbits(table.astype(np.uint8).reshape(len(sets), 512), axis=1).view(np.uint64)
 
 
 def confirm(lines: DataFrame, percent: int) -> DataFrame:
     """(doc, line) of lines with an earlier line of a Jaccard similarity of the threshold or more."""
 
     def judge(rows: list[tuple]):
-        sides = np.array([r[0] for r in rows])
-        left, right = np.flatnonzero(sides == sides.min()), np.flatnonzero(sides == sides.max())
+        rows = sorted(rows, key=lambda r: (r[1], r[2]))
+        side = np.array([r[0] for r in rows])
         sets = [r[3] for r in rows]
-        both = overlaps([sets[k] for k in left], [sets[k] for k in right])
-        size = np.array([len(s) for s in sets])
-        close = 100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)
-        refs = np.array([(r[1], r[2]) for r in rows], np.int64)
-        doc, line = refs[:, 0], refs[:, 1]
-        before = (doc[left][:, None] < doc[right][None, :]) | (
-            (doc[left][:, None] == doc[right][None, :]) & (line[left][:, None] < line[right][None, :])
-        )
-        after = (doc[left][:, None] > doc[right][None, :]) | (
-            (doc[left][:, None] == doc[right][None, :]) & (line[left][:, None] > line[right][None, :])
-        )
-        gone = np.unique(np.r_[right[(close & before).any(0)], left[(close & after).any(1)]])
-        return pa.RecordBatch.from_arrays([pa.array(doc[gone]), pa.array(line[gone].astype(np.int32))], names=["doc", "line"])
+        size, bits = np.array([len(x) for x in sets]), parities(sets)
+        inside, gone = side.min() == side.max(), []
+        for k in range(1, len(rows)):
+            # Earlier lines: of the other block, or of the block itself if the group has one only.
+            fits = (size[:k] * 100 >= percent * size[k]) & (size[k] * 100 >= percent * size[:k])
+            if not inside:
+                fits &= side[:k] != side[k]
+            at = np.flatnonzero(fits)
+            if not len(at):
+                continue
+            apart = np.bitwise_count(bits[at] ^ bits[k]).sum(1, dtype=np.int64)
+            both = size[at] + size[k]
+            near = apart <= both - 2 * -(-percent * both // (100 + percent))
+            at, apart = at[near], apart[near]
+            for j in at[np.argsort(apart, kind="stable")].tolist():  # the likeliest first
+                shared = len(np.intersect1d(sets[j], sets[k], assume_unique=True))
+                if 100 * shared >= percent * (size[j] + size[k] - shared):
+                    gone.append(k)
+                    break
+        found = [rows[k] for k in gone]
+        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in found], pa.int64()), pa.array([r[2] for r in found], pa.int32())], names=["doc", "line"])
 
     def run(batches: Iterator[pa.RecordBatch]):
         lower, word = lower_table(), space_words()
