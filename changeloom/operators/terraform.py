@@ -10,13 +10,12 @@ from changeloom.operators.windows import added_runs
 
 RUN = ["change_id", "file_idx", "hunk_idx", "run_idx"]
 
-# Block and reference forms.
-VARIABLE = r'^\s*variable\s+"([^"]+)"\s*\{'
-MODULE = r'^\s*module\s+"([^"]+)"\s*\{'
-LOCALS = r"^\s*locals\s*\{"
-RESOURCE = r'^\s*(resource|data)\s+"([^"]+)"\s+"([^"]+)"\s*\{'
-SOURCE = r'(?:^|[^A-Za-z0-9_-])source\s*=\s*"([^"]+)"'
-ASSIGNMENT = r"(?:^|[^A-Za-z0-9_-])([A-Za-z_][A-Za-z0-9_-]*+)[ \t]*+=(?!=)"
+# Block and reference forms. A block's form is the text between a line's start
+# and its opening brace.
+VARIABLE = r'^\s*variable\s+"([^"]+)"\s*$'
+MODULE = r'^\s*module\s+"([^"]+)"\s*$'
+LOCALS = r"^\s*locals\s*$"
+RESOURCE = r'^\s*(resource|data)\s+"([^"]+)"\s+"([^"]+)"\s*$'
 EDGE = r"(?:^|[^A-Za-z0-9_.-])"
 NAME = r"([A-Za-z_][A-Za-z0-9_-]*)"
 PLAIN_REFERENCES = (
@@ -27,19 +26,55 @@ PLAIN_REFERENCES = (
 TYPED_REFERENCE = rf"{EDGE}{NAME}\.{NAME}"
 DATA_REFERENCE = rf"{EDGE}data\.{NAME}\.{NAME}"
 KEYWORDS = ("var", "local", "module", "data")
-
-STRING = r'"(?:\\[^\n]|[^"\\\n])*+"?+'
-TEMPLATE = rf'(?<![$%])[$%]\{{((?:[^{{}}"\n]|"(?:\\[^\n]|[^"\\\n])*+"|\{{[^{{}}\n]*+\}})*+)\}}'
-STRING_WITH_TEMPLATES = (
-    r'"(?:\\[^\n]|[$%]\{(?:[^{}"\n]|"(?:\\[^\n]|[^"\\\n])*+"|\{[^{}\n]*+\})*+\}|[^"\\\n])*+"?+'
+ASSIGNMENT = r"([A-Za-z_][A-Za-z0-9_-]*+)[ \t]*+=(?!=)"
+
+STRING = r'"(?:\\[^\n]?+|[^"\\\n])*+"?+'
+WORD_WITH_VALUE = rf'([A-Za-z_][A-Za-z0-9_-]*+)(?:\s*+=\s*+"([^"\n]++)")?+|{STRING}'
+COMMENT = r"(?:#|//)[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/|\z)"
+# Group 1 is the closing word, group 2 the body. The start must end its line.
+HEREDOC = (
+    r"<<-?+[ \t]*+([A-Za-z_][A-Za-z0-9_]*+)(?:[ \t]++|(?:#|//)[^\n]*+|/\*(?:[^*\n]|\*(?!/))*+\*/)*+(?=\n)"
+    r"((?s:(?!\n[ \t]*+\1[ \t\r]*+(?:\n|\z)).)*+)(?:\n[ \t]*+\1[ \t\r]*+(?=\n|\z))?+"
 )
-COMMENTS = rf"(?s)({STRING})|#[^\n]*+|//[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/|\z)"
-HEREDOC = r"(?s)<<-?\s*([A-Za-z_][A-Za-z0-9_]*)[ \t]*\n(.*?)(?:\n[ \t]*\1[ \t]*(?=\n|\z)|\z)"
-NESTED = rf"({STRING})|\{{[^{{}}\"]*+\}}"
+PIECES = rf'{STRING}|{HEREDOC}|{COMMENT}|[^"<#/]++|[<#/]'
+BLOCKS = rf'(?:{STRING}|[^{{}}"\n])++|[{{}}\n]'
+TEMPLATE_LEVELS = 3
+
+
+def template(level: int, stop: str, group: str = "(") -> str:
+    """Pattern of a template with ``level`` levels of strings with templates inside.
+
+    Its code is group 1, or no group with ``group`` "(?:". ``stop`` ends an unfinished
+    template, as the text's end does.
+    """
+    inner = string_with_templates(level - 1, stop) if level else quoted("", stop)
+    part = rf'[^{{}}"{stop}]|{inner}'
+    braces = rf"\{{(?:{part}|\{{(?:{part})*+\}}?+)*+\}}?+"
+    return rf"(?:(?<!\$)\$\{{|(?<!%)%\{{){group}(?:{part}|{braces})*+)\}}?+"
+
+
+def string_with_templates(level: int, stop: str) -> str:
+    """Pattern of a string that may hold templates, without groups."""
+    return quoted(rf"\$\$\{{|%%\{{|{template(level, stop, '(?:')}|", stop)
+
 
+def quoted(parts: str, stop: str) -> str:
+    escaped = rf"\\[^{stop}]?+" if stop else r"\\(?s:.)?+"
+    return rf'"(?:{escaped}|{parts}[^"\\{stop}])*+"?+'
 
-def code_lines(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """Terraform lines without comments and heredoc texts, per run, with their brace depth."""
+
+def every(column, pattern: str, group: int = 1) -> Column:
+    return F.coalesce(
+        F.regexp_extract_all(column, F.lit(pattern), F.lit(group)), F.array().cast("array<string>")
+    )
+
+
+def code_runs(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """Terraform runs: ``code`` without comments and heredocs, and the ``heredocs`` texts.
+
+    One ordered alternation decides whether a comment, a string or a heredoc starts first.
+    Comments keep their line breaks, so the line that follows one still starts a line.
+    """
     terraform = files.where(classify_language(F.col("path")) == "terraform").select(
         "change_id", "file_idx", directory(normalize_path(F.col("path"))).alias("dir")
     )
@@ -47,45 +82,67 @@ def code_lines(files: DataFrame, lines: DataFrame) -> DataFrame:
     text = runs.groupBy(*RUN, "dir").agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("line_idx", "text")))["text"], "\n").alias("run")
     )
-    bodies = F.array_join(F.regexp_extract_all("run", F.lit(HEREDOC), F.lit(2)), "\n")
-    clean = F.regexp_replace(F.regexp_replace("run", HEREDOC, ""), COMMENTS, "$1")
-    # A heredoc's templates become one more line of plain references at the end.
-    templates = F.array_join(F.regexp_extract_all(bodies, F.lit(TEMPLATE), F.lit(1)), " ; ")
-    rows = text.select(
-        *RUN, "dir",
-        F.posexplode(F.concat(F.split(clean, "\n"), F.array(templates))).alias("at", "line"),
+    pieces = text.withColumn("pieces", every("run", PIECES, 0))
+
+    def cleaned(piece: Column) -> Column:
+        heredoc = piece.startswith("<<")
+        comment = piece.startswith("#") & (piece != "#") | piece.startswith("//") | piece.startswith("/*")
+        return F.when(heredoc | (piece == "#"), " ").when(comment, F.regexp_replace(piece, r"[^\n]++", " ")).otherwise(piece)
+
+    return pieces.select(
+        *RUN, "dir", F.array_join(F.transform("pieces", cleaned), "").alias("code"),
+        F.array_join(
+            F.transform(F.filter("pieces", lambda p: p.startswith("<<")), lambda p: F.regexp_extract(p, HEREDOC, 2)), "\n"
+        ).alias("heredocs"),
     )
-    structure = F.regexp_replace("line", STRING, " ")
-    rows = rows.withColumn("structure", structure)
 
-    def count(char: str) -> Column:
-        return F.length("structure") - F.length(F.replace(F.col("structure"), F.lit(char), F.lit("")))
 
-    order = Window.partitionBy(*RUN).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("change", count("{") - count("}"))
-    rows = rows.withColumn("after", F.sum("change").over(order))
-    return rows.withColumn("before", F.col("after") - F.col("change")).drop("change")
+def outside_strings(text: Column) -> Column:
+    """Code outside strings, and the code of templates of any string, three levels deep."""
+    plain = F.regexp_replace(text, string_with_templates(TEMPLATE_LEVELS - 1, r"\n"), " ")
+    return F.concat_ws("\n", plain, *template_code(text, r"\n"))
+
+
+def template_code(text: Column, stop: str) -> list[Column]:
+    """Code of the templates in a text, of the templates in their strings, and so on."""
+    found = []
+    for level in reversed(range(TEMPLATE_LEVELS)):
+        text = F.array_join(every(text, template(level, stop)), "\n")
+        code = F.regexp_replace(text, string_with_templates(level, stop), " ")
+        found.append(F.regexp_replace(code, COMMENT, " "))
+    return found
+
+
+def blocks(runs: DataFrame) -> DataFrame:
+    """Texts between braces and line ends, with the brace ``depth`` at each.
+
+    ``head`` tells that a text starts a line and opens a brace. All windows share the run's
+    partitioning.
+    """
+    rows = runs.select(*RUN, "dir", F.posexplode(every("code", BLOCKS, 0)).alias("at", "piece"))
+    order = Window.partitionBy(*RUN).orderBy("at")
+    step = F.when(F.col("piece") == "{", 1).when(F.col("piece") == "}", -1).otherwise(0)
+    before = F.lag("piece").over(order)
+    return rows.withColumn("head", (before.isNull() | (before == "\n")) & (F.lead("piece").over(order) == "{")).withColumn(
+        "depth", F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    )
 
 
-def block_content(rows: DataFrame, opening: str, name: str) -> DataFrame:
-    """Add ``name``: a line's text directly inside a block of that kind, else null.
+def inside_block(rows: DataFrame, opening: str, name: str) -> DataFrame:
+    """Add ``name``: whether a text stands directly inside a block of that kind.
 
-    A block ends with the first line after which the depth is below its inner depth. All
-    windows share the run's partitioning.
+    A block ends with the first line after which the depth is below its inner depth.
     """
-    opens = F.col("line").rlike(opening)
+    opens = F.col("head") & F.col("piece").rlike(opening)
     order = Window.partitionBy(*RUN).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_opens", opens).withColumn("_block", F.sum(opens.cast("int")).over(order))
     block = Window.partitionBy(*RUN, "_block").orderBy("at")
-    rows = rows.withColumn("_inner", F.first(F.col("before") + 1).over(block)).withColumn(
-        "_lowest", F.min("after").over(block.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_block", F.sum(opens.cast("int")).over(order)).withColumn(
+        "_inner", F.first(F.col("depth") + 1).over(block)
+    ).withColumn(
+        "_lowest", F.min(F.when(F.col("piece") == "\n", F.col("depth"))).over(block.rowsBetween(Window.unboundedPreceding, -1))
     )
-    inside = (F.col("_block") > 0) & (F.col("_lowest").isNull() | (F.col("_lowest") >= F.col("_inner")))
-    content = F.when(F.col("_opens"), F.regexp_replace("line", opening, "")).when(
-        F.col("before") == F.col("_inner"), F.col("line")
-    )
-    flat = F.regexp_replace(F.regexp_replace(content, NESTED, "$1"), NESTED, "$1")
-    return rows.withColumn(name, F.when(inside, flat)).drop("_opens", "_block", "_inner", "_lowest")
+    open_still = (F.col("_block") > 0) & (F.col("_lowest").isNull() | (F.col("_lowest") >= F.col("_inner")))
+    return rows.withColumn(name, open_still & (F.col("depth") == F.col("_inner"))).drop("_block", "_inner", "_lowest")
 
 
 def fact(role: str, kind: Column, type_name: Column, name: Column) -> Column:
@@ -94,23 +151,34 @@ def fact(role: str, kind: Column, type_name: Column, name: Column) -> Column:
     )
 
 
-def every(column: str, pattern: str, group: int = 1) -> Column:
-    return F.coalesce(
-        F.regexp_extract_all(column, F.lit(pattern), F.lit(group)), F.array().cast("array<string>")
-    )
+def names(role: str, kind: str, found: Column) -> Column:
+    return F.transform(found, lambda name: fact(role, F.lit(kind), F.lit(""), name))
 
 
-def line_facts() -> Column:
-    """All facts of one prepared line, as one array."""
-    none = F.lit("")
+def definitions() -> Column:
+    """Definitions and module sources of one text between braces."""
+    piece = F.col("piece")
 
-    def one(role: str, kind: Column, pattern: str, group: int, type_group: int = 0) -> Column:
-        type_name = F.regexp_extract("line", pattern, type_group) if type_group else none
-        return F.array(fact(role, kind, type_name, F.regexp_extract("line", pattern, group)))
+    def head(kind: Column, pattern: str, group: int, type_group: int = 0) -> Column:
+        type_name = F.regexp_extract(piece, pattern, type_group) if type_group else F.lit("")
+        name = F.when(F.col("head"), F.regexp_extract(piece, pattern, group)).otherwise("")
+        return F.array(fact("define", kind, type_name, name))
+
+    def when(condition: str, found: Column) -> Column:
+        return F.when(F.col(condition), found).otherwise(F.array().cast("array<string>"))
+
+    words = F.arrays_zip(every(piece, WORD_WITH_VALUE, 1).alias("word"), every(piece, WORD_WITH_VALUE, 2).alias("value"))
+    sources = F.transform(F.filter(words, lambda w: w["word"] == "source"), lambda w: w["value"])
+    return F.concat(
+        head(F.lit("variable"), VARIABLE, 1), head(F.lit("module"), MODULE, 1),
+        head(F.regexp_extract(piece, RESOURCE, 1), RESOURCE, 3, 2),
+        names("define", "local", when("in_locals", every(F.regexp_replace(piece, STRING, " "), ASSIGNMENT))),
+        names("source", "module", when("in_module", sources)),
+    )
 
-    def names(role: str, kind: str, found: Column) -> Column:
-        return F.transform(found, lambda name: fact(role, F.lit(kind), none, name))
 
+def references() -> Column:
+    """References in the column ``text``."""
     def pairs(kind: str, pattern: str) -> Column:
         return F.zip_with(
             every("text", pattern, 1), every("text", pattern, 2),
@@ -119,14 +187,8 @@ def line_facts() -> Column:
 
     resources = F.filter(pairs("resource", TYPED_REFERENCE), lambda f: ~f["type_name"].isin(*KEYWORDS))
     return F.concat(
-        one("define", F.lit("variable"), VARIABLE, 1),
-        one("define", F.lit("module"), MODULE, 1),
-        one("define", F.regexp_extract("line", RESOURCE, 1), RESOURCE, 3, 2),
-        names("define", "local", every("locals", ASSIGNMENT)),
-        names("source", "module", every("module", SOURCE)),
         *[names("refer", kind, every("text", pattern)) for kind, pattern in PLAIN_REFERENCES],
-        pairs("data", DATA_REFERENCE),
-        resources,
+        pairs("data", DATA_REFERENCE), resources,
     )
 
 
@@ -134,16 +196,16 @@ def tf_facts(files: DataFrame, lines: DataFrame) -> DataFrame:
     """Distinct (change_id, file_idx, dir, role, kind, type_name, name).
 
     Roles are ``define``, ``refer`` and ``source``; type_name is '' where there is none.
+    References count outside strings and inside the templates of strings and heredocs.
     """
-    rows = block_content(code_lines(files, lines), LOCALS, "locals")
-    rows = block_content(rows, MODULE, "module")
-    # References count outside strings, and inside their templates with nested strings masked.
-    plain = F.regexp_replace("line", STRING_WITH_TEMPLATES, " ")
-    templates = F.regexp_replace(F.array_join(every("line", TEMPLATE), " ; "), STRING, " ")
+    runs = code_runs(files, lines)
+    rows = inside_block(inside_block(blocks(runs), LOCALS, "in_locals"), MODULE, "in_module")
+    # In a heredoc a template may reach over several lines.
+    text = F.concat_ws("\n", outside_strings(F.col("code")), *template_code(F.col("heredocs"), ""))
+    key = ["change_id", "file_idx", "dir"]
     return (
-        rows.withColumn("text", F.concat_ws(" ; ", plain, templates))
-        .withColumn("locals", F.regexp_replace("locals", STRING, " "))
-        .select("change_id", "file_idx", "dir", F.inline(line_facts()))
+        rows.select(*key, F.inline(definitions()))
+        .unionByName(runs.withColumn("text", text).select(*key, F.inline(references())))
         .where("name <> ''").distinct()
     )
 

@@ -36,7 +36,7 @@ IMPORT_LINE = """CASE
   WHEN l = 'html' THEN '<!-- <img src="no.png"> --><a href="z"><img alt="q>" src="' || up || tp || '">'
   WHEN l = 'css' AND m % 2 = 0 THEN '@import "' || up || tp || '";'
   WHEN l = 'css' THEN '.a { background: url(' || up || tp || ') } /* url(no.png) */'
-  WHEN l = 'terraform' AND m = 1 THEN 'module "m' || i || '_' || j || '" {' || chr(10) || '  source = "./"' || chr(10) || '}'
+  WHEN l = 'terraform' AND m = 1 THEN 'module "m' || i || '_' || j || '" {' || chr(10) || '  z = { source = "./no" }' || chr(10) || '  source = "./"' || chr(10) || '}'
   WHEN l = 'terraform' AND m = 3 THEN 'z = aws_thing.r_' || dj || '.id # var.no'
   WHEN l = 'terraform' THEN 'x = var.v_' || dj
   ELSE 'see ' || tp END"""
@@ -47,8 +47,9 @@ DEFINE_LINE = """CASE
   WHEN l = 'python' THEN 'def sym_' || doc_id || '():'
   WHEN l = 'java' THEN 'public class sym_' || doc_id || ' {'
   WHEN l = 'kotlin' THEN 'fun sym_' || doc_id || '() = 1'
-  WHEN l = 'terraform' THEN 'variable "v_' || doc_id || '" {}' || chr(10) || 'resource "aws_thing" "r_' || doc_id || '" {}'
-    || chr(10) || 'locals {' || chr(10) || '  l_' || doc_id || ' = 1' || chr(10) || '}'
+  WHEN l = 'terraform' THEN '# see <<EOT' || chr(10) || 'variable "v_' || doc_id || '" {}' || chr(10) || '/* two' || chr(10) || 'lines */' || chr(10) || 'resource "aws_thing" "r_' || doc_id || '" {}'
+    || chr(10) || 'locals {' || chr(10) || '  l_' || doc_id || ' = 1' || chr(10) || '  b_' || doc_id || ' = { c = "x" }' || chr(10) || '}'
+    || chr(10) || 'n = "${f("p-${var.v_' || doc_id || '}")} $${var.no}"' || chr(10) || 'h = [<<EOT' || chr(10) || 'aws_thing.no' || chr(10) || '${local.l_' || doc_id || '}' || chr(10) || 'EOT' || chr(10) || ']'
   ELSE 'text of ' || path END"""
 
 SHARED_LINE = """CASE

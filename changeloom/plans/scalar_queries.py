@@ -220,6 +220,9 @@ def identifier_tokens(spark, sf_dir):
 SELECT change_id, file_idx, dir, 'define' AS role, 'variable' AS kind, '' AS type_name, 'v_' || doc_id AS name FROM t
 UNION SELECT change_id, file_idx, dir, 'define', 'resource', 'aws_thing', 'r_' || doc_id FROM t
 UNION SELECT change_id, file_idx, dir, 'define', 'local', '', 'l_' || doc_id FROM t
+UNION SELECT change_id, file_idx, dir, 'define', 'local', '', 'b_' || doc_id FROM t
+UNION SELECT change_id, file_idx, dir, 'refer', 'variable', '', 'v_' || doc_id FROM t
+UNION SELECT change_id, file_idx, dir, 'refer', 'local', '', 'l_' || doc_id FROM t
 UNION SELECT change_id, i, sd, 'define', 'module', '', 'm' || i || '_' || j FROM u WHERE m = 1
 UNION SELECT change_id, i, sd, 'source', 'module', '', './' FROM u WHERE m = 1
 UNION SELECT change_id, i, sd, 'refer', 'resource', 'aws_thing', 'r_' || dj FROM u WHERE m = 3

@@ -76,6 +76,34 @@ def test_terraform_facts(spark):
     }
 
 
+MASKED = [
+    ('# see <<EOF\nvariable "abcd" {}\nx = var.other', {("define", "variable", "", "abcd"), ("refer", "variable", "", "other")}),
+    ('x = "<<EOF"\nvariable "abcd" {}', {("define", "variable", "", "abcd")}),
+    ('module "m" {\n  z = { source = "./no" }\n  source = "./yes"\n}', {("define", "module", "", "m"), ("source", "module", "", "./yes")}),
+    ('module "m" { z = { source = "./no" }; source = "far/away" }', {("define", "module", "", "m"), ("source", "module", "", "far/away")}),
+    ('module "m" {\n  note = "source = "\n}', {("define", "module", "", "m")}),
+    ('locals { a = "app" b = { c = "x" } }\ny = local.c', {("define", "local", "", "a"), ("define", "local", "", "b"), ("refer", "local", "", "c")}),
+    ('locals { on = var.flag == local.other }', {("define", "local", "", "on"), ("refer", "variable", "", "flag"), ("refer", "local", "", "other")}),
+    ('/* two\nlines */\nvariable "mmmm" {}\nx = 1 /* a\n*/ variable "also" {\n}', {("define", "variable", "", "mmmm"), ("define", "variable", "", "also")}),
+    ('v = "${f("${var.deep}")}"', {("refer", "variable", "", "deep")}),
+    ('v = "${f("p-${g("q-${var.deeper}")}")} $${var.no} ${join("}", var.parts)}"', {("refer", "variable", "", "deeper"), ("refer", "variable", "", "parts")}),
+    ('v = "${ /* a.b.c */ var.real }"', {("refer", "variable", "", "real")}),
+    ('v = [<<EOT\na.b.id\n$${a.b.id}\n%{ if var.on }yes%{ endif }\n%%{ if var.off }\n${join("}",\n var.parts)}\nEOT\n]\nw = var.next',
+     {("refer", "variable", "", "on"), ("refer", "variable", "", "parts"), ("refer", "variable", "", "next")}),
+    ('v = <<-EOT # note\n  variable "no" {\n  EOT\nvariable "yes" {}', {("define", "variable", "", "yes")}),
+    ('v = [var.a,var.b]', {("refer", "variable", "", "a"), ("refer", "variable", "", "b")}),
+    ('v = "a.b" # c.d\nw = "${format("e.f")}" // g.h', set()),
+]
+
+
+def test_terraform_masking(spark):
+    files, lines = frames(spark, {f"s{k}/main.tf": text for k, (text, _) in enumerate(MASKED)})
+    got = {}
+    for r in TR.tf_facts(files, lines).collect():
+        got.setdefault(r.dir, set()).add((r.role, r.kind, r.type_name, r.name))
+    assert [got.get(f"s{k}", set()) for k in range(len(MASKED))] == [expected for _, expected in MASKED]
+
+
 def edges(spark, sources):
     files, lines = frames(spark, sources)
     paths = list(sources)
