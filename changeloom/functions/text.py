@@ -44,15 +44,16 @@ def utf8_truncate(text: Column, limit: Column) -> Column:
     return F.when(F.octet_length(text) <= limit, text).when(limit == 0, "").otherwise(short)
 
 
-def ellipsis_field(label: str, text: Column, limit: Column) -> Column:
+def ellipsis_field(label: Column | str, text: Column, limit: Column) -> Column:
     """``label`` + text on one line within ``limit`` bytes, ended by '...' when cut."""
+    label = F.lit(label) if isinstance(label, str) else label
     flat = F.translate(text, "\r\n", "  ")
-    room = limit - len(label.encode())
+    room = limit - F.octet_length(label)
     tail = F.when(room < 4, utf8_truncate(flat, room)).otherwise(
         F.concat(utf8_truncate(flat, room - 3), F.lit("..."))
     )
     body = F.when(F.octet_length(flat) <= room, flat).otherwise(tail)
-    return F.when(room <= 0, "").otherwise(F.concat(F.lit(label), body))
+    return F.when(room <= 0, "").otherwise(F.concat(label, body))
 
 
 def ellipsis_block(text: Column, limit: Column) -> Column:

@@ -131,6 +131,22 @@ def test_fair_share_keeps_every_cohort_within_budget(spark):
     assert "f=11" in text and "n=lange" in text
 
 
+def test_fair_share_spends_left_over_bytes_in_order(spark):
+    """Texts written by hand."""
+    changes = spark.createDataFrame([("c", "T", None)], "change_id string, title string, description string")
+    rows = [("c", 0, "api", "abcdef", "", "", None, 1), ("c", 1, "api", "ü" * 90, "new\nline", "why", [], 2)]
+    told = spark.createDataFrame(rows, "change_id string, cohort_idx int, layer string, title string, narrative string, intent string, review_notes array<string>, files int")
+    head = 'CHANGE_TITLE_JSON: "T"\nDESCRIPTION_JSON: ""\nCOHORTS: 2\n'
+    first = "COHORT[0] l=api t=abcd title=abcdef f=1\n"
+    whole = head + first + "COHORT[1] l=api t=üü title=" + "ü" * 55 + "... n=new line i=why f=2\n"
+    assert P.fair_share(changes, told, 3000).first().text == whole
+    # Nine bytes left over: four for the first cohort, too few for "title=", then all for the second.
+    compact = "COHORT[0] l=api t=abcd\n", "COHORT[1] l=api t=üü\n"
+    budget = len((head + "".join(compact)).encode()) + 9
+    assert P.fair_share(changes, told, budget, P.Settings(digest_max_chars=budget)).first().text == head + compact[0] + "COHORT[1] l=api t=üü title=ü\n"
+    assert P.fair_share(changes, told, 12).first().text == "COHORT[0] l="
+
+
 def test_preview_budget_passes_over_what_does_not_fit(spark):
     from changeloom.settings import Settings
 
