@@ -13,12 +13,12 @@ from changeloom.plans import views as V
 from changeloom.plans.registry import query
 from changeloom.plans.relation_queries import COHORTS3, WEIGHTS_SQL, planned, summaries
 from changeloom.plans.scalar_queries import DIFF_SQL, NOTE_SQL, cut_sql, diffs
-from changeloom.settings import Settings
+from changeloom.settings import CUT_NOTE, DEFAULTS, Settings
 from changeloom.sources.shared import new_path
 
 KEY = ["change_id", "file_idx"]
 SMALL = Settings(summary_batch_max_files=6, max_preview_bytes=9000, max_total_preview_bytes=30_000)
-BATCH_BUDGET = 6000
+BATCH_BUDGET = DEFAULTS.stage_budget
 
 # Strongly connected means: each reaches the other.
 REACH_SQL = """,
@@ -88,15 +88,15 @@ def flow_depth(spark, sf_dir):
 
 
 PACK_SQL = f"""{DIFF_SQL},
-sized AS (SELECT change_id, file_idx, path, strlen(header) AS h, least(strlen(diff), 900) AS d, row_number() OVER (PARTITION BY change_id ORDER BY path, file_idx) AS k FROM diffs),
+sized AS (SELECT change_id, file_idx, path, strlen(header) AS h, least(strlen(diff), {DEFAULTS.file_diff_cap}) AS d, row_number() OVER (PARTITION BY change_id ORDER BY path, file_idx) AS k FROM diffs),
 packed AS (
   SELECT change_id, file_idx, k, 0 AS batch_idx, 0 AS pos, least(d, greatest({BATCH_BUDGET} - h, 0)) AS diff_limit, h + least(d, greatest({BATCH_BUDGET} - h, 0)) AS used FROM sized WHERE k = 1
   UNION ALL
   SELECT s.change_id, s.file_idx, s.k,
-    CASE WHEN p.pos = 5 OR p.used + s.h + s.d > {BATCH_BUDGET} THEN p.batch_idx + 1 ELSE p.batch_idx END,
-    CASE WHEN p.pos = 5 OR p.used + s.h + s.d > {BATCH_BUDGET} THEN 0 ELSE p.pos + 1 END,
-    CASE WHEN p.pos = 5 OR p.used + s.h + s.d > {BATCH_BUDGET} THEN least(s.d, greatest({BATCH_BUDGET} - s.h, 0)) ELSE s.d END,
-    CASE WHEN p.pos = 5 OR p.used + s.h + s.d > {BATCH_BUDGET} THEN s.h + least(s.d, greatest({BATCH_BUDGET} - s.h, 0)) ELSE p.used + s.h + s.d END
+    CASE WHEN p.pos = {DEFAULTS.summary_batch_max_files - 1} OR p.used + s.h + s.d > {BATCH_BUDGET} THEN p.batch_idx + 1 ELSE p.batch_idx END,
+    CASE WHEN p.pos = {DEFAULTS.summary_batch_max_files - 1} OR p.used + s.h + s.d > {BATCH_BUDGET} THEN 0 ELSE p.pos + 1 END,
+    CASE WHEN p.pos = {DEFAULTS.summary_batch_max_files - 1} OR p.used + s.h + s.d > {BATCH_BUDGET} THEN least(s.d, greatest({BATCH_BUDGET} - s.h, 0)) ELSE s.d END,
+    CASE WHEN p.pos = {DEFAULTS.summary_batch_max_files - 1} OR p.used + s.h + s.d > {BATCH_BUDGET} THEN s.h + least(s.d, greatest({BATCH_BUDGET} - s.h, 0)) ELSE p.used + s.h + s.d END
   FROM packed p JOIN sized s ON s.change_id = p.change_id AND s.k = p.k + 1)"""
 
 
@@ -106,8 +106,7 @@ def batches(spark, sf_dir):
     body = A.diff_bytes(lines, V.hunks(lines))
     size = F.when(F.col("binary"), len(A.BINARY_TEXT)).otherwise(F.coalesce("diff_bytes", F.lit(0)))
     sizes = files.join(body, KEY, "left").select(*KEY, size.alias("diff_bytes"))
-    limits = Settings(file_diff_cap=900)
-    return P.pack_batches(P.sized_files(files, sizes, limits), BATCH_BUDGET, 6)
+    return P.pack_batches(P.sized_files(files, sizes), BATCH_BUDGET)
 
 
 @query("pack_batches", f"""WITH RECURSIVE {PACK_SQL}
@@ -122,7 +121,7 @@ def frame_sql(text: str) -> str:
 
 
 @query("prompt_batch", f"""WITH RECURSIVE {PACK_SQL},
-parts AS (SELECT p.change_id, batch_idx, pos, header || CASE WHEN strlen(diff) <= diff_limit THEN diff ELSE {cut_sql('diff', 883)} || {NOTE_SQL} END AS part
+parts AS (SELECT p.change_id, batch_idx, pos, header || CASE WHEN strlen(diff) <= diff_limit THEN diff ELSE {cut_sql('diff', DEFAULTS.file_diff_cap - len(CUT_NOTE))} || {NOTE_SQL} END AS part
   FROM packed p JOIN diffs USING (change_id, file_idx))
 SELECT change_id, batch_idx, sha256({frame_sql("string_agg(part, '' ORDER BY pos)")}) AS digest FROM parts GROUP BY change_id, batch_idx""")
 def prompt_batch(spark, sf_dir):
@@ -140,14 +139,14 @@ def changes(spark, sf_dir):
 
 @query("prompt_single", f"""WITH {DIFF_SQL},
 shares AS (SELECT change_id, count(*) AS n, min(doc_id) AS first_doc FROM diffs GROUP BY change_id),
-parts AS (SELECT change_id, file_idx, header || CASE WHEN strlen(diff) > 150 THEN {cut_sql('diff', 150)} || {NOTE_SQL} ELSE diff END AS part FROM diffs),
+parts AS (SELECT change_id, file_idx, header || CASE WHEN strlen(diff) > {DEFAULTS.file_diff_cap} THEN {cut_sql('diff', DEFAULTS.file_diff_cap)} || {NOTE_SQL} ELSE diff END AS part FROM diffs),
 joined AS (SELECT change_id, string_agg(part, '' ORDER BY file_idx) AS body FROM parts GROUP BY change_id)
 SELECT change_id, sha256({frame_sql("'CHANGE_TITLE_JSON: ' || '\"Change \\\"' || change_id || '\\\"\"' || chr(10) || 'DESCRIPTION_JSON: \"starts at ' || first_doc || '\"' || chr(10) || 'FILES_CHANGED: ' || n || chr(10) || body")}) AS digest
 FROM shares JOIN joined USING (change_id)""")
 def prompt_single(spark, sf_dir):
     lines = V.lines(spark, sf_dir)
     texts = P.prompt_single(
-        changes(spark, sf_dir), V.files(spark, sf_dir), lines, V.hunks(lines), 10_000_000, Settings(file_diff_cap=150)
+        changes(spark, sf_dir), V.files(spark, sf_dir), lines, V.hunks(lines), 20_000_000
     )
     return texts.select("change_id", F.sha2("prompt", 256).alias("digest"))
 
@@ -246,7 +245,7 @@ def analyses(spark, sf_dir):
 
 @query("assemble_analysis", f"""WITH {DEPS_SQL},
 members AS (SELECT change_id, cohort_idx, any_value(title) AS title, any_value(layer) AS layer, string_agg(file_idx, ',' ORDER BY pos) AS files,
-   sha256(string_agg(string_split(text, chr(10))[1], '|' ORDER BY pos)) AS summaries FROM cohorts JOIN docs USING (change_id, file_idx) GROUP BY change_id, cohort_idx),
+   sha256(string_agg(text, '|' ORDER BY pos)) AS summaries FROM cohorts JOIN docs USING (change_id, file_idx) GROUP BY change_id, cohort_idx),
 below AS (SELECT change_id, dependent AS cohort_idx, string_agg(dependency, ',' ORDER BY weight DESC, dependency) AS depends_on FROM (
    SELECT * FROM weights WHERE dependency < dependent QUALIFY row_number() OVER (PARTITION BY change_id, dependent ORDER BY weight DESC, dependency) <= 3) GROUP BY ALL)
 SELECT change_id, cohort_idx, title, layer, files, summaries, coalesce(depends_on, '') AS depends_on,

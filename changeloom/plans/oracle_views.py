@@ -100,7 +100,7 @@ answers0 AS (
               ELSE replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n') END ||
          '", "layerHint": "' || ['schema','backend','api','ui','tests','docs','misc'][(conv_id + turn) % 7 + 1] ||
          '", "keySymbols": ["sym_' || conv_id || '"]}' AS body
-  FROM conversations WHERE role = 'assistant'),
+  FROM conversations),
 answers AS (
   SELECT conv_id, turn,
          CASE conv_id % 5

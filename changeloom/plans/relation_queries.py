@@ -18,7 +18,7 @@ from changeloom.plans import oracle_views as O
 from changeloom.plans import views as V
 from changeloom.plans.registry import query
 from changeloom.plans.scalar_queries import DIFF_SQL, PAIR_SQL, SPAN_SQL, TRIAGED, code, flagged, triaged
-from changeloom.settings import SCHEMA_VERSION, Settings
+from changeloom.settings import DEFAULTS, SCHEMA_VERSION, Settings
 from changeloom.sources import responses as RS
 from changeloom.sources.shared import materialize, materialize_once
 
@@ -183,7 +183,7 @@ def blame_hunks(spark, sf_dir):
 
 def summaries(spark, sf_dir):
     return V.documents(spark, sf_dir, text=True).select(
-        *KEY, F.regexp_replace("text", r"(?s)\n.*", "").alias("summary"),
+        *KEY, F.col("text").alias("summary"),
         F.array(F.format_string("sym_%d", "doc_id"), F.lit("main")).alias("key_symbols"),
     )
 
@@ -195,7 +195,7 @@ STUBS_SQL = "'Change in ' || path || ' (' || status || ', +' || additions || '/-
 cands AS (
   SELECT c.cohort_idx, f.*, row_number() OVER (PARTITION BY f.change_id, c.cohort_idx ORDER BY CASE WHEN flags = '' THEN 1 ELSE 0 END, -(additions + deletions), f.path, f.file_idx) AS rank,
     '- FILE ' || file_idx || ' PATH="' || f.path || '" (+' || additions || '/-' || deletions || ') FLAGS=' || replace(flags, '; ', ', ') || ' KEY_SYMBOLS="sym_' || f.doc_id || ', main" SUMMARY="' ||
-    replace(replace(replace(replace(replace(string_split(d.text, chr(10))[1], '\\', '\\\\'), '"', '\\"'), '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') || '"' || chr(10) AS row
+    replace(replace(replace(replace(replace(replace(replace(replace(d.text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t'), '<', '\\u003c'), '>', '\\u003e'), '&', '\\u0026') || '"' || chr(10) AS row
   FROM flagged f JOIN cohorts c USING (change_id, file_idx) JOIN docs d USING (change_id, file_idx) WHERE reason IS NULL),
 summed AS (SELECT *, sum(strlen(row)) OVER (PARTITION BY change_id, cohort_idx ORDER BY rank) AS spent FROM cands),
 counts AS (
@@ -203,12 +203,11 @@ counts AS (
    'FILES: ' || count(*) || chr(10) || 'REVIEW_WORTHY: ' || count(*) FILTER (reason IS NULL) || chr(10) || 'MECHANICAL: ' || count(reason) || chr(10) ||
    'FLAGGED: ' || count(*) FILTER (reason IS NULL AND flags <> '') || chr(10) || 'ADDITIONS: ' || sum(additions) || chr(10) || 'DELETIONS: ' || sum(deletions) || chr(10) || 'SAMPLED_SUMMARIES:' || chr(10) AS head
   FROM flagged JOIN cohorts USING (change_id, file_idx) GROUP BY ALL)
-SELECT change_id, cohort_idx, any_value(head) || coalesce(string_agg(row, '' ORDER BY rank) FILTER (strlen(head) + spent <= 900 AND rank <= 2), '') AS digest
+SELECT change_id, cohort_idx, any_value(head) || coalesce(string_agg(row, '' ORDER BY rank) FILTER (strlen(head) + spent <= {DEFAULTS.digest_max_chars} AND rank <= {DEFAULTS.digest_max_files}), '') AS digest
 FROM counts LEFT JOIN summed USING (change_id, cohort_idx) GROUP BY change_id, cohort_idx""")
 def cohort_digest(spark, sf_dir):
-    limits = Settings(digest_max_files=2, digest_max_chars=900)
     marked = materialize_once(spark, f"flagged {sf_dir}", lambda: flagged(spark, sf_dir))
-    return A.cohort_digest(planned(spark, sf_dir), marked, summaries(spark, sf_dir), 5000, limits)
+    return A.cohort_digest(planned(spark, sf_dir), marked, summaries(spark, sf_dir), DEFAULTS.stage_budget)
 
 
 @query("cohort_stub", f"""WITH {O.FILES}{AFTER_FILES}
@@ -465,7 +464,7 @@ problems AS (
 
 
 def returned_answers(spark, sf_dir):
-    """Usable answers; a conversation is a batch, its assistant turns are the items.
+    """Usable answers; a conversation is a batch, its turns are the items.
 
     The turn number serves as position, so no window gathers a long conversation.
     """

@@ -102,17 +102,18 @@ def heuristic_flags(spark, sf_dir):
 
 
 @query("whitespace_only", "WITH " + TRIAGED.replace("FROM lines GROUP BY ALL", "FROM spaced GROUP BY ALL").replace("blank AS", """spaced AS (
-  SELECT change_id, file_idx, pos, t, CASE WHEN doc_id % 3 = 0 AND t <> 'c' THEN CASE t WHEN 'a' THEN chr(160) || ' same' || chr(9) ELSE 'sa me ' END ELSE text END AS text
-  FROM lines WHERE doc_id % 3 <> 0 OR pos IN (0, 1) OR t = 'c'),
+  SELECT change_id, file_idx, pos, t, text FROM lines
+  UNION ALL SELECT change_id, file_idx, pos, CASE t WHEN 'a' THEN 'd' ELSE 'a' END, chr(160) || replace(text, ' ', chr(9) || ' ')
+  FROM lines WHERE doc_id % 3 = 0 AND t <> 'c'),
 blank AS""", 1) + " SELECT change_id, file_idx FROM blank")
 def whitespace_only(spark, sf_dir):
-    """Texts of every third file become the same word with different white space."""
-    third = F.col("doc_id") % 3 == 0
-    word = F.when(F.col("t") == "a", F.concat(F.lit("  same\t"))).otherwise("sa me ")
-    rows = V.lines(spark, sf_dir).where("doc_id % 3 <> 0 OR pos IN (0, 1) OR t = 'c'").withColumn(
-        "text", F.when(third & (F.col("t") != "c"), word).otherwise(F.col("text"))
+    """Every changed line of every third file also comes with the other sign and other white space."""
+    rows = V.lines(spark, sf_dir)
+    spaced = F.concat(F.lit("\u00a0"), F.replace(F.col("text"), F.lit(" "), F.lit("\t ")))
+    turned = rows.where("doc_id % 3 = 0 AND t <> 'c'").withColumn("text", spaced).withColumn(
+        "t", F.when(F.col("t") == "a", "d").otherwise("a")
     )
-    return TG.whitespace_only(rows)
+    return TG.whitespace_only(rows.unionByName(turned))
 
 
 @query("long_line", f"WITH {O.LINES} SELECT change_id, file_idx, pos FROM lines WHERE length(text) > 300")
@@ -160,15 +161,17 @@ def relative_ref(spark, sf_dir):
 @query("css_refs", """
 WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) AS u, url FROM pages)
 SELECT page_id, u AS ref, 2 AS n FROM p WHERE trim(u) <> '' AND NOT regexp_matches(u, '^[/#]')
-UNION ALL SELECT page_id, 'fonts/' || page_id || '.woff', 1 FROM p""")
+UNION ALL SELECT page_id, 'fonts/' || page_id || '.woff', 1 FROM p
+UNION ALL SELECT page_id, 'end/' || page_id || '.png', 1 FROM p""")
 def css_refs(spark, sf_dir):
-    """Style sheets written from page addresses, with comments, strings and absolute targets."""
+    """Style sheets written from page addresses, with strings, absolute targets and the page as a comment."""
     pages = V.table(spark, sf_dir, "pages")
     path = F.regexp_extract("url", r"^https?://[^/]+/([^?#]*)", 1)
     sheet = F.concat(
         F.lit('/* url(no.png) */ @import "'), path, F.lit('";\n.a{background:url( '), path,
         F.lit(" )} .b{content:\"url(no.png)\"}\n@import '"), "url", F.lit("'; .c{src:URL('fonts/"),
-        F.col("page_id").cast("string"), F.lit(".woff')}"),
+        F.col("page_id").cast("string"), F.lit(".woff')}\n/*"), F.replace(F.col("html"), F.lit("*/"), F.lit("")),
+        F.lit("*/ .d{background:url(end/"), F.col("page_id").cast("string"), F.lit(".png)}"),
     )
     refs = pages.select("page_id", F.explode(W.css_refs(sheet)).alias("ref"))
     return refs.groupBy("page_id", "ref").agg(F.count("*").cast("int").alias("n"))

@@ -288,8 +288,8 @@ def json_escape(text: Column) -> Column:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model answers: one per assistant turn, in five shapes by conversation number."""
-    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    """Model answers: one per turn, in five shapes by conversation number."""
+    turns = table(spark, sf_dir, "conversations")
     shape = F.col("conv_id") % 5
     summary = F.when(shape == 3, F.col("text")).otherwise(json_escape(F.col("text")))
     hints = F.array(*[F.lit(h) for h in ("schema", "backend", "api", "ui", "tests", "docs", "misc")])
