@@ -51,18 +51,25 @@ class StagedPlan:
 
 
 def parse(sections: DataFrame) -> ChangeTables:
-    """Sections (change_id, file_idx, section) → tables; changes with errors are left out."""
-    errors = patches.parse_errors(sections)
-    good = sections.join(errors.select("change_id").distinct(), "change_id", "left_anti")
+    """Sections (change_id, file_idx, section) → tables; changes with errors are left out.
+
+    The files' metadata is written first, as a narrow table that errors and files read.
+    """
+    heads = materialize(
+        patches.parse_files(sections.select("change_id", "file_idx", "section", patches.header_text())), "file-heads"
+    )
+    errors = patches.header_errors(heads)
+    bad = errors.select("change_id").distinct()
+    good = sections.join(bad, "change_id", "left_anti")
+    parsed = heads.join(bad, "change_id", "left_anti").drop("header", "header_ok")
     lines = materialize(patches.parse_lines(good), "lines")
     hunks = materialize(patches.parse_hunks(good), "hunks")
     numbers = hunks.groupBy(*FILE).agg(F.count("*").cast("int").alias("hunk_count"))
     files = (
-        patches.parse_files(good).drop("header_ok")
-        .join(A.file_churn(lines), FILE, "left").join(numbers, FILE, "left")
+        parsed.join(A.file_churn(lines), FILE, "left").join(numbers, FILE, "left")
         .fillna(0, ["additions", "deletions", "hunk_count"])
     )
-    return ChangeTables(tables.patch_meta(good), materialize(files, "files"), hunks, lines, errors)
+    return ChangeTables(tables.patch_meta(parsed), materialize(files, "files"), hunks, lines, errors)
 
 
 def are_bounded(files: DataFrame, settings: Settings = DEFAULTS) -> bool:

@@ -260,11 +260,9 @@ def diffs(spark, sf_dir):
 
 
 def cut_sql(text: str, limit: int) -> str:
-    """The longest prefix within a byte limit; a character has at most four bytes."""
-    steps = " ".join(
-        f"WHEN strlen(left({text}, {limit} - {k})) <= {limit} THEN left({text}, {limit} - {k})" for k in range(limit)
-    )
-    return f"CASE {steps} ELSE '' END"
+    """The longest prefix within a byte limit: a cut inside a character is no valid text."""
+    cuts = ", ".join(f"try(decode(array_slice(encode({text}), 1, {max(limit - k, 0)})))" for k in range(4))
+    return f"coalesce({cuts})"
 
 
 NOTE_SQL = "chr(10) || '... [truncated]' || chr(10)"

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from changeloom.sources.shared import materialize
+
 # The forms of a unified diff.
 SECTION_MARK = "diff --git "
 NUMBER = r"([+-]?\d+)"
@@ -16,8 +18,10 @@ HUNK_HEADER = (
     rf"@@ -{NUMBER}(?:,{NUMBER})?[ \t]+\+?{NUMBER}(?:,{NUMBER})?(?:[ \t][^\n]*?)?? @@([^\n]*)"
 )
 FIELD = r'("(?:[^"\\]|\\.)*+"|[^\s"]\S*+)'
-# Single-letter escapes of quoted paths and their byte values.
-ESCAPES = {"a": "07", "b": "08", "t": "09", "n": "0A", "v": "0B", "f": "0C", "r": "0D"}
+# Single-letter escapes of quoted paths and their byte values, and the other escapes.
+ESCAPES = {"a": "07", "b": "08", "t": "09", "n": "0A", "v": "0B", "f": "0C", "r": "0D", "\\": "5C", '"': "22"}
+CODE_POINT = r"u(?![dD][89a-fA-F])[0-9a-fA-F]{4}|U000(?!0[dD][89a-fA-F])[0-9a-fA-F]{5}|U0010[0-9a-fA-F]{4}"
+ESCAPE = rf'\\(?:[abtnvfr\\"]|[0-3][0-7]{{2}}|x[0-9a-fA-F]{{2}}|{CODE_POINT})'
 
 
 def read_patches(spark: SparkSession, path: str) -> DataFrame:
@@ -25,16 +29,18 @@ def read_patches(spark: SparkSession, path: str) -> DataFrame:
 
     The change is the patch file. Section numbers come from the read blocks: a block knows
     how many sections the blocks before it hold, so no task sees a whole patch. Text in
-    front of the first section (a mail header) is dropped.
+    front of the first section (a mail header) is dropped. The rows are written once, so the
+    patches are scanned once and numbers stay the same when a task runs again.
     """
-    rows = (
+    rows = materialize(
         spark.read.option("lineSep", "\n" + SECTION_MARK).text(path)
         .select(
             "value",
             F.col("_metadata.file_path").alias("change_id"),
             F.col("_metadata.file_block_start").alias("block"),
         )
-        .withColumn("seq", F.monotonically_increasing_id())
+        .withColumn("seq", F.monotonically_increasing_id()),
+        "patch-rows",
     )
     spans = rows.groupBy("change_id", "block").agg(
         F.min("seq").alias("first_seq"),
@@ -64,9 +70,10 @@ def read_patches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def unquote(path: Column) -> Column:
-    """Undo C-style quoting of a path; unquoted paths stay as they are."""
+    """Undo C-style quoting of a path; unquoted paths stay, quoted ones with bad escapes are null."""
     body = F.regexp_replace(path, r'^"|"$', "")
-    tokens = F.regexp_extract_all(body, F.lit(r"(\\[0-7]{3}|\\[^0-7]|[^\\])"), F.lit(1))
+    valid = path.rlike(rf'^"(?:[^"\\]|{ESCAPE})*+"$')
+    tokens = F.regexp_extract_all(body, F.lit(rf"({ESCAPE}|[^\\])"), F.lit(1))
 
     def to_hex(token: Column) -> Column:
         plain = F.hex(F.encode(token, "UTF-8"))
@@ -75,13 +82,15 @@ def unquote(path: Column) -> Column:
         for char, code in ESCAPES.items():
             escaped = F.when(letter == char, code).otherwise(escaped)
         octal = F.lpad(F.conv(F.substring(token, 2, 3), 8, 16), 2, "0")
+        digits = F.substring(token, F.lit(3), F.length(token))
+        point = F.hex(F.encode(F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"), "UTF-8"))
         return (
             F.when(~token.startswith("\\"), plain).when(token.rlike(r"^\\[0-7]{3}$"), octal)
-            .otherwise(escaped)
+            .when(letter == "x", digits).when(F.lower(letter) == "u", point).otherwise(escaped)
         )
 
     decoded = F.unhex(F.array_join(F.transform(tokens, to_hex), "")).cast("string")
-    return F.when(path.startswith('"'), decoded).otherwise(path)
+    return F.when(~path.startswith('"'), path).when(valid, decoded)
 
 
 def unix_lines(section: Column) -> Column:
@@ -120,8 +129,13 @@ def parse_files(sections: DataFrame) -> DataFrame:
     old_header, new_header = header_paths(header)
     mode = last_match(section, "^(new file mode|deleted file mode|rename from) ")
     path_rule = last_match(section, "^(deleted file mode|rename to) ")
-    old_path = F.coalesce(unquote(last_match(section, r"^rename from (.*)$")), old_header)
-    new_path = F.coalesce(unquote(last_match(section, r"^rename to (.*)$")), new_header)
+
+    def renamed(pattern: str, otherwise: Column) -> Column:
+        written = last_match(section, pattern)
+        return F.coalesce(unquote(written), written, otherwise)
+
+    old_path = renamed(r"^rename from (.*)$", old_header)
+    new_path = renamed(r"^rename to (.*)$", new_header)
     return text.select(
         *[c for c in sections.columns if c != "section"],
         F.when(path_rule == "deleted file mode", old_path).when(path_rule == "rename to", new_path)
@@ -199,14 +213,18 @@ def parse_lines(sections: DataFrame) -> DataFrame:
 
 def parse_errors(sections: DataFrame) -> DataFrame:
     """``errors`` rows: broken headers. Only their change is unusable, not the job."""
-    bad = parse_files(sections).where("not header_ok").select("change_id", "file_idx")
-    return bad.join(sections, ["change_id", "file_idx"]).select(
-        "change_id",
-        F.lit("header").alias("rule"),
-        F.concat(
-            F.lit("parse diff header: "),
-            F.regexp_extract(unix_lines(F.col("section")), r"^diff --git ([^\n]*)", 1),
-        ).alias("detail"),
+    return header_errors(parse_files(sections.select("change_id", "section", header_text())))
+
+
+def header_text() -> Column:
+    """A section's header without its mark, as column ``header``."""
+    return F.regexp_extract("section", r"^diff --git ([^\n]*?)\r?(?=\n|\z)", 1).alias("header")
+
+
+def header_errors(files: DataFrame) -> DataFrame:
+    """``errors`` rows of parsed files that kept their ``header``."""
+    return files.where("not header_ok").select(
+        "change_id", F.lit("header").alias("rule"), F.concat(F.lit("parse diff header: "), "header").alias("detail")
     )
 
 

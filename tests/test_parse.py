@@ -107,9 +107,12 @@ def test_random_hunks_with_wrong_counts(spark):
 
 
 def test_broken_header_is_an_error_of_its_change_only(spark):
-    rows = [("good", 0, "diff --git a/x b/x\n"), ("bad", 0, "diff --git x\n"), ("bad2", 0, 'diff --git "a/x b/x\n')]
+    rows = [("good", 0, "diff --git a/x b/x\n"), ("bad", 0, "diff --git x\n"), ("bad2", 0, 'diff --git "a/x b/x\n'),
+            ("bad3", 0, 'diff --git "a/x\\q" "b/x\\q"\n'), ("fine", 0, 'diff --git "a/\\303\\274\\t\\x41" "b/\\u00fc\\U0001F600"\n')]
     frame = spark.createDataFrame(rows, "change_id string, file_idx int, section string")
-    assert {r.change_id for r in P.parse_errors(frame).collect()} == {"bad", "bad2"}
+    assert {r.change_id for r in P.parse_errors(frame).collect()} == {"bad", "bad2", "bad3"}
+    fine = P.parse_files(frame).where("change_id = 'fine'").first()
+    assert (fine.old_path, fine.new_path) == ("ü\tA", "ü😀")
 
 
 def test_long_lines_do_not_overflow(spark):
