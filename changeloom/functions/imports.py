@@ -199,9 +199,13 @@ def exported_defs(files: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def identifier_tokens(lines: DataFrame) -> DataFrame:
-    """Distinct (change_id, file_idx, symbol) of identifiers on added lines of any file."""
+def identifier_tokens(lines: DataFrame, least: int = 1) -> DataFrame:
+    """Distinct (change_id, file_idx, symbol) of identifiers on added lines of any file.
+
+    Those of fewer than ``least`` bytes are left out before the shuffle.
+    """
     found = F.array_distinct(F.regexp_extract_all("text", F.lit(f"({IDENTIFIER})"), F.lit(1)))
+    found = F.filter(found, lambda token: F.octet_length(token) >= least)
     return lines.where("t = 'a'").select(*FILE, F.explode(found).alias("symbol")).distinct()
 
 

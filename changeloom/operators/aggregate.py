@@ -94,8 +94,8 @@ def unique_definitions(definitions: DataFrame) -> DataFrame:
 
 
 def cohort_weights(cohort_edges: DataFrame) -> DataFrame:
-    """Number of distinct file edges per (dependent, dependency) pair of cohorts."""
-    return cohort_edges.distinct().groupBy("change_id", "dependent", "dependency").agg(
+    """Number of file edges per (dependent, dependency) pair of cohorts, from distinct edges."""
+    return cohort_edges.groupBy("change_id", "dependent", "dependency").agg(
         F.count("*").alias("weight")
     )
 

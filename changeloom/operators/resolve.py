@@ -13,7 +13,7 @@ from changeloom.functions.paths import (
     ALIAS_EXTENSIONS, base_name, classify_language, directory, extension,
     language_family, normalize_path, path_suffixes, platform_module, without_extension,
 )
-from changeloom.functions.imports import exported_defs, identifier_tokens, import_specifiers
+from changeloom.functions.imports import MIN_SYMBOL_BYTES, exported_defs, identifier_tokens, import_specifiers
 from changeloom.operators.aggregate import unique_definitions
 from changeloom.operators.terraform import tf_edges, tf_facts
 from changeloom.sources.shared import materialize
@@ -243,6 +243,6 @@ def build_edges(files: DataFrame, lines: DataFrame) -> DataFrame:
     imports = resolve_modules(files, queries).select(edge).unionByName(
         resolve_directory(files, queries).select(edge)
     )
-    symbols = symbol_edges(exported_defs(files, lines), identifier_tokens(lines))
+    symbols = symbol_edges(exported_defs(files, lines), identifier_tokens(lines, MIN_SYMBOL_BYTES))
     facts = materialize(tf_facts(files, lines), "terraform-facts")
     return imports.unionByName(symbols).unionByName(tf_edges(files, facts)).distinct()

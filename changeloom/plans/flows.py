@@ -72,16 +72,10 @@ def parse(sections: DataFrame) -> ChangeTables:
     return ChangeTables(tables.patch_meta(parsed), materialize(files, "files"), hunks, lines, errors)
 
 
-def are_bounded(files: DataFrame, settings: Settings = DEFAULTS) -> bool:
-    """Whether every change is small enough for plain windows; one count over the file table."""
-    counts = files.groupBy("change_id").agg(F.count("*").alias("n"))
-    return counts.where(F.col("n") > settings.max_window_rows).isEmpty()
-
-
 def decide(t: ChangeTables, settings: Settings = DEFAULTS) -> DataFrame:
     """Staged or single pass per change."""
     totals = A.input_bytes(t.files, t.lines, t.hunks)
-    cohorts = W.plan_cohorts(t.files, settings.staging_max_files, are_bounded(t.files, settings))
+    cohorts = W.plan_cohorts(t.files, settings.staging_max_files, bounded=False)
     return A.staging_decision(totals, cohorts, settings.stage_budget, P.frame_overhead(), settings)
 
 
@@ -96,11 +90,13 @@ def single_prompts(t: ChangeTables, decision: DataFrame, settings: Settings = DE
 
 
 def staged_plan(t: ChangeTables, attributes: DataFrame, settings: Settings = DEFAULTS) -> StagedPlan:
-    """Triage, cohorts in reading order, their dependencies, and summary batches."""
+    """Triage, cohorts in reading order, their dependencies, and summary batches.
+
+    Ranks take the way that never holds a whole change, whatever the sizes are.
+    """
     triaged = materialize(TG.heuristic_flags(TG.triage(t.files, attributes), t.lines), "triaged")
     edges = materialize(R.build_edges(t.files, t.lines), "edges")
-    bounded = are_bounded(t.files, settings)
-    planned = materialize(W.plan_cohorts(t.files, settings.staging_max_files, bounded), "cohorts")
+    planned = materialize(W.plan_cohorts(t.files, settings.staging_max_files, bounded=False), "cohorts")
     read = G.reorder_cohort_files(planned, edges)
     order, deps = G.stable_cohort_order(edges, read, settings)
     placed = read.join(order, ["change_id", "cohort_idx"]).drop("cohort_idx").withColumnRenamed("new_idx", "cohort_idx")
@@ -110,7 +106,7 @@ def staged_plan(t: ChangeTables, attributes: DataFrame, settings: Settings = DEF
     worthy = triaged.where("reason IS NULL").join(sizes, FILE, "left").withColumn("diff_bytes", body)
     sized = P.sized_files(worthy.drop("diff_bytes"), worthy.select(*FILE, "diff_bytes"), settings)
     content = max(settings.stage_budget - P.frame_overhead(), 0)
-    batches = materialize(P.pack_batches(sized, content, settings.summary_batch_max_files, bounded), "batches")
+    batches = materialize(P.pack_batches(sized, content, settings.summary_batch_max_files, bounded=False), "batches")
     return StagedPlan(triaged, placed, deps, edges, batches, A.call_plan(batches, placed, settings))
 
 

@@ -225,7 +225,25 @@ def cohort_ops(spark, sf_dir):
     return S.cohort_ops(ops, counts)
 
 
-@query("refined_cohorts")
+REFINED_SQL = f"""WITH {OUTCOME_SQL}, expected(m, kind, idx, root, place, text) AS (VALUES {EXPECTED_SQL}),
+done AS (SELECT change_id, kind, idx, root, place, text FROM counts JOIN expected ON cohorts % 3 = m),
+told AS (SELECT change_id, cohort_idx, any_value(title) AS title, any_value(layer) AS layer FROM cohorts GROUP BY change_id, cohort_idx),
+rooted AS (SELECT t.*, coalesce(d.root, cohort_idx) AS at_root, coalesce(d.place, 0) AS at_place
+  FROM told t LEFT JOIN done d ON d.kind = 'member' AND d.change_id = t.change_id AND d.idx = t.cohort_idx),
+written AS (SELECT change_id, at_root, at_place * 2 AS o, 'check callers' AS note FROM rooted WHERE cohort_idx % 2 = 0
+  UNION ALL SELECT change_id, at_root, at_place * 2 + 1, 'check ' || layer FROM rooted WHERE cohort_idx % 2 = 0),
+notes AS (SELECT change_id, at_root, string_agg(note, '|' ORDER BY o) AS notes
+  FROM (SELECT change_id, at_root, note, min(o) AS o FROM written GROUP BY ALL) GROUP BY ALL),
+merged AS (SELECT change_id, at_root, max(title) FILTER (cohort_idx = at_root) AS title, bool_or(cohort_idx % 5 = 0) AS stubbed,
+  CAST(row_number() OVER (PARTITION BY change_id ORDER BY at_root) - 1 AS INTEGER) AS new_idx FROM rooted GROUP BY change_id, at_root)
+SELECT c.change_id, new_idx AS cohort_idx, CAST(row_number() OVER (PARTITION BY c.change_id, new_idx ORDER BY at_place, pos) - 1 AS INTEGER) AS pos,
+  c.file_idx, coalesce(d.text, m.title) AS title, coalesce(notes, '') AS notes, stubbed
+FROM cohorts c JOIN rooted r ON r.change_id = c.change_id AND r.cohort_idx = c.cohort_idx JOIN merged m ON m.change_id = c.change_id AND m.at_root = r.at_root
+LEFT JOIN notes n ON n.change_id = c.change_id AND n.at_root = r.at_root
+LEFT JOIN done d ON d.kind = 'title' AND d.change_id = c.change_id AND d.idx = r.at_root"""
+
+
+@query("refined_cohorts", REFINED_SQL)
 def refined_cohorts(spark, sf_dir):
     """Cohort files and titles after the operations were applied."""
     cohort_files, told = S.apply_cohort_ops(

@@ -144,7 +144,7 @@ def resolve_directory(spark, sf_dir):
 @query("symbol_edges", f"WITH {C.RESOLVED} SELECT DISTINCT change_id, importer, imported FROM symbolic")
 def symbol_edges(spark, sf_dir):
     files, lines = code(spark, sf_dir)
-    return R.symbol_edges(I.exported_defs(files, lines), I.identifier_tokens(lines))
+    return R.symbol_edges(I.exported_defs(files, lines), I.identifier_tokens(lines, I.MIN_SYMBOL_BYTES))
 
 
 @query("tf_edges", f"WITH {C.RESOLVED} SELECT DISTINCT change_id, importer, imported FROM terraformed")

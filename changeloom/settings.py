@@ -44,8 +44,6 @@ class Settings:
     cache_max_entries: int = 200
     list_limit: int = 1_000
     section_limit: int = 8
-    # Rows of one change up to which a plain window ranks its files.
-    max_window_rows: int = 100_000
 
     def as_dict(self) -> dict:
         return asdict(self)
