@@ -166,9 +166,39 @@ def narrations(spark, sf_dir):
     )
 
 
-@query("fair_share")
+FIELDS_SQL = ", ".join(f"({i}, '{label}', {cap})" for i, (label, _, cap) in enumerate((("", "", 0), *P.DETAIL_FIELDS)))
+SHARE_BUDGET = 3000
+# One step per compact row and per detail field; a field that finds no place ends its row.
+FAIR_SQL = f"""WITH RECURSIVE {COHORTS3.strip()},
+told AS (SELECT change_id, cohort_idx, any_value(title) AS title, any_value(layer) AS layer, count(*) AS files, min(file_idx) AS file_idx FROM cohorts GROUP BY change_id, cohort_idx),
+noted AS (SELECT t.*, coalesce(d.text, '') AS narrative, CASE WHEN cohort_idx % 2 = 0 THEN 'check callers | check ' || layer ELSE '' END AS risk FROM told t JOIN docs d USING (change_id, file_idx)),
+compacts AS (SELECT *, 'COHORT[' || cohort_idx || '] l=' || layer || ' t=' || {cut_sql("title", 4)} || CASE WHEN risk = '' THEN '' ELSE ' r=' || {cut_sql("risk", 4)} END AS compact FROM noted),
+totals AS (SELECT change_id, count(*) AS n, CAST(sum(strlen(compact) + 1) AS BIGINT) AS owed FROM compacts GROUP BY change_id),
+heads AS (SELECT change_id, n, owed, greatest({SHARE_BUDGET} - owed, 0) AS room,
+  'CHANGE_TITLE_JSON: "Change \\"' || change_id || '\\""' || chr(10) || 'DESCRIPTION_JSON: "starts at ' || first_doc || '"' || chr(10) || 'COHORTS: ' || n || chr(10) AS head
+  FROM totals JOIN (SELECT change_id, min(doc_id) AS first_doc FROM docs GROUP BY change_id) USING (change_id)),
+fields(f, label, cap) AS (VALUES {FIELDS_SQL}),
+steps AS (SELECT change_id, (dense_rank() OVER (PARTITION BY change_id ORDER BY cohort_idx) - 1) * 6 + f AS k, f, label, cap, compact,
+  replace(replace(left(CASE f WHEN 1 THEN title WHEN 2 THEN risk WHEN 3 THEN narrative WHEN 4 THEN 'Intent of ' || title WHEN 5 THEN CAST(files AS VARCHAR) ELSE '' END, 500), chr(10), ' '), chr(13), ' ') AS value
+  FROM compacts CROSS JOIN fields),
+fold AS (
+  SELECT change_id, CAST(-1 AS BIGINT) AS k, CASE WHEN room = 0 THEN '' WHEN strlen(head) <= room THEN head WHEN room < 4 THEN {cut_sql("head", "room")} ELSE {cut_sql("head", "room - 4")} || '...' || chr(10) END AS text,
+    owed, n AS waiting, CAST(NULL AS BIGINT) AS room FROM heads
+  UNION ALL
+  SELECT change_id, k, text || CASE WHEN f = 0 THEN compact WHEN fits THEN ' ' || label || part ELSE '' END || CASE WHEN f = 5 THEN chr(10) ELSE '' END,
+    CASE WHEN f = 0 THEN owed - strlen(compact) - 1 ELSE owed END, CASE WHEN f = 0 THEN waiting - 1 ELSE waiting END,
+    CASE WHEN f = 0 THEN greatest({SHARE_BUDGET} - strlen(text) - owed, 0) // waiting WHEN value = '' THEN room WHEN fits THEN room - strlen(label) - strlen(part) - 1 END
+  FROM (
+    SELECT *, coalesce(value <> '' AND room > strlen(label) + 1, false) AS fits,
+      CASE WHEN strlen(value) <= space THEN value WHEN space < 4 THEN {cut_sql("value", "space")} ELSE {cut_sql("value", "space - 3")} || '...' END AS part
+    FROM (SELECT s.*, o.text, o.owed, o.waiting, o.room, least(o.room - 1, s.cap) - strlen(s.label) AS space
+          FROM fold o JOIN steps s ON s.change_id = o.change_id AND s.k = o.k + 1)))
+SELECT change_id, {cut_sql("text", SHARE_BUDGET)} AS text FROM fold QUALIFY k = max(k) OVER (PARTITION BY change_id)"""
+
+
+@query("fair_share", FAIR_SQL)
 def fair_share(spark, sf_dir):
-    return P.fair_share(changes(spark, sf_dir), narrations(spark, sf_dir), 3000)
+    return P.fair_share(changes(spark, sf_dir), narrations(spark, sf_dir), SHARE_BUDGET)
 
 
 @query("preview_budget", f"""WITH RECURSIVE {O.ASSETS.strip()},

@@ -259,9 +259,9 @@ def diffs(spark, sf_dir):
     return A.diff_text(lines, V.hunks(lines), V.files(spark, sf_dir).select(*KEY, "binary"))
 
 
-def cut_sql(text: str, limit: int) -> str:
+def cut_sql(text: str, limit: int | str) -> str:
     """The longest prefix within a byte limit: a cut inside a character is no valid text."""
-    cuts = ", ".join(f"try(decode(array_slice(encode({text}), 1, {max(limit - k, 0)})))" for k in range(4))
+    cuts = ", ".join(f"try(decode(array_slice(encode({text}), 1, greatest({limit} - {k}, 0))))" for k in range(4))
     return f"coalesce({cuts})"
 
 

@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 USUAL = ["parse_files", "parse_hunks", "parse_lines", "html_refs", "catalog_scan", "triage", "plan_cohorts", "build_edges", "pack_batches", "cohort_deps",
-         "repair_responses", "validate_membership", "blame_hunks", "cache_table", "assemble_analysis"]
+         "repair_responses", "tf_facts", "fair_share", "refined_cohorts", "whitespace_only", "cohort_digest", "prompt_single", "validate_membership", "blame_hunks", "cache_table", "assemble_analysis"]
 CHOSEN = sorted(ORACLES) if os.environ.get("CHANGELOOM_ALL") else USUAL
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
