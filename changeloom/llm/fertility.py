@@ -1,8 +1,10 @@
 """Quality rules by tokeniser fertility.
 
 A public vocabulary with byte fallback reads every word; characters per token, the share of
-byte tokens and the evenness of the token counts say whether it is prose in a script the
-vocabulary knows. Each script has its own rejection band; bands are parameters.
+byte tokens and the entropy of the tokens say whether it is prose in a script the vocabulary
+knows. Each script has its own rejection band, and so have languages that the rows name; bands are
+parameters. The entropy is that of collisions, estimated from pairs of different tokens, so
+that it does not grow with the length of a text.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ SCRIPTS = {
     "east_asian": ((0xE3, 0xED),),
     "other": ((0xE2, 0xE2), (0xEE, 0xF4)),
 }
-EVEN_OVER = 256
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")
 
 
@@ -43,19 +44,22 @@ class Band:
     least_chars: float
     most_chars: float
     most_bytes: float
-    least_evenness: float
+    least_bits: float
 
 
-# Latin is set well outside what clean labelled texts show: 1.5 to 2.4 characters a token.
+# Bits are set below what clean labelled texts show: 5.27 and more in Latin script, 5.4 to 5.6 and
+# more in the languages named; other scripts use far fewer pieces of the vocabulary.
 BANDS = {
-    "latin": Band(1.35, 9.0, 0.25, 0.55),
-    "greek": Band(0.8, 6.0, 0.5, 0.4),
-    "cyrillic": Band(0.8, 7.0, 0.5, 0.4),
-    "semitic": Band(0.5, 6.0, 0.9, 0.35),
-    "indic": Band(0.3, 6.0, 1.0, 0.3),
-    "east_asian": Band(0.3, 4.0, 1.0, 0.3),
+    "latin": Band(1.35, 9.0, 0.25, 5.2),
+    "greek": Band(0.8, 6.0, 0.5, 3.5),
+    "cyrillic": Band(0.8, 7.0, 0.5, 4.0),
+    "semitic": Band(0.5, 6.0, 0.9, 3.0),
+    "indic": Band(0.3, 6.0, 1.0, 2.0),
+    "east_asian": Band(0.3, 4.0, 1.0, 3.0),
     "other": Band(0.2, 9.0, 1.0, 0.0),
 }
+LATIN_LANGUAGES = {"en": 5.5, "de": 5.5, "fr": 5.35}
+LANGUAGE_BANDS = {language: Band(1.35, 9.0, 0.25, bits) for language, bits in LATIN_LANGUAGES.items()}
 
 
 def codec_of(path: str) -> tuple[WordCodec, np.ndarray]:
@@ -124,7 +128,7 @@ def base_counts(data: np.ndarray, offsets: np.ndarray, codec: WordCodec) -> dict
 
 
 def token_measures(data: np.ndarray, offsets: np.ndarray, codec: WordCodec, is_byte: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Tokens, byte tokens and evenness per row: entropy over that of so many tokens, at most 256."""
+    """Tokens, byte tokens and entropy per row: bits of the chance that two of its tokens are equal."""
     ids, bounds = codec.encode(data, offsets)
     n = len(bounds) - 1
     tokens = np.diff(bounds)
@@ -132,63 +136,87 @@ def token_measures(data: np.ndarray, offsets: np.ndarray, codec: WordCodec, is_b
     fallback = np.bincount(owner, is_byte[ids], n) if len(ids) else np.zeros(n)
     codes, distinct = pd.factorize(owner * np.int64(1 << 32) + ids)
     counts = np.bincount(codes, minlength=len(distinct)).astype(float)
-    share = counts / np.maximum(tokens, 1)[distinct >> 32]
-    entropy = np.bincount(distinct >> 32, -share * np.log2(share), n) if len(ids) else np.zeros(n)
-    return tokens, fallback, np.where(tokens > 1, entropy / np.log2(np.clip(tokens, 2, EVEN_OVER)), 1.0)
+    pairs = np.bincount(distinct >> 32, counts * (counts - 1), n) if len(ids) else np.zeros(n)
+    every = tokens * (tokens - 1.0)
+    return tokens, fallback, np.log2(np.maximum(every, 1) / np.maximum(pairs, 1))
 
 
-def measure(data: np.ndarray, offsets: np.ndarray, model: str, bands: dict[str, Band]) -> dict[str, np.ndarray]:
+def bands_of(script: np.ndarray, languages: list[str | None] | None, bands: dict[str, Band]) -> np.ndarray:
+    """Limits per row: those of its language if there are any and its script is Latin, else of its script."""
+    names = list(SCRIPTS)
+    chosen = [names[k] for k in script]
+    if languages is not None:
+        chosen = [x if x in bands and s == "latin" else s for s, x in zip(chosen, languages)]
+    return np.array([[b.least_chars, b.most_chars, b.most_bytes, b.least_bits] for b in map(bands.get, chosen)]).reshape(-1, 4)
+
+
+def measure(data: np.ndarray, offsets: np.ndarray, model: str, bands: dict[str, Band], languages: list[str | None] | None = None) -> dict[str, np.ndarray]:
     codec, is_byte = codec_of(model)
     n = len(offsets) - 1
     out = base_counts(data, offsets, codec)
-    tokens, fallback, evenness = token_measures(data, offsets, codec, is_byte)
+    tokens, fallback, bits = token_measures(data, offsets, codec, is_byte)
     table = script_table()[data]
     letters = np.stack([np.diff(np.concatenate(([0], np.cumsum(table == k)))[offsets]) for k in range(len(SCRIPTS))])
     script = np.where(letters.max(0) > 0, letters.argmax(0), len(SCRIPTS) - 1) if n else np.empty(0, int)
-    limits = np.array([[b.least_chars, b.most_chars, b.most_bytes, b.least_evenness] for b in (bands[s] for s in SCRIPTS)])[script]
+    limits = bands_of(script, languages, bands)
     chars = out["word_chars"] / np.maximum(tokens, 1)
     byte_share = fallback / np.maximum(tokens, 1)
     words = out["n_words"]
     failed = (words < LEAST_WORDS) | (100 * out["n_repeat_words"] > REPEAT_PERCENT * words)
-    good = (chars >= limits[:, 0]) & (chars <= limits[:, 1]) & (byte_share <= limits[:, 2]) & (evenness >= limits[:, 3])
+    good = (chars >= limits[:, 0]) & (chars <= limits[:, 1]) & (byte_share <= limits[:, 2]) & (bits >= limits[:, 3])
     return out | {
         "n_tokens": tokens, "base_failed": failed, "kept": ~failed & good, "chars_per_token": chars,
-        "byte_share": byte_share, "evenness": evenness, "script": np.array(list(SCRIPTS))[script],
+        "byte_share": byte_share, "bits": bits, "script": np.array(list(SCRIPTS))[script],
     }
 
 
 FIELDS = {**{c: pa.int64() for c in COUNTS}, "base_failed": pa.bool_(), "kept": pa.bool_(),
-          "chars_per_token": pa.float64(), "byte_share": pa.float64(), "evenness": pa.float64(), "script": pa.string()}
+          "chars_per_token": pa.float64(), "byte_share": pa.float64(), "bits": pa.float64(), "script": pa.string()}
 TYPES = {pa.int64(): "long", pa.bool_(): "boolean", pa.float64(): "double", pa.string(): "string"}
 
 
-def score(documents: DataFrame, model: str, id_column: str = "doc_id", bands: dict[str, Band] | None = None) -> DataFrame:
+def languages_of(batch: pa.RecordBatch, column: str | None) -> list[str | None] | None:
+    return batch.column(column).cast(pa.string()).to_pylist() if column else None
+
+
+def score(
+    documents: DataFrame, model: str, id_column: str = "doc_id", bands: dict[str, Band] | None = None,
+    language_column: str | None = None,
+) -> DataFrame:
     """Measures and verdict of every text, one row per input row.
 
     A null text counts as empty and fails the base rule, as every text under 20 words does. A text
-    without letters has the script ``other``. Ids may be null or repeat; other columns are left out.
+    without letters has the script ``other``; without a known language the script's band holds. Ids
+    may be null or repeat; other columns are left out.
     """
-    chosen = BANDS | (bands or {})
+    chosen = BANDS | LANGUAGE_BANDS | (bands or {})
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
+            languages = languages_of(batch, "language" if language_column else None)
             for low, high, data, offsets in slices(batch.column("text")):
-                found = measure(data, offsets, model, chosen)
+                found = measure(data, offsets, model, chosen, languages and languages[low:high])
                 columns = [pa.array(found[c], kind) for c, kind in FIELDS.items()]
-                yield pa.RecordBatch.from_arrays([batch.column(id_column)[low:high], *columns], names=[id_column, *FIELDS])
+                yield pa.RecordBatch.from_arrays([batch.column("id")[low:high], *columns], names=[id_column, *FIELDS])
 
     schema = f"`{id_column}` long, " + ", ".join(f"{c} {TYPES[kind]}" for c, kind in FIELDS.items())
-    return documents.selectExpr(f"cast(`{id_column}` as long) `{id_column}`", "cast(text as string) text").mapInArrow(run, schema)
+    columns = [f"cast(`{id_column}` as long) id", "cast(text as string) text"]
+    if language_column:
+        columns.append(f"cast(`{language_column}` as string) language")
+    return documents.selectExpr(*columns).mapInArrow(run, schema)
 
 
-def keep_good(documents: DataFrame, model: str, bands: dict[str, Band] | None = None) -> DataFrame:
+def keep_good(
+    documents: DataFrame, model: str, bands: dict[str, Band] | None = None, language_column: str | None = None
+) -> DataFrame:
     """The rows whose text is kept, with all their columns; no shuffle and no join."""
-    chosen = BANDS | (bands or {})
+    chosen = BANDS | LANGUAGE_BANDS | (bands or {})
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
+            languages = languages_of(batch, language_column)
             for low, high, data, offsets in slices(batch.column("text")):
-                verdict = measure(data, offsets, model, chosen)["kept"]
+                verdict = measure(data, offsets, model, chosen, languages and languages[low:high])["kept"]
                 yield batch.slice(low, high - low).filter(pa.array(verdict))
 
     return documents.mapInArrow(run, T.StructType(documents.schema.fields))

@@ -40,7 +40,7 @@ def op4_odd_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.score(table(spark, sf_dir, "documents"), PIECE_MODEL)
+    return fertility.score(table(spark, sf_dir, "documents"), PIECE_MODEL, language_column="lang")
 
 
 def op6_line_join(spark: SparkSession, sf_dir: str) -> DataFrame:

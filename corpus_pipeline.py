@@ -17,7 +17,7 @@ PASSAGE_WORDS = 5
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the quality rules."""
-    return fertility.keep_good(docs, queries.PIECE_MODEL)
+    return fertility.keep_good(docs, queries.PIECE_MODEL, language_column="lang")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -131,6 +131,21 @@ def test_quality_counts(documents, nothing):
     assert kept == {k for k, r in found.items() if r.kept} and fertility.score(nothing, queries.PIECE_MODEL).count() == 0
 
 
+def test_marks_between_words_lower_the_entropy(spark):
+    rng = random.Random(3)
+    prose = [" ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 9))) for _ in range(200)) for _ in range(3)]
+    rows = [(2 * k + junk, (" | " if junk else " ").join(text.split()), lang) for k, (text, lang) in enumerate(zip(prose, ("en", None, "?"))) for junk in (0, 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = by_id(fertility.score(frame, queries.PIECE_MODEL, language_column="lang"))
+    for k in range(3):
+        assert found[2 * k].kept and not found[2 * k + 1].kept and not found[2 * k + 1].base_failed
+    # A text ten times as long, of the same kind, has about the same entropy.
+    say = lambda n: " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    sizes = by_id(fertility.score(spark.createDataFrame([(0, say(400)), (1, say(4_000))], "doc_id long, text string"), queries.PIECE_MODEL))
+    assert abs(sizes[0].bits - sizes[1].bits) < 0.2
+    assert {r.doc_id for r in fertility.keep_good(frame, queries.PIECE_MODEL, language_column="lang").collect()} == {0, 2, 4}
+
+
 def test_similar_lines(documents, nothing):
     expected, before = set(), []
     for k, text in enumerate(TEXTS):
@@ -203,6 +218,11 @@ def test_lexicon_learns_stems_and_sees_through_disguise(spark, documents, nothin
     cases = spark.createDataFrame([(1, "du Grobian"), (2, "du gr0b1an!"), (3, "du grоbian"), (4, "bala dune"), (5, None), (6, "")], "doc_id long, text string")
     scores = {k: r.score for k, r in by_id(lexicon.score(cases, learned)).items()}
     assert min(scores[1], scores[2], scores[3]) >= 0.7 > max(scores[4], scores[5], scores[6])
+    # Forty near copies do not make their words signs; words which go along with others are all learned.
+    copies = [(f"{' '.join(rows[0][0].split()[:3])} solus unicus rarus grobian vandal copia {k}", 1) for k in range(40)]
+    pairs = [(f"{rng.choice(WORDS)} {rng.choice(WORDS)} vandal grobian {rng.choice(WORDS)} {rng.choice(WORDS)}", 1) for _ in range(60)]
+    both = lexicon.learn(spark.createDataFrame(rows + copies + pairs, "text string, toxic int"))
+    assert {"grobian", "vandal"} <= both.weights.keys() and not any(x.startswith("unic") for x in both.weights)
     assert lexicon.found_in(lexicon.fold("kill the process"), lexicon.automaton(["kill"], ["kill the process"])) == []
     empty = lexicon.learn(spark.createDataFrame([], "text string, toxic int"))
     assert lexicon.score(documents, empty).where("score >= 0.7").count() == 0 and lexicon.score(nothing, empty).count() == 0
