@@ -6,7 +6,8 @@ inflections. Exception phrases take back the hits inside them. The sum of the we
 by the logarithm of the length and goes through a logistic curve.
 
 Lexicon, exceptions and curve are learned from a bounded sample of labelled texts (the bound is a
-parameter); every text is scored whole.
+parameter): entries are the word beginnings that are nearly always a sign of a toxic text, and
+those that explain the toxic texts without one. Every text is scored whole.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.llm.worker import keep
@@ -129,6 +130,27 @@ def _count(rows: DataFrame, what) -> DataFrame:
     return parts.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def precision_bound(toxic: Column, clean: Column, z: float = 1.96) -> Column:
+    """Wilson's lower bound of the share of toxic texts among those that hold an entry."""
+    n, share = toxic + clean, toxic / (toxic + clean)
+    spread = z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    return (share + z * z / (2 * n) - spread) / (1 + z * z / n)
+
+
+def longest_stems(rows: list) -> dict[str, float]:
+    """Weights by entry, without the shorter beginnings which the same texts hold."""
+    longer = {(r.entry[:n], r.toxic, r.clean) for r in rows for n in range(SHORTEST, len(r.entry))}
+    return {r.entry: r.weight for r in rows if (r.entry, r.toxic, r.clean) not in longer}
+
+
+def one_of_copies(sample: DataFrame) -> DataFrame:
+    """One row (text, toxic) of each label and least hash of five words in a row, so that a group of
+    near copies, whose every word looks like a sign of its label, counts about once."""
+    words = F.split(F.trim(F.lower("text")), r"\s+")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 5)))
+    return sample.withColumn("w", words).groupBy("toxic", F.array_min(runs).alias("run")).agg(F.min("text").alias("text")).select("text", "toxic")
+
+
 def _cover(holders: list[tuple[int, list[int]]], weights: list[float], names: list[str], least: int, most: int) -> list[int]:
     """Entries which explain most toxic texts not explained yet, strongest first."""
     by_entry: dict[int, set[int]] = {}
@@ -164,15 +186,17 @@ def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, fl
     return float(a), float(b)
 
 
-def learn(sample: DataFrame, least_texts: int = 4, most_entries: int = 600, candidates: int = 5_000) -> Lexicon:
-    """A lexicon from rows (text, toxic). Copies of a text count once; without toxic rows it is empty."""
-    rows = materialize(sample.selectExpr("coalesce(text, '') text", "toxic = 1 toxic").dropDuplicates(["text"]), "toxic-sample")
-    totals = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
-    n_toxic, n_clean = totals.get(True, 0), totals.get(False, 0)
-    if not n_toxic:
-        return Lexicon({})
-    odds = F.log(((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1)))
-    kept = _count(rows, stems).withColumn("weight", odds).where((F.col("toxic") >= least_texts) & (F.col("weight") > 4.0))
+def certain_entries(rows: DataFrame, least_texts: int, candidates: int, precision: float, odds) -> dict[str, float]:
+    """Entries whose lower bound of precision reaches ``precision`` times the best entry's."""
+    kept = _count(rows, stems).withColumn("weight", odds()).where((F.col("toxic") >= least_texts) & (F.col("weight") > 1.0))
+    bounded = kept.withColumn("bound", precision_bound(F.col("toxic"), F.col("clean")))
+    best = bounded.orderBy(F.desc("bound"), F.desc("toxic"), "entry").limit(candidates).collect()
+    return longest_stems([r for r in best if r.bound >= precision * best[0].bound])
+
+
+def telling_entries(rows: DataFrame, least_texts: int, most: int, candidates: int, least_weight: float, odds) -> dict[str, float]:
+    """Entries which together explain the toxic ones of ``rows``, strongest first."""
+    kept = _count(rows, stems).withColumn("weight", odds()).where((F.col("toxic") >= least_texts) & (F.col("weight") > least_weight))
     best = kept.orderBy(F.desc(F.col("weight") * F.col("toxic")), "entry").limit(candidates).collect()
     names, weights = [r.entry for r in best], [r.weight for r in best]
     place = {name: k for k, name in enumerate(names)}
@@ -184,8 +208,42 @@ def learn(sample: DataFrame, least_texts: int = 4, most_entries: int = 600, cand
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["entries"])
 
     texts = [(k, list(r[0])) for k, r in enumerate(rows.mapInArrow(holders, "entries array<int>").collect())]
-    chosen = _cover(texts, weights, names, max(2, least_texts // 2), most_entries)
-    lexicon = {names[k]: weights[k] for k in sorted(chosen, key=lambda k: names[k])}
+    return {names[k]: weights[k] for k in _cover(texts, weights, names, max(2, least_texts // 2), most)}
+
+
+def without(rows: DataFrame, entries: list[str]) -> DataFrame:
+    """The rows in which no entry is found."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        tree = keep_tree(entries, ())
+        for batch in batches:
+            yield batch.filter(pa.array([not found_in(fold(t), tree) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def learn(
+    sample: DataFrame, least_texts: int = 4, most_entries: int = 600, candidates: int = 5_000,
+    precision: float = 0.9, least_weight: float = 4.0,
+) -> Lexicon:
+    """A lexicon from rows (text, toxic). Copies of a text count once; without toxic rows it is empty.
+
+    First come the entries that are nearly always a sign of a toxic text, then those that explain
+    the toxic texts without such a sign. Every entry stands in ``least_texts`` toxic texts.
+    """
+    rows = materialize(one_of_copies(sample.selectExpr("coalesce(text, '') text", "toxic = 1 toxic")), "toxic-sample")
+    totals = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
+    n_toxic, n_clean = totals.get(True, 0), totals.get(False, 0)
+    if not n_toxic:
+        return Lexicon({})
+
+    def odds() -> Column:
+        return F.log(((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1)))
+
+    certain = dict(list(certain_entries(rows, least_texts, candidates, precision, odds).items())[:most_entries])
+    rest = materialize(without(rows, list(certain)), "toxic-rest")
+    telling = telling_entries(rest, least_texts, most_entries - len(certain), candidates, least_weight, odds)
+    lexicon = dict(sorted((telling | certain).items()))
     entries = list(lexicon)
 
     def phrases(text: str) -> set[str]:
