@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from changeloom.operators.aggregate import FILE
 from changeloom.operators.ranking import ordered_list, rank_rows
-from changeloom.settings import DEFAULTS, SCHEMA_VERSION, Settings
+from changeloom.settings import DEFAULTS, GENERATOR, SCHEMA_VERSION, Settings
 
 # Texts of the cohort for files that no answer placed.
 LEFTOVER = {
@@ -186,7 +186,8 @@ def apply_cohort_ops(cohort_files: DataFrame, narrations: DataFrame, outcome: Da
         )
 
     told = rooted(narrations)
-    notes = F.array_distinct(F.flatten(ordered_list(["place"], "review_notes")["review_notes"]))
+    every = F.flatten(ordered_list(["place"], "review_notes")["review_notes"])
+    notes = F.when(F.count("*") > 1, F.array_distinct(every)).otherwise(every)
     own = lambda name: F.max(F.when(F.col("cohort_idx") == F.col("root"), F.col(name)))
     merged = told.groupBy("change_id", "root").agg(
         notes.alias("review_notes"), own("title").alias("title"), own("intent").alias("intent"),
@@ -235,14 +236,57 @@ def assemble_analysis(
     return rows.groupBy("change_id").agg(ordered_list(["cohort_idx"], "cohort")["cohort"].alias("cohorts"))
 
 
-def nested_files(files: DataFrame, hunks: DataFrame, lines: DataFrame) -> DataFrame:
-    """(change_id, file_idx, file): files with nested hunks and lines."""
+def finished_analysis(
+    analyses: DataFrame, heads: DataFrame, files: DataFrame, summaries: DataFrame, mechanical: DataFrame,
+    stubbed_cohorts: DataFrame,
+) -> DataFrame:
+    """(change_id, analysis): cohorts with title, overview and the lists of where texts came from.
+
+    ``heads`` is (change_id, title, overview), ``summaries`` (change_id, file_idx, key_symbols,
+    stubbed), ``mechanical`` (change_id, file_idx), ``stubbed_cohorts`` (change_id, cohort_idx).
+    Files are listed by path, then number; symbol lists stand in file order, one per file.
+    """
+    marks = (
+        files.select(*FILE, "path").join(summaries.select(*FILE, "key_symbols", "stubbed"), FILE, "left")
+        .join(mechanical.select(*FILE, F.lit(True).alias("mechanical")), FILE, "left")
+        .withColumn("symbols", F.coalesce("key_symbols", F.array().cast("array<string>")))
+    )
+
+    def listed(flag: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col(flag), F.struct("path", "file_idx"))))["file_idx"]
+
+    lists = marks.groupBy("change_id").agg(
+        listed("stubbed").alias("stubbedFiles"), listed("mechanical").alias("mechanicalFiles"),
+        ordered_list(["file_idx"], "symbols")["symbols"].alias("fileKeySymbols"),
+    )
+    stubs = stubbed_cohorts.groupBy("change_id").agg(F.sort_array(F.collect_list("cohort_idx")).alias("stubs"))
+    return analyses.join(heads, "change_id").join(lists, "change_id").join(stubs, "change_id", "left").select(
+        "change_id",
+        F.struct(
+            "title", "overview", "cohorts", "stubbedFiles", "mechanicalFiles", "fileKeySymbols",
+            F.coalesce("stubs", F.array().cast("array<int>")).alias("stubbedCohorts"),
+        ).alias("analysis"),
+    )
+
+
+def nested_files(files: DataFrame, hunks: DataFrame, lines: DataFrame, blame: DataFrame | None = None) -> DataFrame:
+    """(change_id, file_idx, file): files with nested hunks and lines, and the hunks' authors.
+
+    ``blame`` comes from ``blame_hunks``; without it no hunk has an author.
+    """
     rows = lines.groupBy(*FILE, "hunk_idx").agg(
         F.transform(ordered_list(["line_idx"], "t", "old", "new", "text"), lambda x: x.dropFields("line_idx"))
         .alias("lines")
     )
-    per_file = hunks.join(rows, [*FILE, "hunk_idx"], "left").groupBy(*FILE).agg(
-        F.transform(ordered_list(["hunk_idx"], "header", "lines"), lambda x: x.dropFields("hunk_idx")).alias("hunks")
+    joined = hunks.join(rows, [*FILE, "hunk_idx"], "left")
+    if blame is None:
+        joined = joined.withColumn("blame", F.lit(None).cast("struct<author:string,date:string>"))
+    else:
+        authors = blame.select(*FILE, "hunk_idx", F.struct("author", "date").alias("blame"))
+        joined = joined.join(authors, [*FILE, "hunk_idx"], "left")
+    per_file = joined.groupBy(*FILE).agg(
+        F.transform(ordered_list(["hunk_idx"], "header", "lines", "blame"), lambda x: x.dropFields("hunk_idx"))
+        .alias("hunks")
     )
     empty = F.array().cast(per_file.schema["hunks"].dataType)
     return files.join(per_file, FILE, "left").select(
@@ -255,26 +299,33 @@ def nested_files(files: DataFrame, hunks: DataFrame, lines: DataFrame) -> DataFr
     )
 
 
-def documents(changes: DataFrame, file_rows: DataFrame, analyses: DataFrame, staged: DataFrame) -> DataFrame:
-    """One nested document per change, ready for a JSON sink.
+def source_and_files(changes: DataFrame, file_rows: DataFrame) -> DataFrame:
+    """(change_id, source, files): what a document says about the change itself.
 
-    ``changes`` is (change_id, title, description, range, url, name), ``file_rows`` comes
-    from ``nested_files``, ``analyses`` from ``assemble_analysis``, ``staged`` is (change_id,
-    staged).
+    ``changes`` is (change_id, title, description, range, url, name) and may name a ``repo_dir``.
     """
     per_change = file_rows.groupBy("change_id").agg(ordered_list(["file_idx"], "file")["file"].alias("files"))
-    return (
-        changes.join(per_change, "change_id").join(analyses, "change_id").join(staged, "change_id")
-        .select(
-            "change_id", F.lit(SCHEMA_VERSION).alias("schemaVersion"),
-            F.struct("title", "description", "range", "url", "name").alias("source"),
-            "files", F.struct("cohorts").alias("analysis"),
-            F.struct(F.lit(False).alias("cached"), "staged").alias("meta"),
-        )
+    place = F.col("repo_dir") if "repo_dir" in changes.columns else F.lit("")
+    source = F.struct("title", "description", "range", "url", "name", place.alias("repoDir"))
+    return changes.select("change_id", source.alias("source")).join(per_change, "change_id")
+
+
+def documents(
+    changes: DataFrame, file_rows: DataFrame, analyses: DataFrame, staged: DataFrame, provider: str = "", model: str = "",
+) -> DataFrame:
+    """One nested document per change, ready for a JSON sink.
+
+    ``file_rows`` comes from ``nested_files``, ``analyses`` from ``finished_analysis``, ``staged``
+    is (change_id, staged); ``provider`` and ``model`` name who gave the answers.
+    """
+    return source_and_files(changes, file_rows).join(analyses, "change_id").join(staged, "change_id").select(
+        "change_id", F.lit(SCHEMA_VERSION).alias("schemaVersion"), "source", "files", "analysis",
+        F.struct(
+            F.lit(provider).alias("provider"), F.lit(model).alias("model"), F.lit(GENERATOR).alias("generator"),
+            F.lit(False).alias("cached"), "staged",
+        ).alias("meta"),
     )
 
 
 def doc_sink(docs: DataFrame, path: str) -> None:
     docs.write.mode("append").json(path)
-
-

@@ -138,22 +138,59 @@ def required_lists(rows: DataFrame, names: list[str], keys: list[str], prefix: C
     ])
 
 
-def validate_content(analyses: DataFrame) -> DataFrame:
-    """Blank texts and missing lists of one-pass answers (change_id, title, overview, cohorts)."""
-    cohorts = analyses.select("change_id", F.posexplode("cohorts").alias("cohort_idx", "c")).select(
-        "change_id", "cohort_idx", "c.*"
-    )
+def validate_content(analyses: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Blank texts and missing lists of one-pass answers (keys, title, overview, cohorts)."""
+    keys = keys or ["change_id"]
+    cohorts = analyses.select(*keys, F.posexplode("cohorts").alias("cohort_idx", "c")).select(*keys, "cohort_idx", "c.*")
     lead = F.format_string("cohorts[%d].", "cohort_idx")
     none = errors(
         analyses.where(F.col("cohorts").isNull() | (F.size("cohorts") == 0)), "no_cohorts",
-        F.lit("cohorts must contain at least one item"),
+        F.lit("cohorts must contain at least one item"), keys,
     )
     return all_of(
-        required_texts(analyses, ["title", "overview"], ["change_id"]),
+        required_texts(analyses, ["title", "overview"], keys),
         none,
-        required_texts(cohorts, ["title", "layer", "intent", "narrative"], ["change_id"], lead),
-        required_lists(cohorts, ["files", "fileSummaries", "reviewNotes", "dependsOn"], ["change_id"], lead),
+        required_texts(cohorts, ["title", "layer", "intent", "narrative"], keys, lead),
+        required_lists(cohorts, ["files", "fileSummaries", "reviewNotes", "dependsOn"], keys, lead),
+    )
+
+
+def validate_claims(analyses: DataFrame, sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """Rules on the file lists of one-pass answers before repeated and missing files are mended.
+
+    ``sizes`` is (change_id, n), the number of files.
+    """
+    cohorts = analyses.select(*keys, F.posexplode("cohorts").alias("cohort_idx", "c")).select(*keys, "cohort_idx", "c.files", "c.fileSummaries")
+    length = lambda name: F.size(F.coalesce(name, F.array()))
+    parallel = errors(
+        cohorts.where(length("files") != length("fileSummaries")), "parallel",
+        F.format_string("cohorts[%d].fileSummaries must be parallel to files", "cohort_idx"), keys,
+    )
+    named = cohorts.select(*keys, "cohort_idx", F.explode("files").alias("file_idx")).join(sizes, "change_id")
+    outside = F.col("file_idx").isNull() | (F.col("file_idx") < 0) | (F.col("file_idx") >= F.col("n"))
+    wrong = errors(named.where(outside), "range", index_message("files contains out-of-range index %d", "file_idx"), keys)
+    return parallel.unionByName(wrong)
+
+
+def validate_finished(analyses: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Every rule on finished analyses (change_id, analysis), their lists and their texts."""
+    own = sizes.join(analyses, "change_id", "left_semi")
+    whole = analyses.select("change_id", "analysis.*")
+    rows = whole.select("change_id", F.posexplode("cohorts").alias("cohort_idx", "c"))
+    cohorts = rows.select("change_id", "cohort_idx", "c.layer", F.size("c.fileSummaries").alias("summary_count"))
+    claims = rows.select("change_id", "cohort_idx", F.posexplode("c.files").alias("pos", "file_idx"))
+    deps = rows.select("change_id", "cohort_idx", F.explode("c.dependsOn").alias("dep_idx"))
+    part = lambda name: whole.select("change_id", F.explode(name).alias("idx"))
+    symbols = whole.where("fileKeySymbols IS NOT NULL").select(
+        "change_id", F.size("fileKeySymbols").alias("listed"),
+        F.size(F.filter("fileKeySymbols", lambda x: x.isNull())).alias("missing"),
+    )
+    complete = validate_complete(
+        validate_membership(own, cohorts, claims, deps), own, cohorts, part("stubbedFiles"), part("mechanicalFiles"),
+        symbols, part("stubbedCohorts"),
     )
+    names = ["stubbedFiles", "mechanicalFiles", "fileKeySymbols", "stubbedCohorts"]
+    return all_of(complete, required_lists(whole, names, ["change_id"]), validate_content(whole))
 
 
 def validate_narration(narrations: DataFrame, keys: list[str]) -> DataFrame:

@@ -20,7 +20,7 @@ from changeloom.operators import resolve as R
 from changeloom.operators import triage as TG
 from changeloom.operators import validate as V
 from changeloom.operators import windows as W
-from changeloom.settings import DEFAULTS, Settings
+from changeloom.settings import DEFAULTS, SCHEMA_VERSION, Settings
 from changeloom.sources import patches, responses, tables
 from changeloom.sources.shared import materialize
 
@@ -83,10 +83,25 @@ def single_prompts(t: ChangeTables, decision: DataFrame, settings: Settings = DE
     """Prompts of the changes that one call can hold."""
     one = decision.where("NOT staged").select("change_id")
     keep = lambda frame: frame.join(one, "change_id", "left_semi")
-    source = keep(t.changes)
-    if "description" not in source.columns:
-        source = source.withColumn("description", F.lit(""))
-    return P.prompt_single(source, keep(t.files), keep(t.lines), keep(t.hunks), settings.stage_budget, settings)
+    return P.prompt_single(with_description(keep(t.changes)), keep(t.files), keep(t.lines), keep(t.hunks), settings.stage_budget, settings)
+
+
+def moved(frame: DataFrame, order: DataFrame) -> DataFrame:
+    """Rows of cohorts under the cohorts' new numbers."""
+    renamed = frame.join(order, ["change_id", "cohort_idx"]).drop("cohort_idx").withColumnRenamed("new_idx", "cohort_idx")
+    return renamed.select(*frame.columns)
+
+
+def in_order(cohort_files: DataFrame, edges: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Cohort files in reading order with ordered cohorts, and the dependencies, as the settings ask."""
+    read, order, deps = order_of(cohort_files, edges, settings)
+    return read if order is None else moved(read, order), deps
+
+
+def order_of(cohort_files: DataFrame, edges: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    read = G.reorder_cohort_files(cohort_files, edges) if settings.reading_order else cohort_files
+    order, deps = G.stable_cohort_order(edges, read, settings) if settings.step_order else (None, G.cohort_deps(edges, read, settings))
+    return read, order, deps if settings.cohort_dependencies else deps.where(F.lit(False))
 
 
 def staged_plan(t: ChangeTables, attributes: DataFrame, settings: Settings = DEFAULTS) -> StagedPlan:
@@ -97,9 +112,7 @@ def staged_plan(t: ChangeTables, attributes: DataFrame, settings: Settings = DEF
     triaged = materialize(TG.heuristic_flags(TG.triage(t.files, attributes), t.lines), "triaged")
     edges = materialize(R.build_edges(t.files, t.lines), "edges")
     planned = materialize(W.plan_cohorts(t.files, settings.staging_max_files, bounded=False), "cohorts")
-    read = G.reorder_cohort_files(planned, edges)
-    order, deps = G.stable_cohort_order(edges, read, settings)
-    placed = read.join(order, ["change_id", "cohort_idx"]).drop("cohort_idx").withColumnRenamed("new_idx", "cohort_idx")
+    placed, deps = in_order(planned, edges, settings)
     placed = materialize(placed, "cohort-files")
     sizes = A.diff_bytes(t.lines, t.hunks)
     body = F.when(F.col("binary"), len(A.BINARY_TEXT)).otherwise(F.coalesce("diff_bytes", F.lit(0)))
@@ -149,22 +162,193 @@ def batch_summaries(plan: StagedPlan, answers: DataFrame) -> tuple[DataFrame, Da
     return answered.unionByName(failed).unionByName(mechanical), violations
 
 
-def assemble(t: ChangeTables, plan: StagedPlan, summaries: DataFrame, told: DataFrame) -> DataFrame:
-    """Finished documents. ``told`` is (change_id, cohort_idx, title, intent, narrative,
-    review_notes) from accepted narrations; cohorts without one get a narration from counts."""
-    layers = plan.cohort_files.groupBy("change_id", "cohort_idx").agg(F.first("layer").alias("layer"))
+def accepted_answers(answers: DataFrame, unit: list[str], schema: str, rules) -> tuple[DataFrame, DataFrame]:
+    """Decoded answers: of each unit the first of two attempts that broke no rule; and the violations.
+
+    ``answers`` is ``unit`` + (attempt, raw); ``rules`` maps decoded answers to violations.
+    """
+    read = responses.read_responses(answers.where("attempt < 2")).drop("raw")
+    parsed = materialize(responses.repair_responses(read, schema), "decoded-answers")
+    tries = parsed.select(*unit, "attempt", (F.col("status") != "failed").alias("parsed"))
+    decoded = parsed.where("status <> 'failed'").select(*unit, "attempt", "answer.*")
+    violations = materialize(rules(decoded), "answer-violations")
+    accepted = V.accepted_attempts(tries, violations, unit)
+    return materialize(decoded.join(accepted, [*unit, "attempt"]).drop("attempt"), "accepted-answers"), violations
+
+
+def file_counts(t: ChangeTables) -> DataFrame:
+    return t.files.groupBy("change_id").agg(F.count("*").cast("int").alias("n"))
+
+
+def single_analyses(t: ChangeTables, answers: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+    """(change_id, analysis) of answers (change_id, attempt, raw) to single prompts, and violations.
+
+    Each file stays in the first cohort that names it, files in none get a cohort of their own,
+    dependencies follow the new numbers and files stand in reading order.
+    """
+    sizes, keys = file_counts(t), ["change_id", "attempt"]
+    accepted, violations = accepted_answers(
+        answers, ["change_id"], responses.ANALYSIS_SCHEMA,
+        lambda d: V.validate_content(d, keys).unionByName(V.validate_claims(d, sizes, keys)),
+    )
+    none = F.array().cast("array<string>")
+    cohorts = accepted.select("change_id", F.posexplode("cohorts").alias("old_idx", "c"))
+    claims = cohorts.select("change_id", "old_idx", F.posexplode(F.arrays_zip("c.files", "c.fileSummaries")).alias("pos", "f")).select(
+        "change_id", "old_idx", "pos", F.col("f.files").alias("file_idx"), F.col("f.fileSummaries").alias("summary")
+    )
+    texts = claims.groupBy("change_id", "old_idx", "file_idx").agg(F.min_by("summary", "pos").alias("summary"))
+    kept = materialize(
+        W.first_assignment(claims.withColumnRenamed("old_idx", "cohort_idx").drop("summary"), sizes, bounded=False)
+        .join(texts, ["change_id", "old_idx", "file_idx"]), "first-claims",
+    )
+    files = t.files.join(accepted, "change_id", "left_semi")
+    rest = materialize(S.leftover_files(files, kept, bounded=False), "leftover-files")
+    own = ["change_id", "cohort_idx", "pos", "file_idx", "summary"]
+    placed = kept.select(*own).unionByName(rest.select(*own))
+    numbers = kept.select("change_id", "old_idx", "cohort_idx").distinct()
+    told = cohorts.join(numbers, ["change_id", "old_idx"]).select(
+        "change_id", "cohort_idx", "c.title", W.known_layer(F.col("c.layer")).alias("layer"), "c.intent", "c.narrative",
+        F.coalesce("c.reviewNotes", none).alias("review_notes"),
+    )
+    others = rest.select("change_id", "cohort_idx", "title", "layer").distinct().select(
+        "*", F.lit(S.LEFTOVER["intent"]).alias("intent"), F.lit(S.LEFTOVER["narrative"]).alias("narrative"), none.alias("review_notes"),
+    )
+    given = cohorts.select("change_id", "old_idx", F.posexplode("c.dependsOn").alias("pos", "old_dep"))
+    if settings.reading_order:
+        lines = t.lines.join(accepted, "change_id", "left_semi")
+        placed = G.reorder_cohort_files(placed, materialize(R.build_edges(files, lines), "edges"))
+    analyses = S.assemble_analysis(placed, told.unionByName(others), placed.select(*FILE, "summary"), S.remap_deps(given, numbers))
+    nothing = files.where(F.lit(False)).select(*FILE, none.alias("key_symbols"), F.lit(False).alias("stubbed"), F.lit(0).alias("cohort_idx"))
+    return S.finished_analysis(analyses, accepted.select("change_id", "title", "overview"), files, nothing, nothing, nothing), violations
+
+
+def cohort_inputs(plan: StagedPlan, summaries: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Input text per cohort for its narration: the digest of its files, between delimiters."""
+    digests = A.cohort_digest(plan.cohort_files, plan.triaged, summaries, settings.stage_budget, settings)
+    return digests.select("change_id", "cohort_idx", P.framed(F.col("digest"), F.col("change_id")).alias("prompt"))
+
+
+def narrate(t: ChangeTables, plan: StagedPlan, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Narrations per cohort, and the violations behind stubs.
+
+    ``answers`` is (change_id, cohort_idx, attempt, raw). A cohort without an accepted attempt is
+    told by its counts and marked as a stub.
+    """
     key = ["change_id", "cohort_idx"]
-    stubs = A.cohort_stub(plan.cohort_files, t.files).join(told.select(*key), key, "left_anti").withColumn(
-        "review_notes", F.array().cast("array<string>")
+    accepted, violations = accepted_answers(
+        answers, key, responses.NARRATION_SCHEMA, lambda d: V.validate_narration(d, [*key, "attempt"])
     )
-    narrations = told.unionByName(stubs.select(*told.columns)).join(layers, key)
-    analyses = S.assemble_analysis(plan.cohort_files, narrations, summaries, plan.deps)
-    source = t.changes.withColumn("description", F.lit("")).withColumn("url", F.lit(None).cast("string"))
-    staged = analyses.select("change_id", F.lit(True).alias("staged"))
-    return S.documents(source, S.nested_files(t.files, t.hunks, t.lines), analyses, staged)
+    told = accepted.withColumnRenamed("reviewNotes", "review_notes").withColumn("stubbed", F.lit(False))
+    stubs = A.cohort_stub(plan.cohort_files, t.files).join(told.select(*key), key, "left_anti").select(
+        "*", F.array().cast("array<string>").alias("review_notes"), F.lit(True).alias("stubbed")
+    )
+    layers = plan.cohort_files.groupBy(*key).agg(F.first("layer").alias("layer"), F.count("*").alias("files"))
+    return materialize(told.unionByName(stubs).join(layers, key), "narrations"), violations
+
+
+def synthesis_inputs(t: ChangeTables, told: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """Input text per change for the synthesis: every cohort has its fair share of the budget."""
+    source = t.changes.join(told, "change_id", "left_semi")
+    return P.fair_share(with_description(source), told, settings.stage_budget)
+
+
+def refine(plan: StagedPlan, told: DataFrame, outcome: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cohort files, narrations and dependencies after the operations of the synthesis.
+
+    Changes with an applied operation are ordered again; all others stay as they were planned.
+    """
+    done = outcome.where("kind <> 'skip'").select("change_id").distinct()
+    hit = lambda frame: frame.join(done, "change_id", "left_semi")
+    same = lambda frame: frame.join(done, "change_id", "left_anti")
+    told = told.drop("files")
+    files, renamed = S.apply_cohort_ops(hit(plan.cohort_files), hit(told), outcome)
+    read, order, deps = order_of(materialize(files, "merged-cohorts"), hit(plan.edges), settings)
+    if order is not None:
+        read, renamed = moved(read, order), moved(renamed, order)
+    return same(plan.cohort_files).unionByName(read), same(told).unionByName(renamed), same(plan.deps).unionByName(deps)
+
+
+def staged_analyses(
+    t: ChangeTables, plan: StagedPlan, summaries: DataFrame, told: DataFrame, answers: DataFrame, settings: Settings = DEFAULTS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(change_id, analysis) of staged changes, violations, and outcomes of cohort operations.
+
+    ``answers`` is (change_id, attempt, raw), the synthesis; a change without an accepted one has
+    no analysis.
+    """
+    heads, violations = accepted_answers(
+        answers, ["change_id"], "title STRING, overview STRING, cohortOps STRING",
+        lambda d: V.validate_synthesis(d, ["change_id", "attempt"]),
+    )
+    asked = heads.where("cohortOps IS NOT NULL" if settings.cohort_operations else "false")
+    counts = plan.cohort_files.groupBy("change_id").agg(F.countDistinct("cohort_idx").cast("int").alias("cohorts"))
+    outcome = materialize(
+        S.cohort_ops(S.decode_ops(asked.select("change_id", F.col("cohortOps").alias("ops"))), counts, settings), "cohort-operations"
+    )
+    cohort_files, told, deps = refine(plan, told, outcome, settings)
+    told = materialize(told, "told")
+    analyses = S.assemble_analysis(cohort_files, told, summaries, deps)
+    finished = S.finished_analysis(
+        analyses, heads.select("change_id", "title", "overview"), t.files, summaries,
+        plan.triaged.where("reason IS NOT NULL"), told.where("stubbed"),
+    )
+    return finished, violations, outcome
+
+
+def with_description(changes: DataFrame) -> DataFrame:
+    return changes if "description" in changes.columns else changes.withColumn("description", F.lit(""))
+
+
+def described(changes: DataFrame) -> DataFrame:
+    return with_description(changes) if "url" in changes.columns else with_description(changes).withColumn("url", F.lit(None).cast("string"))
+
+
+def finish(
+    t: ChangeTables, analyses: DataFrame, staged: bool, blame: DataFrame | None = None, provider: str = "", model: str = ""
+) -> tuple[DataFrame, DataFrame]:
+    """Documents of the analyses that keep every rule, and the violations of the others.
+
+    ``blame`` is (change_id, path, line, ...) as ``read_blame`` gives it.
+    """
+    analyses = materialize(analyses, "analyses")
+    errors = materialize(V.validate_finished(analyses, file_counts(t)), "analysis-errors")
+    good = analyses.join(errors.select("change_id").distinct(), "change_id", "left_anti")
+    authors = None if blame is None else A.blame_hunks(t.files, t.lines, blame)
+    how = good.select("change_id", F.lit(staged).alias("staged"))
+    rows = S.nested_files(t.files, t.hunks, t.lines, authors)
+    return S.documents(described(t.changes), rows, good, how, provider, model), errors
 
 
 def reuse(requests: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Requests (change_id, key) split into those with a usable stored document and the rest."""
     looked = materialize(tables.cache_lookup(requests, store), "lookups")
     return looked.where("cached"), looked.where("NOT cached").select("change_id", "key")
+
+
+def store_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows for the store of documents: (key, schemaVersion, analysis, meta, mtime), to be appended.
+
+    ``keys`` is (change_id, key, mtime).
+    """
+    return docs.join(keys, "change_id").select("key", "schemaVersion", "analysis", F.col("meta").withField("cached", F.lit(False)).alias("meta"), "mtime")
+
+
+def reused_documents(t: ChangeTables, requests: DataFrame, store: DataFrame, blame: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Stored documents with the change's own source and files, and the requests without one.
+
+    ``requests`` is (change_id, key, staged). The newest entry of a key counts; it must have this
+    schema version, be staged as asked and keep every rule for the change's files.
+    """
+    asked = store.join(requests.select("key").distinct(), "key", "left_semi")
+    newest = asked.groupBy("key").agg(F.max_by(F.struct("schemaVersion", "analysis", "meta"), "mtime").alias("d")).select("key", "d.*")
+    found = materialize(
+        requests.join(newest, "key").where((F.col("schemaVersion") == SCHEMA_VERSION) & (F.col("meta.staged") == F.col("staged"))), "stored-documents"
+    )
+    errors = V.validate_finished(found.select("change_id", "analysis"), file_counts(t))
+    good = materialize(found.join(errors.select("change_id").distinct(), "change_id", "left_anti"), "reused")
+    authors = None if blame is None else A.blame_hunks(t.files, t.lines, blame)
+    rows = S.nested_files(*(x.join(good, "change_id", "left_semi") for x in (t.files, t.hunks, t.lines)), authors)
+    docs = S.source_and_files(described(t.changes), rows).join(good, "change_id").select(
+        "change_id", "schemaVersion", "source", "files", "analysis", F.col("meta").withField("cached", F.lit(True)).alias("meta")
+    )
+    return docs, requests.join(good, "change_id", "left_anti")

@@ -319,8 +319,14 @@ def doc_sink(spark, sf_dir):
     """Documents written as JSON lines, read back, one row per file for comparison."""
     lines = V.lines(spark, sf_dir)
     source = changes(spark, sf_dir)
+    files = V.files(spark, sf_dir)
+    told = summaries(spark, sf_dir).withColumn("stubbed", F.col("file_idx") % 7 == 3)
+    finished = S.finished_analysis(
+        analyses(spark, sf_dir), source.select("change_id", "title", F.col("description").alias("overview")), files, told,
+        files.where("binary"), narrations(spark, sf_dir).where("stubbed"),
+    )
     docs = S.documents(
-        source, S.nested_files(V.files(spark, sf_dir), V.hunks(lines), lines), analyses(spark, sf_dir),
+        source, S.nested_files(files, V.hunks(lines), lines), finished,
         source.select("change_id", F.col("change_id").contains("1").alias("staged")),
     )
     target = new_path(spark, "documents")

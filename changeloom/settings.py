@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass
 
 SCHEMA_VERSION = 6
+GENERATOR = "changeloom"
 
 # The layer names an analysis may use.
 LAYERS = ("schema", "backend", "api", "ui", "tests", "config", "docs", "other")
@@ -44,6 +45,10 @@ class Settings:
     cache_max_entries: int = 200
     list_limit: int = 1_000
     section_limit: int = 8
+    reading_order: bool = True
+    step_order: bool = True
+    cohort_dependencies: bool = True
+    cohort_operations: bool = True
 
     def as_dict(self) -> dict:
         return asdict(self)
