@@ -5,7 +5,8 @@ size), and only the rarest few of a line, its prefix, are indexed: two lines as
 threshold share a word of both prefixes. A pair found there must pass the length filter, the
 positional filter and a parity bitmap, whose differing bits never exceed the differing words.
 Words at the top of the count table are indexed together with a second word each, which is as
-exact because similar lines share at least two. Lines with equal sets count once.
+exact because similar lines share at least two. Lines with equal sets count once. Lines of so few
+words that they can only match an equal set (1 to 3 words at 0.8) have one entry, their set's hash.
 
 Pairs that pass are gathered into clusters, whose lines meet in pairs of bounded blocks, where
 Jaccard is computed on the full sets. A line goes if an earlier one (by id, then line number) is
@@ -76,6 +77,21 @@ def count_words(documents: DataFrame) -> np.ndarray:
     return table.ravel()
 
 
+def set_hashes(hashes: np.ndarray, lines: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Hash of the word set, from whole word hashes, of the chosen lines (ascending numbers)."""
+    if not len(chosen):
+        return np.empty(0, np.uint64)
+    listed = np.zeros(int(lines.max()) + 1, bool)
+    listed[chosen] = True
+    at = np.flatnonzero(listed[lines])
+    at = at[np.lexsort((hashes[at], lines[at]))]
+    word, line = hashes[at], lines[at]
+    new = np.r_[True, (line[1:] != line[:-1]) | (word[1:] != word[:-1])]
+    word, line = word[new], line[new]
+    begin = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+    return mix(np.add.reduceat(mix(word), begin) + np.diff(np.r_[begin, len(line)]).astype(np.uint64))
+
+
 def prefixes(hashes: np.ndarray, lines: np.ndarray, classes: np.ndarray, percent: int, least: int) -> tuple[np.ndarray, ...]:
     """Per line of ``least`` words or more: its entries (token, position) and its line's number,
     size, bitmap and set hash. ``lines`` are ascending line numbers of a slice."""
@@ -98,15 +114,18 @@ def prefixes(hashes: np.ndarray, lines: np.ndarray, classes: np.ndarray, percent
     bits = np.bitwise_xor.reduceat(bit * half, begin)
     more = np.bitwise_xor.reduceat(bit * (np.uint64(1) - half), begin)
     bits, more = np.where(size <= SHORT, bits ^ more, bits), np.where(size <= SHORT, np.uint64(0), more)
-    ok = size >= least
+    ok, few = size >= least, size * (100 - percent) < percent  # one word more or less is already below the threshold
+    short = np.flatnonzero(ok & few & (token[begin] >> np.uint64(HASH_BITS) > 1))
+    wide = set_hashes(hashes, lines, owner[begin[short]])
+    bits[short], more[short], sets[short] = wide, 0, (wide >> np.uint64(32)).astype(np.uint32)
     prefix = size - -(-percent * size // 100) + 1
     pos = np.arange(len(owner)) - np.repeat(begin, size)
     # A word which the whole corpus holds once is in no other line.
-    taken = (pos < np.repeat(prefix, size)) & np.repeat(ok, size) & (token >> np.uint64(HASH_BITS) > 1)
+    taken = (pos < np.repeat(prefix, size)) & np.repeat(ok & ~few, size) & (token >> np.uint64(HASH_BITS) > 1)
     at = np.flatnonzero(taken)
     row = np.repeat(np.arange(len(begin)), size)[at]
     hot = token[at] >> np.uint64(HASH_BITS) == TOP
-    tokens, rows, places = [token[at[~hot]]], [row[~hot]], [pos[at[~hot]]]
+    tokens, rows, places = [wide, token[at[~hot]]], [short, row[~hot]], [np.zeros(len(short), np.int64), pos[at[~hot]]]
     for k in np.flatnonzero(hot).tolist():  # with every later word of the prefix of two
         i, r = at[k], row[k]
         partners = token[i + 1:begin[r] + prefix[r] + 1]
@@ -409,8 +428,11 @@ def drop_lines(documents: DataFrame, removed: DataFrame, id_column: str = "doc_i
     return documents.join(listed, F.col(id_column).cast("long") == F.col("_doc"), "left").withColumn("text", text).select(*documents.columns)
 
 
-def line_report(documents: DataFrame, percent: int = 80, least_words: int = 5, id_column: str = "doc_id") -> DataFrame:
-    """(id, n_lines, n_removed, removed_lines) of every row; a null or empty text has one empty line."""
+def line_report(documents: DataFrame, percent: int = 80, least_words: int = 1, id_column: str = "doc_id") -> DataFrame:
+    """(id, n_lines, n_removed, removed_lines) of every row; a null or empty text has one empty line.
+
+    All lines with a word are judged, however short.
+    """
     gone = similar_lines(documents, percent, least_words, id_column)
     listed = gone.groupBy(F.col("doc").alias("_doc")).agg(F.sort_array(F.collect_list("line")).alias("_gone"))
     rows = documents.select(

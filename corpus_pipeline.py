@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from changeloom.llm import bpe_chunks, fertility, line_join, odd_minhash, queries, winnow
 from changeloom.sources.shared import materialize
 
-PASSAGE_WORDS = 5
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the quality rules."""
@@ -21,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that repeat an earlier one; ``n_chars`` follows the text."""
-    left = line_join.drop_lines(docs, line_join.similar_lines(docs, least_words=PASSAGE_WORDS))
+    """All documents, without lines of any length that repeat an earlier one; ``n_chars`` follows the text."""
+    left = line_join.drop_lines(docs, line_join.similar_lines(docs, least_words=1))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
