@@ -11,7 +11,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changeloom.llm.worker import slices, word_spans
+from changeloom.llm.worker import BLOCK, slices, word_spans
 from changeloom.sources.shared import materialize
 
 # The base patterns, their least lengths, and the order of kinds.
@@ -235,22 +234,32 @@ def labelled(documents: DataFrame, most: int = 2_000) -> dict[str, list[str]]:
     return {kind: secrets for kind, secrets in found.items() if secrets}
 
 
-def ordinary_text(documents: DataFrame, most: int = 1_000, id_column: str = "doc_id") -> list[float]:
-    """Log-frequencies of the symbols in the words of a bounded sample of texts."""
-    chosen = [r[0] for r in documents.where(F.col(id_column).isNotNull()).select(id_column).orderBy(F.xxhash64(id_column), id_column).limit(most).collect()]
-    counts: Counter[int] = Counter()
-    for row in documents.where(F.col(id_column).isin(chosen)).select(F.substring("text", 1, 4000).alias("text")).limit(2 * most).toLocalIterator():
-        for word in re.findall(r"[A-Za-z0-9+/_.=-]+", row.text or ""):
-            counts.update(symbols(word))
-    total = sum(counts.values()) + ALPHABET
-    return [math.log((counts[s] + 1) / total) for s in range(ALPHABET)]
+def ordinary_text(documents: DataFrame) -> list[float]:
+    """Log-frequencies of the symbols in the words of all texts."""
+    names = [f"n{s}" for s in range(ALPHABET)]
+
+    def count(batches):
+        table = class_table()
+        kinds = np.array([symbol(chr(b)) if table[b] else ALPHABET for b in range(256)], np.int64)
+        total = np.zeros(ALPHABET, np.int64)
+        for batch in batches:
+            for _, _, data, _ in slices(batch.column("text")):
+                for at in range(0, len(data), BLOCK):
+                    bytes_ = np.bincount(data[at:at + BLOCK], minlength=256)
+                    total += np.bincount(kinds, bytes_, ALPHABET + 1)[:ALPHABET].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()) for n in total.tolist()], names=names)
+
+    sums = documents.selectExpr("cast(text as string) text").mapInArrow(count, ", ".join(f"{n} long" for n in names))
+    counts = [n or 0 for n in sums.agg(*[F.sum(n) for n in names]).first()]
+    total = sum(counts) + ALPHABET
+    return [math.log((n + 1) / total) for n in counts]
 
 
-def learn(documents: DataFrame, most: int = 2_000, id_column: str = "doc_id", threshold: float = 0.35) -> Formats:
+def learn(documents: DataFrame, most: int = 2_000, threshold: float = 0.35) -> Formats:
     """Formats of the credentials that the base patterns find; none when they find none."""
     found = labelled(documents, most)
     automata = {kind: to_logs(infer(sorted(map(symbols, secrets)))) for kind, secrets in found.items()}
-    return Formats(automata, ordinary_text(documents, id_column=id_column), threshold)
+    return Formats(automata, ordinary_text(documents), threshold)
 
 
 def joined(spans: list[tuple[int, int, str, str]]) -> str:

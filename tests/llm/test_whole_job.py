@@ -1,8 +1,11 @@
-"""Cases that a cut would hide: short lines."""
+"""Cases that a cut would hide: short lines, ends of long texts."""
 
+import math
 import random
+import re
+from collections import Counter
 
-from changeloom.llm import line_join
+from changeloom.llm import automata, line_join
 
 WORDS = "ash birch cedar elm fir hazel larch maple oak pine".split()
 
@@ -31,3 +34,15 @@ def test_lines_of_few_words_are_judged(spark):
     expected = brute_force(texts)
     assert {(k, int(x)) for k, r in found.items() for x in r.removed_lines.split(",") if x} == expected
     assert {(6, 0), (6, 1), (8, 0), (9, 0)} <= expected
+
+
+def test_ordinary_text_counts_whole_texts_of_all_rows(spark):
+    rng = random.Random(9)
+    say = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [None, "", "é 日本", *(say("abcxyz012 .", 50) for _ in range(1_500)), say("abc xyz", 5_000) + say("ABCXYZ+/_= é-", 30_000)]
+    rows = [(k if k % 7 else None, t) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    counts = Counter(s for t in texts for word in re.findall("[A-Za-z0-9+/_.=-]+", t or "") for s in automata.symbols(word))
+    total = sum(counts.values()) + automata.ALPHABET
+    assert automata.ordinary_text(frame) == [math.log((counts[s] + 1) / total) for s in range(automata.ALPHABET)]
+    assert automata.ordinary_text(frame.limit(0)) == [math.log(1 / automata.ALPHABET)] * automata.ALPHABET
