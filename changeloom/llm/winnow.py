@@ -125,14 +125,23 @@ def scan(column: pa.Array, names: list[str], items: dict[int, Items]) -> Iterato
         ]
 
 
-def blocks_of(benchmark: DataFrame, item_id: str, block_bytes: int) -> Iterator[tuple[list[str], dict[int, Items]]]:
-    """The benchmark in blocks of about ``block_bytes`` of text, each collected by itself."""
+def blocks_of(benchmark: DataFrame, item_id: str, block_bytes: int) -> Iterator[tuple[tuple[list[str], dict[int, Items]], bool]]:
+    """Blocks of about ``block_bytes`` of the benchmark's text, and whether each is the last.
+
+    Each is collected when it is asked for; an empty benchmark is one empty block.
+    """
     source = benchmark.selectExpr(f"cast(`{item_id}` as string) item", "coalesce(cast(text as string), '') text").where("item is not null")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // block_bytes)
-    for k in range(n):
+
+    def read(k: int) -> tuple[list[str], dict[int, Items]]:
         rows = source.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()
-        yield [r.item for r in rows], prepare([r.text for r in rows])
+        return [r.item for r in rows], prepare([r.text for r in rows])
+
+    if not n:
+        yield ([], {}), True
+    for k in range(n):
+        yield read(k), k == n - 1
 
 
 def verdict(words: int, places: np.ndarray, names: set[str]) -> tuple[int, int, int, str, bool]:
@@ -141,13 +150,17 @@ def verdict(words: int, places: np.ndarray, names: set[str]) -> tuple[int, int,
 
 
 def _decide(documents: DataFrame, benchmark: DataFrame, item_id: str, block_bytes: int, finish, schema: T.StructType) -> DataFrame:
-    """Scan block after block; earlier findings travel with the row, ``finish`` makes the output."""
+    """Scan block after block; earlier findings travel with the row, ``finish`` makes the output.
+
+    A block is collected after the step of the one before is written and its broadcast destroyed, so
+    the driver and the workers hold one block at a time.
+    """
     spark = documents.sparkSession
     carried = T.StructType([*documents.schema.fields, T.StructField("_places", T.BinaryType()), T.StructField("_names", T.ArrayType(T.StringType()))])
-    blocks = list(blocks_of(benchmark, item_id, block_bytes)) or [([], {})]
     frame = documents
-    for k, block in enumerate(blocks):
-        held, last = spark.sparkContext.broadcast(block), k == len(blocks) - 1
+    for k, (block, last) in enumerate(blocks_of(benchmark, item_id, block_bytes)):
+        held = spark.sparkContext.broadcast(block)
+        del block
 
         def run(batches, held=held, last=last, earlier=k > 0):
             names, items = held.value
@@ -171,6 +184,7 @@ def _decide(documents: DataFrame, benchmark: DataFrame, item_id: str, block_byte
         frame = frame.mapInArrow(run, schema if last else carried)
         if not last:
             frame = materialize(frame, "decontamination")
+            held.destroy()
     return frame
 
 

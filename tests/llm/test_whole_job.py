@@ -1,11 +1,11 @@
-"""Cases that a cut would hide: short lines, ends of long texts."""
+"""Cases that a cut would hide: short lines, ends of long texts, a benchmark of many blocks."""
 
 import math
 import random
 import re
 from collections import Counter
 
-from changeloom.llm import automata, line_join
+from changeloom.llm import automata, line_join, winnow
 
 WORDS = "ash birch cedar elm fir hazel larch maple oak pine".split()
 
@@ -46,3 +46,17 @@ def test_ordinary_text_counts_whole_texts_of_all_rows(spark):
     total = sum(counts.values()) + automata.ALPHABET
     assert automata.ordinary_text(frame) == [math.log((counts[s] + 1) / total) for s in range(automata.ALPHABET)]
     assert automata.ordinary_text(frame.limit(0)) == [math.log(1 / automata.ALPHABET)] * automata.ALPHABET
+
+
+def test_benchmark_blocks_are_held_one_at_a_time(spark, monkeypatch):
+    steps = []
+    prepare, materialize = winnow.prepare, winnow.materialize
+    monkeypatch.setattr(winnow, "prepare", lambda texts: steps.append("block") or prepare(texts))
+    monkeypatch.setattr(winnow, "materialize", lambda frame, name: steps.append("written") or materialize(frame, name))
+    items = [(k, f"{WORDS[k]} wood item{k} stands here") for k in range(9)]
+    texts = [f"see {text} and more" for _, text in items] + ["nothing of it", None]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = winnow.contamination(documents, spark.createDataFrame(items, "item_id long, text string"), block_bytes=80)
+    blocks = steps.count("block")
+    assert blocks > 2 and steps == ["block", "written"] * (blocks - 1) + ["block"]
+    assert {r.doc_id for r in found.collect() if r.contaminated} == set(range(9))
