@@ -8,7 +8,8 @@ manifest lists it, so a retried or lost task leaves at most an unlisted file.
 
 Texts are encoded word by word: no token of the vocabulary reaches over ASCII white space, so a
 word's ids are the same in every text. Words are found and looked up as arrays of hashes, and the
-tokenizer sees a word once per worker (64-bit hashes; the memory is bounded and starts anew).
+tokenizer sees a word once per worker (the memory is bounded and starts anew). Words are found by
+64-bit hashes and their bytes compared; a slice with two words of one hash is encoded word by word.
 """
 
 from __future__ import annotations
@@ -28,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from changeloom.llm.worker import keep, slices, space_words, span_hashes, word_spans
+from changeloom.llm.worker import keep, equal_spans, slices, space_words, span_hashes, word_spans
 from changeloom.sources.shared import materialize, new_path
 
 MAGIC = b"CLTOKEN1"
 FOOTER = "<qqq32s8s"
 MANIFEST = "shard int, file string, docs long, tokens long, bytes long, dictionary string"
-MEMO_WORDS = 1_200_000
+MEMO_WORDS, MEMO_BYTES = 1_200_000, 32 << 20
 LONG_WORD = 1 << 16
 
 
@@ -52,7 +53,8 @@ class WordCodec:
         self.starts = np.empty(1 << 16, np.int64)
         self.lengths = np.empty(1 << 16, np.int64)
         self.flat = np.empty(1 << 18, np.uint32)
-        self.words = self.used = 0
+        self.text, self.places = np.empty(1 << 20, np.uint8), np.empty(1 << 16, np.int64)
+        self.words = self.used = self.letters = 0
 
     def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         for low in range(0, len(words), 4096):
@@ -62,18 +64,26 @@ class WordCodec:
             ids = np.fromiter((i for one in found for i in one), np.uint32, int(sizes.sum()))
             while self.words + len(found) > len(self.starts):
                 self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+                self.places = np.resize(self.places, len(self.starts))
             while self.used + len(ids) > len(self.flat):
                 self.flat = np.resize(self.flat, 2 * len(self.flat))
+            part = words[low:low + 4096]
+            letters = np.frombuffer(b"".join(part), np.uint8)
+            while self.letters + len(letters) > len(self.text):
+                self.text = np.resize(self.text, 2 * len(self.text))
             new = slice(self.words, self.words + len(found))
             self.starts[new] = self.used + np.cumsum(sizes) - sizes
             self.lengths[new] = sizes
+            self.text[self.letters:self.letters + len(letters)] = letters
+            self.places[new] = self.letters + np.cumsum([0] + [len(w) for w in part[:-1]])
+            self.letters += len(letters)
             self.flat[self.used:self.used + len(ids)] = ids
             self.slots.update(zip(hashes[low:low + 4096].tolist(), range(new.start, new.stop)))
             self.words, self.used = new.stop, self.used + len(ids)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a slice, and where each row's ids begin (and the end)."""
-        if self.words > MEMO_WORDS:
+        if self.words > MEMO_WORDS or self.letters > MEMO_BYTES:
             self.forget()
         starts, ends, rows = word_spans(data, offsets, self.word)
         if len(starts) == 0:
@@ -90,6 +100,14 @@ class WordCodec:
             self.learn(distinct[new], [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
             known = [self.slots[h] for h in distinct.tolist()]
         slots = np.array(known, np.int64)[codes]
+        size = ends - starts
+        long = np.flatnonzero(size > 8)  # shorter words of one size never share a hash
+        if not (
+            np.array_equal(size, size[first][codes])
+            and equal_spans(data, starts[long], data, starts[first][codes[long]], size[long])
+            and equal_spans(data, starts[first], self.text, self.places[np.array(known, np.int64)], size[first])
+        ):
+            return self.encode_apart(data, offsets, starts, ends, rows)
         sizes = self.lengths[slots]
         after = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[slots] - (after - sizes), sizes) + np.arange(after[-1])]
@@ -97,6 +115,17 @@ class WordCodec:
         return ids, bounds
 
 
+    def encode_apart(self, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same by whole words, for slices with words that share a hash."""
+        raw = data.tobytes()
+        words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist())]
+        distinct = list(dict.fromkeys(words))
+        known = dict(zip(distinct, self.encode_words(distinct)))
+        found = [known[w] for w in words]
+        after = np.cumsum([0] + [len(ids) for ids in found])
+        return np.array([i for ids in found for i in ids], np.uint32), after[np.searchsorted(rows, np.arange(len(offsets)))]
+
+
 def codec_of(path: str) -> WordCodec:
     """The worker's codec of a tokenizer file."""
 

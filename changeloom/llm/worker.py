@@ -66,18 +66,6 @@ def stream(seed: int, n: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    base = 0x9E3779B97F4A7C15 | 1
-    inverse = pow(base, -1, 1 << 64)
-
-    def run(x: int) -> np.ndarray:
-        out = np.full(BLOCK + 1, x, np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    return stream(11, 256), run(base), run(inverse)
-
-
 def text_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -124,25 +112,59 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    base = 0x9E3779B97F4A7C15 | 1
+    inverse = pow(base, -1, 1 << 64)
+
+    def run(x: int) -> np.ndarray:
+        out = np.full(BLOCK + 1, x, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    return stream(11, 256), run(base), run(inverse)
+
+
+LANES = 128  # words up to this many groups of 8 bytes are hashed as arrays
+KEPT = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)  # the first k bytes of a group
+
+
+def byte_groups(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as one number; zeros behind the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def equal_spans(left: np.ndarray, starts: np.ndarray, right: np.ndarray, others: np.ndarray, size: np.ndarray) -> bool:
+    """Whether spans of two arrays, of the same sizes, hold the same bytes."""
+    one, two = byte_groups(left), byte_groups(right)
+    at, lane = np.flatnonzero(size > 0), 0
+    while len(at) and lane < LANES:
+        rest = size[at] - 8 * lane
+        if ((one[starts[at] + 8 * lane] ^ two[others[at] + 8 * lane]) & KEPT[np.minimum(rest, 8)]).any():
+            return False
+        at, lane = at[rest > 8], lane + 1
+    return all(np.array_equal(left[starts[k]:starts[k] + size[k]], right[others[k]:others[k] + size[k]]) for k in at.tolist())
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of non-overlapping spans in ascending order."""
-    values, powers, inverse = keep("powers", _powers)
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        base = starts[at]
-        stop = int(np.searchsorted(ends, base + BLOCK, "right"))
-        if stop <= at:  # one span longer than a block
-            digest = hashlib.blake2b(data[base:ends[at]].tobytes(), digest_size=8).digest()
-            out[at] = int.from_bytes(digest, "little")
-            at += 1
-            continue
-        part = data[base:ends[stop - 1]]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(values[part] * powers[:len(part)], out=sums[1:])
-        low, high = starts[at:stop] - base, ends[at:stop] - base
-        out[at:stop] = mix((sums[high] - sums[low]) * inverse[low] + (high - low).astype(np.uint64))
-        at = stop
+    """64-bit hashes of spans, of their bytes in groups of eight, each mixed into the ones before.
+
+    Spans of up to 8 bytes with the same length never share a hash. Very long spans have the first
+    8 bytes of their BLAKE2b digest instead.
+    """
+    if len(starts) == 0:
+        return np.empty(0, np.uint64)
+    size = ends - starts
+    groups = byte_groups(data)
+    out = mix(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
+    at, lane = np.flatnonzero((size > 0) & (size <= 8 * LANES)), 0
+    while len(at):
+        left = size[at] - 8 * lane
+        part = groups[starts[at] + 8 * lane] & KEPT[np.minimum(left, 8)]
+        out[at] = mix(out[at] ^ part) + np.uint64(0xD1B54A32D192ED03)
+        at, lane = at[left > 8], lane + 1
+    for k in np.flatnonzero(size > 8 * LANES).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k]:ends[k]], digest_size=8).digest(), "little")
     return out
 
 
