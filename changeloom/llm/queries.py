@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import automata, bpe_chunks, fertility, lexicon, line_join, odd_minhash, shards, suffix_dedup, token_store, winnow
+from changeloom.llm import anchor_tree, automata, bpe_chunks, fertility, lexicon, line_join, odd_minhash, shards, suffix_dedup, token_store, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -73,6 +73,10 @@ def op10_secret_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automata.scan(documents, automata.learn(documents))
 
 
+def op11_anchor_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchor_tree.mine(anchor_tree.turned(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe_chunks": op1_bpe_chunks,
     "op2_token_store": op2_token_store,
@@ -84,5 +88,28 @@ QUERIES: dict[str, Query] = {
     "op8_winnowing": op8_winnowing,
     "op9_toxic_lexicon": op9_toxic_lexicon,
     "op10_secret_formats": op10_secret_formats,
+    "op11_anchor_tree": op11_anchor_tree,
+}
+ORACLES: dict[str, str] = {
+    "op11_anchor_tree": """
+        with taken as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                   [floor(256 * x::double) for x in embedding] as v
+            from embeddings where label is not null and embedding is not null and vec_id is not null
+                and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+        ), scored as (
+            select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+                   list_inner_product(a.v, b.v)::bigint as score
+            from taken a join taken b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id
+        ), positive as (
+            select anchor_id, other_id as positive_id, score as positive_score from scored where same
+            qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5
+        )
+        select anchor_id, positive_id,
+               (row_number() over (partition by anchor_id, positive_id order by score desc, other_id))::int as rank,
+               other_id as negative_id, positive_score, score as negative_score
+        from positive join scored using (anchor_id)
+        where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+        qualify rank <= 3
+    """,
 }
-ORACLES: dict[str, str] = {}
