@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import anchor_tree, automata, bpe_chunks, fertility, lexicon, line_join, odd_minhash, shards, suffix_dedup, token_store, winnow
+from changeloom.llm import anchor_tree, automata, bpe_chunks, fertility, lexicon, line_join, odd_minhash, pair_bounds, shards, suffix_dedup, token_store, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -77,6 +77,10 @@ def op11_anchor_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchor_tree.mine(anchor_tree.turned(table(spark, sf_dir, "embeddings")))
 
 
+def op13_pair_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_bounds.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_bpe_chunks": op1_bpe_chunks,
     "op2_token_store": op2_token_store,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op9_toxic_lexicon": op9_toxic_lexicon,
     "op10_secret_formats": op10_secret_formats,
     "op11_anchor_tree": op11_anchor_tree,
+    "op13_pair_bounds": op13_pair_bounds,
 }
 ORACLES: dict[str, str] = {
     "op11_anchor_tree": """
@@ -112,4 +117,28 @@ ORACLES: dict[str, str] = {
         where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
         qualify rank <= 3
     """,
+    "op13_pair_bounds": r"""
+        with doc as (
+            select doc_id, row_number() over () as row_id,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+            from documents where text is not null
+        ), stats as (
+            select count(*) filter (len(terms) > 0)::bigint as n_docs, sum(len(terms))::bigint as n_words from doc
+        ), posting as (
+            select row_id, term, count(*)::bigint as tf from (select row_id, unnest(terms) as term from doc) group by all
+        ), weight as (
+            select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint as w
+            from posting, stats group by term, n_docs
+        ), item as (
+            select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+            from benchmark where text is not null
+        ), size as (
+            select row_id, doc_id, 75 + (25 * len(terms)::bigint * n_docs) // n_words as m from doc, stats where len(terms) > 0
+        )
+        select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int as rank, doc_id, score from (
+            select item_id, row_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+            from item join posting using (term) join weight using (term) join size using (row_id)
+            group by item_id, row_id, doc_id
+        ) where score > 0 and doc_id is not null qualify rank <= 20
+    """,
 }
