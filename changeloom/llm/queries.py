@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changeloom.llm import anchor_tree, automata, bpe_chunks, fertility, lexicon, line_join, odd_minhash, pair_bounds, shards, suffix_dedup, token_store, winnow
+from changeloom.llm import anchor_tree, automata, bpe_chunks, fertility, lexicon, line_join, odd_minhash, pair_bounds, pii_votes, shards, suffix_dedup, token_store, winnow
 
 Query = Callable[[SparkSession, str], DataFrame]
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -77,6 +77,15 @@ def op11_anchor_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchor_tree.mine(anchor_tree.turned(table(spark, sf_dir, "embeddings")))
 
 
+def op12_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = pii_votes.find(documents, pii_votes.learn(documents))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii_votes.KINDS[:4]), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op13_pair_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_bounds.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -93,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op9_toxic_lexicon": op9_toxic_lexicon,
     "op10_secret_formats": op10_secret_formats,
     "op11_anchor_tree": op11_anchor_tree,
+    "op12_pii_votes": op12_pii_votes,
     "op13_pair_bounds": op13_pair_bounds,
 }
 ORACLES: dict[str, str] = {
