@@ -11,6 +11,7 @@ SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 ASSET_ATTRIBUTES = {"script": "src", "link": "href", "img": "src"}
 
 COMMENT = r"<!--(?:[^-]|-(?!->))*+(?:-->|\z)"
+OPENED = r"""<(?!!--)(?:[^>"']|"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))*+(?:>|\z)"""
 BODY = r"""(?:[^>"']|"[^"]*+"|'[^']*+')*+>"""
 ATTRIBUTE = r"""(?is)([a-z0-9:_-]++)(?:\s*+=\s*+("[^"]*+"?+|'[^']*+'?+|[^\s>]*+))?+"""
 CSS_STRING = r""""(?:\\.|[^"\\])*+"?+|'(?:\\.|[^'\\])*+'?+"""
@@ -33,11 +34,13 @@ def raw_element(name: str) -> str:
 def html_tags(text: Column, names: list[str]) -> Column:
     """The named start tags, outside comments and outside raw script or style text.
 
-    One scan consumes comments, raw elements with their text and the named tags whole, so
-    nothing inside them is taken for a tag. Other text is stepped over, also unfinished tags.
+    First the comments go: any sign that opens a tag, also one in plain text, runs to its end, and
+    no comment begins inside. Then one scan consumes raw elements with their text and the named
+    tags whole, so nothing inside them is taken for a tag.
     """
+    text = F.regexp_replace(text, f"(?s)({OPENED})|{COMMENT}", "$1 ")
     named = rf"<(?:{'|'.join(names)})\b"
-    scan = rf"(?is)({COMMENT}|{raw_element('script')}|{raw_element('style')}|{named}{BODY})"
+    scan = rf"(?is)({raw_element('script')}|{raw_element('style')}|{named}{BODY})"
     wanted = rf"(?is)^{named}"
     found = F.filter(F.regexp_extract_all(text, F.lit(scan), F.lit(1)), lambda p: p.rlike(wanted))
     return F.transform(found, lambda piece: F.regexp_extract(piece, f"(?is)^(<{BODY})", 1))

@@ -188,8 +188,100 @@ def reachable_labels(edges: DataFrame, labels: DataFrame, source: str, target: s
         labels = merged
 
 
-def scc_distributed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component) of one graph that spans the whole corpus.
+def contract(links: DataFrame, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One round of shrinking a graph (src, dst): the nodes that leave it, and what is left.
+
+    A node without edges of one direction is a component of its own. A node with one edge in, or
+    one out, shares a component with the node at its other end or with none; its remaining edges are
+    drawn from or to that node instead. Nodes that leave together are never neighbours. Returns
+    (node) of the first kind, (node, keeper, other) of the second with the far ends of its remaining
+    edges, and the new links.
+    """
+    outward = links.select(F.col("src").alias("node"), F.col("dst").alias("out"), F.lit(None).cast("long").alias("in"))
+    inward = links.select(F.col("dst").alias("node"), F.lit(None).cast("long").alias("out"), F.col("src").alias("in"))
+    degrees = outward.unionByName(inward).groupBy("node").agg(
+        F.count("in").alias("n_in"), F.min("in").alias("one_in"), F.count("out").alias("n_out"), F.min("out").alias("one_out")
+    )
+    kind = F.when((F.col("n_in") == 0) | (F.col("n_out") == 0), "dead").when(F.col("n_in") == 1, "in").when(F.col("n_out") == 1, "out")
+    keeper = F.when(F.col("n_in") == 1, F.col("one_in")).otherwise(F.col("one_out"))
+    marked = materialize(
+        degrees.withColumn("kind", kind).where("kind IS NOT NULL")
+        .select("node", "kind", keeper.alias("keeper"), F.xxhash64("node", F.lit(turn)).alias("order")), "marked-nodes",
+    )
+    dead = marked.where("kind = 'dead'").select("node")
+    side = lambda name: marked.select(F.col("node").alias(name), F.col("order").alias(f"{name}_order"), F.col("kind").alias(f"{name}_kind"))
+    near = links.join(side("src"), "src").join(side("dst"), "dst")
+    # Of two marked neighbours one stays: not a dead one, and of others the one with the smaller order.
+    loses = (F.col("src_kind") != "dead") & ((F.col("dst_kind") == "dead") | (F.col("src_order") < F.col("dst_order")))
+    kept = near.select(F.when(loses, F.col("src")).when(F.col("dst_kind") != "dead", F.col("dst")).alias("node")).distinct()
+    chosen = materialize(marked.where("kind <> 'dead'").join(kept, "node", "left_anti").select("node", "kind", "keeper"), "leaving-nodes")
+    end = lambda name: chosen.unionByName(dead.select("node", F.lit("dead").alias("kind"), F.lit(None).cast("long").alias("keeper"))).select(
+        F.col("node").alias(name), F.col("kind").alias(f"{name}_kind"), F.col("keeper").alias(f"{name}_keeper")
+    )
+    both = materialize(links.join(end("src"), "src", "left").join(end("dst"), "dst", "left"), "marked-links")
+    gone = both.where("src_kind = 'in'").select(F.col("src").alias("node"), F.col("src_keeper").alias("keeper"), F.col("dst").alias("other")).unionByName(
+        both.where("dst_kind = 'out'").select(F.col("dst").alias("node"), F.col("dst_keeper").alias("keeper"), F.col("src").alias("other"))
+    )
+    left = (
+        both.where("coalesce(src_kind, '') NOT IN ('dead', 'out') AND coalesce(dst_kind, '') NOT IN ('dead', 'in')")
+        .select(F.coalesce("src_keeper", "src").alias("src"), F.coalesce("dst_keeper", "dst").alias("dst"))
+        .where("src <> dst").distinct()
+    )
+    return dead, gone, materialize(left, "links")
+
+
+def component_of_all(edges: pd.DataFrame) -> pd.DataFrame:
+    targets: dict[int, list[int]] = {}
+    for src, dst in zip(edges["src"].tolist(), edges["dst"].tolist(), strict=True):
+        targets.setdefault(src, []).append(dst)
+    nodes = sorted(set(edges["src"].tolist()) | set(edges["dst"].tolist()))
+    label = components(nodes, targets)
+    return pd.DataFrame({"node": nodes, "component": [label[n] for n in nodes]})
+
+
+def scc_distributed(nodes: DataFrame, edges: DataFrame, small: int = 200_000) -> DataFrame:
+    """(node, component) of one graph that spans the whole corpus, named by the smallest node.
+
+    The graph shrinks in rounds, so chains vanish in rounds by the logarithm of their length. When at
+    most ``small`` links are left, one task closes them; when a round removes too little, colours
+    spread over the rest. Then the nodes that left come back, last ones first: such a node belongs
+    to its keeper's component when one of its other neighbours does.
+    """
+    links = materialize(edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst").distinct(), "links")
+    count, rounds, alone = links.count(), [], []
+    while count > small:
+        dead, gone, left = contract(links, len(rounds))
+        before, count = count, left.count()
+        alone.append(dead)
+        rounds.append(gone)
+        links = left
+        if count > 0.95 * before:
+            break
+    if count <= small:
+        known = links.withColumn("part", F.lit(0)).groupBy("part").applyInPandas(component_of_all, "node long, component long")
+    else:
+        ends = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
+        known = coloured_components(ends, links)
+    for dead in alone:
+        known = known.unionByName(dead.select("node", F.col("node").alias("component")))
+    known = materialize(known, "components")
+    for gone in reversed(rounds):
+        label = lambda name: known.select(F.col("node").alias(name), F.col("component").alias(f"{name}_component"))
+        # A keeper or neighbour that is nowhere is left without links: it stands alone.
+        judged = gone.join(label("keeper"), "keeper", "left").join(label("other"), "other", "left").select(
+            "node", F.coalesce("keeper_component", "keeper").alias("kept"), F.coalesce("other_component", "other").alias("met")
+        )
+        back = judged.groupBy("node").agg(F.max(F.col("kept") == F.col("met")).alias("inside"), F.min("kept").alias("kept"))
+        added = back.select("node", F.when(F.col("inside"), F.col("kept")).otherwise(F.col("node")).alias("component"))
+        known = materialize(known.unionByName(added), "components")
+    # Nodes that lost all their links are in no table; a component is named by its smallest node.
+    every = nodes.select(F.col("node").cast("long").alias("node")).distinct().join(known, "node", "left").select("node", F.coalesce("component", "node").alias("mark"))
+    names = every.groupBy("mark").agg(F.min("node").alias("component"))
+    return every.join(names, "mark").select("node", "component")
+
+
+def coloured_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) by colours, for graphs whose nodes all have several edges.
 
     Each round names every node by the smallest node that reaches it; the nodes which that
     node also is reached from form its component and leave the graph. Rounds go on until no

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from changeloom.functions.paths import base_name, to_slashes
 from changeloom.functions.text import strip_space
+from changeloom.operators.ranking import rank_rows
+from changeloom.sources.shared import materialize
 from changeloom.sources.tables import generated_paths
 
 # Names behind the flags.
@@ -17,24 +19,34 @@ LOCKFILES = (
 VENDOR_FOLDERS = ("node_modules", "third_party", "vendor", "vendors")
 
 
+# Letters whose counts are compared before any text moves.
+LETTER_GROUPS = ("etaoinshr", "dlcumwfgypb", "0123456789", "(){}[];,.:=")
+PIECE = 1024
+
+
 def whitespace_only(lines: DataFrame) -> DataFrame:
     """(change_id, file_idx) of files whose deleted and added text differ in white space only.
 
-    Texts are compared by a digest of their stripped lines, joined per file.
+    Lengths and letter counts of both sides are sums, which combine before the shuffle; only files
+    where they agree go on. There, both sides are cut at the same places of their joined text,
+    found by running lengths, and compared piece by piece, so no task holds a file.
     """
-    changed = lines.where("t <> 'c'").withColumn("solid", strip_space(F.col("text")))
-    sides = changed.groupBy("change_id", "file_idx").agg(
-        *[
-            F.array_join(
-                F.array_sort(
-                    F.collect_list(F.when(F.col("t") == t, F.struct("hunk_idx", "line_idx", "solid")))
-                )["solid"],
-                "",
-            ).alias(name)
-            for t, name in (("d", "gone"), ("a", "come"))
-        ]
-    )
-    return sides.where("gone = come").select("change_id", "file_idx")
+    key = ["change_id", "file_idx"]
+    changed = lines.where("t <> 'c'").select(*key, "t", "hunk_idx", "line_idx", strip_space(F.col("text")).alias("solid"))
+    sign = F.when(F.col("t") == "a", 1).otherwise(-1)
+    sums = [sign * F.length("solid")] + [sign * F.length(F.translate("solid", letters, "")) for letters in LETTER_GROUPS]
+    level = changed.groupBy(*key).agg(*[F.sum(x).alias(f"s{k}") for k, x in enumerate(sums)])
+    likely = materialize(level.where(" AND ".join(f"s{k} = 0" for k in range(len(sums)))).select(*key), "level-files")
+    rows = changed.where("solid <> ''").join(likely, key, "left_semi").withColumn("size", F.length("solid").cast("long"))
+    placed = rank_rows(rows, [*key, "t"], ["hunk_idx", "line_idx"], "n", {"upto": "size"}, bounded=False)
+    start, first, last = F.col("upto") - F.col("size"), F.floor((F.col("upto") - F.col("size")) / PIECE), F.floor((F.col("upto") - 1) / PIECE)
+    cut = placed.withColumn("start", start).select(*key, "t", "start", "upto", "solid", F.explode(F.sequence(first, last)).alias("piece"))
+    begin, end = F.greatest(F.col("piece") * PIECE, "start"), F.least((F.col("piece") + 1) * PIECE, "upto")
+    part = F.substring("solid", (begin - F.col("start") + 1).cast("int"), (end - begin).cast("int"))
+    pieces = cut.select(*key, "t", "piece", begin.alias("at"), part.alias("part"))
+    side = lambda t: F.array_join(F.array_sort(F.collect_list(F.when(F.col("t") == t, F.struct("at", "part"))))["part"], "")
+    differ = pieces.groupBy(*key, "piece").agg(side("d").alias("gone"), side("a").alias("come")).where("gone <> come")
+    return likely.join(differ, key, "left_anti")
 
 
 def path_flags(path: Column) -> Column:

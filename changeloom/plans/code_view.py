@@ -26,7 +26,7 @@ IMPORT_LINE = """CASE
   WHEN l = 'go' THEN 'import x "example.com/mod/' || td || '"'
   WHEN l = 'python' AND m = 0 THEN 'from ' || replace(tt, '/', '.') || ' import a'
   WHEN l = 'python' AND m = 1 THEN 'import os, ' || replace(ts, '/', '.') || ' as z'
-  WHEN l = 'python' AND m = 2 THEN 'from .doc_' || dj || ' import a'
+  WHEN l = 'python' AND m = 2 THEN 'from .' || split_part(tt, '/', -1) || ' import a'
   WHEN l = 'python' THEN 'from ...' || replace(tt, '/', '.') || ' import a'
   WHEN l = 'java' AND m = 3 THEN 'import ' || replace(td, '/', '.') || '.*;'
   WHEN l = 'java' THEN 'import org.acme.' || replace(ts, '/', '.') || ';'
@@ -85,7 +85,7 @@ def targets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``lines`` rows: definitions, imports, a context line, uses and a deleted line.
+    """``lines`` rows: definitions, imports, a context line, uses, a deleted line and the file's whole text.
 
     Written once per application, as several queries read them.
     """
@@ -103,10 +103,11 @@ def build_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
         block(files, own, F.lit(0), "a", DEFINE_LINE),
         block(files.where("file_idx % 7 = 0"), own, F.lit(1), "a", SHARED_LINE),
-        block(links, i, F.col("j") + 10000, "a", IMPORT_LINE),
-        block(files, own, F.lit(20000), "c", "'context'"),
-        block(links.where("m % 2 = 0"), i, F.col("j") + 30000, "a", USE_LINE),
-        block(files, own, F.lit(40000), "d", "'removed'"),
+        block(links, i, F.col("j") + 2, "a", IMPORT_LINE),
+        block(files, own, F.lit(1 << 27), "c", "'context'"),
+        block(links.where("m % 2 = 0"), i, F.col("j") + (1 << 28), "a", USE_LINE),
+        block(files, own, F.lit(1 << 29), "d", "'removed'"),
+        block(V.documents(spark, sf_dir, text=True).where("plain"), own, F.lit(1 << 30), "a", "text"),
     ]
     rows = parts[0]
     for part in parts[1:]:
@@ -140,10 +141,11 @@ SOURCE_LINES = LINKS + f""",
 blocks AS (
   SELECT change_id, file_idx, 0 AS ord, 'a' AS t, {DEFINE_LINE} AS block FROM cf
   UNION ALL SELECT change_id, file_idx, 1, 'a', {SHARED_LINE} FROM cf WHERE file_idx % 7 = 0
-  UNION ALL SELECT change_id, i, j + 10000, 'a', {IMPORT_LINE} FROM links
-  UNION ALL SELECT change_id, file_idx, 20000, 'c', 'context' FROM cf
-  UNION ALL SELECT change_id, i, j + 30000, 'a', {USE_LINE} FROM links WHERE m % 2 = 0
-  UNION ALL SELECT change_id, file_idx, 40000, 'd', 'removed' FROM cf),
+  UNION ALL SELECT change_id, i, j + 2, 'a', {IMPORT_LINE} FROM links
+  UNION ALL SELECT change_id, file_idx, {1 << 27}, 'c', 'context' FROM cf
+  UNION ALL SELECT change_id, i, j + {1 << 28}, 'a', {USE_LINE} FROM links WHERE m % 2 = 0
+  UNION ALL SELECT change_id, file_idx, {1 << 29}, 'd', 'removed' FROM cf
+  UNION ALL SELECT change_id, file_idx, {1 << 30}, 'a', text FROM docs WHERE plain),
 code0 AS (
   SELECT change_id, file_idx, ord, t, unnest(string_split(block, chr(10))) AS text,
          unnest(range(len(string_split(block, chr(10))))) AS k FROM blocks),
@@ -170,9 +172,12 @@ packaged AS (
   SELECT DISTINCT w.change_id, w.i AS importer, f.file_idx AS imported
   FROM whole w JOIN cf f ON f.change_id = w.change_id AND f.dir = w.td AND f.file_idx <> w.i
   WHERE (w.l = 'go' AND f.l = 'go') OR (w.l IN ('java', 'kotlin') AND w.m = 3 AND f.l IN ('java', 'kotlin'))),
+owners AS (
+  SELECT change_id, doc_id, l = 'go' AS capital, min(file_idx) AS file_idx FROM cf
+  WHERE l IN ('javascript', 'python', 'java', 'kotlin', 'go') GROUP BY ALL HAVING count(*) = 1),
 symbolic AS (
-  SELECT change_id, i AS importer, j AS imported FROM whole
-  WHERE m % 2 = 0 AND tl IN ('javascript', 'python', 'java', 'kotlin', 'go')),
+  SELECT w.change_id, w.i AS importer, o.file_idx AS imported FROM whole w JOIN owners o ON o.change_id = w.change_id AND o.doc_id = w.dj
+  WHERE m % 2 = 0 AND o.file_idx <> w.i),
 terraformed AS (
   SELECT change_id, i AS importer, j AS imported FROM whole WHERE l = 'terraform' AND tl = 'terraform' AND sd = td AND m <> 1
   UNION SELECT w.change_id, w.i, f.file_idx FROM whole w JOIN cf f ON f.change_id = w.change_id AND f.dir = w.sd AND f.l = 'terraform' AND f.file_idx <> w.i

@@ -30,40 +30,88 @@ comp AS (SELECT d.change_id, d.file_idx AS node, least(d.file_idx, coalesce(min(
   FROM docs d LEFT JOIN mutual m ON m.change_id = d.change_id AND m.a = d.file_idx GROUP BY d.change_id, d.file_idx)"""
 
 
-def back_links(spark, sf_dir):
-    """Links towards earlier files, and of every ninth file a link forward."""
-    return V.edges(spark, sf_dir).where("imported < importer OR importer % 9 = 0")
-
-
-BACK_SQL = O.DOCS + O.EDGES.replace("edges AS (", "every_edge AS (") + """,
-edges AS (SELECT * FROM every_edge WHERE imported < importer OR importer % 9 = 0)"""
+# Dependencies first: again and again the first node of a group whose needs are all placed. Members of
+# a cycle keep their order; a group in which this gets stuck keeps its order as a whole.
+ORDER_SQL = """,
+way AS (SELECT g, a, b FROM pairs UNION SELECT w.g, w.a, p.b FROM way w JOIN pairs p ON p.g = w.g AND p.a = w.b),
+ring AS (SELECT x.g, x.a, min(x.b) AS b FROM way x JOIN way y ON y.g = x.g AND y.a = x.b AND y.b = x.a GROUP BY x.g, x.a),
+named AS (SELECT i.g, i.node, least(i.node, coalesce(b, i.node)) AS c FROM items i LEFT JOIN ring r ON r.g = i.g AND r.a = i.node),
+waits AS (
+  SELECT p.g, p.a, p.b FROM pairs p JOIN named x ON x.g = p.g AND x.node = p.a JOIN named y ON y.g = p.g AND y.node = p.b WHERE x.c <> y.c
+  UNION SELECT g, node, before FROM (SELECT g, node, lag(node) OVER (PARTITION BY g, c ORDER BY node) AS before FROM named) WHERE before IS NOT NULL),
+needed AS (SELECT i.g, i.node, coalesce(list(w.b) FILTER (WHERE w.b IS NOT NULL), []) AS needs FROM items i LEFT JOIN waits w ON w.g = i.g AND w.a = i.node GROUP BY i.g, i.node),
+walk AS (
+  SELECT DISTINCT g, 0 AS k, CAST(NULL AS INTEGER) AS node, CAST([] AS INTEGER[]) AS done FROM items
+  UNION ALL
+  SELECT w.g, w.k + 1, min(n.node), list_append(first(w.done), min(n.node)) FROM walk w
+  JOIN needed n ON n.g = w.g AND NOT list_contains(w.done, n.node) AND list_has_all(w.done, n.needs) GROUP BY w.g, w.k),
+reached AS (SELECT g, max(k) AS last FROM walk GROUP BY g),
+turned AS (
+  SELECT g, node, CAST(CASE WHEN last = count(*) OVER (PARTITION BY g) THEN k - 1
+    ELSE row_number() OVER (PARTITION BY g ORDER BY node) - 1 END AS INTEGER) AS new_pos
+  FROM items JOIN reached USING (g) LEFT JOIN walk USING (g, node))"""
 
 
-@query("scc", f"WITH RECURSIVE {BACK_SQL}{REACH_SQL} SELECT change_id, node, component, CAST(count(*) OVER (PARTITION BY change_id, component) AS INTEGER) AS size FROM comp")
+@query("scc", f"WITH RECURSIVE {O.DOCS}{O.EDGES}{REACH_SQL} SELECT change_id, node, component, CAST(count(*) OVER (PARTITION BY change_id, component) AS INTEGER) AS size FROM comp")
 def scc(spark, sf_dir):
     nodes = V.documents(spark, sf_dir).select("change_id", F.col("file_idx").alias("node"))
-    return G.scc(nodes, back_links(spark, sf_dir))
-
-
-@query("stable_order")
+    return G.scc(nodes, V.edges(spark, sf_dir))
+
+
+@query("scc_corpus", f"""WITH RECURSIVE {O.DOCS}{O.EDGES},
+ids AS (SELECT change_id, file_idx, doc_id * 2 + CASE WHEN plain THEN 0 ELSE 1 END AS node, doc_id, plain FROM docs),
+links AS (SELECT a.node AS src, b.node AS dst FROM edges e JOIN ids a ON a.change_id = e.change_id AND a.file_idx = e.importer
+  JOIN ids b ON b.change_id = e.change_id AND b.file_idx = e.imported
+  UNION SELECT a.node, b.node FROM ids a JOIN ids b ON a.plain AND b.plain AND a.doc_id % 7 = 3 AND b.doc_id = a.doc_id + 61
+  UNION SELECT a.node, b.node FROM ids a JOIN ids b ON a.plain AND b.plain AND a.doc_id % 21 = 1 AND b.doc_id = a.doc_id - 61),
+reach AS (SELECT src AS a, dst AS b FROM links UNION SELECT r.a, l.dst FROM reach r JOIN links l ON l.src = r.b),
+mutual AS (SELECT x.a, min(x.b) AS b FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a GROUP BY x.a)
+SELECT node, least(node, coalesce(b, node)) AS component FROM ids LEFT JOIN mutual ON a = node""")
+def scc_corpus(spark, sf_dir):
+    """One graph over all changes: their links, and links between documents of different changes."""
+    ids = V.documents(spark, sf_dir).select(*KEY, "doc_id", "plain", (F.col("doc_id") * 2 + F.when(F.col("plain"), 0).otherwise(1)).alias("node"))
+    end = lambda file, node: ids.select("change_id", F.col("file_idx").alias(file), F.col("node").alias(node))
+    inside = V.edges(spark, sf_dir).join(end("importer", "src"), ["change_id", "importer"]).join(end("imported", "dst"), ["change_id", "imported"]).select("src", "dst")
+    steps = F.array_compact(F.array(F.when(F.col("doc_id") % 7 == 3, F.col("doc_id") + 61), F.when(F.col("doc_id") % 21 == 1, F.col("doc_id") - 61)))
+    asked = ids.where("plain").select(F.col("node").alias("src"), F.explode(steps).alias("to"))
+    across = asked.join(ids.where("plain").select(F.col("doc_id").alias("to"), F.col("node").alias("dst")), "to").select("src", "dst")
+    return G.scc_distributed(ids.select("node"), inside.unionByName(across))
+
+
+@query("stable_order", f"""WITH RECURSIVE {O.DOCS}{O.EDGES},
+items AS (SELECT change_id AS g, file_idx AS node FROM docs),
+pairs AS (SELECT change_id AS g, importer AS a, imported AS b FROM edges){ORDER_SQL}
+SELECT g AS change_id, node AS file_idx, new_pos FROM turned""")
 def stable_order(spark, sf_dir):
     """Reading order of the files of each change."""
     items = V.documents(spark, sf_dir).select(
         "change_id", F.lit(0).alias("part"), "file_idx", F.col("file_idx").alias("pos")
     )
-    return G.stable_order(items, back_links(spark, sf_dir)).select(*KEY, "new_pos")
+    return G.stable_order(items, V.edges(spark, sf_dir)).select(*KEY, "new_pos")
 
 
-@query("reorder_cohort_files")
+@query("reorder_cohort_files", f"""WITH RECURSIVE {WEIGHTS_SQL},
+items AS (SELECT change_id || '/' || cohort_idx AS g, pos AS node FROM cohorts),
+pairs AS (SELECT a.change_id || '/' || a.cohort_idx AS g, a.pos AS a, b.pos AS b FROM edges e JOIN cohorts a ON a.change_id = e.change_id AND a.file_idx = e.importer
+  JOIN cohorts b ON b.change_id = e.change_id AND b.file_idx = e.imported AND b.cohort_idx = a.cohort_idx){ORDER_SQL}
+SELECT change_id, cohort_idx, new_pos AS pos, file_idx, title FROM cohorts JOIN turned ON g = change_id || '/' || cohort_idx AND node = pos""")
 def reorder_cohort_files(spark, sf_dir):
-    return G.reorder_cohort_files(planned(spark, sf_dir), back_links(spark, sf_dir)).select(
+    return G.reorder_cohort_files(planned(spark, sf_dir), V.edges(spark, sf_dir)).select(
         "change_id", "cohort_idx", "pos", "file_idx", "title"
     )
 
 
-@query("stable_cohort_order")
+@query("stable_cohort_order", f"""WITH RECURSIVE {WEIGHTS_SQL},
+items AS (SELECT DISTINCT change_id AS g, cohort_idx AS node FROM cohorts),
+pairs AS (SELECT DISTINCT change_id AS g, dependent AS a, dependency AS b FROM ce WHERE dependent <> dependency){ORDER_SQL},
+above AS (SELECT w.change_id, x.new_pos AS new_idx, y.new_pos AS dep, weight FROM weights w
+  JOIN turned x ON x.g = w.change_id AND x.node = dependent JOIN turned y ON y.g = w.change_id AND y.node = dependency
+  JOIN named p ON p.g = w.change_id AND p.node = dependent JOIN named q ON q.g = w.change_id AND q.node = dependency WHERE p.c <> q.c
+  QUALIFY row_number() OVER (PARTITION BY w.change_id, x.new_pos ORDER BY weight DESC, y.new_pos) <= 3),
+listed AS (SELECT change_id, new_idx, string_agg(CAST(dep AS VARCHAR), ',' ORDER BY weight DESC, dep) AS deps FROM above GROUP BY change_id, new_idx)
+SELECT g AS change_id, node AS cohort_idx, new_pos AS new_idx, deps FROM turned LEFT JOIN listed l ON l.change_id = g AND l.new_idx = new_pos""")
 def stable_cohort_order(spark, sf_dir):
-    order, deps = G.stable_cohort_order(back_links(spark, sf_dir), planned(spark, sf_dir))
+    order, deps = G.stable_cohort_order(V.edges(spark, sf_dir), planned(spark, sf_dir))
     below = deps.groupBy("change_id", "cohort_idx").agg(
         F.array_join(A.ordered_list(["rank"], "dep_idx")["dep_idx"], ",").alias("deps")
     ).withColumnRenamed("cohort_idx", "new_idx")

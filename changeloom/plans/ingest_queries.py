@@ -112,7 +112,7 @@ def read_change_meta(spark, sf_dir):
 
 
 @query("snapshot_status", """
-WITH base AS (SELECT doc_id, source || '-' || doc_id // 1000 AS change_id, 'f/' || doc_id AS path, sha256(text) AS digest FROM documents),
+WITH base AS (SELECT doc_id, source AS change_id, 'f/' || doc_id AS path, sha256(text) AS digest FROM documents),
 old AS (SELECT change_id, path, digest FROM base WHERE doc_id % 7 <> 0),
 new AS (SELECT change_id, CASE WHEN doc_id % 6 = 1 THEN 'moved/' || doc_id ELSE path END AS path,
                CASE WHEN doc_id % 4 = 0 THEN sha256(digest) ELSE digest END AS digest FROM base WHERE doc_id % 5 <> 0),
@@ -128,7 +128,7 @@ UNION ALL SELECT change_id, path, path, 'modified', 0 FROM old JOIN new USING (c
 def snapshot_status(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents")
     base = docs.select(
-        "doc_id", V.change_of(F.col("source"), F.col("doc_id")).alias("change_id"),
+        "doc_id", F.col("source").alias("change_id"),
         F.format_string("f/%d", "doc_id").alias("path"), F.sha2("text", 256).alias("digest"),
     )
     old = base.where("doc_id % 7 <> 0").drop("doc_id")
@@ -140,6 +140,45 @@ def snapshot_status(spark, sf_dir):
     return T.snapshot_status(old, new)
 
 
+# A moved file keeps its text but for the lines of every fifth position, or is cut in half.
+SIDES_SQL = """
+sided AS (
+  SELECT doc_id, source AS change_id, 'gone/' || doc_id AS old_path, 'come/' || doc_id AS new_path, unnest(string_split(text, chr(10))) AS text,
+         unnest(range(len(string_split(text, chr(10))))) AS pos, len(string_split(text, chr(10))) AS n FROM documents WHERE doc_id % 3 = 0),
+gone AS (SELECT change_id, old_path AS path, text FROM sided),
+come AS (SELECT change_id, new_path AS path, CASE WHEN pos % 5 = 4 THEN 'new ' || text ELSE text END AS text FROM sided WHERE doc_id % 4 > 0 OR pos < n // 2)"""
+
+
+@query("similar_renames", f"""WITH RECURSIVE {SIDES_SQL},
+g AS (SELECT change_id, path, text, count(*) AS n FROM gone GROUP BY ALL),
+c AS (SELECT change_id, path, text, count(*) AS n FROM come GROUP BY ALL),
+gs AS (SELECT change_id, path, sum(n * (strlen(text) + 1)) AS size FROM g GROUP BY ALL),
+cs AS (SELECT change_id, path, sum(n * (strlen(text) + 1)) AS size FROM c GROUP BY ALL),
+pair AS (SELECT g.change_id, g.path AS old_path, c.path AS path, sum(least(g.n, c.n) * (strlen(g.text) + 1)) AS shared
+  FROM g JOIN c USING (change_id, text) GROUP BY ALL),
+scored AS (SELECT pair.change_id, pair.old_path, pair.path, CAST(100 * shared // greatest(gs.size, cs.size) AS INTEGER) AS similarity FROM pair
+  JOIN gs ON gs.change_id = pair.change_id AND gs.path = old_path JOIN cs ON cs.change_id = pair.change_id AND cs.path = pair.path
+  WHERE 100 * shared >= 60 * greatest(gs.size, cs.size)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY similarity DESC, old_path, path) AS k FROM scored),
+folded AS (
+  SELECT change_id, 0 AS k, CAST([] AS VARCHAR[]) AS used, false AS took FROM (SELECT DISTINCT change_id FROM ranked)
+  UNION ALL
+  SELECT f.change_id, r.k, CASE WHEN list_has_any(f.used, [r.old_path, r.path]) THEN f.used ELSE list_concat(f.used, [r.old_path, r.path]) END, NOT list_has_any(f.used, [r.old_path, r.path])
+  FROM folded f JOIN ranked r ON r.change_id = f.change_id AND r.k = f.k + 1)
+SELECT change_id, old_path, path, similarity FROM ranked JOIN folded USING (change_id, k) WHERE took""")
+def similar_renames(spark, sf_dir):
+    docs = V.table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(
+        "doc_id", F.col("source").alias("change_id"), F.posexplode(F.split("text", "\n")).alias("pos", "text"),
+        F.size(F.split("text", "\n")).alias("n"),
+    )
+    gone = docs.select("change_id", F.format_string("gone/%d", "doc_id").alias("path"), "text")
+    come = docs.where("doc_id % 4 > 0 OR pos < n div 2").select(
+        "change_id", F.format_string("come/%d", "doc_id").alias("path"),
+        F.when(F.col("pos") % 5 == 4, F.concat(F.lit("new "), "text")).otherwise(F.col("text")).alias("text"),
+    )
+    return T.similar_renames(gone, come, 60)
+
+
 @query("read_attributes", "WITH " + O.DOCS + O.ATTRS + " SELECT change_id, path FROM generated")
 def read_attributes(spark, sf_dir):
     return T.generated_paths(V.attributes(spark, sf_dir))
@@ -226,24 +265,27 @@ def cache_table(spark, sf_dir):
 
 
 @query("cache_prune", "WITH " + O.CACHE + """
-SELECT key, path, mtime FROM entries ORDER BY mtime DESC, path DESC LIMIT 200""")
+SELECT store, key, path, mtime FROM (SELECT entries.*, source AS store FROM entries JOIN documents USING (doc_id))
+QUALIFY row_number() OVER (PARTITION BY store ORDER BY mtime DESC, path DESC) <= 200""")
 def cache_prune(spark, sf_dir):
-    entries = V.cache_entries(spark, sf_dir).select("key", "path", "mtime")
-    return T.cache_prune(entries, DEFAULTS.cache_max_entries)
+    """One store per source."""
+    stores = V.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("store"))
+    entries = V.cache_entries(spark, sf_dir).join(stores, "doc_id").select("store", "key", "path", "mtime")
+    return T.cache_prune(entries, DEFAULTS.cache_max_entries, ["store"])
 
 
 def catalog(spark, sf_dir):
     prs = V.table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("number"), F.col("o_orderpriority").alias("title"),
+        (F.col("o_custkey") % 20).cast("int").alias("repository"), F.col("o_orderkey").alias("number"), F.col("o_orderpriority").alias("title"),
         F.unix_timestamp("o_orderdate").alias("updated_at"),
     )
     branches = V.table(spark, sf_dir, "customer").select(
-        F.format_string("branch-%d", "c_custkey").alias("name"), F.lit("origin/branch-7").alias("base"),
+        (F.col("c_custkey") % 20).cast("int").alias("repository"), F.format_string("branch-%d", "c_custkey").alias("name"), F.lit("origin/branch-7").alias("base"),
         (F.col("c_custkey") % 4).alias("ahead"), F.col("c_custkey").alias("committed_at"),
         F.col("c_name").alias("subject"),
     )
     commits = V.table(spark, sf_dir, "events").select(
-        F.sha1(F.col("event_id").cast("string")).alias("hash"),
+        (F.col("user_id") % 20).cast("int").alias("repository"), F.sha1(F.col("event_id").cast("string")).alias("hash"),
         F.substring(F.sha1(F.col("event_id").cast("string")), 1, 7).alias("short_hash"),
         F.unix_timestamp("ts").alias("committed_at"), F.col("event_type").alias("subject"),
     )
@@ -252,16 +294,16 @@ def catalog(spark, sf_dir):
 
 CATALOG_SQL = """
 catalog AS (
-  (SELECT 'pr' AS kind, '#' || o_orderkey || '  ' || o_orderpriority AS label, o_orderkey || ' ' || o_orderpriority AS search,
-          CAST(o_orderkey AS VARCHAR) AS ref, epoch_us(o_orderdate) // 1000000 AS sort_key
-   FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1000)
+  SELECT CAST(o_custkey % 20 AS INTEGER) AS repository, 'pr' AS kind, '#' || o_orderkey || '  ' || o_orderpriority AS label, o_orderkey || ' ' || o_orderpriority AS search,
+         CAST(o_orderkey AS VARCHAR) AS ref, epoch_us(o_orderdate) // 1000000 AS sort_key
+  FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderdate DESC, o_orderkey DESC) <= 1000
   UNION ALL
-  (SELECT 'branch', 'branch-' || c_custkey || '  (' || c_custkey % 4 || ' ahead)  ' || c_name, 'branch-' || c_custkey || ' ' || c_name,
-          'branch-' || c_custkey, c_custkey FROM customer WHERE c_custkey % 4 > 0 AND c_custkey <> 7)
+  SELECT CAST(c_custkey % 20 AS INTEGER), 'branch', 'branch-' || c_custkey || '  (' || c_custkey % 4 || ' ahead)  ' || c_name, 'branch-' || c_custkey || ' ' || c_name,
+         'branch-' || c_custkey, c_custkey FROM customer WHERE c_custkey % 4 > 0 AND c_custkey <> 7
   UNION ALL
-  (SELECT 'commit', left(h, 7) || '  ' || event_type, h || ' ' || left(h, 7) || ' ' || event_type, h, s
-   FROM (SELECT sha1(CAST(event_id AS VARCHAR)) AS h, event_type, epoch_us(ts) // 1000000 AS s FROM events)
-   ORDER BY s DESC, h DESC LIMIT 1000))"""
+  SELECT r, 'commit', left(h, 7) || '  ' || event_type, h || ' ' || left(h, 7) || ' ' || event_type, h, s
+  FROM (SELECT CAST(user_id % 20 AS INTEGER) AS r, sha1(CAST(event_id AS VARCHAR)) AS h, event_type, epoch_us(ts) // 1000000 AS s FROM events)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY s DESC, h DESC) <= 1000)"""
 
 
 @query("catalog_scan", "WITH " + CATALOG_SQL + " SELECT * FROM catalog")
@@ -270,8 +312,8 @@ def catalog_scan(spark, sf_dir):
 
 
 @query("catalog_search", "WITH " + CATALOG_SQL + """
-SELECT kind, position, label, ref, greatest(matches - 8, 0) AS hidden FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY sort_key DESC, ref) AS INTEGER) AS position, count(*) OVER (PARTITION BY kind) AS matches
+SELECT repository, kind, position, label, ref, greatest(matches - 8, 0) AS hidden FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY repository, kind ORDER BY sort_key DESC, ref) AS INTEGER) AS position, count(*) OVER (PARTITION BY repository, kind) AS matches
   FROM catalog WHERE contains(lower(search || ' ' || label), 'e'))
 WHERE position <= 8""")
 def catalog_search(spark, sf_dir):

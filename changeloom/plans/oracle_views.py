@@ -11,29 +11,29 @@ def sql_list(values) -> str:
 
 DOCS = f"""
 docs0 AS (
-  SELECT doc_id, lang, text, source || '-' || CAST(doc_id // 1000 AS VARCHAR) AS change_id,
-         CAST(row_number() OVER (PARTITION BY source, doc_id // 1000 ORDER BY doc_id) - 1 AS INTEGER) AS file_idx
-  FROM documents),
+  SELECT doc_id, lang, text, change_id, plain,
+         CAST(row_number() OVER (PARTITION BY change_id ORDER BY doc_id, plain DESC) - 1 AS INTEGER) AS file_idx
+  FROM (SELECT doc_id, lang, text, source AS change_id, true AS plain FROM documents
+        UNION ALL SELECT doc_id, lang, text, source, false FROM documents WHERE doc_id % 17 = 0 OR doc_id % 11 = 2)),
 docs1 AS (
   SELECT *, {sql_list(FOLDERS)}[file_idx % 16 + 1] AS folder,
          {sql_list(ENDINGS)}[file_idx % 16 + 1] AS ending,
          CASE doc_id % 11 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' WHEN 2 THEN 'renamed' ELSE 'modified' END AS status,
-         doc_id % 17 = 0 AS "binary", doc_id % 23 = 0 AS mode_changed
+         NOT plain AND doc_id % 17 = 0 AS "binary", doc_id % 23 = 0 AS mode_changed
   FROM docs0),
 docs2 AS (
-  SELECT *, CASE WHEN folder = '' THEN '' ELSE folder || '/' || lang || '/' END || 'doc_' || doc_id || ending AS path,
-         CASE WHEN status <> 'renamed' THEN 0 WHEN file_idx % 2 = 0 THEN 100 ELSE 90 END AS similarity
+  SELECT *, CASE WHEN folder = '' THEN '' ELSE folder || '/' || lang || '/' END || CASE WHEN plain THEN 'doc_' ELSE 'copy_' END || doc_id || ending AS path,
+         CASE WHEN status <> 'renamed' THEN 0 WHEN plain THEN 90 ELSE 100 END AS similarity
   FROM docs1),
 docs AS (
-  SELECT *, CASE WHEN status = 'renamed' THEN 'old/' || path ELSE path END AS old_path, path AS new_path,
-         NOT "binary" AND similarity <> 100 AS has_lines
+  SELECT *, CASE WHEN status = 'renamed' THEN 'old/' || path ELSE path END AS old_path, path AS new_path
   FROM docs2)"""
 
 LINES = DOCS + """,
 lines0 AS (
   SELECT change_id, file_idx, doc_id, status, unnest(string_split(text, chr(10))) AS text,
          unnest(range(len(string_split(text, chr(10))))) AS pos
-  FROM docs WHERE has_lines),
+  FROM docs WHERE plain),
 lines1 AS (
   SELECT *, CASE WHEN status = 'added' THEN 'a' WHEN status = 'deleted' THEN 'd'
                  WHEN (doc_id * 31 + pos) % 7 <= 1 THEN 'd' WHEN (doc_id * 31 + pos) % 7 <= 3 THEN 'a'
@@ -68,13 +68,17 @@ hunks AS (
 EDGES = """,
 edge0 AS (SELECT change_id, file_idx AS i, CAST(count(*) OVER (PARTITION BY change_id) AS INTEGER) AS n FROM docs),
 edges AS (
-  SELECT change_id, i AS importer, (i * 7 + 3) % n AS imported FROM edge0 WHERE i % 3 = 0 AND i <> (i * 7 + 3) % n
+  SELECT change_id, i AS importer, (i * 7 + 3) % (i + 1) AS imported FROM edge0 WHERE i % 3 = 0 AND i <> (i * 7 + 3) % (i + 1)
   UNION
-  SELECT change_id, i, (i * 5 + 1) % n FROM edge0 WHERE i % 4 = 0 AND i <> (i * 5 + 1) % n
+  SELECT change_id, i, (i * 5 + 1) % (i + 1) FROM edge0 WHERE i % 4 = 0 AND i <> (i * 5 + 1) % (i + 1)
   UNION
-  SELECT change_id, i, (i + 16) % n FROM edge0 WHERE i <> (i + 16) % n
+  SELECT change_id, i, i - 16 FROM edge0 WHERE i >= 16
   UNION
-  SELECT change_id, i, (i + 9) % n FROM edge0 WHERE i % 16 = 4 AND i <> (i + 9) % n)"""
+  SELECT change_id, i, (i + 1) % n FROM edge0 WHERE i % 10 = 3 AND i <> (i + 1) % n
+  UNION
+  SELECT change_id, i, i - 1 FROM edge0 WHERE i % 20 = 4
+  UNION
+  SELECT change_id, i, (i + 16) % n FROM edge0 WHERE i % 50 = 25 AND i <> (i + 16) % n)"""
 
 ATTRS = """,
 attrs AS (

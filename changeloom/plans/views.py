@@ -1,8 +1,8 @@
 """Change-set tables derived from the document, event, page and conversation tables.
 
-A change is one block of 1,000 consecutive document ids within a source, so a change
-never holds more than 1,000 files however large a source grows, and the number of changes
-grows with the data. A line group is one document's text.
+A change is one source, so a source with a third of all documents is one change of that size.
+Every document is a file with its whole text as lines. Some documents have a second file without
+lines, a binary one or an exact rename.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from changeloom.sources.shared import materialize_once
 
-CHANGE_BLOCK = 1000
 HUNK_LINES = 40
 
 # Fixed values of the view: directory and file extension by file number modulo 16.
@@ -36,25 +35,24 @@ def pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
 
 
-def change_of(source: Column, doc_id: Column) -> Column:
-    return F.concat(source, F.lit("-"), F.expr("doc_id div 1000").cast("string"))
-
-
 def documents(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
-    """Documents as files of a change: identity, path and status columns."""
-    columns = ["doc_id", "lang", "source"] + (["text"] if text else [])
-    order = Window.partitionBy("change_id").orderBy("doc_id")
+    """Documents as files of a change: identity, path and status columns.
+
+    ``plain`` files hold the text; the others are binary or renamed as they are, without lines.
+    """
+    columns = ["doc_id", "lang", F.col("source").alias("change_id")] + (["text"] if text else [])
+    order = Window.partitionBy("change_id").orderBy("doc_id", F.desc("plain"))
+    twice = (F.col("doc_id") % 17 == 0) | (F.col("doc_id") % 11 == 2)
+    both = F.when(twice, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
     docs = (
         table(spark, sf_dir, "documents")
-        .select(*columns)
-        .withColumn("change_id", change_of(F.col("source"), F.col("doc_id")))
+        .select(*columns, F.explode(both).alias("plain"))
         .withColumn("file_idx", F.row_number().over(order) - 1)
-        .drop("source")
     )
     folder = pick(FOLDERS, F.col("file_idx"))
     path = F.concat(
         F.when(folder == "", "").otherwise(F.concat(folder, F.lit("/"), F.col("lang"), F.lit("/"))),
-        F.lit("doc_"), F.col("doc_id").cast("string"), pick(ENDINGS, F.col("file_idx")),
+        F.when(F.col("plain"), "doc_").otherwise("copy_"), F.col("doc_id").cast("string"), pick(ENDINGS, F.col("file_idx")),
     )
     kind = F.col("doc_id") % 11
     status = (
@@ -64,10 +62,10 @@ def documents(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame
     return (
         docs.withColumn("path", path)
         .withColumn("status", status)
-        .withColumn("binary", F.col("doc_id") % 17 == 0)
+        .withColumn("binary", ~F.col("plain") & (F.col("doc_id") % 17 == 0))
         .withColumn(
             "similarity",
-            F.when(F.col("status") != "renamed", 0).when(F.col("file_idx") % 2 == 0, 100).otherwise(90),
+            F.when(F.col("status") != "renamed", 0).when(F.col("plain"), 90).otherwise(100),
         )
         .withColumn(
             "old_path",
@@ -76,7 +74,6 @@ def documents(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame
         )
         .withColumn("new_path", F.col("path"))
         .withColumn("mode_changed", F.col("doc_id") % 23 == 0)
-        .withColumn("has_lines", ~F.col("binary") & (F.col("similarity") != 100))
     )
 
 
@@ -101,7 +98,7 @@ FILE_COLUMNS = [
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``files`` table; churn is counted inside each row, without exploding lines."""
     docs = documents(spark, sf_dir, text=True)
-    count = F.when(F.col("has_lines"), F.size(text_lines(F.col("text")))).otherwise(0)
+    count = F.when(F.col("plain"), F.size(text_lines(F.col("text")))).otherwise(0)
     docs = docs.withColumn("line_count", count).drop("text")
 
     def churn(kind: str) -> Column:
@@ -120,7 +117,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``lines`` table: one row per document line; ``pos`` counts lines of the file."""
-    docs = documents(spark, sf_dir, text=True).where("has_lines")
+    docs = documents(spark, sf_dir, text=True).where("plain")
     rows = docs.select(
         "change_id", "file_idx", "doc_id", "status",
         F.posexplode(text_lines(F.col("text"))).alias("pos", "text"),
@@ -226,17 +223,17 @@ def patch_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to four links per file of a change, without self links.
+    """Up to six links per file of a change, without self links.
 
-    The step of 16 links files of one kind; the others mix kinds and directories.
+    Most lead to earlier files. Some lead forward, over one file or sixteen, and close cycles.
     """
     docs = documents(spark, sf_dir).select("change_id", "file_idx")
     sized = docs.withColumn("n", F.count("*").over(Window.partitionBy("change_id")).cast("int"))
     i, n = F.col("file_idx"), F.col("n")
     targets = F.array_compact(
         F.array(
-            F.when(i % 3 == 0, (i * 7 + 3) % n), F.when(i % 4 == 0, (i * 5 + 1) % n), (i + 16) % n,
-            F.when(i % 16 == 4, (i + 9) % n),
+            F.when(i % 3 == 0, (i * 7 + 3) % (i + 1)), F.when(i % 4 == 0, (i * 5 + 1) % (i + 1)), F.when(i >= 16, i - 16),
+            F.when(i % 10 == 3, (i + 1) % n), F.when(i % 20 == 4, i - 1), F.when(i % 50 == 25, (i + 16) % n),
         )
     )
     return (

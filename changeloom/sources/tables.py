@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from changeloom.functions.paths import image_kind, repo_identity, safe_name
 from changeloom.functions.text import delta_label, size_label
+from changeloom.sources.shared import materialize
 from changeloom.settings import DEFAULTS, SCHEMA_VERSION, Settings
 
 PULL_REQUEST_SCHEMA = (
@@ -191,7 +192,7 @@ def catalog_scan(
 
 
 def catalog_search(catalog: DataFrame, query: str, settings: Settings = DEFAULTS) -> DataFrame:
-    """First rows per kind that contain the query, with the number of hidden ones.
+    """First rows per kind, and repository if there is one, that contain the query, with the number of hidden ones.
 
     The row-number limit lets Spark keep only the first rows of each partition before the
     shuffle; the totals are combined on the map side.
@@ -199,13 +200,14 @@ def catalog_search(catalog: DataFrame, query: str, settings: Settings = DEFAULTS
     needle = query.strip().lower()
     haystack = F.lower(F.concat_ws(" ", "search", "label"))
     hits = catalog.where(haystack.contains(needle)) if needle else catalog
-    order = Window.partitionBy("kind").orderBy(F.desc("sort_key"), "ref")
+    key = [c for c in ("repository", "kind") if c in catalog.columns]
+    order = Window.partitionBy(*key).orderBy(F.desc("sort_key"), "ref")
     shown = hits.withColumn("position", F.row_number().over(order)).where(
         F.col("position") <= settings.section_limit
     )
-    totals = hits.groupBy("kind").agg(F.count("*").alias("matches"))
-    return shown.join(totals, "kind").select(
-        "kind", "position", "label", "ref",
+    totals = hits.groupBy(*key).agg(F.count("*").alias("matches"))
+    return shown.join(totals, key).select(
+        *key, "position", "label", "ref",
         F.greatest(F.col("matches") - settings.section_limit, F.lit(0)).alias("hidden"),
     )
 
@@ -251,6 +253,61 @@ def snapshot_status(old: DataFrame, new: DataFrame) -> DataFrame:
     return plain.unionByName(renamed)
 
 
+def similar_renames(gone: DataFrame, come: DataFrame, percent: int) -> DataFrame:
+    """(change_id, old_path, path, similarity) of deleted and added files that share most lines.
+
+    Inputs are the lines (change_id, path, text) of deleted and of added files. Similarity is the
+    share, in whole per cent, of the larger file's bytes whose lines both files hold. Files meet only
+    over their rarest lines: the lines beyond a file's prefix are too few bytes to reach the
+    threshold without one of it, so lines that every file holds bring no files together. Of the
+    pairs at the threshold the most similar come first, then by paths; each file is taken once.
+    """
+    key = ["change_id", "path"]
+    sides = gone.select(*key, "text", F.lit(0).alias("side")).unionByName(come.select(*key, "text", F.lit(1).alias("side")))
+    mark = F.xxhash64("text", F.lit(1)), F.xxhash64("text", F.lit(2))
+    held = sides.groupBy(*key, "side", mark[0].alias("m"), mark[1].alias("m2"), F.octet_length("text").alias("bytes")).agg(F.count("*").alias("n"))
+    held = materialize(held.withColumn("weight", F.col("n") * (F.col("bytes") + 1)), "rename-lines")
+    line = ["change_id", "m", "m2", "bytes"]
+    common = held.groupBy(*line).agg(F.count("*").alias("files"))
+    rare = Window.partitionBy(*key, "side").orderBy("files", "m", "m2", "bytes")
+    whole = Window.partitionBy(*key, "side")
+    listed = held.join(common, line).withColumn("size", F.sum("weight").over(whole)).withColumn("upto", F.sum("weight").over(rare))
+    prefix = listed.where(100 * (F.col("size") - F.col("upto") + F.col("weight")) >= percent * F.col("size"))
+    end = lambda frame, side, path: frame.where(F.col("side") == side).select(*line, F.col("path").alias(path))
+    pairs = end(prefix, 0, "old_path").join(end(prefix, 1, "new_path"), line).select("change_id", "old_path", "new_path").distinct()
+    pairs = materialize(pairs, "rename-pairs")
+    lines = lambda side, path, n: held.where(F.col("side") == side).select(*line, F.col("path").alias(path), F.col("n").alias(n))
+    size = lambda side, path, name: held.where(F.col("side") == side).groupBy("change_id", F.col("path").alias(path)).agg(F.sum("weight").alias(name))
+    shared = (
+        pairs.join(lines(0, "old_path", "n_old"), ["change_id", "old_path"])
+        .join(lines(1, "new_path", "n_new"), [*line, "new_path"])
+        .groupBy("change_id", "old_path", "new_path").agg(F.sum(F.least("n_old", "n_new") * (F.col("bytes") + 1)).alias("shared"))
+    )
+    larger = F.greatest("old_size", "new_size")
+    scored = (
+        shared.join(size(0, "old_path", "old_size"), ["change_id", "old_path"]).join(size(1, "new_path", "new_size"), ["change_id", "new_path"])
+        .where(100 * F.col("shared") >= percent * larger)
+        .select("change_id", "old_path", "new_path", F.floor(100 * F.col("shared") / larger).cast("int").alias("similarity"))
+    )
+    return one_to_one(materialize(scored, "rename-scores")).withColumnRenamed("new_path", "path")
+
+
+def one_to_one(pairs: DataFrame) -> DataFrame:
+    """Pairs in falling similarity, each file once: in a round a pair stays that is the first of both its files."""
+    left, taken = pairs, None
+    first = F.struct(-F.col("similarity"), "old_path", "new_path")
+    while taken is None or not left.isEmpty():
+        best = lambda path: left.groupBy("change_id", path).agg(F.min(first).alias(f"best_{path}"))
+        judged = left.join(best("old_path"), ["change_id", "old_path"]).join(best("new_path"), ["change_id", "new_path"])
+        chosen = materialize(judged.where(F.col("best_old_path") == F.col("best_new_path")).where(F.col("best_old_path") == first).select(pairs.columns), "renames")
+        taken = chosen if taken is None else taken.unionByName(chosen)
+        left = materialize(
+            left.join(chosen.select("change_id", "old_path"), ["change_id", "old_path"], "left_anti")
+            .join(chosen.select("change_id", "new_path"), ["change_id", "new_path"], "left_anti").select(pairs.columns), "rename-rest",
+        )
+    return taken
+
+
 def match_remote(changes: DataFrame, remotes: DataFrame) -> DataFrame:
     """The remote of a change's repository: first with its identity, else the only one.
 
@@ -293,8 +350,15 @@ def cache_lookup(requests: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
-def cache_prune(entries: DataFrame, max_entries: int) -> DataFrame:
-    """The newest entries, later paths first among equals; 0 keeps everything."""
+def cache_prune(entries: DataFrame, max_entries: int, store: list[str] | None = None) -> DataFrame:
+    """The newest entries of every store, later paths first among equals; 0 keeps everything.
+
+    ``store`` names the columns that tell stores apart; without it the table is one store.
+    """
     if max_entries == 0:
         return entries
-    return entries.orderBy(F.desc("mtime"), F.desc("path")).limit(max_entries)
+    order = [F.desc("mtime"), F.desc("path")]
+    if not store:
+        return entries.orderBy(*order).limit(max_entries)
+    place = F.row_number().over(Window.partitionBy(*store).orderBy(*order))
+    return entries.withColumn("_place", place).where(F.col("_place") <= max_entries).drop("_place")

@@ -59,11 +59,26 @@ def test_components_both_ways(spark):
     edges = spark.createDataFrame([(g, a, b) for g, es in graphs.items() for a, b in es], "change_id string, importer int, imported int")
     got = {(r.change_id, r.node): r.component for r in G.scc(nodes, edges).collect()}
     assert got == expected
-    one = list(graphs)[3]
-    flat = spark.createDataFrame([(i,) for i in range(n)], "node bigint")
-    links = spark.createDataFrame([*graphs[one], (0, 0)], "src bigint, dst bigint")
-    whole = {r.node: r.component for r in G.scc_distributed(flat, links).collect()}
-    assert whole == {i: expected[(one, i)] for i in range(n)}
+    # All graphs as one, their nodes in disjoint ranges; no task may close more than a few links.
+    flat = spark.createDataFrame([(100 * k + i,) for k in range(len(graphs)) for i in range(n)], "node bigint")
+    links = spark.createDataFrame([(100 * k + a, 100 * k + b) for k, es in enumerate(graphs.values()) for a, b in [*es, (0, 0)]], "src bigint, dst bigint")
+    for small in (0, 200_000):
+        whole = {r.node: r.component for r in G.scc_distributed(flat, links, small).collect()}
+        assert whole == {100 * k + i: 100 * k + expected[(g, i)] for k, g in enumerate(graphs) for i in range(n)}
+
+
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A path of 3,000 nodes that ends in a ring of 1,000 others."""
+    rounds, contract = [], G.contract
+    monkeypatch.setattr(G, "contract", lambda *a: rounds.append(1) or contract(*a))
+    rng = random.Random(5)
+    names = rng.sample(range(10_000), 4_000)
+    pairs = list(zip(names, names[1:])) + [(names[-1], names[3_000])]
+    nodes, links = spark.createDataFrame([(x,) for x in names], "node bigint"), spark.createDataFrame(pairs, "src bigint, dst bigint")
+    got = {r.node: r.component for r in G.scc_distributed(nodes, links, 10).collect()}
+    ring = names[3_000:]
+    assert got == {x: min(ring) if x in set(ring) else x for x in names}
+    assert len(rounds) < 30
 
 
 def test_cohort_order_keeps_dependencies_first(spark):

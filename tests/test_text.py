@@ -122,3 +122,14 @@ def test_long_tags_do_not_overflow(spark):
     tag = "<img " + "a='b' " * 60_000 + "src='x.png'>"
     assert one(spark, W.html_refs(F.col("t")), t=tag + "<!--" + "-" * 300_000) == ["x.png"]
     assert one(spark, W.css_refs(F.col("t")), t="\"" + "a\\\"" * 200_000) == []
+
+
+def test_a_sign_in_plain_text_opens_a_tag_and_hides_comments(spark):
+    cases = {
+        'x < y <!-- \n<script src="c95.js">': ["c95.js"],
+        '<p>don\'t</p><!-- <img src="./no.svg"> --><img src="a.svg">': ["a.svg"],
+        '<a title="<!--"><img src="b.svg"><!-- <img src="no.svg">': ["b.svg"],
+        '<img alt=\'src="./no.svg"\'>': [],
+    }
+    for html, wanted in cases.items():
+        assert one(spark, W.html_refs(F.col("t")), t=html) == wanted, html
