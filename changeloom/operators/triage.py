@@ -19,25 +19,25 @@ LOCKFILES = (
 VENDOR_FOLDERS = ("node_modules", "third_party", "vendor", "vendors")
 
 
-# Letters whose counts are compared before any text moves.
-LETTER_GROUPS = ("etaoinshr", "dlcumwfgypb", "0123456789", "(){}[];,.:=")
+# Letters whose count is compared before any text moves.
+LETTERS = "etaoinshr0123456789(){};=."
 PIECE = 1024
 
 
 def whitespace_only(lines: DataFrame) -> DataFrame:
     """(change_id, file_idx) of files whose deleted and added text differ in white space only.
 
-    Lengths and letter counts of both sides are sums, which combine before the shuffle; only files
+    Lengths and counts of letters of both sides are sums, which combine before the shuffle; only files
     where they agree go on. There, both sides are cut at the same places of their joined text,
     found by running lengths, and compared piece by piece, so no task holds a file.
     """
     key = ["change_id", "file_idx"]
     changed = lines.where("t <> 'c'").select(*key, "t", "hunk_idx", "line_idx", strip_space(F.col("text")).alias("solid"))
     sign = F.when(F.col("t") == "a", 1).otherwise(-1)
-    sums = [sign * F.length("solid")] + [sign * F.length(F.translate("solid", letters, "")) for letters in LETTER_GROUPS]
+    sums = [sign * F.length("solid"), sign * F.length(F.translate("solid", LETTERS, ""))]
     level = changed.groupBy(*key).agg(*[F.sum(x).alias(f"s{k}") for k, x in enumerate(sums)])
     likely = materialize(level.where(" AND ".join(f"s{k} = 0" for k in range(len(sums)))).select(*key), "level-files")
-    rows = changed.where("solid <> ''").join(likely, key, "left_semi").withColumn("size", F.length("solid").cast("long"))
+    rows = materialize(changed.where("solid <> ''").join(likely, key, "left_semi").withColumn("size", F.length("solid").cast("long")), "level-lines")
     placed = rank_rows(rows, [*key, "t"], ["hunk_idx", "line_idx"], "n", {"upto": "size"}, bounded=False)
     start, first, last = F.col("upto") - F.col("size"), F.floor((F.col("upto") - F.col("size")) / PIECE), F.floor((F.col("upto") - 1) / PIECE)
     cut = placed.withColumn("start", start).select(*key, "t", "start", "upto", "solid", F.explode(F.sequence(first, last)).alias("piece"))
