@@ -34,7 +34,7 @@ SCRIPTS = {
     "east_asian": ((0xE3, 0xED),),
     "other": ((0xE2, 0xE2), (0xEE, 0xF4)),
 }
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 @dataclass(frozen=True)
@@ -170,7 +170,7 @@ def measure(data: np.ndarray, offsets: np.ndarray, model: str, bands: dict[str,
     }
 
 
-FIELDS = {**{c: pa.int64() for c in COUNTS}, "base_failed": pa.bool_(), "kept": pa.bool_(),
+FIELDS = {**{c: pa.int64() for c in COUNTS}, "base_failed": pa.bool_(), "kept": pa.bool_(), "n_tokens": pa.int64(),
           "chars_per_token": pa.float64(), "byte_share": pa.float64(), "bits": pa.float64(), "script": pa.string()}
 TYPES = {pa.int64(): "long", pa.bool_(): "boolean", pa.float64(): "double", pa.string(): "string"}
 

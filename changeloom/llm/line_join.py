@@ -4,7 +4,7 @@ A line is the set of its words. Words are ordered by rarity (a table of counts b
 size), and only the rarest few of a line, its prefix, are indexed: two lines as similar as the
 threshold share a word of both prefixes. A pair found there must pass the length filter, the
 positional filter and a parity bitmap, whose differing bits never exceed the differing words.
-Words at the top of the count table are indexed together with a second word each, which is as
+Words of 16,384 occurrences or more are indexed together with a second word each, which is as
 exact because similar lines share at least two. Lines with equal sets count once. Lines of so few
 words that they can only match an equal set (1 to 3 words at 0.8) have one entry, their set's hash.
 
@@ -26,8 +26,9 @@ from changeloom.llm.components import components
 from changeloom.llm.worker import lower_table, mix, slices, space_words, span_hashes, stream, text_views, word_spans
 from changeloom.sources.shared import materialize
 
-TABLE_BITS, HASH_BITS, CLASS_BITS = 23, 36, 4
+TABLE_BITS, HASH_BITS, CLASS_BITS = 23, 35, 5
 TOP = (1 << CLASS_BITS) - 1
+HOT = 15  # class from which words are indexed with a second one: 16,384 occurrences and more
 FLUSH_ENTRIES = 1 << 20
 BUCKET_WORDS = 4_000_000
 BLOCK_WORDS, BLOCK_LINES = 300_000, 3_000
@@ -46,9 +47,9 @@ def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def count_words(documents: DataFrame) -> np.ndarray:
-    """Class of every slot of the count table: the number of bits of its words' count, 15 at most.
+    """Class of every slot of the count table: the number of bits of its words' count, 31 at most.
 
-    Each task sends its counts once, saturated at 255; the table has a fixed size.
+    Each task sends its counts once, in blocks of two or four bytes a count; the table has a fixed size.
     """
     part = 1 << 16
 
@@ -57,17 +58,19 @@ def count_words(documents: DataFrame) -> np.ndarray:
         for batch in batches:
             for _, _, data, offsets in slices(batch.column("text")):
                 hashes, _, _ = line_words(data, offsets)
-                slots, counts = np.unique(hashes >> np.uint64(64 - TABLE_BITS), return_counts=True)
-                total[slots] += counts.astype(np.uint32)
-        blocks = np.minimum(total, 0xFFFF).astype("<u2").reshape(-1, part)
-        keep = [k for k in range(len(blocks)) if blocks[k].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([blocks[k].tobytes() for k in keep], pa.binary())], names=["bucket", "data"])
+                np.add.at(total, hashes >> np.uint64(64 - TABLE_BITS), np.uint32(1))
+        blocks = total.reshape(-1, part)
+        most = blocks.max(1)
+        keep = np.flatnonzero(most).tolist()
+        sent = [blocks[k].astype("<u2" if most[k] <= 0xFFFF else "<u4").tobytes() for k in keep]
+        yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array(sent, pa.binary())], names=["bucket", "data"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column("bucket").to_pylist(), batch.column("data")):
-                sums[k] = sums.get(k, 0) + np.frombuffer(raw.as_buffer(), "<u2").astype(np.uint64)
+                buffer = raw.as_buffer()
+                sums[k] = sums.get(k, 0) + np.frombuffer(buffer, "<u2" if buffer.size == 2 * part else "<u4").astype(np.uint64)
         classes = {k: np.minimum(np.ceil(np.log2(v + 1)), TOP).astype(np.uint8) for k, v in sums.items()}
         yield pa.RecordBatch.from_arrays([pa.array(list(classes), pa.int32()), pa.array([c.tobytes() for c in classes.values()], pa.binary())], names=["bucket", "data"])
 
@@ -124,7 +127,7 @@ def prefixes(hashes: np.ndarray, lines: np.ndarray, classes: np.ndarray, percent
     taken = (pos < np.repeat(prefix, size)) & np.repeat(ok & ~few, size) & (token >> np.uint64(HASH_BITS) > 1)
     at = np.flatnonzero(taken)
     row = np.repeat(np.arange(len(begin)), size)[at]
-    hot = token[at] >> np.uint64(HASH_BITS) == TOP
+    hot = token[at] >> np.uint64(HASH_BITS) >= HOT
     tokens, rows, places = [wide, token[at[~hot]]], [short, row[~hot]], [np.zeros(len(short), np.int64), pos[at[~hot]]]
     for k in np.flatnonzero(hot).tolist():  # with every later word of the prefix of two
         i, r = at[k], row[k]
@@ -395,7 +398,7 @@ def confirm(lines: DataFrame, percent: int) -> DataFrame:
     return lines.repartition("group").sortWithinPartitions("group").mapInArrow(run, "doc long, line int")
 
 
-def similar_lines(documents: DataFrame, percent: int = 80, least_words: int = 5, id_column: str = "doc_id") -> DataFrame:
+def similar_lines(documents: DataFrame, percent: int = 80, least_words: int = 1, id_column: str = "doc_id") -> DataFrame:
     """(doc, line): every line, numbered from 0, that has an equal or similar earlier line.
 
     Lines of fewer than ``least_words`` distinct words are left alone; so are null and empty texts

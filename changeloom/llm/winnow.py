@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +27,9 @@ BLOCK_BYTES = 16 << 20
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-@dataclass(frozen=True)
-class Items:
-    """Windows of one length: sorted fingerprints, and sorted window hashes with their items."""
-
-    prints: np.ndarray
-    windows: np.ndarray
-    owners: np.ndarray
+# Windows of one length, as plain arrays, which need no copy of this module where they are read:
+# sorted fingerprints, and sorted window hashes with their items.
+Items = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def fingerprints(words: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,16 +74,16 @@ def prepare(texts: list[str]) -> dict[int, Items]:
         windows = gram_hashes(own, size)
         whole = owners[:len(windows)] == owners[size - 1:]
         order = np.argsort(windows[whole], kind="stable")
-        found[size] = Items(np.unique(prints), windows[whole][order], owners[:len(windows)][whole][order])
+        found[size] = np.unique(prints), windows[whole][order], owners[:len(windows)][whole][order]
     return found
 
 
 def hits(words: np.ndarray, rows: np.ndarray, items: dict[int, Items]) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Which words lie in an occurring window, and (row, item) of every occurrence."""
     marked, pairs = np.zeros(len(words), bool), []
-    for size, table in items.items():
+    for size, (known, windows, owners) in items.items():
         at, prints = fingerprints(words, rows, size)
-        at = at[isin(prints, table.prints)]
+        at = at[isin(prints, known)]
         if len(at) == 0:
             continue
         span = size - min(GRAM, size) + 1
@@ -97,12 +92,12 @@ def hits(words: np.ndarray, rows: np.ndarray, items: dict[int, Items]) -> tuple[
         begin = begin[rows[begin] == rows[begin + size - 1]]
         around = words[begin[:, None] + np.arange(size)]  # extension: whole windows around the hits
         keys = np.array([gram_hashes(one, size)[0] for one in around], np.uint64)
-        good = isin(keys, table.windows)
+        good = isin(keys, windows)
         begin, keys = begin[good], keys[good]
         marked |= covered(begin, size, len(words))
-        low, high = np.searchsorted(table.windows, keys), np.searchsorted(table.windows, keys, "right")
+        low, high = np.searchsorted(windows, keys), np.searchsorted(windows, keys, "right")
         for row, a, b in zip(rows[begin].tolist(), low.tolist(), high.tolist()):
-            pairs.extend((row, int(item)) for item in table.owners[a:b])
+            pairs.extend((row, int(item)) for item in owners[a:b])
     return marked, pairs
 
 

@@ -5,6 +5,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from changeloom.llm import automata, line_join, winnow
 
 WORDS = "ash birch cedar elm fir hazel larch maple oak pine".split()
@@ -42,10 +44,15 @@ def test_ordinary_text_counts_whole_texts_of_all_rows(spark):
     texts = [None, "", "é 日本", *(say("abcxyz012 .", 50) for _ in range(1_500)), say("abc xyz", 5_000) + say("ABCXYZ+/_= é-", 30_000)]
     rows = [(k if k % 7 else None, t) for k, t in enumerate(texts)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    counts = Counter(s for t in texts for word in re.findall("[A-Za-z0-9+/_.=-]+", t or "") for s in automata.symbols(word))
-    total = sum(counts.values()) + automata.ALPHABET
-    assert automata.ordinary_text(frame) == [math.log((counts[s] + 1) / total) for s in range(automata.ALPHABET)]
-    assert automata.ordinary_text(frame.limit(0)) == [math.log(1 / automata.ALPHABET)] * automata.ALPHABET
+    secret = re.compile("[A-Za-z0-9+/_.=-]")
+    kinds = lambda t: [automata.symbol(chr(b)) if secret.match(chr(b)) and b < 128 else automata.ALPHABET - 1 for b in t.encode()]
+    counts = Counter(pair for t in texts for pair in zip([automata.ALPHABET - 1, *kinds(t or "")], kinds(t or "")))
+    every = range(automata.ALPHABET)
+    found = automata.ordinary_text(frame)
+    for a in every:
+        total = sum(counts[a, b] + 1 for b in every)
+        assert found[a] == pytest.approx([math.log((counts[a, b] + 1) / total) for b in every])
+    assert automata.ordinary_text(frame.limit(0))[3][4] == pytest.approx(math.log(1 / automata.ALPHABET))
 
 
 def test_benchmark_blocks_are_held_one_at_a_time(spark, monkeypatch):
