@@ -189,7 +189,7 @@ def code(spark, sf_dir):
   SELECT change_id, i AS file_idx, unnest(CASE
     WHEN l = 'go' THEN CASE WHEN td = '' AND m % 2 = 0 THEN [] WHEN m % 2 = 0 THEN [td] ELSE ['example.com/mod/' || td] END
     WHEN l = 'python' AND m = 0 THEN [replace(tt, '/', '.')] WHEN l = 'python' AND m = 1 THEN ['os', replace(ts, '/', '.')]
-    WHEN l = 'python' AND m = 2 THEN ['.doc_' || dj] WHEN l = 'python' THEN ['...' || replace(tt, '/', '.')]
+    WHEN l = 'python' AND m = 2 THEN ['.' || split_part(tt, '/', -1)] WHEN l = 'python' THEN ['...' || replace(tt, '/', '.')]
     WHEN l IN ('java', 'kotlin') AND m = 3 THEN CASE WHEN td = '' THEN [] ELSE [td || '/*'] END
     WHEN l IN ('java', 'kotlin') THEN ['org/acme/' || replace(ts, '.', '/')] ELSE [] END) AS specifier FROM links)
 SELECT DISTINCT change_id, file_idx, specifier FROM spec""")
