@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.functions.paths import classify_layer
@@ -281,18 +281,28 @@ def call_plan(batches: DataFrame, cohorts: DataFrame, settings: Settings = DEFAU
     )
 
 
-def diff_text(lines: DataFrame, hunks: DataFrame, files: DataFrame) -> DataFrame:
+def diff_text(lines: DataFrame, hunks: DataFrame, files: DataFrame, cap: int | None = None) -> DataFrame:
     """(change_id, file_idx, diff): hunk headers and prefixed lines of each file.
 
-    A file's text is one value of its patch again, so the group is as large as its input.
+    Without ``cap`` a file's text is one value of its patch again. With a ``cap`` of bytes a longer
+    text ends at the first row that passes the cap, which is all that cuts at or below the cap
+    read: rows that cannot begin before the cap leave before the shuffle, long lines are
+    shortened, and a running sum ends the text, so no group exceeds the cap by more than a row.
     """
-    rows = lines.withColumn("row", F.concat(line_prefix(F.col("t")), "text", F.lit("\n")))
-    bodies = rows.groupBy(*FILE, "hunk_idx").agg(ordered_text(["line_idx"], "row").alias("body"))
-    texts = (
-        hunks.join(bodies, [*FILE, "hunk_idx"], "left")
-        .withColumn("part", F.concat(F.lit("@@ "), "header", F.lit("\n"), F.coalesce("body", F.lit(""))))
-        .groupBy(*FILE).agg(ordered_text(["hunk_idx"], "part").alias("text"))
-    )
+    capped = cap is not None and cap >= 0
+    text = F.substring("text", 1, cap + 1) if capped else F.col("text")
+    heads = hunks.select(*FILE, "hunk_idx", F.lit(-1).alias("line_idx"), F.concat(F.lit("@@ "), "header", F.lit("\n")).alias("row"))
+    body = lines.select(*FILE, "hunk_idx", "line_idx", F.concat(line_prefix(F.col("t")), text, F.lit("\n")).alias("row"))
+    if capped:
+        # A header has four bytes or more, a line two.
+        heads = heads.where(F.col("hunk_idx") * 4 <= cap)
+        body = body.where(F.col("hunk_idx") * 4 + 4 + F.col("line_idx") * 2 <= cap)
+    rows = heads.unionByName(body)
+    if capped:
+        before = Window.partitionBy(*FILE).orderBy("hunk_idx", "line_idx").rowsBetween(Window.unboundedPreceding, -1)
+        begins = F.coalesce(F.sum(F.octet_length("row")).over(before), F.lit(0))
+        rows = rows.withColumn("begins", begins).where(F.col("begins") <= cap).drop("begins")
+    texts = rows.groupBy(*FILE).agg(ordered_text(["hunk_idx", "line_idx"], "row").alias("text"))
     return files.join(texts, FILE, "left").select(
         *FILE, F.when(F.col("binary"), BINARY_TEXT).otherwise(F.coalesce("text", F.lit(""))).alias("diff")
     )

@@ -123,9 +123,9 @@ def staged_plan(t: ChangeTables, attributes: DataFrame, settings: Settings = DEF
     return StagedPlan(triaged, placed, deps, edges, batches, A.call_plan(batches, placed, settings))
 
 
-def batch_prompts(t: ChangeTables, plan: StagedPlan) -> DataFrame:
+def batch_prompts(t: ChangeTables, plan: StagedPlan, settings: Settings = DEFAULTS) -> DataFrame:
     files = t.files.join(plan.batches.select(*FILE), FILE, "left_semi")
-    return P.prompt_batch(plan.batches, t.files, A.diff_text(t.lines, t.hunks, files))
+    return P.prompt_batch(plan.batches, t.files, A.diff_text(t.lines, t.hunks, files, settings.file_diff_cap))
 
 
 def batch_summaries(plan: StagedPlan, answers: DataFrame) -> tuple[DataFrame, DataFrame]:

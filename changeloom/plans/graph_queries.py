@@ -154,7 +154,7 @@ def batches(spark, sf_dir):
     body = A.diff_bytes(lines, V.hunks(lines))
     size = F.when(F.col("binary"), len(A.BINARY_TEXT)).otherwise(F.coalesce("diff_bytes", F.lit(0)))
     sizes = files.join(body, KEY, "left").select(*KEY, size.alias("diff_bytes"))
-    return P.pack_batches(P.sized_files(files, sizes), BATCH_BUDGET)
+    return P.pack_batches(P.sized_files(files, sizes), BATCH_BUDGET, bounded=False)
 
 
 @query("pack_batches", f"""WITH RECURSIVE {PACK_SQL}
@@ -173,7 +173,7 @@ parts AS (SELECT p.change_id, batch_idx, pos, header || CASE WHEN strlen(diff) <
   FROM packed p JOIN diffs USING (change_id, file_idx))
 SELECT change_id, batch_idx, sha256({frame_sql("string_agg(part, '' ORDER BY pos)")}) AS digest FROM parts GROUP BY change_id, batch_idx""")
 def prompt_batch(spark, sf_dir):
-    texts = P.prompt_batch(batches(spark, sf_dir), V.files(spark, sf_dir), diffs(spark, sf_dir))
+    texts = P.prompt_batch(batches(spark, sf_dir), V.files(spark, sf_dir), diffs(spark, sf_dir, DEFAULTS.file_diff_cap))
     return texts.select("change_id", "batch_idx", F.sha2("prompt", 256).alias("digest"))
 
 

@@ -254,9 +254,9 @@ diffs AS (
   FROM files LEFT JOIN texts USING (change_id, file_idx))"""
 
 
-def diffs(spark, sf_dir):
+def diffs(spark, sf_dir, cap=None):
     lines = V.lines(spark, sf_dir)
-    return A.diff_text(lines, V.hunks(lines), V.files(spark, sf_dir).select(*KEY, "binary"))
+    return A.diff_text(lines, V.hunks(lines), V.files(spark, sf_dir).select(*KEY, "binary"), cap)
 
 
 def cut_sql(text: str, limit: int | str) -> str:

@@ -92,9 +92,19 @@ def read_blame(reports: DataFrame) -> DataFrame:
     )
 
 
-def read_assets(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size) of the files under a folder; contents are not read."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"))
+def read_assets(spark: SparkSession, root: str) -> DataFrame:
+    """(change_id, side, path, size) of ``<root>/change_id=<id>/side=<old|new>/<path>``.
+
+    Only names and lengths are read, no contents. Folder names are percent-encoded as Spark
+    writes partitions. Spark's file sources pass over files of no bytes: such a side is missing here.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    layout = r"^.*?/change_id=([^/]+)/side=(old|new)/(.+)$"
+    change, side, path = (F.regexp_extract("path", layout, k) for k in (1, 2, 3))
+    return found.where(F.col("path").rlike(layout)).select(
+        F.url_decode(F.replace(change, F.lit("+"), F.lit("%2B"))).alias("change_id"), side.alias("side"),
+        path.alias("path"), F.col("length").alias("size"),
+    )
 
 
 def size_story(path: Column, status: Column, old: Column, new: Column, settings: Settings) -> Column:
@@ -117,13 +127,24 @@ def size_story(path: Column, status: Column, old: Column, new: Column, settings:
 
 
 def asset_inventory(
-    files: DataFrame, old_side: DataFrame, new_side: DataFrame, settings: Settings = DEFAULTS
+    files: DataFrame, old_side: DataFrame | None, new_side: DataFrame | None, settings: Settings = DEFAULTS
 ) -> DataFrame:
     """Binary files with the sizes of both sides and a label.
 
     ``old_side`` and ``new_side`` are (change_id, path, size); added files have no old side
-    and deleted files no new side.
+    and deleted files no new side. Without both (a patch alone) the label says that the content
+    is not there.
     """
+    if old_side is None and new_side is None:
+        size = F.lit(None).cast("bigint")
+        image = image_kind(F.col("path"), settings.image_extensions)
+        kind = F.when(image, "Binary image").otherwise("Binary file")
+        return files.where("binary").select(
+            "change_id", "file_idx", "path", "status", image.alias("image"), size.alias("old_size"),
+            size.alias("new_size"), F.concat(kind, F.lit(" · content not available from patch input.")).alias("label"),
+        )
+    empty = files.where(F.lit(False)).select("change_id", "path", F.lit(0).cast("bigint").alias("size"))
+    old_side, new_side = (empty if side is None else side for side in (old_side, new_side))
     old = old_side.select("change_id", F.col("path").alias("old_path"), F.col("size").alias("old_size"))
     new = new_side.select("change_id", F.col("path").alias("new_path"), F.col("size").alias("new_size"))
     joined = files.where("binary").join(old, ["change_id", "old_path"], "left").join(
