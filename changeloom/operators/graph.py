@@ -60,34 +60,67 @@ def components(nodes: list[int], targets: dict[int, list[int]]) -> dict[int, int
     return label
 
 
-def dependency_order(nodes: list[int], edges: set[tuple[int, int]]) -> list[int]:
+def without_lone_insiders(edges: set[tuple[int, int]], hubs: list[tuple[set[int], set[int]]]) -> tuple[set[tuple[int, int]], list]:
+    """Hubs where no importer is the only one among the hub's own files.
+
+    Such an importer would close a cycle with itself through the hub; it gets plain edges. Two or
+    more of them import each other anyway.
+    """
+    edges, kept = set(edges), []
+    for importers, members in hubs:
+        inside = importers & members
+        if len(inside) == 1:
+            (lone,) = inside
+            edges |= {(lone, member) for member in members if member != lone}
+            importers = importers - inside
+        kept.append((importers, members))
+    return edges, kept
+
+
+def dependency_order(nodes: list[int], edges: set[tuple[int, int]], hubs: list[tuple[set[int], set[int]]] = ()) -> list[int]:
     """Dependencies first, ties by number; a cycle keeps the current order of its members.
 
-    ``nodes`` are positions, ``edges`` (importer, imported) pairs of positions. When chains
-    and edges block each other, the current order stays.
+    ``nodes`` are positions, ``edges`` (importer, imported) pairs of positions, and of each of
+    ``hubs`` every importer imports every member. When chains and edges block each other, the
+    current order stays.
     """
     nodes = sorted(nodes)
+    edges, hubs = without_lone_insiders(edges, hubs)
     targets: dict[int, list[int]] = {}
     for importer, imported in edges:
         targets.setdefault(importer, []).append(imported)
-    label = components(nodes, targets)
+    marks = [-1 - k for k in range(len(hubs))]
+    for mark, (importers, members) in zip(marks, hubs, strict=True):
+        targets[mark] = list(members)
+        for importer in importers:
+            targets.setdefault(importer, []).append(mark)
+    label = components([*nodes, *marks], targets)
     waits = {(a, b) for a, b in edges if label[a] != label[b]}
+    gates = []
+    for mark, (importers, members) in zip(marks, hubs, strict=True):
+        # Importers in a cycle with the hub wait for the members outside that cycle, the others for all.
+        outer = {i for i in importers if label[i] != label[mark]}
+        for waiting, awaited in ((outer, members), (importers - outer, {m for m in members if label[m] != label[mark]})):
+            gate = -1 - len(gates)  # gates are taken before any position, as soon as they are free
+            gates.append(gate)
+            waits |= {(i, gate) for i in waiting} | {(gate, m) for m in awaited}
     last: dict[int, int] = {}
     for node in nodes:
         if label[node] in last:
             waits.add((node, last[label[node]]))
         last[label[node]] = node
-    missing = dict.fromkeys(nodes, 0)
+    missing = dict.fromkeys([*nodes, *gates], 0)
     dependents: dict[int, list[int]] = {}
     for later, earlier in waits:
         missing[later] += 1
         dependents.setdefault(earlier, []).append(later)
-    ready = [node for node in nodes if missing[node] == 0]
+    ready = [node for node, count in missing.items() if count == 0]
     heapq.heapify(ready)
     placed: list[int] = []
     while ready:
         node = heapq.heappop(ready)
-        placed.append(node)
+        if node >= 0:
+            placed.append(node)
         for later in dependents.get(node, ()):
             missing[later] -= 1
             if missing[later] == 0:
@@ -95,27 +128,36 @@ def dependency_order(nodes: list[int], edges: set[tuple[int, int]]) -> list[int]
     return placed if len(placed) == len(nodes) else nodes
 
 
-def order_group(edges: pd.DataFrame) -> pd.DataFrame:
+def order_group(rows: pd.DataFrame) -> pd.DataFrame:
     """Order the linked positions of one group, and how far each one is held back."""
-    pairs = set(zip(edges["importer_pos"].tolist(), edges["imported_pos"].tolist(), strict=True))
-    nodes = sorted({node for pair in pairs for node in pair})
-    placed = dependency_order(nodes, pairs)
+    pairs, hubs = set(), {}
+    for importer, imported, node in zip(rows["importer_pos"].tolist(), rows["imported_pos"].tolist(), rows["node"].tolist(), strict=True):
+        if node is None:
+            pairs.add((importer, imported))
+        else:
+            sides = hubs.setdefault(node, (set(), set()))
+            sides[importer < 0].add(max(importer, imported))
+    nodes = {end for pair in pairs for end in pair}.union(*[side for sides in hubs.values() for side in sides])
+    placed = dependency_order(list(nodes), pairs, list(hubs.values()))
     held, top = [], -1
     for node in placed:
         top = max(top, node)
         held.append(top)
-    key = edges[["change_id", "part"]].iloc[0]
+    key = rows[["change_id", "part"]].iloc[0]
     return pd.DataFrame(
         {"change_id": key["change_id"], "part": key["part"], "pos": placed, "held": held,
          "turn": range(len(placed))}
     )
 
 
-def stable_order(items: DataFrame, edges: DataFrame, bounded: bool = True) -> DataFrame:
+def stable_order(
+    items: DataFrame, edges: DataFrame, bounded: bool = True, links: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """(change_id, part, file_idx, pos, new_pos): dependencies first inside each part.
 
     ``items`` is (change_id, part, file_idx, pos); a part is a cohort, or one constant for a
-    whole change. Merging an ordered sequence with independent files, smallest position
+    whole change. ``links`` are package imports (``directory_links``), which are read without
+    expanding them to edges. Merging an ordered sequence with independent files, smallest position
     first, equals sorting by the largest position so far in the sequence. So only files with
     an edge inside their part go to Python, and one sort places everything.
     """
@@ -131,8 +173,18 @@ def stable_order(items: DataFrame, edges: DataFrame, bounded: bool = True) -> Da
         edges.select("change_id", "importer", "imported").distinct()
         .join(end("importer"), ["change_id", "importer"]).join(end("imported"), ["change_id", "imported"])
         .where("importer_part = imported_part AND importer <> imported")
-        .select("change_id", F.col("importer_part").alias("part"), "importer_pos", "imported_pos")
+        .select("change_id", F.col("importer_part").alias("part"), "importer_pos", "imported_pos", F.lit(None).cast("string").alias("node"))
     )
+    if links:
+        none, key = F.lit(-1), ["change_id", "part", "node"]
+        asks = links[0].join(end("importer"), ["change_id", "importer"]).select(
+            "change_id", F.col("importer_part").alias("part"), "importer_pos", none.alias("imported_pos"), "node"
+        )
+        members = links[1].join(end("imported"), ["change_id", "imported"]).select(
+            "change_id", F.col("imported_part").alias("part"), none.alias("importer_pos"), "imported_pos", "node"
+        )
+        members = members.join(asks, key, "left_semi")
+        internal = internal.unionByName(asks.join(members, key, "left_semi")).unionByName(members)
     fields = {f.name: f.dataType.simpleString() for f in where.schema.fields}
     placed = internal.groupBy("change_id", "part").applyInPandas(
         order_group,
@@ -342,6 +394,29 @@ def cohort_edge_join(edges: DataFrame, cohort_files: DataFrame) -> DataFrame:
     )
 
 
+def linked_weights(edges: DataFrame, links: tuple[DataFrame, DataFrame], cohort_files: DataFrame) -> DataFrame:
+    """``cohort_weights`` of the edges and package imports together, from counts per node.
+
+    Importers of one cohort times files of another are the edges of a node; a file that imports
+    its own directory is no edge, and an edge that a node holds counts once.
+    """
+    asks, members = links
+    place = lambda name, cohort: cohort_files.select("change_id", F.col("file_idx").alias(name), F.col("cohort_idx").alias(cohort))
+    pair = ["change_id", "dependent", "dependency"]
+    asked = asks.join(place("importer", "dependent"), ["change_id", "importer"]).groupBy("change_id", "node", "dependent").agg(F.count("*").alias("n"))
+    held = members.join(place("imported", "dependency"), ["change_id", "imported"]).groupBy("change_id", "node", "dependency").agg(F.count("*").alias("m"))
+    products = asked.join(held, ["change_id", "node"]).select(*pair, (F.col("n") * F.col("m")).alias("weight"))
+    selves = asks.join(members.withColumnRenamed("imported", "importer"), ["change_id", "node", "importer"]).join(
+        place("importer", "dependent"), ["change_id", "importer"]
+    ).select("change_id", "dependent", F.col("dependent").alias("dependency"), F.lit(-1).cast("bigint").alias("weight"))
+    single = edges.select("change_id", "importer", "imported").distinct()
+    covered = single.join(asks, ["change_id", "importer"]).join(members, ["change_id", "node", "imported"], "left_semi").select(single.columns)
+    others = cohort_edge_join(single.join(covered, single.columns, "left_anti"), cohort_files).select(*pair, F.lit(1).cast("bigint").alias("weight"))
+    return (
+        products.unionByName(selves).unionByName(others).groupBy(*pair).agg(F.sum("weight").alias("weight")).where("weight > 0")
+    )
+
+
 def top3_deps(weights: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """Strongest dependencies per cohort: weight first, then the earlier cohort."""
     order = Window.partitionBy("change_id", "dependent").orderBy(F.desc("weight"), "dependency")

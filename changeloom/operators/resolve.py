@@ -199,8 +199,13 @@ def resolve_modules(files: DataFrame, queries: DataFrame) -> DataFrame:
     return single.unionByName(variants).where("importer <> imported").distinct()
 
 
-def resolve_directory(files: DataFrame, queries: DataFrame) -> DataFrame:
-    """Package imports: every file of the directory in the importer's language family."""
+def directory_links(files: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Package imports as a graph in two parts: (change_id, node, importer) and (change_id, node, imported).
+
+    A node stands for a directory, or for all directories that end in a package name. It keeps
+    importers and files apart, so both sides grow with their rows and not with their product. The
+    nodes of one importer share no file.
+    """
     index = file_index(files).where("dir <> ''")
     folders = index.select("change_id", F.col("dir").alias("key"), "file_idx", "family")
     go = queries.where("language = 'go'").select("change_id", "importer", "family", "query").distinct()
@@ -209,20 +214,40 @@ def resolve_directory(files: DataFrame, queries: DataFrame) -> DataFrame:
     same = wanted.join(names.withColumn("query", F.col("key")), ["change_id", "query"])
     rest = wanted.join(same, ["change_id", "query"], "left_anti")
     matched = same.unionByName(suffix_match(folders, rest).select(same.columns))
-    packages = go.join(matched, ["change_id", "query"]).join(folders, ["change_id", "key", "family"])
+    packages = go.join(matched, ["change_id", "query"]).select("change_id", "importer", "family", "key")
     stars = (
         queries.where("family = 'jvm' AND query LIKE '%/*'")
         .select("change_id", "importer", "family", F.regexp_replace("query", r"/\*$", "").alias("key")).distinct()
     )
-    endings = folders.select(
-        "change_id", F.explode(path_suffixes(F.col("key"))).alias("key"), "file_idx", "family"
-    )
-    packaged = stars.join(endings, ["change_id", "key", "family"])
-    columns = ["change_id", "importer", F.col("file_idx").alias("imported")]
-    return (
-        packages.select(*columns).unionByName(packaged.select(*columns)).where("importer <> imported")
-        .distinct().withColumn("via", F.lit("directory"))
+    # What a shorter ending of the same importer covers needs no second node.
+    shorter = stars.withColumn("longer", F.col("key")).select("change_id", "importer", "family", "longer", F.explode(path_suffixes(F.col("key"))).alias("key"))
+    covered = shorter.where("key <> longer").join(stars, ["change_id", "importer", "family", "key"], "left_semi").select(
+        "change_id", "importer", "family", F.col("longer").alias("key")
     )
+    stars = stars.join(covered, ["change_id", "importer", "family", "key"], "left_anti")
+    node = lambda kind: F.concat_ws(" ", F.lit(kind), "family", "key").alias("node")
+    asks = packages.select("change_id", node("dir"), "importer").unionByName(stars.select("change_id", node("end"), "importer"))
+    endings = folders.where("family = 'jvm'").select("change_id", F.explode(path_suffixes(F.col("key"))).alias("key"), "file_idx", "family")
+    imported = F.col("file_idx").alias("imported")
+    members = folders.select("change_id", node("dir"), imported).unionByName(endings.select("change_id", node("end"), imported))
+    return asks.distinct(), members
+
+
+def asked_members(links: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The same links without nodes that nobody imports."""
+    asks, members = links
+    return asks, members.join(asks, ["change_id", "node"], "left_semi")
+
+
+def expand_links(links: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """Distinct (change_id, importer, imported): importers times files of each node."""
+    asks, members = links
+    return asks.join(members, ["change_id", "node"]).where("importer <> imported").select("change_id", "importer", "imported").distinct()
+
+
+def resolve_directory(files: DataFrame, queries: DataFrame) -> DataFrame:
+    """Package imports: every file of the directory in the importer's language family."""
+    return expand_links(directory_links(files, queries)).withColumn("via", F.lit("directory"))
 
 
 def symbol_edges(definitions: DataFrame, tokens: DataFrame) -> DataFrame:
