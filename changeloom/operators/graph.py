@@ -425,16 +425,24 @@ def top3_deps(weights: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     ).select("change_id", F.col("dependent").alias("cohort_idx"), "rank", F.col("dependency").alias("dep_idx"))
 
 
-def cohort_deps(edges: DataFrame, cohort_files: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def weights_of(edges: DataFrame, cohort_files: DataFrame, links: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Number of file edges per pair of cohorts, package imports included if they are given."""
+    return linked_weights(edges, links, cohort_files) if links else cohort_weights(cohort_edge_join(edges, cohort_files))
+
+
+def cohort_deps(
+    edges: DataFrame, cohort_files: DataFrame, settings: Settings = DEFAULTS, links: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """Dependencies on earlier cohorts only, the three strongest."""
-    earlier = cohort_edge_join(edges, cohort_files).where("dependency < dependent")
-    return top3_deps(cohort_weights(earlier), settings)
+    return top3_deps(weights_of(edges, cohort_files, links).where("dependency < dependent"), settings)
 
 
-def reorder_cohort_files(cohort_files: DataFrame, edges: DataFrame) -> DataFrame:
+def reorder_cohort_files(
+    cohort_files: DataFrame, edges: DataFrame, links: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """Files of each cohort in reading order; other columns (summaries) travel along."""
     items = cohort_files.select("change_id", F.col("cohort_idx").alias("part"), "file_idx", "pos")
-    ordered = stable_order(items, edges).select(
+    ordered = stable_order(items, edges, links=links).select(
         "change_id", F.col("part").alias("cohort_idx"), "file_idx", "new_pos"
     )
     return cohort_files.join(ordered, ["change_id", "cohort_idx", "file_idx"]).drop("pos").withColumnRenamed(
@@ -443,25 +451,24 @@ def reorder_cohort_files(cohort_files: DataFrame, edges: DataFrame) -> DataFrame
 
 
 def stable_cohort_order(
-    edges: DataFrame, cohort_files: DataFrame, settings: Settings = DEFAULTS
+    edges: DataFrame, cohort_files: DataFrame, settings: Settings = DEFAULTS, links: tuple[DataFrame, DataFrame] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(change_id, cohort_idx, new_idx), and the dependencies by new index.
 
     Cohorts are ordered by their summed edges; edges inside a cycle of cohorts order
     nothing and are no dependencies.
     """
-    cross = cohort_edge_join(edges, cohort_files).where("dependent <> dependency")
     # Small tables of numbers which the steps below read several times.
-    weights = materialize(cohort_weights(cross), "cohort-weights")
+    weights = materialize(weights_of(edges, cohort_files, links).where("dependent <> dependency"), "cohort-weights")
     cohorts = cohort_files.select("change_id", "cohort_idx").distinct()
     items = cohorts.select(
         "change_id", F.lit(0).alias("part"), F.col("cohort_idx").alias("file_idx"), F.col("cohort_idx").alias("pos")
     )
-    links = weights.select("change_id", F.col("dependent").alias("importer"), F.col("dependency").alias("imported"))
-    placed = stable_order(items, links).select(
+    pairs = weights.select("change_id", F.col("dependent").alias("importer"), F.col("dependency").alias("imported"))
+    placed = stable_order(items, pairs).select(
         "change_id", F.col("file_idx").alias("cohort_idx"), F.col("new_pos").alias("new_idx")
     )
-    label = scc(cohorts.withColumnRenamed("cohort_idx", "node"), links).select(
+    label = scc(cohorts.withColumnRenamed("cohort_idx", "node"), pairs).select(
         "change_id", F.col("node").alias("cohort_idx"), "component"
     )
     placed = materialize(placed.join(label, ["change_id", "cohort_idx"]), "cohort-order")

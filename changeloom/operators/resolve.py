@@ -259,15 +259,19 @@ def symbol_edges(definitions: DataFrame, tokens: DataFrame) -> DataFrame:
     )
 
 
-def build_edges(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """Distinct (change_id, importer, imported) from imports, Terraform facts and symbols."""
+def import_graph(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """Distinct (change_id, importer, imported) of single imports, Terraform facts and symbols, and package imports as links."""
     # The targets feed several joins, so they are written once: the scan of the texts behind
     # them is not repeated, and the plan stays small.
     queries = materialize(import_queries(files, import_specifiers(files, lines)), "import-targets")
     edge = ["change_id", "importer", "imported"]
-    imports = resolve_modules(files, queries).select(edge).unionByName(
-        resolve_directory(files, queries).select(edge)
-    )
     symbols = symbol_edges(exported_defs(files, lines), identifier_tokens(lines, MIN_SYMBOL_BYTES))
     facts = materialize(tf_facts(files, lines), "terraform-facts")
-    return imports.unionByName(symbols).unionByName(tf_edges(files, facts)).distinct()
+    single = resolve_modules(files, queries).select(edge).unionByName(symbols).unionByName(tf_edges(files, facts))
+    return single.distinct(), directory_links(files, queries)
+
+
+def build_edges(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """Distinct (change_id, importer, imported) from imports, Terraform facts and symbols."""
+    single, links = import_graph(files, lines)
+    return single.unionByName(expand_links(links)).distinct()

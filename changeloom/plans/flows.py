@@ -48,6 +48,7 @@ class StagedPlan:
     edges: DataFrame
     batches: DataFrame
     calls: DataFrame
+    links: tuple[DataFrame, DataFrame]  # package imports, not expanded to edges
 
 
 def parse(sections: DataFrame) -> ChangeTables:
@@ -92,15 +93,29 @@ def moved(frame: DataFrame, order: DataFrame) -> DataFrame:
     return renamed.select(*frame.columns)
 
 
-def in_order(cohort_files: DataFrame, edges: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+def written_graph(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
+    """Edges and package imports, written once."""
+    edges, links = R.import_graph(files, lines)
+    asks = materialize(links[0], "package-imports")
+    return materialize(edges, "edges"), (asks, materialize(R.asked_members((asks, links[1]))[1], "package-files"))
+
+
+def in_order(
+    cohort_files: DataFrame, edges: DataFrame, links: tuple[DataFrame, DataFrame], settings: Settings
+) -> tuple[DataFrame, DataFrame]:
     """Cohort files in reading order with ordered cohorts, and the dependencies, as the settings ask."""
-    read, order, deps = order_of(cohort_files, edges, settings)
+    read, order, deps = order_of(cohort_files, edges, links, settings)
     return read if order is None else moved(read, order), deps
 
 
-def order_of(cohort_files: DataFrame, edges: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    read = G.reorder_cohort_files(cohort_files, edges) if settings.reading_order else cohort_files
-    order, deps = G.stable_cohort_order(edges, read, settings) if settings.step_order else (None, G.cohort_deps(edges, read, settings))
+def order_of(
+    cohort_files: DataFrame, edges: DataFrame, links: tuple[DataFrame, DataFrame], settings: Settings
+) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    read = G.reorder_cohort_files(cohort_files, edges, links) if settings.reading_order else cohort_files
+    if settings.step_order:
+        order, deps = G.stable_cohort_order(edges, read, settings, links)
+    else:
+        order, deps = None, G.cohort_deps(edges, read, settings, links)
     return read, order, deps if settings.cohort_dependencies else deps.where(F.lit(False))
 
 
@@ -110,9 +125,9 @@ def staged_plan(t: ChangeTables, attributes: DataFrame, settings: Settings = DEF
     Ranks take the way that never holds a whole change, whatever the sizes are.
     """
     triaged = materialize(TG.heuristic_flags(TG.triage(t.files, attributes), t.lines), "triaged")
-    edges = materialize(R.build_edges(t.files, t.lines), "edges")
+    edges, links = written_graph(t.files, t.lines)
     planned = materialize(W.plan_cohorts(t.files, settings.staging_max_files, bounded=False), "cohorts")
-    placed, deps = in_order(planned, edges, settings)
+    placed, deps = in_order(planned, edges, links, settings)
     placed = materialize(placed, "cohort-files")
     sizes = A.diff_bytes(t.lines, t.hunks)
     body = F.when(F.col("binary"), len(A.BINARY_TEXT)).otherwise(F.coalesce("diff_bytes", F.lit(0)))
@@ -120,7 +135,7 @@ def staged_plan(t: ChangeTables, attributes: DataFrame, settings: Settings = DEF
     sized = P.sized_files(worthy.drop("diff_bytes"), worthy.select(*FILE, "diff_bytes"), settings)
     content = max(settings.stage_budget - P.frame_overhead(), 0)
     batches = materialize(P.pack_batches(sized, content, settings.summary_batch_max_files, bounded=False), "batches")
-    return StagedPlan(triaged, placed, deps, edges, batches, A.call_plan(batches, placed, settings))
+    return StagedPlan(triaged, placed, deps, edges, batches, A.call_plan(batches, placed, settings), links)
 
 
 def batch_prompts(t: ChangeTables, plan: StagedPlan, settings: Settings = DEFAULTS) -> DataFrame:
@@ -216,7 +231,7 @@ def single_analyses(t: ChangeTables, answers: DataFrame, settings: Settings = DE
     given = cohorts.select("change_id", "old_idx", F.posexplode("c.dependsOn").alias("pos", "old_dep"))
     if settings.reading_order:
         lines = t.lines.join(accepted, "change_id", "left_semi")
-        placed = G.reorder_cohort_files(placed, materialize(R.build_edges(files, lines), "edges"))
+        placed = G.reorder_cohort_files(placed, *written_graph(files, lines))
     analyses = S.assemble_analysis(placed, told.unionByName(others), placed.select(*FILE, "summary"), S.remap_deps(given, numbers))
     nothing = files.where(F.lit(False)).select(*FILE, none.alias("key_symbols"), F.lit(False).alias("stubbed"), F.lit(0).alias("cohort_idx"))
     return S.finished_analysis(analyses, accepted.select("change_id", "title", "overview"), files, nothing, nothing, nothing), violations
@@ -262,7 +277,7 @@ def refine(plan: StagedPlan, told: DataFrame, outcome: DataFrame, settings: Sett
     same = lambda frame: frame.join(done, "change_id", "left_anti")
     told = told.drop("files")
     files, renamed = S.apply_cohort_ops(hit(plan.cohort_files), hit(told), outcome)
-    read, order, deps = order_of(materialize(files, "merged-cohorts"), hit(plan.edges), settings)
+    read, order, deps = order_of(materialize(files, "merged-cohorts"), hit(plan.edges), tuple(map(hit, plan.links)), settings)
     if order is not None:
         read, renamed = moved(read, order), moved(renamed, order)
     return same(plan.cohort_files).unionByName(read), same(told).unionByName(renamed), same(plan.deps).unionByName(deps)
