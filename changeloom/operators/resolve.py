@@ -260,7 +260,7 @@ def symbol_edges(definitions: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def import_graph(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
-    """Distinct (change_id, importer, imported) of single imports, Terraform facts and symbols, and package imports as links."""
+    """(change_id, importer, imported) of single imports, Terraform facts and symbols, and package imports as links."""
     # The targets feed several joins, so they are written once: the scan of the texts behind
     # them is not repeated, and the plan stays small.
     queries = materialize(import_queries(files, import_specifiers(files, lines)), "import-targets")
@@ -268,7 +268,7 @@ def import_graph(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, tuple[D
     symbols = symbol_edges(exported_defs(files, lines), identifier_tokens(lines, MIN_SYMBOL_BYTES))
     facts = materialize(tf_facts(files, lines), "terraform-facts")
     single = resolve_modules(files, queries).select(edge).unionByName(symbols).unionByName(tf_edges(files, facts))
-    return single.distinct(), directory_links(files, queries)
+    return single, directory_links(files, queries)
 
 
 def build_edges(files: DataFrame, lines: DataFrame) -> DataFrame:

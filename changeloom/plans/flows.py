@@ -97,7 +97,7 @@ def written_graph(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, tuple[
     """Edges and package imports, written once."""
     edges, links = R.import_graph(files, lines)
     asks = materialize(links[0], "package-imports")
-    return materialize(edges, "edges"), (asks, materialize(R.asked_members((asks, links[1]))[1], "package-files"))
+    return materialize(edges.distinct(), "edges"), (asks, materialize(R.asked_members((asks, links[1]))[1], "package-files"))
 
 
 def in_order(
