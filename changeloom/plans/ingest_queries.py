@@ -253,17 +253,31 @@ def repair_responses(spark, sf_dir):
     )
 
 
-@query("cache_table", "WITH " + O.CACHE + """,
+CACHE_SQL = "WITH " + O.CACHE + """,
 newest AS (
   SELECT key, path, staged FROM entries WHERE schema_version = 6 AND staged IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY key ORDER BY mtime DESC, path DESC) = 1)
 SELECT e.doc_id, e.key, newest.path AS entry_path, newest.staged AS entry_staged, newest.key IS NOT NULL AS cached
-FROM entries e LEFT JOIN newest USING (key)""")
+FROM entries e LEFT JOIN newest USING (key)"""
+
+
+@query("cache_table", CACHE_SQL)
 def cache_table(spark, sf_dir):
     entries = V.cache_entries(spark, sf_dir)
     return T.cache_lookup(entries.select("doc_id", "key"), entries.drop("doc_id"))
 
 
+@query("cache_store", CACHE_SQL)
+def cache_store(spark, sf_dir):
+    """Entries appended to a store on disk in two rounds, then looked up by every document."""
+    entries = V.cache_entries(spark, sf_dir)
+    stored, root = entries.drop("doc_id"), new_path(spark, "cache")
+    for late in (False, True):
+        T.append_cache(stored.where((F.col("mtime") % 2 == 1) == late), root)
+    requests = entries.select("doc_id", "key")
+    return T.cache_lookup(requests, T.asked_entries(spark, root, stored.schema, requests))
+
+
 @query("cache_prune", "WITH " + O.CACHE + """
 SELECT store, key, path, mtime FROM (SELECT entries.*, source AS store FROM entries JOIN documents USING (doc_id))
 QUALIFY row_number() OVER (PARTITION BY store ORDER BY mtime DESC, path DESC) <= 200""")

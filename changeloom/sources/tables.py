@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from changeloom.functions.paths import image_kind, repo_identity, safe_name
 from changeloom.functions.text import delta_label, size_label
@@ -355,6 +357,37 @@ def match_remote(changes: DataFrame, remotes: DataFrame) -> DataFrame:
     )
 
 
+def cache_folder(key: Column) -> Column:
+    """The store's folder of a key: its first two hexadecimal digits, ``other`` for any other key."""
+    return F.coalesce(F.nullif(F.regexp_extract(key, "^[0-9a-f]{2}", 0), F.lit("")), F.lit("other"))
+
+
+def append_cache(entries: DataFrame, root: str) -> None:
+    """Append entries (key, ...) to the store, by folder and in key order within a file.
+
+    Adaptive execution splits a folder with many entries over tasks and joins small ones.
+    """
+    placed = entries.withColumn("folder", cache_folder(F.col("key"))).hint("rebalance", "folder")
+    placed.sortWithinPartitions("folder", "key").write.mode("append").partitionBy("folder").parquet(root)
+
+
+def asked_entries(spark: SparkSession, root: str, schema: StructType, requests: DataFrame) -> DataFrame:
+    """Stored entries of the keys in ``requests``; a store that does not exist yet has none.
+
+    Only the folders of these keys are listed to the scan: at most 257 names come to the driver.
+    Within them a semi join leaves the asked keys before any entry is aggregated.
+    """
+    folders = [row.folder for row in requests.select(cache_folder(F.col("key")).alias("folder")).distinct().collect()]
+    try:
+        store = spark.read.schema(StructType([*schema, StructField("folder", StringType())])).parquet(root)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    asked = requests.select("key").distinct()
+    return store.where(F.col("folder").isin(folders)).drop("folder").join(asked, "key", "left_semi").select(schema.names)
+
+
 def cache_lookup(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """Requests with the usable stored entry of their key, null when it must be computed.
 

@@ -206,3 +206,29 @@ def test_plan_cohorts_splits_large_directories(spark):
         ("Root docs changes", 2), ("src/a backend changes (1/2)", 3), ("src/a backend changes (2/2)", 2),
         ("src/b backend changes", 1), ("src backend changes", 1),
     ]
+
+
+def test_long_lists_of_previews_and_cohorts(spark):
+    import random
+
+    from changeloom.settings import Settings
+
+    rng = random.Random(3)
+    sizes = [(rng.randint(1, 40), rng.randint(1, 40)) for _ in range(1_500)]
+    frame = spark.createDataFrame([("c", k, f"{k}.png", *s) for k, s in enumerate(sizes)], "change_id string, file_idx int, path string, old_size int, new_size int")
+    left, taken = 30_000, []
+    for k, pair in enumerate(sizes):
+        for side, size in enumerate(pair):
+            if size <= left:
+                left -= size
+                taken.append((k, side))
+    got = P.preview_budget(frame, Settings(max_preview_bytes=100, max_total_preview_bytes=30_000)).collect()
+    assert sorted((r.file_idx, r.side) for r in got) == taken and len(taken) > 1_000
+    told = spark.createDataFrame(
+        [("c", k, "api", f"title {k}", "why", "story " * 30, None, 1) for k in range(900)],
+        "change_id string, cohort_idx int, layer string, title string, intent string, narrative string, review_notes array<string>, files int",
+    )
+    changes = spark.createDataFrame([("c", "t", "d")], "change_id string, title string, description string")
+    text = P.fair_share(changes, told, 10_000_000, Settings(digest_max_chars=10_000_000)).first().text
+    lines = text.splitlines()[3:]
+    assert len(lines) == 900 and all(f"title=title {k} " in line and line.endswith("f=1") for k, line in enumerate(lines))

@@ -4,11 +4,12 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from changeloom.functions.text import cap_inside, cap_outside
 from changeloom.operators import prepare as P
 from changeloom.operators.aggregate import diff_text
-from changeloom.sources.tables import asset_inventory, read_assets
+from changeloom.sources.tables import append_cache, asked_entries, asset_inventory, cache_lookup, read_assets
 
 FILES = "change_id string, file_idx int, binary boolean"
 HUNKS = "change_id string, file_idx int, hunk_idx int, header string"
@@ -91,3 +92,23 @@ def test_assets_by_side(spark, tmp_path):
     alone = {(r.change_id, r.file_idx): (r.image, r.label) for r in asset_inventory(files, None, None).collect()}
     assert alone[("k", 1)] == (True, "Binary image · content not available from patch input.")
     assert alone[("k", 0)] == (False, "Binary file · content not available from patch input.")
+
+
+def test_store_reads_only_the_asked_folders(spark, tmp_path):
+    schema = StructType.fromDDL("key string, path string, mtime long, schema_version int, staged boolean")
+    keys = ["00aa", "00bb", "1e00", "ffff", "not hex", None]
+    first = spark.createDataFrame([(k, f"{k}-1", 1, 6, True) for k in keys], schema)
+    later = spark.createDataFrame([("00aa", "00aa-2", 2, 6, False), ("1e00", "1e00-2", 2, 5, True)], schema)
+    requests = spark.createDataFrame([(1, "00aa"), (2, "00aa"), (3, "1e00"), (4, "not hex"), (5, "0000"), (6, None)], "id int, key string")
+    root = str(tmp_path / "store")
+    none = cache_lookup(requests, asked_entries(spark, root, schema, requests)).collect()
+    assert len(none) == 6 and not any(r.cached for r in none)
+    append_cache(first, root)
+    append_cache(later, root)
+    entries = asked_entries(spark, root, schema, requests)
+    got = {r.id: (r.entry_path, r.entry_staged) for r in cache_lookup(requests, entries).collect()}
+    assert got == {1: ("00aa-2", False), 2: ("00aa-2", False), 3: ("1e00-1", True), 4: ("not hex-1", True), 5: (None, None), 6: (None, None)}
+    one = asked_entries(spark, root, schema, requests.where("id = 3"))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(folder" in plan and "= 1e" in plan
+    assert [r.path for r in one.orderBy("path").collect()] == ["1e00-1", "1e00-2"]
