@@ -54,7 +54,7 @@ class Codec:
         self.tokens = tiktoken.Encoding(
             "ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={special: len(table)}
         )
-        self.other = lambda: Tokenizer.from_file(same)
+        self.same, self.other = same, lambda: Tokenizer.from_file(same)
         self.memo: dict[bytes, np.ndarray] = {}
         self.held = 0
 
@@ -63,7 +63,7 @@ class Codec:
         try:
             return np.array(self.tokens.encode(text, allowed_special={self.special}), "<u4")
         except ValueError:  # its pattern engine gives up on a million white spaces in a row
-            whole = keep(f"tokenizer:{self.special}", self.other)
+            whole = keep(f"tokenizer:{self.same}", self.other)
             whole.no_truncation()
             whole.no_padding()
             return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4")

@@ -175,6 +175,23 @@ def test_sharding(documents, nothing):
     assert shards.shard_documents(nothing, 4).count() == 0
 
 
+def test_slots_do_not_depend_on_partitions(spark, documents):
+    """Rows come twice, some without an id; another number of partitions gives the same slots."""
+    more = documents.union(documents.selectExpr("if(doc_id % 3 = 0, null, doc_id)", "* except (doc_id)"))
+    seen = []
+    for parts in (3, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        rows = shards.shard_documents(more.repartition(parts), 4, bucket_bytes=3_000, lane_buckets=2).collect()
+        seen.append(sorted(map(repr, rows)))
+        for shard in range(4):
+            slots = sorted(r.slot for r in rows if r.shard == shard)
+            assert slots == list(range(len(slots)))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert seen[0] == seen[1] and len(seen[0]) == 2 * len(TEXTS)
+    order = [r.doc_id for r in sorted(rows, key=lambda r: (r.shard, r.slot)) if r.doc_id is not None]
+    assert order != sorted(order)
+
+
 @pytest.mark.parametrize("block", [1 << 20, 600])
 def test_winnowing(spark, documents, nothing, block):
     items = [(0, None)]
