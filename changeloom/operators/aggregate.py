@@ -47,6 +47,18 @@ def diff_bytes(lines: DataFrame, hunks: DataFrame) -> DataFrame:
     )
 
 
+# The head and a file's row of a digest, texts that stand in for answers, an error.
+DIGEST_HEAD = (
+    "COHORT: %s\nLAYER: %s\nDIRECTORY: %s\nFILES: %d\nREVIEW_WORTHY: %d\nMECHANICAL: %d\n"
+    "FLAGGED: %d\nADDITIONS: %d\nDELETIONS: %d\nSAMPLED_SUMMARIES:\n"
+)
+DIGEST_ROW = "- FILE %d PATH=%s (+%d/-%d) FLAGS=%s KEY_SYMBOLS=%s SUMMARY=%s\n"
+COHORT_STUB = "%d files, +%d/-%d; no model narration was available."
+FILE_STUB = "Change in %s (%s, +%d/-%d); no model summary was available."
+FILE_SKIPPED = "%s: %s; model analysis was deliberately skipped."
+SMALL_BUDGET = "analysis budget %d is too small (minimum %d)"
+
+
 # The text shown for a binary file.
 BINARY_TEXT = "(binary file)\n"
 
@@ -80,7 +92,7 @@ def staging_decision(
     short = staged & (minimum > budget)
     return totals.join(frames, "change_id").select(
         "change_id", "input_bytes", staged.alias("staged"), minimum.alias("minimum_budget"),
-        F.when(short, F.format_string("analysis budget %d is too small (minimum %d)", F.lit(budget), minimum))
+        F.when(short, F.format_string(SMALL_BUDGET, F.lit(budget), minimum))
         .alias("error"),
     )
 
@@ -184,15 +196,12 @@ def cohort_digest(
     counts = cohort_counts(cohort_files, triaged).withColumn(
         "head",
         F.format_string(
-            "COHORT: %s\nLAYER: %s\nDIRECTORY: %s\nFILES: %d\nREVIEW_WORTHY: %d\nMECHANICAL: %d\n"
-            "FLAGGED: %d\nADDITIONS: %d\nDELETIONS: %d\nSAMPLED_SUMMARIES:\n",
-            "title", "layer", "directory", "files", "review_worthy", "mechanical", "flagged",
+            DIGEST_HEAD, "title", "layer", "directory", "files", "review_worthy", "mechanical", "flagged",
             "additions", "deletions",
         ),
     ).select("change_id", "cohort_idx", "head")
     row = F.format_string(
-        "- FILE %d PATH=%s (+%d/-%d) FLAGS=%s KEY_SYMBOLS=%s SUMMARY=%s\n",
-        "file_idx", json_string(F.col("path")), "additions", "deletions",
+        DIGEST_ROW, "file_idx", json_string(F.col("path")), "additions", "deletions",
         F.array_join("flags", ", "),
         json_string(F.array_join(F.coalesce("key_symbols", F.array().cast("array<string>")), ", ")),
         json_string(F.coalesce("summary", F.lit(""))),
@@ -229,17 +238,14 @@ def cohort_stub(cohort_files: DataFrame, files: DataFrame) -> DataFrame:
         F.first("title").alias("title"), F.count("*").alias("n"),
         F.sum("additions").alias("a"), F.sum("deletions").alias("d"),
     )
-    text = F.format_string("%d files, +%d/-%d; no model narration was available.", "n", "a", "d")
+    text = F.format_string(COHORT_STUB, "n", "a", "d")
     return totals.select("change_id", "cohort_idx", "title", text.alias("intent"), text.alias("narrative"))
 
 
 def file_stub(triaged: DataFrame) -> DataFrame:
     """Fixed summaries: mechanical files with their reason, others as stubs."""
-    stub = F.format_string(
-        "Change in %s (%s, +%d/-%d); no model summary was available.",
-        "path", "status", "additions", "deletions",
-    )
-    skipped = F.format_string("%s: %s; model analysis was deliberately skipped.", "path", "reason")
+    stub = F.format_string(FILE_STUB, "path", "status", "additions", "deletions")
+    skipped = F.format_string(FILE_SKIPPED, "path", "reason")
     return triaged.select(
         *FILE, F.when(F.col("reason").isNull(), stub).otherwise(skipped).alias("summary"),
         classify_layer(F.col("path")).alias("layer_hint"), F.col("reason").isNull().alias("stubbed"),
