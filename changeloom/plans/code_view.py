@@ -112,7 +112,8 @@ def build_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parts[0]
     for part in parts[1:]:
         rows = rows.unionByName(part)
-    exploded = rows.select("change_id", "file_idx", "ord", "t", F.posexplode(F.split("block", "\n")).alias("k", "text"))
+    # Blocks are dealt by file before they are split, so the window below moves no line.
+    exploded = rows.repartition("change_id", "file_idx").select("change_id", "file_idx", "ord", "t", F.posexplode(F.split("block", "\n")).alias("k", "text"))
     order = Window.partitionBy("change_id", "file_idx").orderBy("ord", "k")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     number = lambda skip: F.sum((F.col("t") != skip).cast("int")).over(upto).cast("int")

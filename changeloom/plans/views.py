@@ -35,20 +35,47 @@ def pick(values: tuple[str, ...], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
 
 
-def documents(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
+def copies() -> Column:
+    """``plain`` of the files of one document: its text, and for some a file without lines."""
+    twice = (F.col("doc_id") % 17 == 0) | (F.col("doc_id") % 11 == 2)
+    return F.when(twice, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+
+
+def numbered_texts(docs: DataFrame) -> DataFrame:
+    """Texts as files with their number in the change; no task holds the texts of one change.
+
+    The numbers come from counts per document, so texts are dealt by document. Both columns may be
+    null or repeat, so they meet as one struct, ``key``, by which the rows stay dealt.
+    """
+    key = F.struct("change_id", "doc_id").alias("key")
+    before = Window.partitionBy("change_id").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = docs.groupBy("change_id", "doc_id").agg(F.count("*").alias("n")).select(
+        key, "n", F.coalesce(F.sum(F.col("n") * F.size(copies())).over(before), F.lit(0)).alias("first")
+    )
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("lang")) - 1
+    return (
+        docs.withColumn("key", key).join(firsts, "key").withColumn("turn", turn)
+        .select(*docs.columns, "key", "first", "n", "turn", F.posexplode(copies()).alias("copy", "plain"))
+        .withColumn("file_idx", (F.col("first") + F.col("n") * F.col("copy") + F.col("turn")).cast("int"))
+        .drop("first", "n", "turn", "copy")
+    )
+
+
+def documents(spark: SparkSession, sf_dir: str, text: bool = False, measures: dict[str, Column] | None = None) -> DataFrame:
     """Documents as files of a change: identity, path and status columns.
 
     ``plain`` files hold the text; the others are binary or renamed as they are, without lines.
+    ``measures`` are further columns, small values of a document.
     """
-    columns = ["doc_id", "lang", F.col("source").alias("change_id")] + (["text"] if text else [])
-    order = Window.partitionBy("change_id").orderBy("doc_id", F.desc("plain"))
-    twice = (F.col("doc_id") % 17 == 0) | (F.col("doc_id") % 11 == 2)
-    both = F.when(twice, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
-    docs = (
-        table(spark, sf_dir, "documents")
-        .select(*columns, F.explode(both).alias("plain"))
-        .withColumn("file_idx", F.row_number().over(order) - 1)
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", F.col("source").alias("change_id"), *(["text"] if text else []),
+        *[value.alias(name) for name, value in (measures or {}).items()],
     )
+    if text:
+        docs = numbered_texts(docs)
+    else:
+        order = Window.partitionBy("change_id").orderBy("doc_id", F.desc("plain"))
+        docs = docs.select("*", F.explode(copies()).alias("plain")).withColumn("file_idx", F.row_number().over(order) - 1)
     folder = pick(FOLDERS, F.col("file_idx"))
     path = F.concat(
         F.when(folder == "", "").otherwise(F.concat(folder, F.lit("/"), F.col("lang"), F.lit("/"))),
@@ -97,9 +124,8 @@ FILE_COLUMNS = [
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``files`` table; churn is counted inside each row, without exploding lines."""
-    docs = documents(spark, sf_dir, text=True)
-    count = F.when(F.col("plain"), F.size(text_lines(F.col("text")))).otherwise(0)
-    docs = docs.withColumn("line_count", count).drop("text")
+    docs = documents(spark, sf_dir, measures={"n_lines": F.size(text_lines(F.col("text")))})
+    docs = docs.withColumn("line_count", F.when(F.col("plain"), F.col("n_lines")).otherwise(0))
 
     def churn(kind: str) -> Column:
         positions = F.when(
@@ -117,19 +143,24 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``lines`` table: one row per document line; ``pos`` counts lines of the file."""
+    return keyed_lines(spark, sf_dir).drop("key")
+
+
+def keyed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lines`` with the ``key`` by which they are dealt: steps by key, file or hunk move no line."""
     docs = documents(spark, sf_dir, text=True).where("plain")
     rows = docs.select(
-        "change_id", "file_idx", "doc_id", "status",
+        "key", "change_id", "file_idx", "doc_id", "status",
         F.posexplode(text_lines(F.col("text"))).alias("pos", "text"),
     ).withColumn("t", line_kind(F.col("pos")))
-    before = Window.partitionBy("change_id", "file_idx").orderBy("pos").rowsBetween(
+    before = Window.partitionBy("key", "change_id", "file_idx").orderBy("pos").rowsBetween(
         Window.unboundedPreceding, 0
     )
     return (
         rows.withColumn("n_old", F.sum((F.col("t") != "a").cast("int")).over(before).cast("int"))
         .withColumn("n_new", F.sum((F.col("t") != "d").cast("int")).over(before).cast("int"))
         .select(
-            "change_id", "file_idx",
+            "key", "change_id", "file_idx",
             F.expr(f"pos div {HUNK_LINES}").cast("int").alias("hunk_idx"),
             (F.col("pos") % HUNK_LINES).alias("line_idx"),
             "t",
@@ -159,8 +190,8 @@ def hunks(line_rows: DataFrame) -> DataFrame:
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unified-diff text per file, rendered from the tables: (change_id, file_idx, section)."""
-    line_rows = lines(spark, sf_dir)
-    body = line_rows.groupBy("change_id", "file_idx", "hunk_idx").agg(
+    line_rows = keyed_lines(spark, sf_dir)
+    body = line_rows.groupBy("key", "change_id", "file_idx", "hunk_idx").agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
@@ -178,7 +209,7 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(F.col("t") != "d").alias("new_count"),
     )
     hunk_text = body.select(
-        "change_id", "file_idx", "hunk_idx",
+        "key", "change_id", "file_idx", "hunk_idx",
         F.concat(
             F.format_string("@@ -%d,%d +%d,%d @@", "old_start", "old_count", "new_start", "new_count"),
             F.when(F.col("hunk_idx") % 2 == 0, F.format_string(" block %d", "hunk_idx")).otherwise(""),
@@ -186,11 +217,11 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array_join(F.col("rows.row"), "\n"),
         ).alias("hunk"),
     )
-    per_file = hunk_text.groupBy("change_id", "file_idx").agg(
+    per_file = hunk_text.groupBy("key", "change_id", "file_idx").agg(
         F.array_join(
             F.array_sort(F.collect_list(F.struct("hunk_idx", "hunk")))["hunk"], "\n"
         ).alias("hunks")
-    )
+    ).drop("key")
     head = documents(spark, sf_dir).withColumn(
         "meta",
         F.concat(
