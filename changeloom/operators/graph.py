@@ -18,6 +18,8 @@ from changeloom.operators.ranking import rank_rows
 from changeloom.settings import DEFAULTS, Settings
 from changeloom.sources.shared import materialize, shared_folder
 
+PARTS_PER_CALL = 256
+
 
 def components(nodes: list[int], targets: dict[int, list[int]]) -> dict[int, int]:
     """Component label (its smallest node) per node, by two depth-first passes."""
@@ -129,9 +131,20 @@ def dependency_order(nodes: list[int], edges: set[tuple[int, int]], hubs: list[t
 
 
 def order_group(rows: pd.DataFrame) -> pd.DataFrame:
-    """Order the linked positions of one group, and how far each one is held back."""
+    """Order the linked positions of some parts of one change, and how far each one is held back."""
+    ends: dict[int, list] = {}
+    for part, *end in zip(rows["part"].tolist(), rows["importer_pos"].tolist(), rows["imported_pos"].tolist(), rows["node"].tolist(), strict=True):
+        ends.setdefault(part, []).append(end)
+    ordered = [(part, *placed) for part, links in ends.items() for placed in order_part(links)]
+    found = pd.DataFrame(ordered, columns=["part", "pos", "held", "turn"])
+    found.insert(0, "change_id", rows["change_id"].iloc[0])
+    return found
+
+
+def order_part(ends: list) -> list[tuple[int, int, int]]:
+    """(pos, held, turn) of the linked positions of one part."""
     pairs, hubs = set(), {}
-    for importer, imported, node in zip(rows["importer_pos"].tolist(), rows["imported_pos"].tolist(), rows["node"].tolist(), strict=True):
+    for importer, imported, node in ends:
         if node is None:
             pairs.add((importer, imported))
         else:
@@ -143,11 +156,7 @@ def order_group(rows: pd.DataFrame) -> pd.DataFrame:
     for node in placed:
         top = max(top, node)
         held.append(top)
-    key = rows[["change_id", "part"]].iloc[0]
-    return pd.DataFrame(
-        {"change_id": key["change_id"], "part": key["part"], "pos": placed, "held": held,
-         "turn": range(len(placed))}
-    )
+    return list(zip(placed, held, range(len(placed)), strict=True))
 
 
 def stable_order(
@@ -186,7 +195,8 @@ def stable_order(
         members = members.join(asks, key, "left_semi")
         internal = internal.unionByName(asks.join(members, key, "left_semi")).unionByName(members)
     fields = {f.name: f.dataType.simpleString() for f in where.schema.fields}
-    placed = internal.groupBy("change_id", "part").applyInPandas(
+    # Small parts go to Python together: a call for each of a million parts costs more than their order.
+    placed = internal.groupBy("change_id", F.floor(F.col("part") / PARTS_PER_CALL)).applyInPandas(
         order_group,
         f"change_id {fields['change_id']}, part {fields['part']}, pos int, held int, turn int",
     )

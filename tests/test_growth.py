@@ -1,7 +1,9 @@
 """Steps that must not grow with one change or with the corpus: where rows sit and how they travel."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from changeloom.operators import graph as G
 from changeloom.plans import views as V
 
 
@@ -27,3 +29,11 @@ def test_files_are_numbered_alike_with_and_without_texts(spark, tmp_path):
     found = sorted(map(repr, V.documents(spark, folder, text=True).select(columns).collect()))
     assert found == sorted(map(repr, V.documents(spark, folder).select(columns).collect()))
     assert len(found) == len(set(found)) > len(rows)
+
+
+def test_parts_of_one_change_are_ordered_in_one_call():
+    links = [(0, 0, 1), (0, 1, 2), (5, 3, 4)]
+    rows = pd.DataFrame([("c", part, importer, imported, None) for part, importer, imported in links], columns=["change_id", "part", "importer_pos", "imported_pos", "node"])
+    found = G.order_group(rows)
+    assert found[found.part == 0].pos.tolist() == [2, 1, 0] and found[found.part == 5].pos.tolist() == [4, 3]
+    assert set(found.change_id) == {"c"}
