@@ -37,3 +37,11 @@ def test_parts_of_one_change_are_ordered_in_one_call():
     found = G.order_group(rows)
     assert found[found.part == 0].pos.tolist() == [2, 1, 0] and found[found.part == 5].pos.tolist() == [4, 3]
     assert set(found.change_id) == {"c"}
+
+
+def test_rounds_of_the_corpus_graph_broadcast_nothing(spark):
+    nodes = spark.range(50).withColumnRenamed("id", "node")
+    edges = spark.createDataFrame([(k, (k + 1) % 10) for k in range(10)] + [(k, k - 1) for k in range(11, 50)], "src bigint, dst bigint")
+    found = G.scc_distributed(nodes, edges, small=0)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.node: r.component for r in found.collect()} == {k: 0 if k < 10 else k for k in range(50)}
