@@ -79,7 +79,7 @@ def spanning_tree(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     order = np.argsort(depth, kind="stable")
     place = np.empty(n, int)
     place[order] = np.arange(n)
-    edges = np.sqrt(((points[order] - points[np.maximum(parent[order], 0)]) ** 2).sum(1))
+    edges = np.where(parent[order] >= 0, np.sqrt(((points[order] - points[np.maximum(parent[order], 0)]) ** 2).sum(1)), 0.0)
     return order, np.where(parent[order] >= 0, place[np.maximum(parent[order], 0)], -1), edges
 
 
