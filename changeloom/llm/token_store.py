@@ -39,6 +39,13 @@ MEMO_WORDS, MEMO_BYTES = 1_200_000, 32 << 20
 LONG_WORD = 1 << 16
 
 
+def doubled(values: np.ndarray) -> np.ndarray:
+    """The values with as much room behind them, which takes memory once it is used."""
+    out = np.empty(2 * len(values), values.dtype)
+    out[:len(values)] = values
+    return out
+
+
 class WordCodec:
     """Encodes slices of texts; every distinct word goes through ``encode_words`` once."""
 
@@ -49,28 +56,38 @@ class WordCodec:
         self.forget()
 
     def forget(self) -> None:
-        self.slots: dict[int, int] = {}
-        self.starts = np.empty(1 << 16, np.int64)
-        self.lengths = np.empty(1 << 16, np.int64)
+        # Hashes in order and the words' numbers: two arrays, as a dict takes about 200 bytes a word.
+        self.known, self.slots = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.starts, self.lengths = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int32)
         self.flat = np.empty(1 << 18, np.uint32)
         self.text, self.places = np.empty(1 << 20, np.uint8), np.empty(1 << 16, np.int64)
         self.words = self.used = self.letters = 0
 
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the words with these hashes, -1 for unknown ones."""
+        if len(self.known) == 0:
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[at] == hashes, self.slots[at], -1).astype(np.int64)
+
     def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.known, hashes[order])
+        self.known = np.insert(self.known, at, hashes[order])
+        self.slots = np.insert(self.slots, at, self.words + order)
         for low in range(0, len(words), 4096):
             texts = [w.decode("utf-8", "replace") for w in words[low:low + 4096]]
             found = self.encode_words(texts)
             sizes = np.fromiter(map(len, found), np.int64, len(found))
             ids = np.fromiter((i for one in found for i in one), np.uint32, int(sizes.sum()))
             while self.words + len(found) > len(self.starts):
-                self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
-                self.places = np.resize(self.places, len(self.starts))
+                self.starts, self.lengths, self.places = doubled(self.starts), doubled(self.lengths), doubled(self.places)
             while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
+                self.flat = doubled(self.flat)
             part = words[low:low + 4096]
             letters = np.frombuffer(b"".join(part), np.uint8)
             while self.letters + len(letters) > len(self.text):
-                self.text = np.resize(self.text, 2 * len(self.text))
+                self.text = doubled(self.text)
             new = slice(self.words, self.words + len(found))
             self.starts[new] = self.used + np.cumsum(sizes) - sizes
             self.lengths[new] = sizes
@@ -78,7 +95,6 @@ class WordCodec:
             self.places[new] = self.letters + np.cumsum([0] + [len(w) for w in part[:-1]])
             self.letters += len(letters)
             self.flat[self.used:self.used + len(ids)] = ids
-            self.slots.update(zip(hashes[low:low + 4096].tolist(), range(new.start, new.stop)))
             self.words, self.used = new.stop, self.used + len(ids)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,20 +108,20 @@ class WordCodec:
         codes, distinct = pd.factorize(hashes)
         first = np.empty(len(distinct), np.int64)
         first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        known = [self.slots.get(h, -1) for h in distinct.tolist()]
-        new = np.flatnonzero(np.array(known, np.int64) < 0)
+        known = self.find(distinct)
+        new = np.flatnonzero(known < 0)
         if len(new):
             raw = data.tobytes()
             at = first[new]
             self.learn(distinct[new], [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
-            known = [self.slots[h] for h in distinct.tolist()]
-        slots = np.array(known, np.int64)[codes]
+            known = self.find(distinct)
+        slots = known[codes]
         size = ends - starts
         long = np.flatnonzero(size > 8)  # shorter words of one size never share a hash
         if not (
             np.array_equal(size, size[first][codes])
             and equal_spans(data, starts[long], data, starts[first][codes[long]], size[long])
-            and equal_spans(data, starts[first], self.text, self.places[np.array(known, np.int64)], size[first])
+            and equal_spans(data, starts[first], self.text, self.places[known], size[first])
         ):
             return self.encode_apart(data, offsets, starts, ends, rows)
         sizes = self.lengths[slots]

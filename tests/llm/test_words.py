@@ -1,5 +1,7 @@
 """Words that simple polynomial hashes confuse, in every operator that compares words by hash."""
 
+import tracemalloc
+
 import numpy as np
 from tokenizers import Tokenizer
 
@@ -52,3 +54,17 @@ def test_hashes_follow_the_bytes_alone():
     alone = [worker.span_hashes(w, np.array([0]), np.array([len(w)]))[0] for w in words]
     assert hashes.tolist() == [int(x) for x in alone]
     assert len(set(hashes.tolist())) == len({w.tobytes() for w in words})
+
+
+def test_codec_remembers_many_words_in_little_memory():
+    codec = token_store.WordCodec(lambda words: [list(w.encode()) for w in words], 256)
+    tracemalloc.start()
+    for turn in (0, 1, 2, 0):  # the last time against what it remembers
+        words = [b"%d" % (k * 7 + turn) for k in range(100_000)]
+        data = np.frombuffer(b" ".join(words), np.uint8)
+        ids, bounds = codec.encode(data, np.array([0, len(data)]))
+        assert bytes(ids.astype(np.uint8)) == b"".join(words) and bounds.tolist() == [0, len(ids)]
+        del words, data, ids, bounds
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert codec.words == 300_000 and held < 100 * codec.words
