@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from changeloom.operators.aggregate import FILE
 from changeloom.operators.ranking import ordered_list, rank_rows
 from changeloom.settings import DEFAULTS, GENERATOR, SCHEMA_VERSION, Settings
+from changeloom.sources.shared import materialize
 
 # Texts of the cohort for files that no answer placed.
 LEFTOVER = {
@@ -206,12 +209,12 @@ def apply_cohort_ops(cohort_files: DataFrame, narrations: DataFrame, outcome: Da
 
 
 def assemble_analysis(
-    cohort_files: DataFrame, narrations: DataFrame, summaries: DataFrame, deps: DataFrame
+    cohort_files: DataFrame, narrations: DataFrame, summaries: DataFrame, deps: DataFrame, whole: bool = True
 ) -> DataFrame:
     """(change_id, cohorts): nested cohorts with parallel file and summary lists.
 
     A cohort is bounded by its planned size, so its lists are short; a change's list holds
-    its cohorts.
+    its cohorts. Without ``whole`` there is one row per cohort, (change_id, cohort_idx, cohort).
     """
     texts = cohort_files.select("change_id", "cohort_idx", "pos", "file_idx").join(
         summaries.select(*FILE, "summary"), FILE, "left"
@@ -233,25 +236,43 @@ def assemble_analysis(
             ).alias("cohort"),
         )
     )
+    return nested_cohorts(rows) if whole else rows
+
+
+def nested_cohorts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("change_id").agg(ordered_list(["cohort_idx"], "cohort")["cohort"].alias("cohorts"))
 
 
 def finished_analysis(
     analyses: DataFrame, heads: DataFrame, files: DataFrame, summaries: DataFrame, mechanical: DataFrame,
-    stubbed_cohorts: DataFrame,
+    stubbed_cohorts: DataFrame, whole: bool = True,
 ) -> DataFrame:
     """(change_id, analysis): cohorts with title, overview and the lists of where texts came from.
 
     ``heads`` is (change_id, title, overview), ``summaries`` (change_id, file_idx, key_symbols,
     stubbed), ``mechanical`` (change_id, file_idx), ``stubbed_cohorts`` (change_id, cohort_idx).
     Files are listed by path, then number; symbol lists stand in file order, one per file.
+    Without ``whole``, ``analyses`` has one row per cohort, and the result is in parts: (change_id,
+    part, idx, head, marks, cohort, stubbed) with one row per change, file and cohort.
     """
     marks = (
         files.select(*FILE, "path").join(summaries.select(*FILE, "key_symbols", "stubbed"), FILE, "left")
         .join(mechanical.select(*FILE, F.lit(True).alias("mechanical")), FILE, "left")
         .withColumn("symbols", F.coalesce("key_symbols", F.array().cast("array<string>")))
     )
+    if whole:
+        return nested_analysis(analyses, heads, marks, stubbed_cohorts)
+    key = ["change_id", "cohort_idx"]
+    cohorts = analyses.join(stubbed_cohorts.select(*key).distinct().withColumn("stubbed", F.lit(True)), key, "left")
+    rows = (
+        part_rows("head", heads, F.lit(None).cast("int"), F.struct("title", "overview").alias("head")),
+        part_rows("marks", marks, F.col("file_idx"), F.struct("path", "stubbed", "mechanical", "symbols").alias("marks")),
+        part_rows("cohort", cohorts, F.col("cohort_idx"), F.col("cohort"), F.coalesce("stubbed", F.lit(False)).alias("stubbed")),
+    )
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rows)
+
 
+def nested_analysis(analyses: DataFrame, heads: DataFrame, marks: DataFrame, stubbed_cohorts: DataFrame) -> DataFrame:
     def listed(flag: str) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col(flag), F.struct("path", "file_idx"))))["file_idx"]
 
@@ -269,6 +290,10 @@ def finished_analysis(
     )
 
 
+def part_rows(part: str, rows: DataFrame, idx: Column, *values: Column) -> DataFrame:
+    return rows.select("change_id", F.lit(part).alias("part"), idx.cast("int").alias("idx"), *values)
+
+
 def nested_files(files: DataFrame, hunks: DataFrame, lines: DataFrame, blame: DataFrame | None = None) -> DataFrame:
     """(change_id, file_idx, file): files with nested hunks and lines, and the hunks' authors.
 
@@ -299,33 +324,75 @@ def nested_files(files: DataFrame, hunks: DataFrame, lines: DataFrame, blame: Da
     )
 
 
+def source_of(changes: DataFrame) -> Column:
+    place = F.col("repo_dir") if "repo_dir" in changes.columns else F.lit("")
+    return F.struct("title", "description", "range", "url", "name", place.alias("repoDir")).alias("source")
+
+
 def source_and_files(changes: DataFrame, file_rows: DataFrame) -> DataFrame:
     """(change_id, source, files): what a document says about the change itself.
 
     ``changes`` is (change_id, title, description, range, url, name) and may name a ``repo_dir``.
     """
     per_change = file_rows.groupBy("change_id").agg(ordered_list(["file_idx"], "file")["file"].alias("files"))
-    place = F.col("repo_dir") if "repo_dir" in changes.columns else F.lit("")
-    source = F.struct("title", "description", "range", "url", "name", place.alias("repoDir"))
-    return changes.select("change_id", source.alias("source")).join(per_change, "change_id")
+    return changes.select("change_id", source_of(changes)).join(per_change, "change_id")
 
 
 def documents(
     changes: DataFrame, file_rows: DataFrame, analyses: DataFrame, staged: DataFrame, provider: str = "", model: str = "",
+    whole: bool = True,
 ) -> DataFrame:
     """One nested document per change, ready for a JSON sink.
 
     ``file_rows`` comes from ``nested_files``, ``analyses`` from ``finished_analysis``, ``staged``
-    is (change_id, staged); ``provider`` and ``model`` name who gave the answers.
+    is (change_id, staged); ``provider`` and ``model`` name who gave the answers. Without ``whole`` (here
+    and in ``finished_analysis``) documents come in parts, so that no row holds more than one file or
+    cohort: a ``head`` per change, and ``file``, ``marks`` and ``cohort`` rows numbered by ``idx``.
     """
-    return source_and_files(changes, file_rows).join(analyses, "change_id").join(staged, "change_id").select(
-        "change_id", F.lit(SCHEMA_VERSION).alias("schemaVersion"), "source", "files", "analysis",
-        F.struct(
-            F.lit(provider).alias("provider"), F.lit(model).alias("model"), F.lit(GENERATOR).alias("generator"),
-            F.lit(False).alias("cached"), "staged",
-        ).alias("meta"),
-    )
+    meta = F.struct(
+        F.lit(provider).alias("provider"), F.lit(model).alias("model"), F.lit(GENERATOR).alias("generator"),
+        F.lit(False).alias("cached"), "staged",
+    ).alias("meta")
+    version = F.lit(SCHEMA_VERSION).alias("schemaVersion")
+    if whole:
+        return source_and_files(changes, file_rows).join(analyses, "change_id").join(staged, "change_id").select(
+            "change_id", version, "source", "files", "analysis", meta
+        )
+    told = analyses.where("part = 'head'").select("change_id", "head.title", "head.overview")
+    heads = changes.select("change_id", source_of(changes)).join(told, "change_id").join(staged, "change_id")
+    for rows in (file_rows, analyses.where("part = 'marks'"), analyses.where("part = 'cohort'")):
+        heads = heads.join(rows.select("change_id").distinct(), "change_id", "left_semi")
+    heads = materialize(heads.select("change_id", F.struct(version, "source", "title", "overview", meta).alias("head")), "document-heads")
+    body = part_rows("file", file_rows, F.col("file_idx"), F.col("file")).unionByName(
+        analyses.where("part <> 'head'").drop("head"), allowMissingColumns=True
+    ).join(heads.select("change_id").distinct(), "change_id", "left_semi")
+    return part_rows("head", heads, F.lit(None), F.col("head")).unionByName(body, allowMissingColumns=True)
+
+
+# What the rows of each kind of part hold besides the change and their number.
+PARTS = {"head": ["head"], "file": ["file"], "marks": ["marks"], "cohort": ["cohort", "stubbed"]}
 
 
 def doc_sink(docs: DataFrame, path: str) -> None:
-    docs.write.mode("append").json(path)
+    """Append JSON lines: a line per document, or, of documents in parts, a folder for each kind and a line per part."""
+    if "part" not in docs.columns:
+        docs.write.mode("append").json(path)
+        return
+    for part, columns in PARTS.items():
+        docs.where(F.col("part") == part).select("change_id", "idx", *columns).write.mode("append").json(f"{path}/part={part}")
+
+
+def whole_documents(parts: DataFrame) -> DataFrame:
+    """One nested document per change from its parts, for changes that fit a row."""
+    def of(part: str, number: str) -> DataFrame:
+        return parts.where(F.col("part") == part).withColumnRenamed("idx", number)
+
+    heads, cohorts = of("head", "none").select("change_id", "head.*"), of("cohort", "cohort_idx")
+    analyses = nested_analysis(
+        nested_cohorts(cohorts), heads.select("change_id", "title", "overview"),
+        of("marks", "file_idx").select("change_id", "file_idx", "marks.*"), cohorts.where("stubbed"),
+    )
+    files = of("file", "file_idx").groupBy("change_id").agg(ordered_list(["file_idx"], "file")["file"].alias("files"))
+    return heads.join(files, "change_id").join(analyses, "change_id").select(
+        "change_id", "schemaVersion", "source", "files", "analysis", "meta"
+    )
