@@ -15,7 +15,8 @@ from changeloom.functions.paths import (
 )
 from changeloom.functions.imports import MIN_SYMBOL_BYTES, exported_defs, identifier_tokens, import_specifiers
 from changeloom.operators.aggregate import unique_definitions
-from changeloom.operators.terraform import tf_edges, tf_facts
+from changeloom.operators.links import all_edges, asked_members, expand_links  # noqa: F401
+from changeloom.operators.terraform import module_links, named_edges, tf_facts
 from changeloom.sources.shared import materialize
 
 # Order in which the lookups of one target are tried.
@@ -233,18 +234,6 @@ def directory_links(files: DataFrame, queries: DataFrame) -> tuple[DataFrame, Da
     return asks.distinct(), members
 
 
-def asked_members(links: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """The same links without nodes that nobody imports."""
-    asks, members = links
-    return asks, members.join(asks, ["change_id", "node"], "left_semi")
-
-
-def expand_links(links: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """Distinct (change_id, importer, imported): importers times files of each node."""
-    asks, members = links
-    return asks.join(members, ["change_id", "node"]).where("importer <> imported").select("change_id", "importer", "imported").distinct()
-
-
 def resolve_directory(files: DataFrame, queries: DataFrame) -> DataFrame:
     """Package imports: every file of the directory in the importer's language family."""
     return expand_links(directory_links(files, queries)).withColumn("via", F.lit("directory"))
@@ -260,18 +249,18 @@ def symbol_edges(definitions: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def import_graph(files: DataFrame, lines: DataFrame) -> tuple[DataFrame, tuple[DataFrame, DataFrame]]:
-    """(change_id, importer, imported) of single imports, Terraform facts and symbols, and package imports as links."""
+    """(change_id, importer, imported) of single imports, Terraform names and symbols, and imports of whole directories as links."""
     # The targets feed several joins, so they are written once: the scan of the texts behind
     # them is not repeated, and the plan stays small.
     queries = materialize(import_queries(files, import_specifiers(files, lines)), "import-targets")
     edge = ["change_id", "importer", "imported"]
     symbols = symbol_edges(exported_defs(files, lines), identifier_tokens(lines, MIN_SYMBOL_BYTES))
     facts = materialize(tf_facts(files, lines), "terraform-facts")
-    single = resolve_modules(files, queries).select(edge).unionByName(symbols).unionByName(tf_edges(files, facts))
-    return single, directory_links(files, queries)
+    single = resolve_modules(files, queries).select(edge).unionByName(symbols).unionByName(named_edges(facts))
+    packages, modules = directory_links(files, queries), module_links(files, facts)
+    return single, tuple(x.unionByName(y) for x, y in zip(packages, modules))
 
 
 def build_edges(files: DataFrame, lines: DataFrame) -> DataFrame:
     """Distinct (change_id, importer, imported) from imports, Terraform facts and symbols."""
-    single, links = import_graph(files, lines)
-    return single.unionByName(expand_links(links)).distinct()
+    return all_edges(*import_graph(files, lines))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changeloom.functions.paths import classify_language, directory, join_path, normalize_path
+from changeloom.operators.links import all_edges
 from changeloom.operators.windows import added_runs
 
 RUN = ["change_id", "file_idx", "hunk_idx", "run_idx"]
@@ -210,14 +211,19 @@ def tf_facts(files: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def tf_edges(files: DataFrame, all_facts: DataFrame) -> DataFrame:
-    """References to names defined once in their directory, and module source directories."""
+def named_edges(all_facts: DataFrame) -> DataFrame:
+    """(change_id, importer, imported): references to names defined once in their directory."""
     key = ["change_id", "dir", "kind", "type_name", "name"]
     owners = all_facts.where("role = 'define'").groupBy(*key).agg(
         F.min("file_idx").alias("imported"), F.max("file_idx").alias("last")
     ).where("imported = last").drop("last")
     references = all_facts.where("role = 'refer'").withColumnRenamed("file_idx", "importer")
-    named = references.join(owners, key).select("change_id", "importer", "imported")
+    return references.join(owners, key).where("importer <> imported").select("change_id", "importer", "imported").distinct()
+
+
+def module_links(files: DataFrame, all_facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Module source directories as links: (change_id, node, importer) and (change_id, node, imported)."""
+    node = F.concat_ws(" ", F.lit("terraform"), "dir").alias("node")
     targets = (
         all_facts.where("role = 'source'").where(F.col("name").rlike(r"^\.\.?/"))
         .withColumn("target", normalize_path(join_path(F.col("dir"), F.col("name"))))
@@ -227,5 +233,9 @@ def tf_edges(files: DataFrame, all_facts: DataFrame) -> DataFrame:
     terraform = files.where(classify_language(F.col("path")) == "terraform").select(
         "change_id", F.col("file_idx").alias("imported"), directory(normalize_path(F.col("path"))).alias("dir")
     )
-    sourced = targets.join(terraform, ["change_id", "dir"]).select("change_id", "importer", "imported")
-    return named.unionByName(sourced).where("importer <> imported").distinct()
+    return targets.select("change_id", node, "importer").distinct(), terraform.select("change_id", node, "imported")
+
+
+def tf_edges(files: DataFrame, all_facts: DataFrame) -> DataFrame:
+    """References to names defined once in their directory, and module source directories."""
+    return all_edges(named_edges(all_facts), module_links(files, all_facts))

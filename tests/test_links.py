@@ -73,3 +73,20 @@ def test_links_grow_with_files_not_with_pairs(spark):
     asks, members = R.asked_members(R.directory_links(few, stars))
     assert sorted((r.node, r.importer) for r in asks.collect()) == [("end jvm acme", 0), ("end jvm org/acme", 2)]
     assert sorted((r.importer, r.imported) for r in R.resolve_directory(few, stars).collect()) == [(0, 1), (0, 2), (2, 0), (2, 1)]
+
+
+def test_importers_times_files_are_neither_shuffled_nor_sorted_again(spark):
+    """Terraform modules and packages: the product of a node leaves its join as it is, and no edge comes twice."""
+    from changeloom.operators import terraform as TR
+
+    files = spark.range(40).select(F.lit("c").alias("change_id"), F.col("id").cast("int").alias("file_idx"), F.format_string("net/a%d.tf", "id").alias("path"))
+    fact = "change_id string, file_idx int, dir string, role string, kind string, type_name string, name string"
+    rows = [("c", k, "net", "source", "module", "", name) for k in range(30) for name in ("./", "../net")]
+    rows += [("c", 0, "net", "define", "variable", "", "v"), ("c", 1, "net", "refer", "variable", "", "v"), ("c", 35, "net", "refer", "variable", "", "v")]
+    edges = TR.tf_edges(files, spark.createDataFrame(rows, fact))
+    found = [(r.importer, r.imported) for r in edges.collect()]
+    assert len(found) == len(set(found)) and set(found) == {(i, j) for i in range(30) for j in range(40) if i != j} | {(35, 0)}
+
+    asked = spark.createDataFrame([("c", 0, "go", "go", "net", False)] * 2, "change_id string, importer int, language string, family string, query string, relative boolean")
+    for result in (edges, R.resolve_directory(files, asked)):
+        assert not result._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
