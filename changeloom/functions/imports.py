@@ -22,6 +22,8 @@ JAVA_IMPORT = rf"^\s*import\s+(?:(static)\s+)?({DOTTED})\s*;\s*(?://.*)?$"
 KOTLIN_IMPORT = (
     rf"^\s*import\s+({DOTTED})\s*(?:as\s+[A-Za-z_$][A-Za-z0-9_$]*)?\s*;?\s*(?://.*)?$"
 )
+# Every import of the line languages starts with one of these.
+LINE_START = r"^\s*(?:(?:import|from)\s|[\"`]|[._A-Za-z][A-Za-z0-9_]*\s+[\"`])"
 JS_STATEMENT = r"^\s*(?:import(?![A-Za-z0-9_])|export\s+(?:type\s+)?(?:\{|\*))"
 JS_SIDE_EFFECT = r"""^\s*import\s*["']([^"']+)["']"""
 JS_BARE = r"^\s*import\s*$"
@@ -90,8 +92,11 @@ def line_specifiers(language: Column, text: Column) -> Column:
 
 
 def import_refs_line(added: DataFrame) -> DataFrame:
-    """(change_id, file_idx, specifier) of languages whose imports fit one line."""
-    return added.where(F.col("language").isin("go", "python", "java", "kotlin")).select(
+    """(change_id, file_idx, specifier) of languages whose imports fit one line.
+
+    Lines that no language takes for an import leave before the language of their file is looked up.
+    """
+    return added.where(F.col("language").isin("go", "python", "java", "kotlin") & F.col("text").rlike(LINE_START)).select(
         *FILE, F.explode(line_specifiers(F.col("language"), F.col("text"))).alias("specifier")
     )
 
@@ -106,27 +111,26 @@ def import_refs_js(added: DataFrame) -> DataFrame:
 
     Runs are cleaned of comments as a whole. Then every line gets the number of the
     statement it belongs to; a statement starts at ``import`` or ``export {``, and the
-    first line that completes or breaks it ends it. All windows run per run of lines.
+    first line that completes or breaks it ends it. All windows run per run of lines; runs without a
+    keyword leave before, and statements and ``require`` calls are found in one pass.
     """
     runs = added_runs(added.where("language = 'javascript'"))
     key = ["change_id", "file_idx", "hunk_idx", "run_idx"]
     joined = runs.groupBy(*key).agg(
         F.array_join(F.array_sort(F.collect_list(F.struct("line_idx", "text")))["text"], "\n").alias("run")
     )
-    rows = joined.select(
+    rows = joined.where(F.col("run").rlike("import|export|require")).select(
         *key, F.posexplode(F.split(strip_js_comments(F.col("run")), "\n")).alias("line_idx", "text")
     )
     rows = rows.where(~F.col("text").rlike(JS_COMMENT_LINE))
     text = F.col("text")
-    required = rows.select(
-        *FILE, F.explode(F.regexp_extract_all("text", F.lit(JS_REQUIRE), F.lit(1))).alias("specifier")
-    )
+    required = F.regexp_extract_all("text", F.lit(JS_REQUIRE), F.lit(1))
     order = Window.partitionBy(*key).orderBy("line_idx")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     starts = text.rlike(JS_STATEMENT)
-    numbered = rows.withColumn("starts", starts).withColumn(
+    numbered = rows.withColumn("starts", starts).withColumn("required", required).withColumn(
         "statement", F.sum(F.col("starts").cast("int")).over(upto)
-    ).where("statement > 0")
+    ).where("statement > 0 OR size(required) > 0")
     inside = Window.partitionBy(*key, "statement").orderBy("line_idx")
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
@@ -156,8 +160,9 @@ def import_refs_js(added: DataFrame) -> DataFrame:
     dead = F.max("broken").over(so_far) | F.coalesce(
         F.max(F.col("ended") | F.col("target").isNotNull()).over(earlier), F.lit(False)
     )
-    found = scanned.withColumn("dead", dead).where("NOT dead AND target IS NOT NULL")
-    return found.select(*FILE, F.col("target").alias("specifier")).unionByName(required)
+    stated = F.when(F.expr("statement > 0 AND NOT dead AND target IS NOT NULL"), F.array("target"))
+    found = F.concat("required", F.coalesce(stated, F.array().cast("array<string>")))
+    return scanned.withColumn("dead", dead).select(*FILE, F.explode(found).alias("specifier"))
 
 
 def import_refs_markup(added: DataFrame) -> DataFrame:

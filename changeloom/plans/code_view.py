@@ -7,13 +7,16 @@ without engine-specific parts, shared by both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changeloom.functions.paths import classify_language
 from changeloom.plans import oracle_views as O
 from changeloom.plans import views as V
-from changeloom.sources.shared import materialize_once
+from changeloom.sources.shared import materialize_dealt
+
+FILE = ["change_id", "file_idx"]
+PART_BYTES = 32 << 20
 
 # Columns: l language, i and j file numbers, m style, tt target module, ts its last two
 # parts, tp target path, td target directory, up way to the root, dj target document.
@@ -87,12 +90,20 @@ def targets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lines`` rows: definitions, imports, a context line, uses, a deleted line and the file's whole text.
 
-    Written once per application, as several queries read them.
+    Written once per application, as several queries read them, in buckets of files: readers join and
+    order the lines of a file, and shuffle no text for it.
     """
-    return materialize_once(spark, f"source-lines {sf_dir}", lambda: build_lines(spark, sf_dir))
+    count = lambda: text_parts(spark, sf_dir)
+    return materialize_dealt(spark, f"source-lines {sf_dir}", FILE, count, lambda parts: build_lines(spark, sf_dir, parts))
+
 
+def text_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Number of parts for the texts: a part grows neither with the input nor with few shuffle partitions."""
+    size = V.table(spark, sf_dir, "documents").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
-def build_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def build_lines(spark: SparkSession, sf_dir: str, parts: int) -> DataFrame:
     files, links = targets(spark, sf_dir)
     i = F.col("i").alias("file_idx")
 
@@ -100,27 +111,33 @@ def build_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rows.select("change_id", index, order.cast("int").alias("ord"), F.lit(kind).alias("t"), F.expr(text).alias("block"))
 
     own = F.col("file_idx")
-    parts = [
+    pieces = [
         block(files, own, F.lit(0), "a", DEFINE_LINE),
         block(files.where("file_idx % 7 = 0"), own, F.lit(1), "a", SHARED_LINE),
         block(links, i, F.col("j") + 2, "a", IMPORT_LINE),
         block(files, own, F.lit(1 << 27), "c", "'context'"),
         block(links.where("m % 2 = 0"), i, F.col("j") + (1 << 28), "a", USE_LINE),
         block(files, own, F.lit(1 << 29), "d", "'removed'"),
-        block(V.documents(spark, sf_dir, text=True).where("plain"), own, F.lit(1 << 30), "a", "text"),
+        block(V.documents(spark, sf_dir, text=True, parts=parts).where("plain"), own, F.lit(1 << 30), "a", "text"),
     ]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    # Blocks are dealt by file before they are split, so the window below moves no line.
-    exploded = rows.repartition("change_id", "file_idx").select("change_id", "file_idx", "ord", "t", F.posexplode(F.split("block", "\n")).alias("k", "text"))
-    order = Window.partitionBy("change_id", "file_idx").orderBy("ord", "k")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    number = lambda skip: F.sum((F.col("t") != skip).cast("int")).over(upto).cast("int")
+    rows = pieces[0]
+    for piece in pieces[1:]:
+        rows = rows.unionByName(piece)
+    # Blocks are dealt and numbered by file before they are split, so no line is moved or sorted.
+    dealt = rows.withColumn("size", F.coalesce(F.array_size(F.split("block", "\n")), F.lit(0))).repartition(parts, *FILE)
+    before = Window.partitionBy(*FILE).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+
+    def earlier(*kinds: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("t").isin(*kinds), F.col("size")).otherwise(0)).over(before), F.lit(0))
+
+    numbered = dealt.select(
+        *FILE, "t", "block", earlier("a", "c", "d").alias("first"), earlier("c", "d").alias("olds"), earlier("a", "c").alias("news")
+    )
+    exploded = numbered.select(*FILE, "t", "first", "olds", "news", F.posexplode(F.split("block", "\n")).alias("k", "text"))
     return exploded.select(
-        "change_id", "file_idx", F.lit(0).alias("hunk_idx"), (F.row_number().over(order) - 1).alias("line_idx"), "t",
-        F.when(F.col("t") == "a", 0).otherwise(number("a")).alias("old"),
-        F.when(F.col("t") == "d", 0).otherwise(number("d")).alias("new"), "text",
+        *FILE, F.lit(0).alias("hunk_idx"), (F.col("first") + F.col("k")).cast("int").alias("line_idx"), "t",
+        F.when(F.col("t") == "a", 0).otherwise(F.col("olds") + F.col("k") + 1).cast("int").alias("old"),
+        F.when(F.col("t") == "d", 0).otherwise(F.col("news") + F.col("k") + 1).cast("int").alias("new"), "text",
     )
 
 

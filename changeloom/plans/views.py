@@ -41,11 +41,12 @@ def copies() -> Column:
     return F.when(twice, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
 
 
-def numbered_texts(docs: DataFrame) -> DataFrame:
+def numbered_texts(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Texts as files with their number in the change; no task holds the texts of one change.
 
-    The numbers come from counts per document, so texts are dealt by document. Both columns may be
-    null or repeat, so they meet as one struct, ``key``, by which the rows stay dealt.
+    The numbers come from counts per document, so texts are dealt by document, to ``parts`` partitions
+    if given. Both columns may be null or repeat, so they meet as one struct, ``key``, by which the rows
+    stay dealt. Rows of a document are put in order first, and the join takes them as they are.
     """
     key = F.struct("change_id", "doc_id").alias("key")
     before = Window.partitionBy("change_id").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -53,26 +54,28 @@ def numbered_texts(docs: DataFrame) -> DataFrame:
         key, "n", F.coalesce(F.sum(F.col("n") * F.size(copies())).over(before), F.lit(0)).alias("first")
     )
     turn = F.row_number().over(Window.partitionBy("key").orderBy("lang")) - 1
+    dealt = docs.withColumn("key", key)
+    dealt = dealt.repartition(parts, "key") if parts else dealt
     return (
-        docs.withColumn("key", key).join(firsts, "key").withColumn("turn", turn)
+        dealt.withColumn("turn", turn).join(firsts, "key")
         .select(*docs.columns, "key", "first", "n", "turn", F.posexplode(copies()).alias("copy", "plain"))
         .withColumn("file_idx", (F.col("first") + F.col("n") * F.col("copy") + F.col("turn")).cast("int"))
         .drop("first", "n", "turn", "copy")
     )
 
 
-def documents(spark: SparkSession, sf_dir: str, text: bool = False, measures: dict[str, Column] | None = None) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str, text: bool = False, measures: dict[str, Column] | None = None, parts: int | None = None) -> DataFrame:
     """Documents as files of a change: identity, path and status columns.
 
     ``plain`` files hold the text; the others are binary or renamed as they are, without lines.
-    ``measures`` are further columns, small values of a document.
+    ``measures`` are further columns, small values of a document. Texts are dealt to ``parts`` partitions, if given.
     """
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "lang", F.col("source").alias("change_id"), *(["text"] if text else []),
         *[value.alias(name) for name, value in (measures or {}).items()],
     )
     if text:
-        docs = numbered_texts(docs)
+        docs = numbered_texts(docs, parts)
     else:
         order = Window.partitionBy("change_id").orderBy("doc_id", F.desc("plain"))
         docs = docs.select("*", F.explode(copies()).alias("plain")).withColumn("file_idx", F.row_number().over(order) - 1)

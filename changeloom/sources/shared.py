@@ -34,6 +34,7 @@ def materialize(frame: DataFrame, name: str) -> DataFrame:
 
 
 _written: dict[tuple[str, str], tuple[str, object]] = {}
+_dealt: dict[tuple[str, str], str] = {}
 
 
 def materialize_once(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -46,3 +47,16 @@ def materialize_once(spark: SparkSession, name: str, build: Callable[[], DataFra
         _written[key] = (path, frame.schema)
     path, schema = _written[key]
     return spark.read.schema(schema).parquet(path)
+
+
+def materialize_dealt(spark: SparkSession, name: str, keys: list[str], count: Callable[[], int], build: Callable[[int], DataFrame]) -> DataFrame:
+    """Like ``materialize_once``, in ``count()`` buckets by ``keys``: joins and windows by them move none of its rows.
+
+    ``build`` returns rows that are dealt by ``keys`` to as many partitions, so each task writes one file.
+    """
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _dealt:
+        parts, table = count(), f"changeloom_{uuid.uuid4().hex}"
+        build(parts).write.bucketBy(parts, *keys).option("path", new_path(spark, "dealt")).format("parquet").saveAsTable(table)
+        _dealt[key] = table
+    return spark.table(_dealt[key])

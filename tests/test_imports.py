@@ -151,3 +151,15 @@ def test_long_code_lines(spark):
     files, lines = frames(spark, {"A.java": big, "b.tf": 'x = "' + "${a}" * 100_000 + '"', "c.ts": "/*" + "*" * 500_000})
     assert I.import_specifiers(files, lines).count() == 1
     assert TR.tf_facts(files, lines).select(F.count("*")).first()[0] >= 0
+
+
+def test_scanners_read_each_line_once_and_keep_every_form(spark):
+    """``require`` before any statement, and line imports behind blanks, stay; the lines are scanned once by the JavaScript scanner."""
+    cases = {"a.ts": ('x\nvar a = require("r0")\nimport b from "s1"\nvar c = require("r1")', ["r0", "r1", "s1"]), "b.ts": ("plain\nwords", []),
+             "c.go": ('\t"one"\n  x "two"\n\timport `three`\nword', ["one", "three", "two"]), "d.py": ("\tfrom\ta import b\n import\tc, d\nimports e", ["a", "c", "d"])}
+    files, lines = frames(spark, {path: text for path, (text, _) in cases.items()})
+    found = I.import_specifiers(files, lines).collect()
+    for k, (_, expected) in enumerate(cases.values()):
+        assert sorted(r.specifier for r in found if r.file_idx == k) == expected
+    plan = I.import_refs_js(I.with_language(lines, files))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
