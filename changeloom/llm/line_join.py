@@ -4,6 +4,8 @@ A line is the set of its words. Words are ordered by rarity (a table of counts b
 size), and only the rarest few of a line, its prefix, are indexed: two lines as similar as the
 threshold share a word of both prefixes. A pair found there must pass the length filter, the
 positional filter and a parity bitmap, whose differing bits never exceed the differing words.
+The bitmap grows with the line (64 to 512 bits): a small one of a long line lets unlike lines pass,
+which in a large corpus connects most long lines to one cluster.
 Words of 16,384 occurrences or more are indexed together with a second word each, which is as
 exact because similar lines share at least two. Lines with equal sets count once. Lines of so few
 words that they can only match an equal set (1 to 3 words at 0.8) have one entry, their set's hash.
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changeloom.llm.components import components
-from changeloom.llm.worker import lower_table, mix, slices, space_words, span_hashes, stream, text_views, word_spans
+from changeloom.llm.worker import lower_table, mix, release, slices, space_words, span_hashes, stream, text_views, word_spans
 from changeloom.sources.shared import materialize
 
 TABLE_BITS, HASH_BITS, CLASS_BITS = 23, 35, 5
@@ -32,8 +34,15 @@ HOT = 15  # class from which words are indexed with a second one: 16,384 occurre
 FLUSH_ENTRIES = 1 << 20
 BUCKET_WORDS = 4_000_000
 BLOCK_WORDS, BLOCK_LINES = 300_000, 3_000
-SHORT = 64  # words up to which a line's bitmap is folded to 64 parities
-ENTRY = np.dtype([("token", "<u8"), ("bits", "<u8"), ("more", "<u8"), ("set", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4"), ("pos", "<i4"), ("lead", "?")])
+SENT_BYTES, SENT_ENTRIES = 4 << 20, 1 << 15  # of one batch that a task sends; packed at a time
+MATCH_ENTRIES = 200_000  # entries that are matched at a time; those of one token stay together
+PAIRS = 1 << 17  # pairs that are held before they are reduced to connected runs
+ROWS = 512  # rows that are taken from an Arrow batch as Python objects at a time
+PARITIES = 8  # numbers of 64 parities in the widest bitmap
+WIDTHS, SIZES = np.array([1, 2, 4, 8]), np.array([64, 160, 360])  # numbers in a bitmap, by the words up to which it serves
+LINE = [("bits", "<u8", (PARITIES,)), ("set", "<u4"), ("doc", "<i8"), ("line", "<i4"), ("size", "<i4")]
+ENTRY = np.dtype([("token", "<u8"), *LINE, ("pos", "<i4"), ("lead", "?")])
+LINE = np.dtype(LINE)
 PACKED = "bucket int, data binary"
 
 
@@ -49,11 +58,15 @@ def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 def count_words(documents: DataFrame) -> np.ndarray:
     """Class of every slot of the count table: the number of bits of its words' count, 31 at most.
 
-    Each task sends its counts once, in blocks of two or four bytes a count; the table has a fixed size.
+    Each task sends its counts once, in compressed blocks of two or four bytes a count; the table has a fixed size.
     """
+    import zstandard
+
     part = 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]):
+        release()
+        press = zstandard.ZstdCompressor(level=1)
         total = np.zeros(1 << TABLE_BITS, np.uint32)
         for batch in batches:
             for _, _, data, offsets in slices(batch.column("text")):
@@ -62,15 +75,16 @@ def count_words(documents: DataFrame) -> np.ndarray:
         blocks = total.reshape(-1, part)
         most = blocks.max(1)
         keep = np.flatnonzero(most).tolist()
-        sent = [blocks[k].astype("<u2" if most[k] <= 0xFFFF else "<u4").tobytes() for k in keep]
+        sent = [press.compress(blocks[k].astype("<u2" if most[k] <= 0xFFFF else "<u4")) for k in keep]
         yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array(sent, pa.binary())], names=["bucket", "data"])
 
     def add(batches):
+        expand = zstandard.ZstdDecompressor()
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column("bucket").to_pylist(), batch.column("data")):
-                buffer = raw.as_buffer()
-                sums[k] = sums.get(k, 0) + np.frombuffer(buffer, "<u2" if buffer.size == 2 * part else "<u4").astype(np.uint64)
+                block = expand.decompress(raw.as_buffer())
+                sums[k] = sums.get(k, 0) + np.frombuffer(block, "<u2" if len(block) == 2 * part else "<u4").astype(np.uint64)
         classes = {k: np.minimum(np.ceil(np.log2(v + 1)), TOP).astype(np.uint8) for k, v in sums.items()}
         yield pa.RecordBatch.from_arrays([pa.array(list(classes), pa.int32()), pa.array([c.tobytes() for c in classes.values()], pa.binary())], names=["bucket", "data"])
 
@@ -95,9 +109,42 @@ def set_hashes(hashes: np.ndarray, lines: np.ndarray, chosen: np.ndarray) -> np.
     return mix(np.add.reduceat(mix(word), begin) + np.diff(np.r_[begin, len(line)]).astype(np.uint64))
 
 
+def bitmaps(spread: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Parities of every line's words, whose spread hashes lie side by side, in as many numbers as its size asks for.
+
+    Numbers ``k`` and ``k + n`` of a bitmap of ``2 n`` numbers, XORed, are number ``k`` of one of ``n``.
+    """
+    width = WIDTHS[np.searchsorted(SIZES, size)]
+    bit = np.uint64(1) << (spread >> np.uint64(58))
+    number = (spread >> np.uint64(55)).astype(np.int64) & (np.repeat(width, size) - 1)
+    out = np.zeros((len(size), PARITIES), np.uint64)
+    out[:, 0] = np.bitwise_xor.reduceat(np.where(number == 0, bit, np.uint64(0)), begin)
+    for k in range(1, int(width.max(initial=1))):
+        if k in WIDTHS:  # leave the lines behind which have no further numbers
+            long = np.flatnonzero(width > k)
+            at = np.flatnonzero(np.repeat(width > k, size))
+            first, one, its = np.cumsum(size[long]) - size[long], bit[at], number[at]
+        out[long, k] = np.bitwise_xor.reduceat(np.where(its == k, one, np.uint64(0)), first)
+    return out
+
+
+def bits_apart(bits: np.ndarray, width: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Differing parities of pairs of lines, the right one as long or longer; its bitmap is folded to the left one's."""
+    kinds = width[left] * (PARITIES + 1) + width[right]
+    apart = np.empty(len(left), np.int64)
+    for kind in np.flatnonzero(np.bincount(kinds)).tolist():
+        n, m = divmod(kind, PARITIES + 1)
+        at = np.flatnonzero(kinds == kind)
+        wide = bits[right[at], :m]
+        while wide.shape[1] > n:
+            wide = wide[:, :wide.shape[1] // 2] ^ wide[:, wide.shape[1] // 2:]
+        apart[at] = np.bitwise_count(bits[left[at], :n] ^ wide).sum(1, dtype=np.int64)
+    return apart
+
+
 def prefixes(hashes: np.ndarray, lines: np.ndarray, classes: np.ndarray, percent: int, least: int) -> tuple[np.ndarray, ...]:
-    """Per line of ``least`` words or more: its entries (token, position) and its line's number,
-    size, bitmap and set hash. ``lines`` are ascending line numbers of a slice."""
+    """Entries (token, index of the line, position) of lines of ``least`` words or more, and of every
+    line its number, size, bitmap and set hash. ``lines`` are ascending line numbers of a slice."""
     key = (lines.astype(np.uint64) << np.uint64(HASH_BITS + CLASS_BITS)) | (
         classes[hashes >> np.uint64(64 - TABLE_BITS)].astype(np.uint64) << np.uint64(HASH_BITS)
     ) | (hashes & np.uint64((1 << HASH_BITS) - 1))
@@ -109,18 +156,15 @@ def prefixes(hashes: np.ndarray, lines: np.ndarray, classes: np.ndarray, percent
     begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
     size = np.diff(np.r_[begin, len(owner)])
     if len(begin) == 0:
-        return (np.empty(0, np.uint64),) + tuple(np.empty(0, np.int64) for _ in range(7))
+        return (np.empty(0, np.uint64),) + tuple(np.empty(0, np.int64) for _ in range(6))
     spread = mix(token)
     sets = (mix(np.add.reduceat(spread, begin) + size.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
-    # A bitmap of 128 parities in two halves.
-    bit, half = np.uint64(1) << (spread >> np.uint64(58)), (spread >> np.uint64(57)) & np.uint64(1)
-    bits = np.bitwise_xor.reduceat(bit * half, begin)
-    more = np.bitwise_xor.reduceat(bit * (np.uint64(1) - half), begin)
-    bits, more = np.where(size <= SHORT, bits ^ more, bits), np.where(size <= SHORT, np.uint64(0), more)
+    bits = bitmaps(spread, begin, size)
     ok, few = size >= least, size * (100 - percent) < percent  # one word more or less is already below the threshold
     short = np.flatnonzero(ok & few & (token[begin] >> np.uint64(HASH_BITS) > 1))
     wide = set_hashes(hashes, lines, owner[begin[short]])
-    bits[short], more[short], sets[short] = wide, 0, (wide >> np.uint64(32)).astype(np.uint32)
+    bits[short], sets[short] = 0, (wide >> np.uint64(32)).astype(np.uint32)
+    bits[short, 0] = wide
     prefix = size - -(-percent * size // 100) + 1
     pos = np.arange(len(owner)) - np.repeat(begin, size)
     # A word which the whole corpus holds once is in no other line.
@@ -135,12 +179,15 @@ def prefixes(hashes: np.ndarray, lines: np.ndarray, classes: np.ndarray, percent
         tokens.append(mix(token[i] * np.uint64(3) + partners * np.uint64(0x9E3779B97F4A7C15)))
         rows.append(np.full(len(partners), r))
         places.append(np.full(len(partners), pos[i]))
-    return np.concatenate(tokens), np.concatenate(rows), np.concatenate(places), owner[begin], size, bits, more, sets
+    return np.concatenate(tokens), np.concatenate(rows), np.concatenate(places), owner[begin], size, bits, sets
 
 
 def identity(table: np.ndarray) -> np.ndarray:
     """One value per word set, of its hash, its parities and its size."""
-    wide = mix(table["bits"] + table["more"] * np.uint64(0x9E3779B97F4A7C15))
+    wide = table["bits"][:, 0].copy()
+    for k, factor in enumerate(stream(61, PARITIES - 1) | np.uint64(1), 1):
+        wide += table["bits"][:, k] * factor
+    wide = mix(wide)
     return mix(wide + (table["set"].astype(np.uint64) << np.uint64(24)) + table["size"].astype(np.uint64))
 
 
@@ -160,59 +207,74 @@ def index_lines(documents: DataFrame, classes, percent: int, least: int, buckets
     import zstandard
 
     def run(batches: Iterator[pa.RecordBatch]):
+        release()
         press = zstandard.ZstdCompressor(level=1)
-        held, count = [], 0
+        held, count, base = [], 0, 0
 
         def flush():
-            entries, sets = np.concatenate([e for e, _ in held]), np.concatenate([s for _, s in held])
-            first, later = firsts(identity(sets), sets["doc"], sets["line"])
-            entries = entries[first[entries_line(held)]]
-            pieces = []
-            spot = (mix(entries["token"]) % np.uint64(buckets)).astype(np.int64)
+            tokens, owner, place, lead, table = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            first, later = firsts(identity(table), table["doc"], table["line"])
+            at = np.flatnonzero(first[owner])
+            spot = (mix(tokens[at]) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(spot, kind="stable")
             ends = np.searchsorted(spot[order], np.arange(buckets + 1))
-            for k in np.flatnonzero(np.diff(ends)).tolist():
-                pieces.append((k, pack(entries[order[ends[k]:ends[k + 1]]])))
-            gone = sets[later]
+            at = at[order]
+            del spot, order
+            pieces, size, low = [], 0, 0
+            while low < buckets:  # some buckets at a time
+                high = max(low + 1, int(np.searchsorted(ends, ends[low] + SENT_ENTRIES, "right")) - 1)
+                one = at[ends[low]:ends[high]]
+                entries = np.zeros(len(one), ENTRY)
+                entries["token"], entries["pos"], entries["lead"] = tokens[one], place[one], lead[one]
+                for name in LINE.names:
+                    entries[name] = table[name][owner[one]]
+                for k in (low + np.flatnonzero(np.diff(ends[low:high + 1]))).tolist():
+                    pieces.append((k, pack(entries[ends[k] - ends[low]:ends[k + 1] - ends[low]])))
+                    size += len(pieces[-1][1])
+                if size > SENT_BYTES:
+                    yield batch_of(pieces)
+                    pieces, size = [], 0
+                low = high
+            gone = np.zeros(np.count_nonzero(later), ENTRY)
+            for name in LINE.names:
+                gone[name] = table[name][later]
             if len(gone):
                 pieces.append((-1 - int(gone["doc"][0] % 997), pack(gone)))
+            if pieces:
+                yield batch_of(pieces)
+
+        def batch_of(pieces):
             return pa.RecordBatch.from_arrays([pa.array([k for k, _ in pieces], pa.int32()), pa.array([d for _, d in pieces], pa.binary())], names=["bucket", "data"])
 
         def pack(part: np.ndarray) -> bytes:
             columns = [np.ascontiguousarray(part[name]).view(np.uint8).reshape(len(part), -1).T.tobytes() for name in ENTRY.names]
             return press.compress(b"".join(columns))
 
-        def entries_line(parts):
-            base = np.cumsum([0] + [len(s) for _, s in parts])
-            return np.concatenate([rows + b for rows, b in zip(line_of, base)])
-
-        line_of: list[np.ndarray] = []
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             for low, high, data, offsets in slices(batch.column("text")):
                 hashes, rows, lines = line_words(data, offsets)
                 numbers = np.cumsum(np.r_[0, (rows[1:] != rows[:-1]) | (lines[1:] != lines[:-1])]) if len(rows) else np.empty(0, np.int64)
                 start = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]]) if len(rows) else np.empty(0, np.int64)
-                tokens, row, pos, owner, size, bits, more, sets = prefixes(hashes, numbers, classes.value, percent, least)
+                tokens, row, pos, owner, size, bits, sets = prefixes(hashes, numbers, classes.value, percent, least)
                 if not len(tokens):
                     continue
-                table = np.zeros(len(owner), ENTRY)
-                table["doc"], table["line"] = ids[low:high][rows[start[owner]]], lines[start[owner]]
-                table["size"], table["bits"], table["more"], table["set"] = size, bits, more, sets
-                entries = table[row]
-                entries["token"], entries["pos"] = tokens, pos
-                entries["lead"][np.unique(row, return_index=True)[1]] = True
-                long_enough = size >= least
-                number = np.cumsum(long_enough) - 1
-                held.append((entries, table[long_enough]))
-                line_of.append(number[row])
-                count += len(tokens)
+                enough = np.flatnonzero(size >= least)
+                table = np.zeros(len(enough), LINE)
+                spot = start[owner[enough]]
+                table["doc"], table["line"] = ids[low:high][rows[spot]], lines[spot]
+                table["size"], table["bits"], table["set"] = size[enough], bits[enough], sets[enough]
+                lead = np.zeros(len(row), bool)
+                lead[np.unique(row, return_index=True)[1]] = True
+                # Entries are held as numbers of their lines, and written out bucket by bucket.
+                held.append((tokens, (base + np.searchsorted(enough, row)).astype(np.int32), pos.astype(np.int32), lead, table))
+                count, base = count + len(tokens), base + len(table)
                 if count >= FLUSH_ENTRIES:
-                    yield flush()
-                    held, count = [], 0
-                    line_of.clear()
+                    yield from flush()
+                    count = base = 0
         if held:
-            yield flush()
+            yield from flush()
 
     return documents.mapInArrow(run, PACKED)
 
@@ -222,36 +284,74 @@ def unpack(raw: bytes, expand) -> np.ndarray:
     n, at = len(data) // ENTRY.itemsize, 0
     out = np.empty(n, ENTRY)
     for name in ENTRY.names:
-        width = ENTRY[name].itemsize
-        out[name] = np.ascontiguousarray(data[at:at + n * width].reshape(width, n).T).view(ENTRY[name]).ravel()
+        kind, width = ENTRY[name].base, ENTRY[name].itemsize
+        out[name] = np.ascontiguousarray(data[at:at + n * width].reshape(width, n).T).view(kind).reshape(out[name].shape)
         at += n * width
     return out
 
 
-def similar_runs(entries: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of entries of one token that pass the length, positional and bitmap filters."""
-    token, size = entries["token"], entries["size"].astype(np.int64)
-    left, right = [], []
-    at, step = np.arange(len(entries)), 1
-    while len(at):
-        at = at[at + step < len(entries)]
-        other = at + step
-        near = (token[at] == token[other]) & (100 * size[at] >= percent * size[other])  # sorted by token and size
-        at, other = at[near], other[near]
-        both = size[at] + size[other]
+def tokens_of(raw: bytes, expand) -> np.ndarray:
+    """The tokens of a packed piece; they are its first column."""
+    data = np.frombuffer(expand.decompress(raw), np.uint8)
+    n, width = len(data) // ENTRY.itemsize, ENTRY["token"].itemsize
+    return np.ascontiguousarray(data[:n * width].reshape(width, n).T).view(ENTRY["token"]).ravel()
+
+
+def similar_runs(entries: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of entries of one token that pass the length, positional and bitmap filters.
+
+    Entries are sorted by token and size, so those that fit an entry's length follow it.
+    """
+    n, size, pos = len(entries), entries["size"].astype(np.int64), entries["pos"].astype(np.int64)
+    bits, width, rest = entries["bits"], WIDTHS[np.searchsorted(SIZES, size)], size - pos
+    run = np.cumsum(np.r_[0, entries["token"][1:] != entries["token"][:-1]]) * (100 * size.max(initial=0) // percent + 1)
+    fits = np.searchsorted(run + size, run + 100 * size // percent, "right") - np.arange(n) - 1
+    total, low = np.cumsum(fits), 0
+    while low < n:
+        high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + PAIRS, "right")))
+        left = np.repeat(np.arange(low, high), fits[low:high])
+        right = left + 1 + np.arange(len(left)) - np.repeat(total[low:high] - fits[low:high] - (total[low] - fits[low]), fits[low:high])
+        low = high
+        both = size[left] + size[right]
         need = -(-percent * both // (100 + percent))
         # Words from the shared one on, and those before it, which can match as well.
-        reach = np.minimum(size[at] - entries["pos"][at], size[other] - entries["pos"][other])
-        reach = reach + np.minimum(entries["pos"][at], entries["pos"][other])
-        bits, more = entries["bits"], entries["more"]
-        fold = (size[at] <= SHORT) & (size[other] > SHORT)
-        apart = np.bitwise_count(bits[at] ^ bits[other] ^ np.where(fold, more[other], np.uint64(0))).astype(np.int64)
-        apart += np.where(fold, 0, np.bitwise_count(more[at] ^ more[other]))
-        good = (reach >= need) & (apart <= both - 2 * need)
-        left.append(at[good])
-        right.append(other[good])
-        step += 1
-    return (np.concatenate(left), np.concatenate(right)) if left else (at, at)
+        reach = np.minimum(rest[left], rest[right]) + np.minimum(pos[left], pos[right])
+        good = np.flatnonzero(reach >= need)
+        left, right, most = left[good], right[good], (both - 2 * need)[good]
+        good = bits_apart(bits, width, left, right) <= most
+        if good.any():
+            yield left[good], right[good]
+
+
+def connected(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the pairs of ``n`` entries, and the least entry that each is connected with."""
+    parent = np.arange(n)
+    while True:
+        least = np.minimum(parent[left], parent[right])
+        before = parent.copy()
+        np.minimum.at(parent, left, least)
+        np.minimum.at(parent, right, least)
+        parent = parent[parent]
+        if (parent == before).all():
+            break
+    ends = np.unique(np.r_[left, right])
+    return ends, parent[ends]
+
+
+def similar_stars(entries: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entries that may be similar to another one, and the least entry of each one's connected run.
+
+    Pairs are reduced whenever there are many, as a run of similar lines has its square of them.
+    """
+    left, right, count = [], [], 0
+    for a, b in similar_runs(entries, percent):
+        left.append(a)
+        right.append(b)
+        count += len(a)
+        if count >= PAIRS:
+            ends, heads = connected(len(entries), np.concatenate(left), np.concatenate(right))
+            left, right, count = [ends], [heads], 0
+    return connected(len(entries), np.concatenate(left), np.concatenate(right)) if left else (np.empty(0, np.int64),) * 2
 
 
 EDGES = "removed boolean, a struct<doc:long,line:int>, b struct<doc:long,line:int>, size int"
@@ -267,11 +367,6 @@ def match_entries(pieces: DataFrame, percent: int) -> DataFrame:
     import zstandard
 
     def match(entries: np.ndarray):
-        entries = entries[np.argsort(entries["token"])]
-        same = entries["token"][1:] == entries["token"][:-1]
-        entries = entries[np.r_[False, same] | np.r_[same, False]]  # words that occur once more at least
-        if not len(entries):
-            return
         sets = identity(entries)
         order = np.lexsort((entries["line"], entries["doc"], sets, entries["size"], entries["token"]))
         entries, sets = entries[order], sets[order]
@@ -281,35 +376,39 @@ def match_entries(pieces: DataFrame, percent: int) -> DataFrame:
         if gone.any():
             yield edge_batch(True, entries[gone], entries[head[gone]])
         entries = entries[~same]
-        left, right = similar_runs(entries, percent)
-        if len(left):
-            parent = np.arange(len(entries))
-            while True:  # least entry of each connected run, then only edges to it
-                least = np.minimum(parent[left], parent[right])
-                before = parent.copy()
-                np.minimum.at(parent, left, least)
-                np.minimum.at(parent, right, least)
-                parent = parent[parent]
-                if (parent == before).all():
-                    break
-            ends = np.unique(np.r_[left, right])
-            yield edge_batch(False, entries[ends], entries[parent[ends]])
+        ends, heads = similar_stars(entries, percent)
+        if len(ends):
+            yield edge_batch(False, entries[ends], entries[heads])
+
+    def by_tokens(held: list[bytes], expand):
+        """Matches the pieces of a bucket, some of its tokens at a time."""
+        tokens, counts = np.unique(np.concatenate([tokens_of(raw, expand) for raw in held]), return_counts=True)
+        tokens, counts = tokens[counts > 1], counts[counts > 1]  # words that occur once more at least
+        turn = (np.cumsum(counts) - 1) // MATCH_ENTRIES
+        for k in np.unique(turn).tolist():
+            chosen, parts = tokens[turn == k], []
+            for raw in held:
+                part = unpack(raw, expand)
+                at = np.minimum(np.searchsorted(chosen, part["token"]), len(chosen) - 1)
+                parts.append(part[chosen[at] == part["token"]])
+            yield from match(np.concatenate(parts))
 
     def run(batches: Iterator[pa.RecordBatch]):
+        release()
         expand, bucket, held = zstandard.ZstdDecompressor(), None, []
         for batch in batches:
             for k, raw in zip(batch.column("bucket").to_pylist(), batch.column("data")):
-                part = unpack(raw.as_py(), expand)
                 if k < 0:
+                    part = unpack(raw.as_py(), expand)
                     yield edge_batch(True, part, part)
                     continue
                 if k != bucket and held:
-                    yield from match(np.concatenate(held))
+                    yield from by_tokens(held, expand)
                     held = []
                 bucket = k
-                held.append(part)
+                held.append(raw.as_py())
         if held:
-            yield from match(np.concatenate(held))
+            yield from by_tokens(held, expand)
 
     return pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, EDGES)
 
@@ -319,18 +418,19 @@ def wanted_lines(documents: DataFrame, places: DataFrame) -> DataFrame:
     listed = places.groupBy(F.col("node.doc").alias("id")).agg(F.collect_list(F.struct(F.col("node.line").alias("line"), "cluster", "blocks")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]):
+        release()
         for batch in batches:
             out = []
             data, offsets = text_views(batch.column("text"))
-            for k, (doc, wanted) in enumerate(zip(batch.column("id").to_pylist(), batch.column("wanted").to_pylist())):
-                lines = data[offsets[k]:offsets[k + 1]].tobytes().split(b"\n")
-                for one in wanted:
+            for k, (doc, wanted) in enumerate(zip(batch.column("id"), batch.column("wanted"))):
+                doc, lines = doc.as_py(), data[offsets[k]:offsets[k + 1]].tobytes().split(b"\n")
+                for one in wanted.as_py():
                     line, blocks = one["line"], one["blocks"]
                     side = int(mix(np.array([doc * 1_000_003 + line & 0x7FFFFFFFFFFFFFFF], np.uint64))[0] % np.uint64(blocks))
                     for other in range(blocks):
                         low, high = min(side, other), max(side, other)
                         out.append((f"{one['cluster']['doc']}:{one['cluster']['line']}:{low}:{high}", side, doc, line, lines[line]))
-                if len(out) > 20_000:
+                if len(out) > 4_000:
                     yield batch_of(out)
                     out = []
             if out:
@@ -381,10 +481,11 @@ def confirm(lines: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[1] for r in found], pa.int64()), pa.array([r[2] for r in found], pa.int32())], names=["doc", "line"])
 
     def run(batches: Iterator[pa.RecordBatch]):
+        release()
         lower, word = lower_table(), space_words()
         group, held = None, []
-        for batch in batches:
-            for key, side, doc, line, text in zip(*(batch.column(k).to_pylist() for k in range(5))):
+        for part in (batch.slice(k, ROWS) for batch in batches for k in range(0, len(batch), ROWS)):
+            for key, side, doc, line, text in zip(*(part.column(k).to_pylist() for k in range(5))):
                 if key != group and held:
                     yield judge(held)
                     held = []

@@ -7,6 +7,8 @@ very long text never needs more than a few arrays of its own length.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import hashlib
 import sys
 import types
@@ -31,6 +33,21 @@ def keep(name: str, build: Callable):
     return getattr(store, name)
 
 
+def release() -> None:
+    """Give up what earlier tasks kept in this worker process, and return its free memory to the system.
+
+    Worker processes are used again by later stages; an operator that keeps nothing begins its tasks with this.
+    """
+    kept = vars(sys.modules.get("_changeloom_kept", types.ModuleType("_changeloom_kept")))
+    for name in [name for name in kept if not name.startswith("__")]:
+        del kept[name]
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim:
+        trim(0)
+
+
 def space_words() -> np.ndarray:
     """Table of bytes that belong to a word: all but ASCII white space."""
     table = np.ones(256, bool)
