@@ -107,3 +107,16 @@ def test_a_task_gives_up_what_other_operators_kept():
     assert line_join.match_entries(Batches(empty), 80) == []
     assert worker.keep("test:vocabulary", lambda: "built again") == "built again"
     worker.release()
+
+
+def test_line_dedup_drops_the_vocabulary_of_the_stage_before(spark):
+    """Worker processes of a pipeline's stage are used again by the next one."""
+    source = pa.record_batch({"id": pa.array([1], pa.int64()), "text": pa.array(["to be or not"])})
+
+    class Classes:
+        value = np.full(1 << line_join.TABLE_BITS, 10, np.uint8)
+
+    worker.keep("test:vocabulary", lambda: "of the quality rules")
+    assert len(line_join.index_lines(Batches(source), Classes, 80, 1, 64)) == 1
+    assert worker.keep("test:vocabulary", lambda: "built again") == "built again"
+    worker.release()
